@@ -150,3 +150,58 @@ def per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[off[1:]] - total[off[:-1]]
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers start[i] ... start[i] + count[i] - 1 of every i, one after another."""
+    total = int(count.sum())
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(total, dtype=np.int64)
+
+
+def byte_table(*spans_of_bytes: tuple[int, int]) -> np.ndarray:
+    """A truth table with the given closed byte ranges set."""
+    t = np.zeros(256, bool)
+    for lo, hi in spans_of_bytes:
+        t[lo : hi + 1] = True
+    return t
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+RESULT = "result__"
+
+
+def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+    """The `keep` columns (default: doc_id) and a struct column RESULT that make()(bytes, offsets) gives for
+    each piece of whole texts of column `text` (null: empty).  Row by row, without a shuffle."""
+    keep = ["doc_id"] if keep is None else keep
+    source = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").alias("text__"))
+    kinds = [source.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
+    schema = ", ".join([f"k{i} {t}" for i, t in enumerate(kinds)] + [f"{RESULT} struct<{fields}>"])
+    names = [x.split(":")[0].strip() for x in fields.split(",")]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            col = batch.column(len(keep))
+            for lo, hi, data, off in chunks(col, limit):
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(data, off)]
+                kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.StructArray.from_arrays(made, names)], [*(f"k{i}" for i in range(len(keep))), RESULT])
+
+    out = source.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, seed: int, per_value: bool = False) -> DataFrame:
+    """(doc_id, label) of at most `rows` labelled documents (of each label 0 and 1, with per_value): those whose
+    hashes are least, so that the choice is repeatable.  Null and conflicting labels are left out."""
+    one = labels.where(F.col(column).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("label"), F.max(column).alias("top")).where("label = top and doc_id is not null").select("doc_id", "label")
+    ordered = lambda d: d.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    return ordered(one.where("label = 0")).unionByName(ordered(one.where("label = 1"))) if per_value else ordered(one)
+
+
+def held_out(doc_id="doc_id"):
+    """True where crc32 of the id as text leaves remainder 0 modulo 5: never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
