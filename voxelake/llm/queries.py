@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, quality, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, language_id, near_dup, quality, suffix_dedup, toxicity, url_filter
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(documents(spark, sf_dir))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filters": op2_url_filters,
         "op3_bpe_codec": op3_bpe_codec,
         "op4_toxicity": op4_toxicity,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_quality_rules": op8_quality_rules,

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .components import components
 
 INLINE_RULES = 64
 Rule = tuple[str, str, str]
@@ -60,26 +61,6 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return to.select(node_of(F.col("url")).alias("src"), node_of(whole).alias("dst")).dropna()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the least node of each connected component, by min-label hooking and jumping."""
-    both = edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = checkpointed(both)
-    label = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
-    for _ in range(rounds):
-        reach = both.join(label, both.dst == label.node).select(F.col("src").alias("node"), "component")
-        low = reach.groupBy("node").agg(F.min("component").alias("low"))
-        hooked = label.join(low, "node").select("node", F.least("component", "low").alias("component"), F.col("component").alias("old"))
-        # the old root learns of it as well, then every node jumps to the label of its label
-        roots = hooked.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("root_low"))
-        hooked = hooked.join(roots, "node", "left").select("node", F.least("component", "root_low").alias("component"), "old")
-        up = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = checkpointed(hooked.join(up, "component", "left").select("node", F.least("component", "up").alias("component"), "old"))
-        label = step.select("node", "component")
-        if step.where("component <> old").isEmpty():
-            return label
-    raise RuntimeError("components did not settle")
-
-
 def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds `rule` and `rule_verdict` (null where no rule fits) to rows with host and path."""
     if not rules:
