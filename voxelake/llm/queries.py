@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, near_dup, quality, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, language_id, near_dup, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .common import documents
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(documents(spark, sf_dir))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -52,6 +56,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_url_filters": op2_url_filters,
         "op3_bpe_codec": op3_bpe_codec,
         "op4_toxicity": op4_toxicity,
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_token_counts": token_counts.ORACLE_SQL,
         "op2_url_filters": url_filter.ORACLE_SQL,
         "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_chat_formatting": chat_format.ORACLE_SQL,
