@@ -27,11 +27,11 @@ from .subwords import Words, features, words_of
 
 TRAIN_ROWS = 2500
 TRAIN_BYTES = 1 << 14
-WINDOW = 12
+WINDOW = 3
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 WIDTH = 8
-EPOCHS = 40
+EPOCHS = 80
 
 
 @dataclass
@@ -98,7 +98,10 @@ def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, epochs: int = EPOC
         if epoch > epochs // 4:  # of a toxic text, only the highest window
             top = np.maximum.reduceat(z, starts)
             use[(y == 1) & (z < top[text])] = 0
-        weight = np.where(y == 1, use / max(1.0, use[y == 1].sum()), 1 / max(1, (y == 0).sum()))
+            hard = (y == 0) & (z >= top[text])  # the highest windows of the others count half of their weight
+        else:
+            hard = y == 0
+        weight = np.where(y == 1, use / max(1.0, use[y == 1].sum()), 0.5 / max(1, (y == 0).sum()) + 0.5 * hard / max(1, hard.sum()))
         d = (y - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) * weight
         per_word = np.zeros(len(w.kind) + 1)
         np.add.at(per_word, a, d / size)
