@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RESULT, byte_prefix, chunks, mix, persisted, ranges, spans
+from .common import RESULT, byte_prefix, chunks, mix, persisted, ranges, spans, utf8
 from .suffix_group import suffix_array
 
 LENGTH = 100
@@ -44,9 +44,9 @@ BLOCKS = 4
 HOT = 4096
 HOT_LIST = 1_000_000
 SALTS = 64
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 #: Symbols of one suffix array.
-ARRAY_SYMBOLS = 1 << 18
+ARRAY_SYMBOLS = 1 << 17
 FULL, NEED, HOT_FIRST = 0, 1, 2
 _LAST = (1 << 63) - 1
 
@@ -194,8 +194,8 @@ def _judge(batches):
         yield judged(*[np.concatenate(x) for x in zip(*kept)])
 
 
-def _contexts(frame: DataFrame, needs: DataFrame) -> DataFrame:
-    """h, doc, pack and the bytes of the contexts that `needs` (h, doc, pack) names."""
+def _contexts(frame: DataFrame, needs: DataFrame, windows: bool = False) -> DataFrame:
+    """h, doc, pack and the bytes of the contexts that `needs` (h, doc, pack) names; or all their windows."""
     lists = needs.groupBy("doc", F.col("pack").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list("h").alias("hs"), F.collect_list("pack").alias("packs"))
     both = frame.join(lists.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "text", "hs", "packs")
 
@@ -218,15 +218,11 @@ def _contexts(frame: DataFrame, needs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array(ids[row]), pa.array(packs), text], ["h", "doc", "pack", "bytes"])
 
+    if windows:  # in the same worker
+        return both.mapInArrow(lambda batches: _windows(run(batches)), "w long, doc long, tag long, a long")
     return both.mapInArrow(run, "h long, doc long, pack long, bytes binary")
 
 
-def _binary(col) -> tuple[np.ndarray, np.ndarray]:
-    from .common import utf8
-
-    return utf8(col)
-
-
 def repeated_windows(h: np.ndarray, doc: np.ndarray, pack: np.ndarray, data: np.ndarray, off: np.ndarray):
     """The windows of these contexts that stand in an earlier context of the same anchor: (context, start
     relative to the anchor) pairs."""
@@ -301,7 +297,7 @@ def _compare(batches):
     def judged(parts):
         table = pa.Table.from_batches(parts)
         h, doc, pack = (table[i].to_numpy() for i in range(3))
-        data, off = _binary(table[3])
+        data, off = utf8(table[3])
         who, first, last = _joined(*repeated_windows(h, doc, pack, data, off))
         place = (pack >> 30)[who]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], (pack & 0xFFFF)[who], place + first, place + last + LENGTH)], ["doc", "tag", "a", "b"])
@@ -331,7 +327,7 @@ def _windows(batches):
         if not batch.num_rows:
             continue
         h, doc, pack = (batch.column(i).to_numpy() for i in range(3))
-        data, off = _binary(batch.column(3))
+        data, off = utf8(batch.column(3))
         left, after = (pack >> 23) & 127, (pack >> 16) & 127
         who = np.repeat(np.arange(len(h)), after + 1)
         begin = ranges(off[:-1], after + 1)
@@ -360,7 +356,7 @@ def repeated_spans(frame: DataFrame, source: DataFrame, hot: int = HOT) -> DataF
         lead = firsts.groupBy("h", "c").agg(F.min(F.struct("doc", F.shiftright("pack", 30).alias("place"))).alias("lead"))
         ranked = firsts.join(lead, ["h", "c"]).withColumn("is_lead", (F.col("lead.doc") == F.col("doc")) & (F.col("lead.place") == F.shiftright("pack", 30)))
         out.append(_whole_spans(ranked.where(~F.col("is_lead")).select("doc", "pack")))
-        windows = _contexts(frame, ranked.where("is_lead").select("h", "doc", "pack")).mapInArrow(_windows, "w long, doc long, tag long, a long")
+        windows = _contexts(frame, ranked.where("is_lead").select("h", "doc", "pack"), windows=True)
         least = windows.groupBy("w").agg(F.min(F.struct("doc", "a")).alias("lead")).select("w", F.col("lead.doc").alias("doc"), F.col("lead.a").alias("a"))
         out.append(windows.join(least, ["w", "doc", "a"], "left_anti").select("doc", "tag", "a", (F.col("a") + LENGTH).alias("b")))
     spans_ = out[0]
