@@ -25,8 +25,8 @@ from .common import RESULT, held_out, labelled_sample, map_texts, utf8
 from .decontaminate import WORD_BYTES
 from .subwords import Words, features, words_of
 
-TRAIN_ROWS = 2500
-TRAIN_BYTES = 1 << 14
+TRAIN_ROWS = 1500
+TRAIN_BYTES = 1 << 12
 WINDOW = 3
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
