@@ -206,22 +206,23 @@ def compaction(spark, sf_dir):
     return ordering.compact(e, "event_id", F.col("event_type") == "click").select("event_id", F.col("pos").cast("long").alias("pos"))
 
 
-_RUNNING = "sum(value::DECIMAL(18, 2)) {0} OVER w"
+_CENTS = "CAST(round(value * 100) AS BIGINT)"
 
 
 @query(
     "running_avg_stats",
-    "SELECT event_id, round(sum(value::DECIMAL(18, 2)) OVER w::DOUBLE / count(*) OVER w, 6) AS running_avg, "
-    "round((sum(value::DECIMAL(18, 2)) FILTER (value > 10) OVER w)::DOUBLE / nullif((count(*) FILTER (value > 10) OVER w), 0), 6) AS running_avg_over_10 "
+    f"SELECT event_id, (sum({_CENTS}) OVER w * 10000 // count(*) OVER w)::BIGINT / 1000000.0::DOUBLE AS running_avg, "
+    f"((sum({_CENTS}) FILTER (value > 10) OVER w) * 10000 // nullif((count(*) FILTER (value > 10) OVER w), 0))::BIGINT / 1000000.0::DOUBLE AS running_avg_over_10 "
     "FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 def running_avg_stats(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("value").cast("decimal(18,2)").alias("v"), (F.col("value") > 10).alias("over"))
-    zero = F.lit(0).cast("decimal(18,2)")
+    """Averages so far, of all values and of those over 10, cut (not rounded) after six digits."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(F.col("value") * 100).cast("long").alias("v"), (F.col("value") > 10).alias("over"))
+    zero = F.lit(0).cast("long")
     out = e
     for name, value in (("s", F.col("v")), ("n", F.lit(1).cast("long")), ("so", F.when(F.col("over"), F.col("v")).otherwise(zero)), ("no", F.col("over").cast("long"))):
         out = ordering.prefix_scan(out, "event_id", value, name, inclusive=True)
-    avg = lambda s, n: F.round(F.col(s).cast("double") / F.nullif(F.col(n), F.lit(0)), 6)
+    avg = lambda s, n: F.expr(f"(`{s}` * 10000) div nullif(`{n}`, 0)") / F.lit(1000000.0)
     return out.select("event_id", avg("s", "n").alias("running_avg"), avg("so", "no").alias("running_avg_over_10"))
 
 
@@ -482,7 +483,7 @@ def front_changes(spark, sf_dir):
 
 @query(
     "placeholder_substitution",
-    f"{NODES_SQL}, up AS (SELECT morton AS placeholder, morton >> (3 * k) AS code FROM nodes, (SELECT unnest(range(0, {LEAF + 1})) AS k) WHERE is_leaf), ld AS (SELECT morton FROM nodes WHERE n_points >= 4) "
+    f"{NODES_SQL}, up AS (SELECT morton AS placeholder, morton >> (3 * k) AS code FROM nodes, (SELECT unnest(range(0, {LEAF + 1})) AS k) WHERE is_leaf), ld AS (SELECT morton FROM nodes WHERE n_points >= 40) "
     "SELECT placeholder, max(ld.morton) AS substitute FROM up LEFT JOIN ld ON up.code = ld.morton GROUP BY 1",
 )
 def placeholder_substitution(spark, sf_dir):
@@ -578,7 +579,7 @@ def stream_build(spark, sf_dir):
     return build.build_from_stream(spark, f"{sf_dir}/lineitem.parquet", LEVEL, lambda d: d.select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("z")), line_points(spark, sf_dir))
 
 
-@query("stream_running_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value, max(value) AS max_value FROM events GROUP BY 1")
+@query("stream_running_stats", "SELECT event_type, count(*) AS n, (sum(CAST(round(value * 100) AS BIGINT)) * 10000 // count(*))::BIGINT / 1000000.0::DOUBLE AS avg_value, max(value) AS max_value FROM events GROUP BY 1")
 def stream_running_stats(spark, sf_dir):
     from voxelake.streaming import build
 

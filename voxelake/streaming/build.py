@@ -65,9 +65,9 @@ def build_from_stream(spark: SparkSession, path: str, level: int, to_points: Cal
 
 
 def running_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Count, average and maximum by event type, kept by a stateful aggregation and upserted by key."""
+    """Count, average (of cents, cut after six digits) and maximum by event type, kept by a stateful aggregation and upserted by key."""
     folder = work_dir(spark, "stream-stats")
-    stats = file_stream(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.max("value").alias("max_value"))
+    stats = file_stream(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("value").alias("max_value"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("seq", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
@@ -75,5 +75,5 @@ def running_stats(spark: SparkSession, path: str) -> DataFrame:
     q = stats.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
-    last = rows.groupBy("event_type").agg(F.max(F.struct("seq", "n", "avg_value", "max_value")).alias("r"))
-    return last.select("event_type", "r.n", "r.avg_value", "r.max_value")
+    last = rows.groupBy("event_type").agg(F.max(F.struct("seq", "n", "cents", "max_value")).alias("r"))
+    return last.select("event_type", "r.n", (F.expr("(r.cents * 10000) div r.n") / F.lit(1000000.0)).alias("avg_value"), "r.max_value")
