@@ -176,7 +176,8 @@ def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, l
     """The `keep` columns (default: doc_id) and a struct column RESULT that make()(bytes, offsets) gives for
     each piece of whole texts of column `text` (null: empty).  Row by row, without a shuffle."""
     keep = ["doc_id"] if keep is None else keep
-    source = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").alias("text__"))
+    at = keep.index("text") if "text" in keep else len(keep)  # a kept text is sent once
+    source = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *[F.col("text").alias("text__")][: at == len(keep)])
     kinds = [source.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
     schema = ", ".join([f"k{i} {t}" for i, t in enumerate(kinds)] + [f"{RESULT} struct<{fields}>"])
     names = [x.split(":")[0].strip() for x in fields.split(",")]
@@ -184,7 +185,7 @@ def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, l
     def run(batches):
         work = make()
         for batch in batches:
-            col = batch.column(len(keep))
+            col = batch.column(at)
             for lo, hi, data, off in chunks(col, limit):
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(data, off)]
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]

@@ -289,7 +289,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = classes(docs, threshold)
     stays = found.where("size > 0 and doc_id = class_id").groupBy("doc_id", "class_id").agg(F.min("set").alias("set"))
     names = docs.columns
-    kept = map_texts(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), "size: bigint, set: bigint", _only_set, [*[c for c in names if c != "text"], "text"])
+    kept = map_texts(docs, "size: bigint, set: bigint", _only_set, names)
     marked = kept.select(*[F.col(f"`{c}`") for c in names], F.col(f"{RESULT}.size").alias("size__"), F.col(f"{RESULT}.set").alias("set__"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id__"))
     some = marked.where("size__ > 0").join(stays.select(F.col("doc_id").alias("id__"), F.col("set").alias("set__")), ["id__", "set__"], "left_semi")
     once = some.withColumn("nth__", F.row_number().over(Window.partitionBy("id__", "set__").orderBy("text"))).where("nth__ = 1")
