@@ -172,9 +172,10 @@ LOWER[65:91] += 32
 RESULT = "result__"
 
 
-def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, limit: int = CHUNK_BYTES, raw: bool = False) -> DataFrame:
     """The `keep` columns (default: doc_id) and a struct column RESULT that make()(bytes, offsets) gives for
-    each piece of whole texts of column `text` (null: empty).  Row by row, without a shuffle."""
+    each piece of whole texts of column `text` (null: empty).  Row by row, without a shuffle.  raw: the kept
+    columns are called k0, k1, ..., so that none of them clashes with another name."""
     keep = ["doc_id"] if keep is None else keep
     at = keep.index("text") if "text" in keep else len(keep)  # a kept text is sent once
     source = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *[F.col("text").alias("text__")][: at == len(keep)])
@@ -192,7 +193,12 @@ def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, l
                 yield pa.RecordBatch.from_arrays([*kept, pa.StructArray.from_arrays(made, names)], [*(f"k{i}" for i in range(len(keep))), RESULT])
 
     out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
+    return out if raw else out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
+
+
+def named(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Columns k0, k1, ... under their own names again."""
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, seed: int, per_value: bool = False) -> DataFrame:

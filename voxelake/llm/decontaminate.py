@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, LOWER, RESULT, byte_prefix, byte_table, map_texts, ranges, spans, token_spans, utf8
+from .common import _TABLE, LOWER, RESULT, byte_prefix, byte_table, map_texts, named, ranges, spans, token_spans, utf8
 
 WINDOW = 10
 DEPTH = 12
@@ -201,19 +201,19 @@ def benchmark_slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> list[Win
     return [Windows([(r.item_id, r.text) for r in part(i).collect()]) for i in range(n)]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, limit: int = SLICE_BYTES, raw: bool = False) -> DataFrame:
     """The kept columns and a struct RESULT: n_words, n_hit, n_items, items_sha256, contaminated, longest
     (longest verbatim match from a window on, in words), runs of hit words (start, end, ...), items."""
     keep = ["doc_id"] if keep is None else keep
     slices = benchmark_slices(benchmark, limit)
     if len(slices) == 1:
-        return map_texts(docs, FIELDS, _matcher(slices[0]), keep, SHARD_BYTES)
+        return map_texts(docs, FIELDS, _matcher(slices[0]), keep, SHARD_BYTES, raw)
     names = [f"k{i}" for i in range(len(keep))]
     now = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col("text"), F.lit(None).cast(f"struct<{_ddl()}>").alias("so_far"))
     for test in slices:
         step = map_texts(now, FIELDS, _matcher(test), [*names, "text", "so_far"], SHARD_BYTES)
         now = step.select(*names, "text", merged("so_far", RESULT).alias("so_far"))
-    return now.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], F.col("so_far").alias(RESULT))
+    return now.select(*[F.col(n).alias(n if raw else k) for n, k in zip(names, keep)], F.col("so_far").alias(RESULT))
 
 
 def _ddl() -> str:
@@ -222,7 +222,7 @@ def _ddl() -> str:
 
 def merged(a: str, b: str):
     """Both slices' findings together; runs of hit words are counted as one union."""
-    ends = F.sort_array(F.flatten(F.transform(F.array(F.col(f"{a}.runs"), F.col(f"{b}.runs")), lambda r: F.transform(F.sequence(F.lit(0), F.size(r) / 2 - 1), lambda i: F.struct(F.get(r, (2 * i).cast("int")).alias("s"), F.get(r, (2 * i + 1).cast("int")).alias("e"))))))
+    ends = F.sort_array(F.flatten(F.transform(F.array(F.col(f"{a}.runs"), F.col(f"{b}.runs")), lambda r: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(r), 1) - 1), lambda i: F.struct(F.get(r, 2 * i).alias("s"), F.get(r, 2 * i + 1).alias("e"))))))
     both = F.filter(ends, lambda x: x["s"].isNotNull())
     joined = F.aggregate(
         both,
@@ -240,8 +240,7 @@ def merged(a: str, b: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) that hold no benchmark window."""
-    marked = annotate(docs, benchmark, docs.columns)
-    return marked.where(~F.col(f"{RESULT}.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named(annotate(docs, benchmark, docs.columns, raw=True).where(~F.col(f"{RESULT}.contaminated")), docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

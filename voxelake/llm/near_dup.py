@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, RESULT, map_texts, mix, persisted, prefix_sums, ranges, spans
+from .common import CHUNK_BYTES, RESULT, map_texts, mix, named, persisted, prefix_sums, ranges, spans
 from .components import components
 from .decontaminate import word_hashes
 
@@ -289,12 +289,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = classes(docs, threshold)
     stays = found.where("size > 0 and doc_id = class_id").groupBy("doc_id", "class_id").agg(F.min("set").alias("set"))
     names = docs.columns
-    kept = map_texts(docs, "size: bigint, set: bigint", _only_set, names)
-    marked = kept.select(*[F.col(f"`{c}`") for c in names], F.col(f"{RESULT}.size").alias("size__"), F.col(f"{RESULT}.set").alias("set__"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id__"))
-    some = marked.where("size__ > 0").join(stays.select(F.col("doc_id").alias("id__"), F.col("set").alias("set__")), ["id__", "set__"], "left_semi")
-    once = some.withColumn("nth__", F.row_number().over(Window.partitionBy("id__", "set__").orderBy("text"))).where("nth__ = 1")
-    columns = [F.col(f"`{c}`") for c in names]
-    return once.select(*columns).unionByName(marked.where("size__ = 0").select(*columns))
+    marked = map_texts(docs, "size: bigint, set: bigint", _only_set, names, raw=True)
+    marked = marked.select(*[f"k{i}" for i in range(len(names))], f"{RESULT}.size", f"{RESULT}.set", F.coalesce(F.col(f"k{names.index('doc_id')}").cast("long"), F.lit(_LAST)).alias("id"))
+    some = marked.where("size > 0").join(stays.select(F.col("doc_id").alias("id"), "set"), ["id", "set"], "left_semi")
+    once = some.withColumn("nth", F.row_number().over(Window.partitionBy("id", "set").orderBy(f"k{names.index('text')}"))).where("nth = 1")
+    return named(once, names).unionByName(named(marked.where("size = 0"), names))
 
 
 def _only_set():

@@ -381,7 +381,7 @@ def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[head], b[np.append(head[1:], len(a)) - 1]
 
 
-def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_text: bool = False) -> DataFrame:
+def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_text: bool = False, raw: bool = False) -> DataFrame:
     """The kept columns and a struct RESULT of FIELDS (spans: start, end, ... in bytes).  as_text: instead,
     column KEPT_TEXT has the text without the removed bytes, of a character all or none."""
     keep = ["doc_id"] if keep is None else keep
@@ -423,7 +423,7 @@ def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_
             yield pa.RecordBatch.from_arrays([*[batch.column(3 + i) for i in range(len(keep))], column], [*(f"k{i}" for i in range(len(keep))), RESULT])
 
     out = both.mapInArrow(run, f"{kinds}, {made}")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
+    return out if raw else out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
 
 
 def _values(column, i: int) -> np.ndarray:
@@ -447,11 +447,11 @@ def cut(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All documents (all columns; n_chars follows the text) without their repeated passages."""
     others = [c for c in docs.columns if c != "text"]
-    made = annotate(docs, others, as_text=True)
-    values = {c: F.col(f"`{c}`") for c in others}
+    made = annotate(docs, others, as_text=True, raw=True)
+    values = {c: F.col(f"k{i}") for i, c in enumerate(others)} | {"text": F.col(RESULT)}
     if "n_chars" in values:
         values["n_chars"] = F.length(RESULT).cast(docs.schema["n_chars"].dataType)
-    return made.select(*[F.col(RESULT).alias("text") if c == "text" else values[c].alias(c) for c in docs.columns])
+    return made.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

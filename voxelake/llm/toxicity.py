@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RESULT, held_out, labelled_sample, map_texts, utf8
+from .common import RESULT, held_out, labelled_sample, map_texts, named, utf8
 from .decontaminate import WORD_BYTES
 from .subwords import Words, features, words_of
 
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
 FIELDS = "score: double, predicted: int"
 
 
-def annotate(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+def annotate(docs: DataFrame, model: Model | None, keep: list[str] | None = None, raw: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -152,15 +152,14 @@ def annotate(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
         def work(data, off):
             if m is None:
-                z = np.full(len(off) - 1, -np.inf)
+                score = np.zeros(len(off) - 1)
             else:
-                z = text_margins(words_of(data, off, WORD_BYTES), len(off) - 1, m)
-            score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                score = 1 / (1 + np.exp(-np.clip(text_margins(words_of(data, off, WORD_BYTES), len(off) - 1, m), -700, 700)))
             return [score, (score >= 0.5).astype(np.int32)]
 
         return work
 
-    return map_texts(docs, FIELDS, make, keep)
+    return map_texts(docs, FIELDS, make, keep, raw=raw)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,4 +169,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (all columns) that aren't predicted toxic."""
-    return annotate(docs, train(docs, labels), docs.columns).where(F.col(f"{RESULT}.predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named(annotate(docs, train(docs, labels), docs.columns, raw=True).where(F.col(f"{RESULT}.predicted") == 0), docs.columns)
