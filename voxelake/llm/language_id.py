@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import RESULT, byte_table, held_out, map_texts, per_text, utf8
 from .subwords import Words, features, words_of
 
-TRAIN_ROWS = 2500
-TRAIN_BYTES = 1 << 13
+TRAIN_ROWS = 2000
+TRAIN_BYTES = 1 << 12
 CHAIN = 32
 GRAMS = (2, 3)
 AFFIXES = (2, 3, 4)
