@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (a longer single text is handled alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -172,10 +172,20 @@ LOWER[65:91] += 32
 RESULT = "result__"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers bounded by bytes and rows, unless the session has other settings than the defaults:
+    10000 texts at once would take hundreds of MB in the JVM's and the worker's buffers."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "4194304")):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, default).lower() in (default, default + "b", "64mb"):
+            spark.conf.set(name, value)
+
+
 def map_texts(df: DataFrame, fields: str, make, keep: list[str] | None = None, limit: int = CHUNK_BYTES, raw: bool = False) -> DataFrame:
     """The `keep` columns (default: doc_id) and a struct column RESULT that make()(bytes, offsets) gives for
     each piece of whole texts of column `text` (null: empty).  Row by row, without a shuffle.  raw: the kept
     columns are called k0, k1, ..., so that none of them clashes with another name."""
+    small_batches(df.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     at = keep.index("text") if "text" in keep else len(keep)  # a kept text is sent once
     source = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], *[F.col("text").alias("text__")][: at == len(keep)])

@@ -224,11 +224,12 @@ def _verifier(threshold: float):
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, set (hash of its shingles), size, class_id, n_links."""
+    """One row per document: doc_id, text_hash, set (hash of its shingles), size, class_id, n_links."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = d.withColumn("text_hash", F.xxhash64("text"))
     length = prefix_length(threshold, recall)
-    signed = map_texts(d, "size: bigint, set: bigint, keys: array<bigint>", _signatures(length, words), limit=CHUNK_BYTES // 4)
-    signed = persisted(signed.select("doc_id", f"{RESULT}.*"), "signatures")
+    signed = map_texts(d, "size: bigint, set: bigint, keys: array<bigint>", _signatures(length, words), ["doc_id", "text_hash"], CHUNK_BYTES)
+    signed = persisted(signed.select("doc_id", "text_hash", f"{RESULT}.*"), "signatures")
     whole = signed.where("size > 0")
     # collapse equal sets; any document of a set has its signature
     groups = persisted(whole.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
@@ -244,7 +245,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
         total = part.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         member = part.join(total, "component").join(groups, "set").select("set", F.col("rep").alias("doc_id"), "copies", "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
         # the texts of the members; a text of another set with the same id is told apart by its hash below
-        texts = map_texts(d.join(member.select("doc_id", F.col("set").alias("want"), "copies", "component", "blocks"), "doc_id"), "shingles: array<bigint>", _sets(words), ["want", "copies", "component", "blocks"], CHUNK_BYTES // 4)
+        texts = map_texts(d.join(member.select("doc_id", F.col("set").alias("want"), "copies", "component", "blocks"), "doc_id"), "shingles: array<bigint>", _sets(words), ["want", "copies", "component", "blocks"], CHUNK_BYTES)
         hashed = texts.select("want", "copies", "component", "blocks", F.col(f"{RESULT}.shingles").alias("shingles"))
         repeated_ids = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         if not repeated_ids.isEmpty() or not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -262,9 +263,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     named = groups.join(outcome, "set", "left").select("set", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "set").alias("class"))
     least_id = named.groupBy("class").agg(F.min("rep").alias("class_id"))
     final = named.join(least_id, "class").select("set", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    ids = signed.select("doc_id", "set", "size")
-    out = ids.where("size > 0").join(final, "set").select("doc_id", "set", "size", "class_id", "n_links")
-    return out.unionByName(ids.where("size = 0").select("doc_id", "set", "size", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    ids = signed.select("doc_id", "text_hash", "set", "size")
+    out = ids.where("size > 0").join(final, "set").select("doc_id", "text_hash", "set", "size", "class_id", "n_links")
+    return out.unionByName(ids.where("size = 0").select("doc_id", "text_hash", "set", "size", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def map_sets(hashed: DataFrame) -> DataFrame:
@@ -285,29 +286,20 @@ def map_sets(hashed: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents (all columns) without the others of each class: the one with the least doc_id stays."""
-    found = classes(docs, threshold)
-    stays = found.where("size > 0 and doc_id = class_id").groupBy("doc_id", "class_id").agg(F.min("set").alias("set"))
+    """The documents (all columns) without the others of each class: the one with the least doc_id stays (of
+    rows with one id, that of the least shingle and text hashes; of equal rows, one).  Rows are found again by id
+    and text hash, so whole texts don't go through Python a second time."""
+    found = persisted(classes(docs, threshold), "classes")
+    best = found.where("size > 0 and doc_id = class_id").groupBy("doc_id", "class_id").agg(F.min(F.struct("set", "text_hash")).alias("m"))
+    stays = best.select("doc_id", F.col("m.text_hash").alias("text_hash"), F.lit(True).alias("once"))
+    stays = stays.unionByName(found.where("size = 0").select("doc_id", "text_hash", F.lit(False).alias("once")).distinct())
     names = docs.columns
-    marked = map_texts(docs, "size: bigint, set: bigint", _only_set, names, raw=True)
-    marked = marked.select(*[f"k{i}" for i in range(len(names))], f"{RESULT}.size", f"{RESULT}.set", F.coalesce(F.col(f"k{names.index('doc_id')}").cast("long"), F.lit(_LAST)).alias("id"))
-    some = marked.where("size > 0").join(stays.select(F.col("doc_id").alias("id"), "set"), ["id", "set"], "left_semi")
-    once = some.withColumn("nth", F.row_number().over(Window.partitionBy("id", "set").orderBy(f"k{names.index('text')}"))).where("nth = 1")
-    return named(once, names).unionByName(named(marked.where("size = 0"), names))
-
-
-def _only_set():
-    def work(data, off):
-        n = len(off) - 1
-        found, of = shingles(data, off)
-        size = np.bincount(of, minlength=n)
-        some = np.flatnonzero(size)
-        whole = np.zeros(n, np.uint64)
-        if len(some):
-            whole[some] = mix(np.add.reduceat(mix(found), (np.cumsum(size) - size)[some]) ^ size[some].astype(np.uint64))
-        return [size, whole.view(np.int64)]
-
-    return work
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
+    kept = rows.join(stays, ["doc_id", "text_hash"])
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows
+        nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(*[f"k{i}" for i in range(len(names))])))
+        kept = kept.withColumn("nth", nth).where("nth = 1 or not once")
+    return named(kept, names)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -48,15 +48,16 @@ def words_of(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
 
 
 def features(w: Words, grams: tuple[int, ...], buckets: int, affixes: tuple[int, ...] = (), whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct word, bucket) pairs, ordered by word."""
+    """(distinct word, bucket) pairs in no particular order, as 32-bit integers."""
     prefix = byte_prefix(w.framed)
     size = w.off[1:] - w.off[:-1]
     n = w.n_kinds
-    of, key = [], []
+    of, bucket = [], []
 
     def put(word, start, length, salt):
-        of.append(word)
-        key.append(spans(prefix, start, start + length) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        of.append(word.astype(np.int32))
+        key = spans(prefix, start, start + length) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        bucket.append((mix(key) % np.uint64(buckets)).astype(np.int32))
 
     everyone = np.arange(n)
     if whole:
@@ -68,6 +69,4 @@ def features(w: Words, grams: tuple[int, ...], buckets: int, affixes: tuple[int,
         long = np.flatnonzero(size > a)
         put(long, w.off[:-1][long], a, 3)
         put(long, w.off[1:][long] - a, a, 4)
-    of, key = np.concatenate(of), np.concatenate(key)
-    order = np.argsort(of, kind="stable")
-    return of[order], (mix(key[order]) % np.uint64(buckets)).astype(np.int64)
+    return np.concatenate(of), np.concatenate(bucket)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RESULT, byte_prefix, chunks, mix, persisted, ranges, spans, utf8
+from .common import RESULT, byte_prefix, chunks, mix, persisted, ranges, small_batches, spans, utf8
 from .suffix_group import suffix_array
 
 LENGTH = 100
@@ -339,6 +339,7 @@ def _windows(batches):
 def repeated_spans(frame: DataFrame, source: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, tag, a, b: byte ranges that repeat, overlapping ones too.  frame: source (see _documents) dealt by
     doc and tag."""
+    small_batches(source.sparkSession)
     often = _hot(source, hot)
     key = F.when(F.col("hot"), F.xxhash64("h", "c", F.pmod("doc", F.lit(SALTS)))).otherwise(F.col("h"))
     dealt = _scan(source, often).withColumn("key", key)

@@ -26,7 +26,7 @@ from .decontaminate import WORD_BYTES
 from .subwords import Words, features, words_of
 
 TRAIN_ROWS = 1500
-TRAIN_BYTES = 1 << 12
+TRAIN_BYTES = 1 << 13
 WINDOW = 3
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -78,12 +78,13 @@ def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, epochs: int = EPOC
     first = np.cumsum(n) - n
     step = WINDOW // 2
     count = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // step) + 1)
-    text = np.repeat(np.arange(len(toxic)), count)
+    text = np.repeat(np.arange(len(toxic), dtype=np.int32), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    a = first[text] + np.minimum(nth * step, np.maximum(n[text] - WINDOW, 0))
-    b = np.minimum(a + WINDOW, first[text] + n[text])
-    size = np.maximum(b - a, 1)
-    y = toxic[text].astype(float)
+    a = (first[text] + np.minimum(nth * step, np.maximum(n[text] - WINDOW, 0))).astype(np.int32)
+    b = np.minimum(a + WINDOW, first[text] + n[text]).astype(np.int32)
+    size = np.maximum(b - a, 1).astype(np.float32)
+    y = toxic[text].astype(np.float32)
+    del nth
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     out = rng.normal(0, 0.3, WIDTH)
@@ -93,8 +94,8 @@ def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, epochs: int = EPOC
     for epoch in range(1, epochs + 1):
         score = np.bincount(of, (emb @ out)[bucket], w.n_kinds) / n_sub
         total = np.concatenate(([0.0], np.cumsum(score[w.kind])))
-        z = (total[b] - total[a]) / size + bias
-        use = np.ones(len(z))
+        z = (total[b] - total[a]).astype(np.float32) / size + np.float32(bias)
+        use = np.ones(len(z), np.float32)
         if epoch > epochs // 4:  # of a toxic text, only the highest window
             top = np.maximum.reduceat(z, starts)
             use[(y == 1) & (z < top[text])] = 0
@@ -103,9 +104,7 @@ def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray, epochs: int = EPOC
             hard = y == 0
         weight = np.where(y == 1, use / max(1.0, use[y == 1].sum()), 0.5 / max(1, (y == 0).sum()) + 0.5 * hard / max(1, hard.sum()))
         d = (y - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) * weight
-        per_word = np.zeros(len(w.kind) + 1)
-        np.add.at(per_word, a, d / size)
-        np.add.at(per_word, b, -d / size)
+        per_word = np.bincount(a, d / size, len(w.kind) + 1) - np.bincount(b, d / size, len(w.kind) + 1)
         per_kind = np.bincount(w.kind, np.cumsum(per_word)[:-1], w.n_kinds) / n_sub
         c = np.bincount(bucket, per_kind[of], BUCKETS)  # the gradient of a bucket is c times `out`
         g_emb, g_out, g_bias = np.outer(c, out) - 1e-7 * emb, emb.T @ c, d.sum()
