@@ -30,14 +30,6 @@ def test_frustum(spark, view, low, high, cull):
     assert flag(spark, G.is_cullable, low, high, view) is cull
 
 
-def test_judge_agrees_with_plain_expressions(spark):
-    rows = spark.range(300).select(*[(F.rand(k) * 4 - 2).alias(f"l{a}") for k, a in enumerate("xyz")]).withColumns({f"h{a}": F.col(f"l{a}") + 0.3 for a in "xyz"})
-    low, high = [F.col(f"l{a}") for a in "xyz"], [F.col(f"h{a}") for a in "xyz"]
-    j = G.judge(low, high, P)
-    for r in rows.select(j["culled"].alias("c"), j["diagonal"].alias("d"), G.is_cullable(low, high, P).alias("c2"), G.projected_diagonal(low, high, P).alias("d2")).collect():
-        assert r.c == r.c2 and (r.d == r.d2 or abs(r.d - r.d2) <= 1e-9 * abs(r.d2))
-
-
 def test_renderable_and_window(spark):
     low, high = (0.0, 0.0, -5.0), (0.1, 0.1, -4.9)
     assert flag(spark, G.is_renderable, low, high, P, 0.05) and not flag(spark, G.is_renderable, low, high, P, 1e-6)

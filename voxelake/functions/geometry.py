@@ -78,12 +78,6 @@ def is_renderable_window(low, high, view_proj: Matrix, threshold: float, width:
     return F.coalesce(F.greatest(first, second) < threshold, F.lit(False))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once: optimizer rules that move predicates copy expressions, and copies of
-    copies would outgrow what can be compiled.  For rows of nodes, not for points: lambdas are interpreted."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def cell_box(code: Column, level: Column | int, size: Sequence[Column], deepest: int = morton.SHALLOW_MAX) -> tuple[list[Column], list[Column]]:
     """Least and greatest corner of a cell in normalised space; size: of the whole grid."""
     at = morton.decode(code, level, deepest)
@@ -92,27 +86,6 @@ def cell_box(code: Column, level: Column | int, size: Sequence[Column], deepest:
     return low, [v + s * part for v, s in zip(low, size)]
 
 
-def judge(low: Sequence[Column], high: Sequence[Column], view_proj: Matrix) -> Column:
-    """Struct culled, diagonal of a box."""
-    box = F.struct(*[c.alias(f"l{a}") for c, a in zip(low, AXES)], *[c.alias(f"h{a}") for c, a in zip(high, AXES)])
-
-    def of_box(b: Column) -> Column:
-        lo, hi = [b[f"l{a}"] for a in AXES], [b[f"h{a}"] for a in AXES]
-        z0, z1 = corner_depths(lo, hi)
-        depths = F.struct(z0.alias("z0"), z1.alias("z1"))
-
-        def of_depths(d: Column) -> Column:
-            a, c = (lo[0], lo[1], d["z0"]), (hi[0], hi[1], d["z1"])
-            ends = ((a, c), ((a[0], c[1], c[2]), (c[0], a[1], a[2])))
-            flat = [v.alias(f"{k}{i}{j}") for i, pair in enumerate(ends) for j, p in enumerate(pair) for k, v in zip("uv", project(p, view_proj))]
-            spread = lambda f, i: _length2((f[f"u{i}0"], f[f"v{i}0"]), (f[f"u{i}1"], f[f"v{i}1"]))
-            return let(F.struct(*flat), lambda f: F.greatest(spread(f, 0), spread(f, 1)))
-
-        return F.struct(is_cullable(lo, hi, view_proj).alias("culled"), let(depths, of_depths).alias("diagonal"))
-
-    return let(box, of_box)
-
-
 def half_area(extent: Sequence[Column]) -> Column:
     """ex (ey + ez) + ey ez, half of the surface."""
     x, y, z = extent

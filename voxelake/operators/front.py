@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,11 +21,25 @@ class View:
 
 
 def judged(nodes: DataFrame, view: View, code: str = "morton") -> DataFrame:
-    """Adds diagonal, is_culled and is_fine to rows with `code`, `level` and `grid`."""
+    """Adds diagonal, is_culled and is_fine to rows with `code`, `level` and `grid`.  Corners and projections become
+    columns first, so each is computed once, in generated code.  Optimizer rules would move later filters on the
+    flags below these steps and copy the expressions beyond what can be compiled; they don't pass a node that
+    collects metrics, so one stands at the end."""
     size = [F.col(f"grid.s{a}") * F.col("grid.scale") for a in "xyz"]
-    found = nodes.withColumn("judged__", geometry.judge(*geometry.cell_box(F.col(code), F.col("level"), size), view.view_proj))
-    fine = F.coalesce(F.col("judged__.diagonal") < view.threshold, F.lit(False))
-    return found.withColumns({"diagonal": F.col("judged__.diagonal"), "is_culled": F.col("judged__.culled"), "is_fine": fine}).drop("judged__")
+    low, high = geometry.cell_box(F.col(code), F.col("level"), size)
+    boxed = nodes.withColumns({f"l{a}__": v for a, v in zip("xyz", low)} | {f"h{a}__": v for a, v in zip("xyz", high)})
+    lo, hi = [F.col(f"l{a}__") for a in "xyz"], [F.col(f"h{a}__") for a in "xyz"]
+    z0, z1 = geometry.corner_depths(lo, hi)
+    staged = boxed.withColumns({"z0__": z0, "z1__": z1})
+    a, b = (lo[0], lo[1], F.col("z0__")), (hi[0], hi[1], F.col("z1__"))
+    corners = {"a": a, "b": b, "c": (a[0], b[1], b[2]), "d": (b[0], a[1], a[2])}
+    flat = {f"{n}{k}__": v for n, p in corners.items() for k, v in zip("uv", geometry.project(p, view.view_proj))}
+    staged = staged.withColumns(flat)
+    side = lambda p, q, k: (F.col(f"{q}{k}__") - F.col(f"{p}{k}__")) * (F.col(f"{q}{k}__") - F.col(f"{p}{k}__"))
+    staged = staged.withColumn("diagonal", F.greatest(side("a", "b", "u") + side("a", "b", "v"), side("c", "d", "u") + side("c", "d", "v")))
+    flags = {"is_culled": geometry.is_cullable(lo, hi, view.view_proj), "is_fine": F.coalesce(F.col("diagonal") < view.threshold, F.lit(False))}
+    done = staged.withColumns(flags).drop("z0__", "z1__", *flat, *[f"{k}{a}__" for k in "lh" for a in "xyz"])
+    return done.observe(f"judged-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def lod_cut(nodes: DataFrame, view: View, deepest: int) -> DataFrame:
@@ -36,7 +51,7 @@ def lod_cut(nodes: DataFrame, view: View, deepest: int) -> DataFrame:
     opens = ~F.col("is_leaf") & (F.col("level") < view.max_depth) & ~F.col("is_culled") & ~F.col("is_fine")
     closed = rows.where(~opens)
     inner = closed.where(~F.col("is_leaf")).select(F.col("morton").alias("above"))
-    up = F.transform(F.sequence(F.lit(1), F.lit(deepest)), lambda k: F.call_function("shiftrightunsigned", F.col("morton"), k * 3))
+    up = F.array(*[F.shiftrightunsigned("morton", 3 * k) for k in range(1, deepest + 1)])
     hidden = closed.select("morton", F.explode(F.filter(up, lambda c: c > 0)).alias("above")).join(inner, "above", "left_semi").select("morton").distinct()
     return closed.join(hidden, "morton", "left_anti")
 
