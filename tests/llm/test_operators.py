@@ -277,6 +277,21 @@ def test_keep_one(spark, docs):
     assert got.where("text is null").count() == 2
 
 
+def test_classes_that_share_an_id(spark):
+    r = random.Random(12)
+    a, b, c, d, e = (prose(60, r) for _ in range(5))
+    near = lambda t: t.replace(t.split()[30], "changed", 1)
+    # all-null classes, an id of unrelated texts, and a class whose representative shares its id with another
+    rows = [(None, a), (None, b), (None, near(b)), (None, c), (None, c), (7, d), (7, e), (8, near(e)), (9, near(d)), (None, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((x.doc_id, x.text) for x in near_dup.keep_one(docs).collect())
+    one_of = [[(None, a)], [(None, b), (None, near(b))], [(None, c)], [(7, d)], [(7, e)]]
+    assert sum(kept.values()) == 5 and all(sum(kept[x] for x in group) == 1 for group in one_of)
+    found = near_dup.report(docs).collect()
+    assert Counter((x.doc_id, x.class_id, x.n_links) for x in found) == brute_classes(rows)
+    assert len({x.class_key for x in found}) == 5
+
+
 def test_forest_prefix_and_counts():
     k = near_dup.prefix_length(0.8, 0.9999)
     assert 1 - (1 - 0.8**k) ** near_dup.TREES >= 0.9999 > 1 - (1 - 0.8 ** (k + 1)) ** near_dup.TREES

@@ -15,8 +15,9 @@ Nothing is capped: a large component makes more blocks.  The recall at the thres
 (more above it); verification is exact up to 64-bit hashes.
 
 Edge cases: a document without words (null, empty) is a class of its own without links; repeated rows count
-as copies; class_id is the least doc_id of the class, null ids last; an empty table gives an empty result;
-other columns are ignored or, in `keep_one`, kept as they are.
+as copies; class_id is the least doc_id of the class, null ids last; classes that share it (null or repeated
+ids) are told apart by class_key, a hash of one set of the class (null without words); an empty table gives
+an empty result; other columns are ignored or, in `keep_one`, kept as they are.
 """
 
 from __future__ import annotations
@@ -224,17 +225,18 @@ def _verifier(threshold: float):
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, text_hash, set (hash of its shingles), size, class_id, n_links."""
+    """One row per document: doc_id, text_hash, set (hash of its shingles), size, class_id, class_key, n_links."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("text_hash", F.xxhash64("text"))
     length = prefix_length(threshold, recall)
     signed = map_texts(d, "size: bigint, set: bigint, keys: array<bigint>", _signatures(length, words), ["doc_id", "text_hash"], CHUNK_BYTES)
     signed = persisted(signed.select("doc_id", "text_hash", f"{RESULT}.*"), "signatures")
     whole = signed.where("size > 0")
-    # collapse equal sets; any document of a set has its signature
-    groups = persisted(whole.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    keyed = whole.join(groups.select("set", F.col("rep").alias("doc_id")), ["set", "doc_id"]).dropDuplicates(["set"])
-    runs = keyed.select(F.col("doc_id").alias("rep"), "set", F.explode("keys").alias("key"))
+    # collapse equal sets; any document of a set has its signature.  An id alone doesn't name a text
+    groups = whole.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    groups = persisted(groups.select("set", F.col("m.doc_id").alias("rep"), F.col("m.text_hash").alias("text_hash"), "copies"), "sets")
+    keyed = whole.join(groups.select("set", F.col("rep").alias("doc_id"), "text_hash"), ["set", "doc_id", "text_hash"]).dropDuplicates(["set"])
+    runs = keyed.select("set", F.explode("keys").alias("key"))
     # a set's name is its hash: two sets may share a document id
     least = runs.groupBy("key").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
     edges = persisted(runs.join(least, "key").where(F.col("set") != F.col("least")).select(F.col("set").alias("src"), F.col("least").alias("dst")).distinct(), "edges")
@@ -243,13 +245,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
         part = components(edges).select(F.col("node").alias("set"), "component")
         part = persisted(part, "parts")
         total = part.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        member = part.join(total, "component").join(groups, "set").select("set", F.col("rep").alias("doc_id"), "copies", "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        # the texts of the members; a text of another set with the same id is told apart by its hash below
-        texts = map_texts(d.join(member.select("doc_id", F.col("set").alias("want"), "copies", "component", "blocks"), "doc_id"), "shingles: array<bigint>", _sets(words), ["want", "copies", "component", "blocks"], CHUNK_BYTES)
+        member = part.join(total, "component").join(groups, "set").select("set", F.col("rep").alias("doc_id"), "text_hash", "copies", "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        # the texts of the members
+        texts = map_texts(d.join(member.select("doc_id", "text_hash", F.col("set").alias("want"), "copies", "component", "blocks"), ["doc_id", "text_hash"]), "shingles: array<bigint>", _sets(words), ["want", "copies", "component", "blocks"], CHUNK_BYTES)
         hashed = texts.select("want", "copies", "component", "blocks", F.col(f"{RESULT}.shingles").alias("shingles"))
-        repeated_ids = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if not repeated_ids.isEmpty() or not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
-            hashed = map_sets(hashed).dropDuplicates(["want"])
+        if not signed.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows
+            hashed = hashed.dropDuplicates(["want"])
         own = F.pmod(F.xxhash64("want"), F.col("blocks")).cast("int")
         dealt = hashed.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("component", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"), F.col("want").alias("rep"), "copies", "block", "shingles")
@@ -262,27 +263,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
             outcome = links.join(components(spanning).select(F.col("node").alias("set"), F.col("component").alias("class")), "set", "left")
     named = groups.join(outcome, "set", "left").select("set", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "set").alias("class"))
     least_id = named.groupBy("class").agg(F.min("rep").alias("class_id"))
-    final = named.join(least_id, "class").select("set", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    final = named.join(least_id, "class").select("set", "class_id", F.col("class").alias("class_key"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     ids = signed.select("doc_id", "text_hash", "set", "size")
-    out = ids.where("size > 0").join(final, "set").select("doc_id", "text_hash", "set", "size", "class_id", "n_links")
-    return out.unionByName(ids.where("size = 0").select("doc_id", "text_hash", "set", "size", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-
-
-def map_sets(hashed: DataFrame) -> DataFrame:
-    """Only the rows whose shingles are those of the set they are wanted for."""
-    names = hashed.columns
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(names.index("shingles"))
-            want = batch.column(0).to_numpy()
-            keep = []
-            for i in range(batch.num_rows):
-                x = mix(lists[i].values.to_numpy().view(np.uint64))
-                keep.append(len(x) > 0 and int(mix(np.array([np.add.reduce(x) ^ np.uint64(len(x))], np.uint64)).view(np.int64)[0]) == want[i])
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return hashed.mapInArrow(run, hashed.schema)
+    out = ids.where("size > 0").join(final, "set").select("doc_id", "text_hash", "set", "size", "class_id", "class_key", "n_links")
+    return out.unionByName(ids.where("size = 0").select("doc_id", "text_hash", "set", "size", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -290,8 +274,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows with one id, that of the least shingle and text hashes; of equal rows, one).  Rows are found again by id
     and text hash, so whole texts don't go through Python a second time."""
     found = persisted(classes(docs, threshold), "classes")
-    best = found.where("size > 0 and doc_id = class_id").groupBy("doc_id", "class_id").agg(F.min(F.struct("set", "text_hash")).alias("m"))
-    stays = best.select("doc_id", F.col("m.text_hash").alias("text_hash"), F.lit(True).alias("once"))
+    best = found.where("size > 0 and doc_id = class_id").groupBy("class_key").agg(F.min(F.struct("doc_id", "set", "text_hash")).alias("m"))
+    stays = best.select(F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), F.lit(True).alias("once"))
     stays = stays.unionByName(found.where("size = 0").select("doc_id", "text_hash", F.lit(False).alias("once")).distinct())
     names = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
@@ -305,4 +289,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     none = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return found.select(none("doc_id").alias("doc_id"), none("class_id").alias("class_id"), "n_links")
+    return found.select(none("doc_id").alias("doc_id"), none("class_id").alias("class_id"), "class_key", "n_links")
