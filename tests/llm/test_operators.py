@@ -333,6 +333,23 @@ def test_suffix_dedup(spark, docs, hot):
     assert nulls.n_removed == nulls.n_bytes  # sorts last, so its text stood before
 
 
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_suffix_dedup_of_rows_that_share_an_id(spark, hot):
+    r = random.Random(13)
+    passages = [prose(40, r) for _ in range(5)]
+    # so many that 16 bits of the hashes meet; copies without an id, equal rows among them; two texts of one id
+    texts = [prose(r.randrange(60), r) + " " + r.choice(passages) + " " + prose(r.randrange(20), r) for _ in range(1500)]
+    rows = [(None, t, "s") for t in texts] + [(None, texts[0], "s"), (None, texts[0], "t"), (None, "short", "s"), (None, "short", "s")]
+    same = prose(40, r)
+    rows += [(5, same + "x" * 120, "s"), (5, same + "y" * 60, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    ordered.sort(key=lambda x: (x.doc_id is None, x.doc_id or 0, x.h))
+    want = Counter((ordered[i].doc_id, *v) for i, v in brute_repeats([(i, x.text) for i, x in enumerate(ordered)]).items())
+    got = suffix_dedup.annotate(docs, hot=hot).collect()
+    assert Counter((x.doc_id, *tuple(x[RESULT])[:4]) for x in got) == want
+
+
 def test_removed_text_keeps_characters(spark, docs):
     out = suffix_dedup.remove_repeats(clashing(docs))
     assert out.columns == clashing(docs).columns and out.count() == len(corpus())

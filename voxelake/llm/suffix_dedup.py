@@ -1,7 +1,7 @@
 """Removal of repeated passages: every byte covered by a LENGTH-byte string that also starts earlier.
 
-Texts are UTF-8 bytes; earlier is a smaller doc_id, or an earlier start in the same document; matches never
-cross documents.  All LENGTH-byte windows of all documents are judged, without shuffling them:
+Texts are UTF-8 bytes; earlier is a smaller doc_id (null last; of one id, a smaller text hash), or an earlier
+start in the same document; matches never cross documents.  All LENGTH-byte windows of all documents are judged, without shuffling them:
 
 1.  Each window is assigned to its anchor, the leftmost ANCHOR-byte string in it of the least hash, so
     equal windows have equal anchors at equal places.  The windows of one occurrence of an anchor are a run;
@@ -18,10 +18,11 @@ Anchors that stand in a large share of the rows (at least HOT times) are dealt b
 contexts are compared window by window in an aggregation with partial sums, and no task gathers their rows.
 Their list goes to the tasks: at most HOT_LIST hashes; further ones are dealt like all others.
 
-Hashes have 64 bits.  Edge cases: a null or empty text has nothing to remove; null doc_ids sort last; rows
-with equal doc_id and text are one document and get equal results, rows with equal doc_id and different
-texts (told apart by 16 bits of their hashes) count as one document whose strings at one place are no
-repeats of each other; an empty table gives an empty result; other columns are kept as they are.
+Hashes have 64 bits.  Edge cases: a null or empty text has nothing to remove; rows with equal doc_id and text
+are one document and get equal results; rows with one doc_id and different texts are documents of their own;
+null doc_ids sort last, and each such row is a document of its own: of equal texts the row whose other columns
+have the least hash is first, the others repeat it; an empty table gives an empty result; other columns are
+kept as they are.
 """
 
 from __future__ import annotations
@@ -108,9 +109,9 @@ def occurrences(data: np.ndarray, off: np.ndarray):
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc (null: last), tag of the text, text (null: empty)."""
+    """doc (null: last), text_hash, text (null: empty); doc and text_hash name a document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _hot(docs: DataFrame, hot: int) -> np.ndarray:
@@ -132,13 +133,13 @@ def _hot(docs: DataFrame, hot: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """hot, h, c, doc, pack of every occurrence; pack: place, windows before and after, tag."""
+    """hot, h, c, doc, text_hash, pack of every occurrence; pack: place, windows before and after."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, _, data, off in chunks(batch.column(2), SCAN_BYTES):
                 h, c, text, first, place, last = occurrences(data, off)
                 if len(known):
@@ -146,10 +147,10 @@ def _scan(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     is_hot = known[at] == h
                 else:
                     is_hot = np.zeros(len(h), bool)
-                pack = ((place - off[text]) << 30) | ((place - first) << 23) | ((last - first) << 16) | tags[lo + text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (is_hot, h.view(np.int64), c.view(np.int64), ids[lo + text], pack)], ["hot", "h", "c", "doc", "pack"])
+                pack = ((place - off[text]) << 30) | ((place - first) << 23) | ((last - first) << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (is_hot, h.view(np.int64), c.view(np.int64), ids[lo + text], hashes[lo + text], pack)], ["hot", "h", "c", "doc", "text_hash", "pack"])
 
-    return docs.mapInArrow(run, "hot boolean, h long, c long, doc long, pack long")
+    return docs.mapInArrow(run, "hot boolean, h long, c long, doc long, text_hash long, pack long")
 
 
 def _same(a: np.ndarray) -> np.ndarray:
@@ -160,24 +161,25 @@ def _same(a: np.ndarray) -> np.ndarray:
 
 
 def _judge(batches):
-    """Rows sorted by (hot, h, c, doc, pack): which repeat as a whole, which go on.  Whole groups of one anchor
-    are judged together; the rows of a group are at most about HOT."""
-    names = ["kind", "h", "c", "doc", "pack"]
+    """Rows sorted by (hot, h, c, doc, text_hash, pack): which repeat as a whole, which go on.  Whole groups of one
+    anchor are judged together; the rows of a group are at most about HOT.  Equal rows give one row."""
+    names = ["kind", "h", "c", "doc", "text_hash", "pack"]
 
-    def judged(hot, h, c, doc, pack):
+    def judged(hot, h, c, doc, text_hash, pack):
         same_h = _same(h) & _same(hot)
         same_c = same_h & _same(c)
         lead = np.maximum.accumulate(np.where(same_c, 0, np.arange(len(h))))
-        first = (doc == doc[lead]) & (pack >> 30 == pack[lead] >> 30)
+        first = (doc == doc[lead]) & (text_hash == text_hash[lead]) & (pack >> 30 == pack[lead] >> 30)
+        again = same_c & _same(doc) & _same(text_hash) & _same(pack)
         group = np.cumsum(~same_h) - 1
         contexts = np.bincount(group, ~same_c)[group]
         kind = np.where(first, np.where(hot, HOT_FIRST, NEED), FULL)
-        keep = ~first | hot | (contexts > 1)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind.astype(np.int32), h, c, doc, pack)], names)
+        keep = (~first | hot | (contexts > 1)) & ~again
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind.astype(np.int32), h, c, doc, text_hash, pack)], names)
 
     kept: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if not batch.num_rows:
             continue
         new = np.flatnonzero(now[1] != now[1][-1])
@@ -195,16 +197,21 @@ def _judge(batches):
 
 
 def _contexts(frame: DataFrame, needs: DataFrame, windows: bool = False) -> DataFrame:
-    """h, doc, pack and the bytes of the contexts that `needs` (h, doc, pack) names; or all their windows."""
-    lists = needs.groupBy("doc", F.col("pack").bitwiseAND(0xFFFF).alias("tag")).agg(F.collect_list("h").alias("hs"), F.collect_list("pack").alias("packs"))
-    both = frame.join(lists.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "text", "hs", "packs")
+    """h, doc, text_hash, pack and the bytes of the contexts that `needs` (h, doc, text_hash, pack) names; or all
+    their windows."""
+    lists = needs.groupBy("doc", "text_hash").agg(F.collect_list("h").alias("hs"), F.collect_list("pack").alias("packs"))
+    both = frame.join(lists.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "hs", "packs")
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()  # of equal rows one is enough
         for batch in batches:
-            if not batch.num_rows:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [x not in seen and not seen.add(x) for x in names]
+            if not any(fresh):
                 continue
-            per = [batch.column(i) for i in (2, 3)]
-            for lo, hi, data, off in chunks(batch.column(1), SCAN_BYTES):
+            batch = batch if all(fresh) else batch.filter(pa.array(fresh))
+            per = [batch.column(i) for i in (3, 4)]
+            for lo, hi, data, off in chunks(batch.column(2), SCAN_BYTES):
                 lists = [x.slice(lo, hi - lo) for x in per]
                 n = lists[0].value_lengths().to_numpy(zero_copy_only=False)
                 hs, packs = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
@@ -215,15 +222,15 @@ def _contexts(frame: DataFrame, needs: DataFrame, windows: bool = False) -> Data
                 ends = np.zeros(len(size) + 1, np.int32)
                 np.cumsum(size, out=ends[1:])
                 text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
-                ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array(ids[row]), pa.array(packs), text], ["h", "doc", "pack", "bytes"])
+                ids, hashes = (batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array(ids[row]), pa.array(hashes[row]), pa.array(packs), text], ["h", "doc", "text_hash", "pack", "bytes"])
 
     if windows:  # in the same worker
-        return both.mapInArrow(lambda batches: _windows(run(batches)), "w long, doc long, tag long, a long")
-    return both.mapInArrow(run, "h long, doc long, pack long, bytes binary")
+        return both.mapInArrow(lambda batches: _windows(run(batches)), "w long, doc long, text_hash long, a long")
+    return both.mapInArrow(run, "h long, doc long, text_hash long, pack long, bytes binary")
 
 
-def repeated_windows(h: np.ndarray, doc: np.ndarray, pack: np.ndarray, data: np.ndarray, off: np.ndarray):
+def repeated_windows(h: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, pack: np.ndarray, data: np.ndarray, off: np.ndarray):
     """The windows of these contexts that stand in an earlier context of the same anchor: (context, start
     relative to the anchor) pairs."""
     left, after = (pack >> 23) & 127, (pack >> 16) & 127
@@ -271,7 +278,7 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, pack: np.ndarray, data: np.
     who, group = np.repeat(who, k), np.repeat(group, k)
     begin = anchor[who] - before
     key = mix(spans(prefix, begin, begin + LENGTH) ^ (group * REACH + before).astype(np.uint64))
-    rank = np.unique(np.stack((doc, pack >> 30), 1), axis=0, return_inverse=True)[1].ravel()[who]
+    rank = np.unique(np.stack((doc, text_hash, pack >> 30), 1), axis=0, return_inverse=True)[1].ravel()[who]
     order = np.lexsort((rank, key))
     key, rank, who, before = key[order], rank[order], who[order], before[order]
     lead = np.maximum.accumulate(np.where(_same(key), 0, np.arange(len(key))))
@@ -296,11 +303,11 @@ def _compare(batches):
 
     def judged(parts):
         table = pa.Table.from_batches(parts)
-        h, doc, pack = (table[i].to_numpy() for i in range(3))
-        data, off = utf8(table[3])
-        who, first, last = _joined(*repeated_windows(h, doc, pack, data, off))
+        h, doc, text_hash, pack = (table[i].to_numpy() for i in range(4))
+        data, off = utf8(table[4])
+        who, first, last = _joined(*repeated_windows(h, doc, text_hash, pack, data, off))
         place = (pack >> 30)[who]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], (pack & 0xFFFF)[who], place + first, place + last + LENGTH)], ["doc", "tag", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], text_hash[who], place + first, place + last + LENGTH)], ["doc", "text_hash", "a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -322,44 +329,44 @@ def _compare(batches):
 
 
 def _windows(batches):
-    """Every window of the contexts of hot anchors: key, doc, tag, start."""
+    """Every window of the contexts of hot anchors: key, doc, text_hash, start."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, pack = (batch.column(i).to_numpy() for i in range(3))
-        data, off = utf8(batch.column(3))
+        h, doc, text_hash, pack = (batch.column(i).to_numpy() for i in range(4))
+        data, off = utf8(batch.column(4))
         left, after = (pack >> 23) & 127, (pack >> 16) & 127
         who = np.repeat(np.arange(len(h)), after + 1)
         begin = ranges(off[:-1], after + 1)
         before = off[who] + left[who] - begin
         key = mix(spans(byte_prefix(data), begin, begin + LENGTH) ^ mix(h.view(np.uint64)[who] + before.astype(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), doc[who], (pack & 0xFFFF)[who], (pack >> 30)[who] - before)], ["w", "doc", "tag", "a"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), doc[who], text_hash[who], (pack >> 30)[who] - before)], ["w", "doc", "text_hash", "a"])
 
 
 def repeated_spans(frame: DataFrame, source: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, tag, a, b: byte ranges that repeat, overlapping ones too.  frame: source (see _documents) dealt by
-    doc and tag."""
+    """doc, text_hash, a, b: byte ranges that repeat, overlapping ones too.  frame: source (see _documents) dealt by
+    doc and text_hash."""
     small_batches(source.sparkSession)
     often = _hot(source, hot)
-    key = F.when(F.col("hot"), F.xxhash64("h", "c", F.pmod("doc", F.lit(SALTS)))).otherwise(F.col("h"))
+    key = F.when(F.col("hot"), F.xxhash64("h", "c", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SALTS)))).otherwise(F.col("h"))
     dealt = _scan(source, often).withColumn("key", key)
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.repartition(n, "key").drop("key").sortWithinPartitions("hot", "h", "c", "doc", "pack")
-    found = persisted(rows.mapInArrow(_judge, "kind int, h long, c long, doc long, pack long"), "passages")
-    whole = found.where(F.col("kind") == FULL).select("doc", "pack")
-    cold = found.where(F.col("kind") == NEED).select("h", "doc", "pack")
+    rows = dealt.repartition(n, "key").drop("key").sortWithinPartitions("hot", "h", "c", "doc", "text_hash", "pack")
+    found = persisted(rows.mapInArrow(_judge, "kind int, h long, c long, doc long, text_hash long, pack long"), "passages")
+    whole = found.where(F.col("kind") == FULL).select("doc", "text_hash", "pack")
+    cold = found.where(F.col("kind") == NEED).select("h", "doc", "text_hash", "pack")
     out = [_whole_spans(whole)]
     context = _contexts(frame, cold).repartition(n, "h").sortWithinPartitions("h")
-    out.append(context.mapInArrow(_compare, "doc long, tag long, a long, b long"))
+    out.append(context.mapInArrow(_compare, "doc long, text_hash long, a long, b long"))
     if len(often):
         # of each context of a hot anchor there are at most SALTS rows here
         firsts = found.where(F.col("kind") == HOT_FIRST)
-        lead = firsts.groupBy("h", "c").agg(F.min(F.struct("doc", F.shiftright("pack", 30).alias("place"))).alias("lead"))
-        ranked = firsts.join(lead, ["h", "c"]).withColumn("is_lead", (F.col("lead.doc") == F.col("doc")) & (F.col("lead.place") == F.shiftright("pack", 30)))
-        out.append(_whole_spans(ranked.where(~F.col("is_lead")).select("doc", "pack")))
-        windows = _contexts(frame, ranked.where("is_lead").select("h", "doc", "pack"), windows=True)
-        least = windows.groupBy("w").agg(F.min(F.struct("doc", "a")).alias("lead")).select("w", F.col("lead.doc").alias("doc"), F.col("lead.a").alias("a"))
-        out.append(windows.join(least, ["w", "doc", "a"], "left_anti").select("doc", "tag", "a", (F.col("a") + LENGTH).alias("b")))
+        lead = firsts.groupBy("h", "c").agg(F.min(F.struct("doc", "text_hash", F.shiftright("pack", 30).alias("place"))).alias("lead"))
+        ranked = firsts.join(lead, ["h", "c"]).withColumn("is_lead", (F.col("lead.doc") == F.col("doc")) & (F.col("lead.text_hash") == F.col("text_hash")) & (F.col("lead.place") == F.shiftright("pack", 30)))
+        out.append(_whole_spans(ranked.where(~F.col("is_lead")).select("doc", "text_hash", "pack")))
+        windows = _contexts(frame, ranked.where("is_lead").select("h", "doc", "text_hash", "pack"), windows=True)
+        least = windows.groupBy("w").agg(F.min(F.struct("doc", "text_hash", "a")).alias("lead")).select("w", "lead.*")
+        out.append(windows.join(least, ["w", "doc", "text_hash", "a"], "left_anti").select("doc", "text_hash", "a", (F.col("a") + LENGTH).alias("b")))
     spans_ = out[0]
     for more in out[1:]:
         spans_ = spans_.unionByName(more)
@@ -368,7 +375,7 @@ def repeated_spans(frame: DataFrame, source: DataFrame, hot: int = HOT) -> DataF
 
 def _whole_spans(rows: DataFrame) -> DataFrame:
     first = F.shiftright("pack", 30) - F.shiftright("pack", 23).bitwiseAND(127)
-    return rows.select("doc", F.col("pack").bitwiseAND(0xFFFF).alias("tag"), first.alias("a"), (first + F.shiftright("pack", 16).bitwiseAND(127) + LENGTH).alias("b"))
+    return rows.select("doc", "text_hash", first.alias("a"), (first + F.shiftright("pack", 16).bitwiseAND(127) + LENGTH).alias("b"))
 
 
 FIELDS = "n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string, spans: array<int>"
@@ -387,24 +394,38 @@ def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_
     column KEPT_TEXT has the text without the removed bytes, of a character all or none."""
     keep = ["doc_id"] if keep is None else keep
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frame = _documents(docs).repartition(n, "doc", "tag")
+    frame = _documents(docs).repartition(n, "doc", "text_hash")
     found = repeated_spans(frame, _documents(docs), hot)
-    lists = found.groupBy("doc", "tag").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(0xFFFF).alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
-    both = rows.repartition(n, "doc", "tag").join(lists.hint("shuffle_hash"), ["doc", "tag"], "left").select("text", "a", "b", *[f"k{i}" for i in range(len(keep))])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
+    # rows without an id: one of those with equal texts is the first, by a hash of what else is kept
+    own = F.when(F.col("doc") == _LAST, F.xxhash64(F.to_json(F.struct(F.lit(0).alias("z"), *[f"k{i}" for i in range(len(keep))]))))
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("own", own)
+    equal = rows.where(F.col("doc") == _LAST).groupBy("doc", "text_hash").agg(F.min("own").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    none = F.lit(None).cast("long")
+    found = found.select("doc", "text_hash", "a", "b", none.alias("lead")).unionByName(equal.select("doc", "text_hash", none.alias("a"), none.alias("b"), "lead"))
+    lists = found.groupBy("doc", "text_hash").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.max("lead").alias("lead"))
+    both = rows.repartition(n, "doc", "text_hash").join(lists.hint("shuffle_hash"), ["doc", "text_hash"], "left")
+    both = both.select("text", "a", "b", F.when(F.col("lead").isNotNull(), F.col("text_hash")).alias("equal"), (F.col("own") == F.col("lead")).alias("leads"), *[f"k{i}" for i in range(len(keep))])
     kinds = ", ".join(f"k{i} {both.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     made = f"{RESULT} string" if as_text else f"{RESULT} struct<{FIELDS}>"
 
     def run(batches):
+        begun: set[int] = set()  # all rows of a text are in one task; only rows equal in all columns tie
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts, a_all, b_all = batch.column(0), batch.column(1), batch.column(2)
+            equal, leads = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             out = []
             for lo, hi, data, off in chunks(texts):
                 for i in range(lo, hi):
                     raw = data[off[i - lo] : off[i - lo + 1]]
                     a, b = _values(a_all, i), _values(b_all, i)
+                    if equal[i] is not None:
+                        if leads[i] and equal[i] not in begun:
+                            begun.add(equal[i])
+                        elif len(raw) >= LENGTH:
+                            a, b = np.array([0]), np.array([len(raw)])
                     if len(a):
                         a, b = union(a, b)
                     if as_text:
@@ -421,7 +442,7 @@ def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_
             else:
                 n_bytes, n_removed, n_spans, digest, where = zip(*out)
                 column = pa.StructArray.from_arrays([pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(where, pa.list_(pa.int32()))], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-            yield pa.RecordBatch.from_arrays([*[batch.column(3 + i) for i in range(len(keep))], column], [*(f"k{i}" for i in range(len(keep))), RESULT])
+            yield pa.RecordBatch.from_arrays([*[batch.column(5 + i) for i in range(len(keep))], column], [*(f"k{i}" for i in range(len(keep))), RESULT])
 
     out = both.mapInArrow(run, f"{kinds}, {made}")
     return out if raw else out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
