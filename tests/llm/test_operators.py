@@ -401,6 +401,19 @@ def test_decontamination(spark, docs):
     assert decontaminate.report(empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.SLICE_BYTES, 60])
+def test_benchmark_items_without_an_id_are_hit(spark, limit):
+    r = random.Random(14)
+    leak, other = prose(25, r), prose(25, r)
+    docs = spark.createDataFrame([(1, "before " + leak + " after"), (2, other), (3, leak + " " + other), (4, prose(30, r))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, leak), (8, other), (None, "")], "item_id long, text string")
+    got = {x.doc_id: x[RESULT] for x in decontaminate.annotate(docs, bench, limit=limit).collect()}
+    assert {d: (x.n_hit, x["items"], x.n_items, x.contaminated, x.longest) for d, x in got.items()} == {
+        1: (25, [], 0, True, 25), 2: (25, ["8"], 1, True, 25), 3: (50, ["8"], 1, True, 25), 4: (0, [], 0, False, 0),
+    }
+    assert [x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()] == [4]
+
+
 # 8
 
 

@@ -1,16 +1,16 @@
 """Benchmark decontamination with word-level suffix arrays of the training texts.
 
 Each task sorts the word suffixes of a bounded shard of whole documents (DEPTH words deep) into a suffix
-array and binary-searches every suffix of the benchmark in it: the depth at which a suffix's interval
-becomes empty is its longest verbatim match there, the interval's entries are the locations.  A window is
-10 consecutive words of an item (a shorter item is one window); document words inside any occurrence of a
+array and binary-searches the benchmark's window starts in it, as deep as the window is long: the interval's
+entries are the locations, from which matches are extended word by word.  A window is 10 consecutive words of an item (a shorter item is one window); document words inside any occurrence of a
 window are hit, and documents with a hit word are removed.
 
 The benchmark travels to the tasks only in slices of at most SLICE_BYTES; a larger benchmark is matched
 slice after slice, each adding to the hits of the rows so far.  Documents are never shuffled.
 
-Edge cases: A-Z are lower-cased; null and empty texts have no words and no hit; items without words or
-with a null id have no window; equal items all count; repeated documents are each judged; with an empty
+Edge cases: A-Z are lower-cased; null and empty texts have no words and no hit; items without words
+have no window; words of an item with a null id are hit, but it is not among the items that are listed and
+counted (the SQL counts all of them as one); equal items all count; repeated documents are each judged; with an empty
 benchmark nothing is hit; an empty table gives an empty result; other columns are kept as they are.
 """
 
@@ -116,8 +116,8 @@ class SuffixArray:
 class Windows:
     """The benchmark's words and the suffixes to search: window starts with their lengths and items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.ids = [str(i) for i, _ in items]
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.ids = [None if i is None else str(i) for i, _ in items]
         col = pa.array([t or "" for _, t in items], pa.string())
         data, off = utf8(col)
         self.words, item = word_hashes(data, off)
@@ -161,7 +161,8 @@ def _matcher(test: Windows):
             n_hit = total[first + n_words] - total[first]
             items: list[list[str]] = [[] for _ in range(n_texts)]
             for p in pairs:
-                items[p // len(test.ids)].append(test.ids[p % len(test.ids)])
+                if (name := test.ids[p % len(test.ids)]) is not None:
+                    items[p // len(test.ids)].append(name)
             edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
             runs: list[list[int]] = [[] for _ in range(n_texts)]
             for a, b in zip(edges[::2], edges[1::2]):
@@ -194,16 +195,16 @@ def extend(words: np.ndarray, where: np.ndarray, test: Windows, which: np.ndarra
 
 
 def benchmark_slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> list[Windows]:
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // limit))
-    part = lambda i: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
+    part = lambda i: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
     return [Windows([(r.item_id, r.text) for r in part(i).collect()]) for i in range(n)]
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, limit: int = SLICE_BYTES, raw: bool = False) -> DataFrame:
     """The kept columns and a struct RESULT: n_words, n_hit, n_items, items_sha256, contaminated, longest
-    (longest verbatim match from a window on, in words), runs of hit words (start, end, ...), items."""
+    (longest verbatim match of a whole window or more, in words; 0 without one), runs of hit words (start, end, ...), items."""
     keep = ["doc_id"] if keep is None else keep
     slices = benchmark_slices(benchmark, limit)
     if len(slices) == 1:
