@@ -452,6 +452,16 @@ def test_quality_counts_and_trees(spark):
     assert quality.report(empty(spark), ls).count() == 0
 
 
+def test_quality_learns_from_few_labels(spark):
+    r = random.Random(15)
+    text = lambda good: " ".join(w if good or r.random() < 0.5 else "##" + w + "|" for w in (r.choice(WORDS) for _ in range(60)))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in quality.report(docs, labels).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(30))
+    assert np.mean([got[i] == bool(i % 2) for i in range(30, 60)]) > 0.9
+
+
 def test_trees_are_monotone():
     r = np.random.default_rng(1)
     x = r.uniform(size=(2000, 3))

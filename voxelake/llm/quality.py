@@ -2,10 +2,11 @@
 
 The statistics are vectorised over the bytes of a piece of whole documents.  The trees are fitted on at
 most TRAIN_ROWS labelled documents (`labels.quality`), with the score constrained to fall with the share of
-symbols, repeated words and duplicate lines; flat node arrays score every row.
+symbols, repeated words and duplicate lines; flat node arrays score every row.  They are fitted whenever both
+labels are there; a leaf has 20 documents at least, or an eighth of fewer than 160.
 
 Edge cases: null and empty texts have no words and fail the base rules; labels that are null, conflicting
-or not 0/1 are not learned from; without labels only the base rules decide; repeated rows are each judged;
+or not 0/1 are not learned from; without both labels only the base rules decide; repeated rows are each judged;
 an empty table gives an empty result; other columns are kept as they are.
 """
 
@@ -111,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> trees.F
     fields = ", ".join(f"{f}: double" for f, _ in FEATURES)
     found = map_texts(picked, fields, _features, ["doc_id", "label"]).select("doc_id", "label", f"{RESULT}.*").toPandas().sort_values("doc_id", kind="stable")
     y = found["label"].to_numpy(float)
-    if len(y) < 50 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     x = found[[f for f, _ in FEATURES]].to_numpy(float)
-    return trees.fit(x, y, np.array([m for _, m in FEATURES]))
+    return trees.fit(x, y, np.array([m for _, m in FEATURES]), least=max(1, min(20, len(y) // 8)))
 
 
 FIELDS = ", ".join(f"{b}: bigint" for b in BASE) + ", base_failed: boolean, kept: boolean, score: double"
