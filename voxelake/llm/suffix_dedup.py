@@ -5,20 +5,23 @@ start in the same document; matches never cross documents.  All LENGTH-byte wind
 
 1.  Each window is assigned to its anchor, the leftmost ANCHOR-byte string in it of the least hash, so
     equal windows have equal anchors at equal places.  The windows of one occurrence of an anchor are a run;
-    an occurrence is one row: hash of the anchor, hash of the run's context (all bytes of its windows),
-    document and place.  There are about N/40 of these, the only thing shuffled of most of the corpus.
-2.  Occurrences are dealt by anchor and sorted.  An occurrence whose context stood earlier repeats as a
-    whole.  The first occurrences of an anchor with several contexts go on, with the bytes of their contexts.
-3.  Contexts are cut into blocks at fixed distances from the anchor.  A suffix array over the blocks, by
-    linear grouping (suffix_group), brings together all windows that share BLOCKS blocks; among these the
-    windows with equal bytes are found by their hashes, and all but the first repeat.
+    its context is all bytes of its windows.  Copies of a context within a piece of the scan are combined at
+    once (all but the first repeat as a whole); what is left, about one row for 40 bytes, is dealt out and sorted.
+    An anchor sends one row of a piece to its own task, further contexts of it in the piece go by their context,
+    so no anchor gathers more than one row of each piece.
+2.  Sorted rows are read with one row of memory.  An occurrence whose context stood earlier repeats as a whole;
+    the first ones of anchors with several contexts go on.
+3.  Of these, each context gives at most BLOCKS rows: any window of it holds the anchor and BLOCKS - 1 blocks of
+    BLOCK bytes beside it, its core.  Rows are dealt by core, a core with many rows by a salt as well, and never
+    more than about GROUP_ROWS of them are compared at once.  A row is written as the bytes before the core, one
+    symbol for the core, and the bytes behind it; a suffix array of these, by linear grouping (suffix_group), brings equal
+    windows together, and all but the first repeat.  Firsts of a salted core meet once more, one row for each
+    window and salt.
 4.  The runs of repeated windows of each document are joined with its text.
 
-Anchors that stand in a large share of the rows (at least HOT times) are dealt by context and a salt, their
-contexts are compared window by window in an aggregation with partial sums, and no task gathers their rows.
-Their list goes to the tasks: at most HOT_LIST hashes; further ones are dealt like all others.
+Every step treats all anchors, contexts and cores alike; salts split a core by its size and lose no window.
 
-Hashes have 64 bits.  Edge cases: a null or empty text has nothing to remove; rows with equal doc_id and text
+Hashes (of anchors, contexts and cores) have 64 bits.  Edge cases: a null or empty text has nothing to remove; rows with equal doc_id and text
 are one document and get equal results; rows with one doc_id and different texts are documents of their own;
 null doc_ids sort last, and each such row is a document of its own: of equal texts the row whose other columns
 have the least hash is first, the others repeat it; an empty table gives an empty result; other columns are
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RESULT, byte_prefix, chunks, mix, persisted, ranges, small_batches, spans, utf8
+from .common import RESULT, byte_prefix, chunks, mix, persisted, prefix_sums, ranges, small_batches, spans, utf8
 from .suffix_group import suffix_array
 
 LENGTH = 100
@@ -42,13 +45,15 @@ ANCHOR = 32
 REACH = LENGTH - ANCHOR + 1
 BLOCK = 17
 BLOCKS = 4
-HOT = 4096
-HOT_LIST = 1_000_000
-SALTS = 64
+CORE = LENGTH - BLOCK
+#: Rows of one core that are compared at once; a core with more is split by salts.
+GROUP_ROWS = 4096
 SCAN_BYTES = 1 << 19
 #: Symbols of one suffix array.
 ARRAY_SYMBOLS = 1 << 17
-FULL, NEED, HOT_FIRST = 0, 1, 2
+#: Cores with salts that are broadcast; more are joined by key.
+SALTED_LIST = 100_000
+SPAN, LONE, SEVERAL = 0, 1, 2
 _LAST = (1 << 63) - 1
 
 
@@ -114,93 +119,135 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _hot(docs: DataFrame, hot: int) -> np.ndarray:
-    """Anchors that occur at least `hot` times, by the counts of those frequent in a piece of the scan."""
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """Whether each entry equals the one before in all columns."""
+    out = np.zeros(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    return out
 
-    def run(batches):
-        for batch in batches:
-            for _, _, data, off in chunks(batch.column(0), SCAN_BYTES):
-                if len(data) < LENGTH or (off[1:] - off[:-1]).max() < LENGTH:
-                    continue
-                _, hashes, _, _, anchor = _minima(data, off)
-                h, n = np.unique(hashes[anchor], return_counts=True)
-                often = n >= 4
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
-    found = counted.orderBy(F.desc("n"), "h").limit(HOT_LIST).select("h").toArrow()["h"].to_numpy()
-    return np.sort(found.view(np.uint64))
+def _leads(again: np.ndarray) -> np.ndarray:
+    """For each entry, where its run of entries that equal the one before begins."""
+    return np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
 
 
-def _scan(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """hot, h, c, doc, text_hash, pack of every occurrence; pack: place, windows before and after."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, pack: np.ndarray):
+    """Of one piece's occurrences: those to send, what each is dealt by, whether its anchor has several contexts
+    here, and those that repeat as a whole."""
+    key = mix(c ^ mix(h))
+    order = np.lexsort((pack, text_hash, doc, key))
+    again = _same(key[order])
+    lead = order[_leads(again)]
+    # repeated rows are one document
+    twin = (doc[order] == doc[lead]) & (text_hash[order] == text_hash[lead]) & (pack[order] == pack[lead])
+    sent = order[~again]
+    sent = sent[np.argsort(h[sent], kind="stable")]
+    tied = _same(h[sent])
+    several = tied.copy()
+    several[:-1] |= tied[1:]
+    return sent, np.where(tied, key[sent], h[sent]), several, order[again & ~twin]
+
+
+def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs of the union of ranges [a, b)."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    head = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    return a[head], b[np.append(head[1:], len(a)) - 1]
+
+
+def _span_of(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a context."""
+    first = (pack >> 30) - ((pack >> 23) & 127)
+    return first, first + ((pack >> 16) & 127) + LENGTH
+
+
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names)
+
+
+SENT = ["kind", "key", "h", "c", "doc", "text_hash", "pack"]
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """SENT rows of every anchor occurrence, copies of a context in a piece combined.  pack: place, windows before
+    and after.  Of kind SPAN: h and c are the ends of bytes that repeat."""
 
     def run(batches):
-        known = shared.value
         for batch in batches:
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, _, data, off in chunks(batch.column(2), SCAN_BYTES):
                 h, c, text, first, place, last = occurrences(data, off)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    is_hot = known[at] == h
-                else:
-                    is_hot = np.zeros(len(h), bool)
+                doc, text_hash = ids[lo + text], hashes[lo + text]
                 pack = ((place - off[text]) << 30) | ((place - first) << 23) | ((last - first) << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (is_hot, h.view(np.int64), c.view(np.int64), ids[lo + text], hashes[lo + text], pack)], ["hot", "h", "c", "doc", "text_hash", "pack"])
+                sent, key, several, repeats = combined(h, c, doc, text_hash, pack)
+                yield _batch(SENT, np.where(several, SEVERAL, LONE).astype(np.int32), key, h[sent], c[sent], doc[sent], text_hash[sent], pack[sent])
+                if len(repeats):
+                    # texts lie one behind another in the piece, with a gap their spans don't touch
+                    a, b = _span_of(pack[repeats])
+                    shift = off[text[repeats]] + text[repeats]
+                    a, b = union(a + shift, b + shift)
+                    at = np.searchsorted(off[:-1] + np.arange(len(off) - 1), a, "right") - 1
+                    shift = off[at] + at
+                    a, b, doc, text_hash = a - shift, b - shift, ids[lo + at], hashes[lo + at]
+                    key = mix((a ^ doc ^ text_hash).view(np.uint64))
+                    yield _batch(SENT, np.full(len(a), SPAN, np.int32), key, a, b, doc, text_hash, np.zeros(len(a), np.int64))
 
-    return docs.mapInArrow(run, "hot boolean, h long, c long, doc long, text_hash long, pack long")
+    return docs.mapInArrow(run, "kind int, key long, h long, c long, doc long, text_hash long, pack long")
 
 
-def _same(a: np.ndarray) -> np.ndarray:
-    """Whether each entry equals the one before."""
-    out = np.zeros(len(a), bool)
-    out[1:] = a[1:] == a[:-1]
-    return out
+FOUND = ["kind", "doc", "text_hash", "x", "y"]
 
 
 def _judge(batches):
-    """Rows sorted by (hot, h, c, doc, text_hash, pack): which repeat as a whole, which go on.  Whole groups of one
-    anchor are judged together; the rows of a group are at most about HOT.  Equal rows give one row."""
-    names = ["kind", "h", "c", "doc", "text_hash", "pack"]
-
-    def judged(hot, h, c, doc, text_hash, pack):
-        same_h = _same(h) & _same(hot)
-        same_c = same_h & _same(c)
-        lead = np.maximum.accumulate(np.where(same_c, 0, np.arange(len(h))))
-        first = (doc == doc[lead]) & (text_hash == text_hash[lead]) & (pack >> 30 == pack[lead] >> 30)
-        again = same_c & _same(doc) & _same(text_hash) & _same(pack)
-        group = np.cumsum(~same_h) - 1
-        contexts = np.bincount(group, ~same_c)[group]
-        kind = np.where(first, np.where(hot, HOT_FIRST, NEED), FULL)
-        keep = (~first | hot | (contexts > 1)) & ~again
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind.astype(np.int32), h, c, doc, text_hash, pack)], names)
-
-    kept: list[list[np.ndarray]] = []
+    """Rows sorted by (h, c, doc, text_hash, pack) become FOUND rows: kind SPAN with bytes that repeat from x to y, and
+    kind LONE with pack x, the first of each context of anchors with several.  Holds one batch and one row."""
+    held = None  # the last context's first row; is its anchor known to have several contexts; was it put out
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        if not batch.num_rows:
+        kind, _, h, c, doc, text_hash, pack = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        span = kind == SPAN
+        if span.any():
+            yield _batch(FOUND, kind[span], doc[span], text_hash[span], h[span], c[span])
+            kind, h, c, doc, text_hash, pack = (x[~span] for x in (kind, h, c, doc, text_hash, pack))
+        if not len(h):
             continue
-        new = np.flatnonzero(now[1] != now[1][-1])
-        cut = int(new[-1]) + 1 if len(new) else 0
-        if kept and kept[-1][1][-1] != now[1][0]:
-            yield judged(*[np.concatenate(x) for x in zip(*kept)])
-            kept = []
-        if cut:
-            whole = [x[:cut] for x in now]
-            yield judged(*[np.concatenate(x) for x in zip(*kept, whole)])
-            kept = []
-        kept.append([x[cut:] for x in now])
-    if kept:
-        yield judged(*[np.concatenate(x) for x in zip(*kept)])
+        known, out = False, False
+        if held is not None:
+            row, known, out = held
+            kind, h, c, doc, text_hash, pack = (np.concatenate(([v], x)) for v, x in zip(row, (kind, h, c, doc, text_hash, pack)))
+        same_h = _same(h)
+        same_c = _same(h, c)
+        lead = _leads(same_c)
+        twin = (doc == doc[lead]) & (text_hash == text_hash[lead]) & (pack == pack[lead])
+        again = same_c & ~twin
+        again[1:] &= ~_same(h, c, doc, text_hash, pack)[1:]
+        group = np.cumsum(~same_h) - 1
+        several = (np.bincount(group, ~same_c) > 1) | (np.bincount(group, kind == SEVERAL) > 0)
+        several[0] |= known
+        goes = ~same_c & several[group]
+        goes[0] &= not out
+        last = int(lead[-1])
+        held = ((kind[last], h[last], c[last], doc[last], text_hash[last], pack[last]), bool(several[-1]), bool(several[-1]))
+        a, b = _span_of(pack[again])
+        yield _batch(FOUND, np.full(len(a), SPAN, np.int32), doc[again], text_hash[again], a, b)
+        yield _batch(FOUND, np.full(int(goes.sum()), LONE, np.int32), doc[goes], text_hash[goes], pack[goes], pack[goes])
+
 
+CORES = ["core", "doc", "text_hash", "at", "left", "right"]
 
-def _contexts(frame: DataFrame, needs: DataFrame, windows: bool = False) -> DataFrame:
-    """h, doc, text_hash, pack and the bytes of the contexts that `needs` (h, doc, text_hash, pack) names; or all
-    their windows."""
-    lists = needs.groupBy("doc", "text_hash").agg(F.collect_list("h").alias("hs"), F.collect_list("pack").alias("packs"))
-    both = frame.join(lists.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "hs", "packs")
+
+def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[ranges(start, size)]))])
+
+
+def _cores(frame: DataFrame, needs: DataFrame) -> DataFrame:
+    """CORES rows of the contexts that `needs` (doc, text_hash, pack) names: hash and start of each core, and the bytes
+    on both sides that its windows reach."""
+    lists = needs.groupBy("doc", "text_hash").agg(F.collect_set("pack").alias("packs"))  # of one document
+    both = frame.join(lists.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "packs")
 
     def run(batches):
         seen: set[tuple[int, int]] = set()  # of equal rows one is enough
@@ -210,84 +257,71 @@ def _contexts(frame: DataFrame, needs: DataFrame, windows: bool = False) -> Data
             if not any(fresh):
                 continue
             batch = batch if all(fresh) else batch.filter(pa.array(fresh))
-            per = [batch.column(i) for i in (3, 4)]
             for lo, hi, data, off in chunks(batch.column(2), SCAN_BYTES):
-                lists = [x.slice(lo, hi - lo) for x in per]
-                n = lists[0].value_lengths().to_numpy(zero_copy_only=False)
-                hs, packs = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-                row = np.repeat(np.arange(hi - lo), n)
-                first = off[row] + (packs >> 30) - ((packs >> 23) & 127)
-                size = ((packs >> 16) & 127) + LENGTH
-                raw = data[ranges(first, size)]
-                ends = np.zeros(len(size) + 1, np.int32)
-                np.cumsum(size, out=ends[1:])
-                text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
-                ids, hashes = (batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array(ids[row]), pa.array(hashes[row]), pa.array(packs), text], ["h", "doc", "text_hash", "pack", "bytes"])
-
-    if windows:  # in the same worker
-        return both.mapInArrow(lambda batches: _windows(run(batches)), "w long, doc long, text_hash long, a long")
-    return both.mapInArrow(run, "h long, doc long, text_hash long, pack long, bytes binary")
-
-
-def repeated_windows(h: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, pack: np.ndarray, data: np.ndarray, off: np.ndarray):
-    """The windows of these contexts that stand in an earlier context of the same anchor: (context, start
-    relative to the anchor) pairs."""
-    left, after = (pack >> 23) & 127, (pack >> 16) & 127
-    anchor = off[:-1] + left  # where the anchor stands in data
-    end = off[1:]
-    n = len(h)
-    prefix = byte_prefix(data)
-    # blocks in the order of the text: BLOCKS to the left, the anchor, BLOCKS to the right
-    where = np.concatenate((-BLOCK * np.arange(BLOCKS, 0, -1), [0], ANCHOR + BLOCK * np.arange(BLOCKS)))
-    wide = np.full(len(where), BLOCK)
-    wide[BLOCKS] = ANCHOR
-    a = anchor[:, None] + where
-    inside = (a >= off[:-1][:, None]) & (a + wide <= end[:, None])
-    rows, block = np.nonzero(inside)
-    start = a[rows, block]
-    symbol = spans(prefix, start, start + wide[block]) ^ mix(h.view(np.uint64)[rows] + block.astype(np.uint64))
-    # a separator, one symbol for all, ends each context; suffixes are compared inside contexts only
-    count = np.bincount(rows, minlength=n)
-    place = np.arange(len(rows)) + rows
-    text = np.zeros(len(rows) + n, np.uint64)
-    text[place] = symbol | np.uint64(1)
-    owner = np.repeat(np.arange(n), count + 1)
-    of_block = np.full(len(text), -1)
-    of_block[place] = block
-    rest = np.repeat(np.cumsum(count + 1), count + 1) - 1 - np.arange(len(text))
-    sa = suffix_array(text)
-    able = (of_block[sa] >= 0) & (of_block[sa] <= BLOCKS) & (rest[sa] >= BLOCKS)
-    sa = sa[able]
-    if len(sa) < 2:
-        e = np.zeros(0, np.int64)
-        return e, e
-    same = np.ones(len(sa) - 1, bool)
-    for d in range(BLOCKS):
-        same &= text[sa[1:] + d] == text[sa[:-1] + d]
-    group = np.concatenate(([0], np.cumsum(~same)))
-    size = np.bincount(group)
-    many = size[group] > 1
-    sa, group = sa[many], group[many]
-    who = owner[sa]
-    # the windows that start in the block before this one, up to its start
-    near = BLOCK * (BLOCKS - of_block[sa])
-    lo, hi = np.maximum(near, left[who] - after[who]), np.minimum(near + BLOCK - 1, left[who])
-    k = np.maximum(hi - lo + 1, 0)
-    before = ranges(lo, k)
-    who, group = np.repeat(who, k), np.repeat(group, k)
-    begin = anchor[who] - before
-    key = mix(spans(prefix, begin, begin + LENGTH) ^ (group * REACH + before).astype(np.uint64))
-    rank = np.unique(np.stack((doc, text_hash, pack >> 30), 1), axis=0, return_inverse=True)[1].ravel()[who]
-    order = np.lexsort((rank, key))
-    key, rank, who, before = key[order], rank[order], who[order], before[order]
-    lead = np.maximum.accumulate(np.where(_same(key), 0, np.arange(len(key))))
-    later = rank != rank[lead]
-    return who[later], -before[later]
+                lists = batch.column(3).slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+                pack = lists.flatten().to_numpy(zero_copy_only=False)
+                ids, hashes = (batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+                most = (pack >> 23) & 127  # bytes of a window before the anchor
+                least = most - ((pack >> 16) & 127)
+                prefix = byte_prefix(data)
+                for q in range(BLOCKS):
+                    low = np.maximum(least, BLOCK * q) - BLOCK * q
+                    high = np.minimum(most, BLOCK * (q + 1) - (q < BLOCKS - 1)) - BLOCK * q
+                    some = np.flatnonzero(low <= high)
+                    at = (pack[some] >> 30) - BLOCK * q
+                    start = off[row[some]] + at
+                    core = mix(spans(prefix, start, start + CORE) ^ np.uint64(q + 1))
+                    left, right = high[some], BLOCK - low[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(core.view(np.int64)), pa.array(ids[some]), pa.array(hashes[some]), pa.array(at), _binary(data, start - left, left), _binary(data, start + CORE, right)], CORES
+                    )
+
+    return both.mapInArrow(run, "core long, doc long, text_hash long, at long, left binary, right binary")
+
+
+def repeated_windows(core: np.ndarray, salted: np.ndarray, doc: np.ndarray, text_hash: np.ndarray, at: np.ndarray, left, right):
+    """Rows of whole cores (core, salt), left and right as (bytes, offsets).  Windows that an earlier one of the rows
+    equals: row, start; and of salted rows those that none does: row, start, hash."""
+    n_left, n_right = (np.diff(x[1]) for x in (left, right))
+    size = n_left + n_right + 2
+    off = np.cumsum(size) - size
+    middle = off + n_left
+    kind = np.unique(core, return_inverse=True)[1].ravel()
+    text = np.zeros(int(size.sum()) + BLOCK + 1, np.int64)
+    text[ranges(off, n_left)] = left[0].astype(np.int64) + 1
+    text[middle] = 257 + kind
+    text[ranges(middle + 1, n_right)] = right[0].astype(np.int64) + 1
+    value = mix(text.astype(np.uint64) + np.uint64(1))
+    value[middle] = mix(core.view(np.uint64))
+    row = np.repeat(np.arange(len(core)), size)
+    sa = suffix_array(text[: len(row)])
+    before = middle[row[sa]] - sa
+    # a window is BLOCK bytes and the core's symbol
+    sa = sa[(before >= 0) & (before >= BLOCK - n_right[row[sa]])]
+    same = np.zeros(len(sa), bool)
+    same[1:] = True
+    for d in range(BLOCK + 1):
+        same[1:] &= text[sa[1:] + d] == text[sa[:-1] + d]
+    who = row[sa]
+    start = at[who] - (middle[who] - sa)
+    group = np.cumsum(~same) - 1
+    lone = np.bincount(group, minlength=1)[group] == 1
+    matter = np.flatnonzero(~lone | salted[who])
+    sa, who, start, group = sa[matter], who[matter], start[matter], group[matter]
+    order = np.lexsort((start, text_hash[who], doc[who], group))
+    sa, who, start, group = sa[order], who[order], start[order], group[order]
+    again = _same(group)
+    lead = _leads(again)
+    twin = (doc[who] == doc[who[lead]]) & (text_hash[who] == text_hash[who[lead]]) & (start == start[lead])
+    later = again & ~twin
+    first = np.flatnonzero(~again & salted[who])
+    prefix = prefix_sums(value)
+    return who[later], start[later], who[first], start[first], spans(prefix, sa[first], sa[first] + BLOCK + 1)
 
 
 def _joined(who: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive starts of each context: context, first, last."""
+    """Runs of consecutive starts of each row: row, first, last."""
     order = np.lexsort((start, who))
     who, start = who[order], start[order]
     fresh = np.ones(len(who), bool)
@@ -296,106 +330,103 @@ def _joined(who: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return who[head], start[head], start[np.append(head[1:], len(who)) - 1] if len(head) else start
 
 
+JUDGED = ["doc", "text_hash", "a", "b", "w"]
+
+
 def _compare(batches):
-    """Contexts sorted by anchor: the spans that repeat."""
+    """Rows sorted by (core, salt) become JUDGED rows: bytes that repeat (w null), and firsts of salted cores with their hash."""
     kept: list[pa.RecordBatch] = []
     held = 0
 
     def judged(parts):
         table = pa.Table.from_batches(parts)
-        h, doc, text_hash, pack = (table[i].to_numpy() for i in range(4))
-        data, off = utf8(table[4])
-        who, first, last = _joined(*repeated_windows(h, doc, text_hash, pack, data, off))
-        place = (pack >> 30)[who]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], text_hash[who], place + first, place + last + LENGTH)], ["doc", "text_hash", "a", "b"])
+        core, salt, doc, text_hash, at = (table[i].to_numpy() for i in range(5))
+        # a core alone in its group has nothing to compare, unless others of it have other salts
+        alone = ~_same(core, salt)
+        alone[:-1] &= alone[1:]
+        stay = np.flatnonzero(~alone | (salt >= 0))
+        if not len(stay):
+            return
+        table = table.take(pa.array(stay))
+        core, salt, doc, text_hash, at = (x[stay] for x in (core, salt, doc, text_hash, at))
+        who, start, first, begin, w = repeated_windows(core, salt >= 0, doc, text_hash, at, utf8(table[5]), utf8(table[6]))
+        who, a, b = _joined(who, start)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc[who], text_hash[who], a, b + LENGTH)), pa.nulls(len(who), pa.int64())], JUDGED)
+        if len(first):
+            yield _batch(JUDGED, doc[first], text_hash[first], begin, begin + LENGTH, w)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
-        new = np.flatnonzero(h[1:] != h[:-1]) + 1
-        if kept and kept[-1].column(0)[-1].as_py() != h[0]:
+        core, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.flatnonzero(~_same(core, salt))[1:]
+        if kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (core[0], salt[0]):
             new = np.concatenate(([0], new))
         done = 0
-        for cut in new:  # whole anchors, as many as fill an array
-            if held + (cut - done) * 2 * (BLOCKS + 1) >= ARRAY_SYMBOLS:
+        for cut in new:  # whole groups, as many as fill an array
+            if held + (cut - done) * (BLOCK + 8) >= ARRAY_SYMBOLS:
                 parts = [*kept, batch.slice(done, cut - done)]
                 kept, held, done = [], 0, int(cut)
-                yield judged(parts)
+                yield from judged(parts)
         kept.append(batch.slice(done))
-        held += (batch.num_rows - done) * 2 * (BLOCKS + 1)
+        held += (batch.num_rows - done) * (BLOCK + 8)
     if kept:
-        yield judged(kept)
+        yield from judged(kept)
 
 
-def _windows(batches):
-    """Every window of the contexts of hot anchors: key, doc, text_hash, start."""
+def _later(batches):
+    """JUDGED rows sorted by (w, doc, text_hash, a): all but the first of each w repeat.  Holds one batch and one row."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, text_hash, pack = (batch.column(i).to_numpy() for i in range(4))
-        data, off = utf8(batch.column(4))
-        left, after = (pack >> 23) & 127, (pack >> 16) & 127
-        who = np.repeat(np.arange(len(h)), after + 1)
-        begin = ranges(off[:-1], after + 1)
-        before = off[who] + left[who] - begin
-        key = mix(spans(byte_prefix(data), begin, begin + LENGTH) ^ mix(h.view(np.uint64)[who] + before.astype(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), doc[who], text_hash[who], (pack >> 30)[who] - before)], ["w", "doc", "text_hash", "a"])
+        rows = [batch.column(i).to_numpy() for i in range(5)]
+        if held is not None:
+            rows = [np.concatenate(([v], x)) for v, x in zip(held, rows)]
+        doc, text_hash, a, b, w = rows
+        lead = _leads(_same(w))
+        later = (doc != doc[lead]) | (text_hash != text_hash[lead]) | (a != a[lead])
+        held = [x[lead[-1]] for x in rows]
+        yield _batch(JUDGED[:4], doc[later], text_hash[later], a[later], b[later])
 
 
-def repeated_spans(frame: DataFrame, source: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(frame: DataFrame, source: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc, text_hash, a, b: byte ranges that repeat, overlapping ones too.  frame: source (see _documents) dealt by
     doc and text_hash."""
-    small_batches(source.sparkSession)
-    often = _hot(source, hot)
-    key = F.when(F.col("hot"), F.xxhash64("h", "c", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SALTS)))).otherwise(F.col("h"))
-    dealt = _scan(source, often).withColumn("key", key)
-    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.repartition(n, "key").drop("key").sortWithinPartitions("hot", "h", "c", "doc", "text_hash", "pack")
-    found = persisted(rows.mapInArrow(_judge, "kind int, h long, c long, doc long, text_hash long, pack long"), "passages")
-    whole = found.where(F.col("kind") == FULL).select("doc", "text_hash", "pack")
-    cold = found.where(F.col("kind") == NEED).select("h", "doc", "text_hash", "pack")
-    out = [_whole_spans(whole)]
-    context = _contexts(frame, cold).repartition(n, "h").sortWithinPartitions("h")
-    out.append(context.mapInArrow(_compare, "doc long, text_hash long, a long, b long"))
-    if len(often):
-        # of each context of a hot anchor there are at most SALTS rows here
-        firsts = found.where(F.col("kind") == HOT_FIRST)
-        lead = firsts.groupBy("h", "c").agg(F.min(F.struct("doc", "text_hash", F.shiftright("pack", 30).alias("place"))).alias("lead"))
-        ranked = firsts.join(lead, ["h", "c"]).withColumn("is_lead", (F.col("lead.doc") == F.col("doc")) & (F.col("lead.text_hash") == F.col("text_hash")) & (F.col("lead.place") == F.shiftright("pack", 30)))
-        out.append(_whole_spans(ranked.where(~F.col("is_lead")).select("doc", "text_hash", "pack")))
-        windows = _contexts(frame, ranked.where("is_lead").select("h", "doc", "text_hash", "pack"), windows=True)
-        least = windows.groupBy("w").agg(F.min(F.struct("doc", "text_hash", "a")).alias("lead")).select("w", "lead.*")
-        out.append(windows.join(least, ["w", "doc", "text_hash", "a"], "left_anti").select("doc", "text_hash", "a", (F.col("a") + LENGTH).alias("b")))
-    spans_ = out[0]
-    for more in out[1:]:
-        spans_ = spans_.unionByName(more)
-    return spans_
-
-
-def _whole_spans(rows: DataFrame) -> DataFrame:
-    first = F.shiftright("pack", 30) - F.shiftright("pack", 23).bitwiseAND(127)
-    return rows.select("doc", "text_hash", first.alias("a"), (first + F.shiftright("pack", 16).bitwiseAND(127) + LENGTH).alias("b"))
+    spark = source.sparkSession
+    small_batches(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["doc", "text_hash", "a", "b"]
+    rows = _scan(source).repartition(n, "key").sortWithinPartitions("h", "c", "doc", "text_hash", "pack")
+    found = persisted(rows.mapInArrow(_judge, "kind int, doc long, text_hash long, x long, y long"), "passages")
+    whole = found.where(F.col("kind") == SPAN).select("doc", "text_hash", F.col("x").alias("a"), F.col("y").alias("b"))
+    cores = persisted(_cores(frame, found.where(F.col("kind") == LONE).select("doc", "text_hash", F.col("x").alias("pack"))), "cores")
+    sizes = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows)
+    sizes = persisted(sizes.select("core", F.ceil(F.col("n") / group_rows).alias("salts")), "salts")
+    many = sizes.count()
+    salt = F.lit(-1)
+    if many:
+        cores = cores.join(F.broadcast(sizes) if many <= SALTED_LIST else sizes, "core", "left")
+        salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc", "text_hash", "at"), F.col("salts")).cast("int"))
+    dealt = cores.select("core", salt.alias("salt"), "doc", "text_hash", "at", "left", "right").repartition(n, "core", "salt").sortWithinPartitions("core", "salt")
+    judged = dealt.mapInArrow(_compare, "doc long, text_hash long, a long, b long, w long")
+    if not many:
+        return whole.unionByName(judged.select(*names))
+    judged = persisted(judged, "windows")
+    again = judged.where("w is not null").repartition(n, "w").sortWithinPartitions("w", "doc", "text_hash", "a").mapInArrow(_later, "doc long, text_hash long, a long, b long")
+    return whole.unionByName(judged.where("w is null").select(*names)).unionByName(again)
 
 
 FIELDS = "n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string, spans: array<int>"
 
 
-def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs of the union of ranges [a, b)."""
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(b[order])
-    head = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
-    return a[head], b[np.append(head[1:], len(a)) - 1]
-
-
-def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_text: bool = False, raw: bool = False) -> DataFrame:
+def annotate(docs: DataFrame, keep: list[str] | None = None, group_rows: int = GROUP_ROWS, as_text: bool = False, raw: bool = False) -> DataFrame:
     """The kept columns and a struct RESULT of FIELDS (spans: start, end, ... in bytes).  as_text: instead,
     column KEPT_TEXT has the text without the removed bytes, of a character all or none."""
     keep = ["doc_id"] if keep is None else keep
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frame = _documents(docs).repartition(n, "doc", "text_hash")
-    found = repeated_spans(frame, _documents(docs), hot)
+    found = repeated_spans(frame, _documents(docs), group_rows)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
     # rows without an id: one of those with equal texts is the first, by a hash of what else is kept
     own = F.when(F.col("doc") == _LAST, F.xxhash64(F.to_json(F.struct(F.lit(0).alias("z"), *[f"k{i}" for i in range(len(keep))]))))
@@ -403,9 +434,9 @@ def annotate(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, as_
     equal = rows.where(F.col("doc") == _LAST).groupBy("doc", "text_hash").agg(F.min("own").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     none = F.lit(None).cast("long")
     found = found.select("doc", "text_hash", "a", "b", none.alias("lead")).unionByName(equal.select("doc", "text_hash", none.alias("a"), none.alias("b"), "lead"))
-    lists = found.groupBy("doc", "text_hash").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.max("lead").alias("lead"))
+    lists = found.groupBy("doc", "text_hash").agg(F.collect_set(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("ranges"), F.max("lead").alias("lead"))
     both = rows.repartition(n, "doc", "text_hash").join(lists.hint("shuffle_hash"), ["doc", "text_hash"], "left")
-    both = both.select("text", "a", "b", F.when(F.col("lead").isNotNull(), F.col("text_hash")).alias("equal"), (F.col("own") == F.col("lead")).alias("leads"), *[f"k{i}" for i in range(len(keep))])
+    both = both.select("text", F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"), F.when(F.col("lead").isNotNull(), F.col("text_hash")).alias("equal"), (F.col("own") == F.col("lead")).alias("leads"), *[f"k{i}" for i in range(len(keep))])
     kinds = ", ".join(f"k{i} {both.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     made = f"{RESULT} string" if as_text else f"{RESULT} struct<{FIELDS}>"
 
