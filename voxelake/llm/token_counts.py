@@ -2,39 +2,55 @@
 
 A batch holds changes (kind, source, lang, version, n_tokens, old_tokens): an insert adds a document and
 its tokens, a delete takes them away, a revise replaces old_tokens by n_tokens.  A batch is summed by
-(source, lang, version), written next to its final place and moved there in one rename: it is there as a
-whole or not at all, and a batch whose id is there already changes nothing.  Totals are the sums over all
-committed batches; `compact` folds them into one.  Sums are partial before each shuffle, so a hot source
+(source, lang, version) and written to a folder of its own; it counts from the moment a small file under
+its id names that folder.  That file is created only where none is, so a batch is there as a whole or not at all, and
+a batch whose id is there already changes nothing.  Sums are partial before each shuffle, so a hot source
 sends one row from each task.
 
+`compact` writes the sum of the last fold and of exactly the batches it listed into a new folder, and publishes it as the
+fold with the next number, again by a file created only where none is; the fold names what it covers.  Of two
+compactions at once one loses and is thrown away; a batch committed meanwhile isn't covered, so it still counts by itself.
+Totals read one list of folds, then one of batches, and sum the last fold's folder and those of batches that no fold
+covers: each change counts once, whatever commits and compactions run beside it.  Folders that a fold
+covers stay until `clean`, as someone may be reading them.
+
 Edge cases: null source, lang or version is a group of its own; null counts are 0; an unknown kind is an
 error; repeated changes in a batch all count; an empty batch is committed and changes nothing; groups
-without documents and tokens are left out of the totals; other columns are ignored.
+without documents and tokens are left out of the totals; other columns are ignored; batch ids are any text (files are
+named by their hash); a commit that was cut off while it named its folder doesn't count, and the next one with its id takes its place.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persisted, shared_dir
+from . import bpe
+from .common import RESULT, persisted, shared_dir
 
 KEYS = ("source", "lang", "version")
 CHANGES = "kind string, source string, lang string, version string, n_tokens long, old_tokens long"
 DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
 WORD = r"[^\x20\x09-\x0D]+"
-ALNUM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+BPE_VERSION = "byte_bpe_50k"
 
 
-def _count(pattern: str):
-    return F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+def plain_counts(docs: DataFrame) -> DataFrame:
+    """source, lang, and each text's tokens in the two versions that need no vocabulary: words, and UTF-8 bytes, the
+    tokens of models that read bytes."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), words.alias("words"), size.alias("bytes"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """source, lang, and two tokenizers' counts of each text."""
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), _count(WORD).alias("words"), _count(ALNUM).alias("alnum"))
+def bpe_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """source, lang, and each text's tokens by the byte-pair encoding of `bpe` (BPE_VERSION)."""
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    return bpe.annotate(rows, path or bpe.default_path(), ["source", "lang"], with_ids=False).select("source", "lang", f"{RESULT}.n_tokens")
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -46,65 +62,111 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.withColumn("s", known).groupBy(*KEYS).agg(F.sum("s.d").alias("n_docs"), F.sum("s.t").alias("n_tokens"))
 
 
+def _file_name(batch_id: str) -> str:
+    return hashlib.sha256(batch_id.encode()).hexdigest()
+
+
 class Rollup:
-    """A folder of committed batches."""
+    """A folder of committed batches: commits/ (a file for each id), folds/ (numbered), data/."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
-
-    def batches(self) -> list[str]:
-        if not self._exists(self.path):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("batch-"))
-
-    def _covered(self) -> set[str]:
-        """Batches that a compacted one holds, by the marker that was renamed with it."""
-        found = set()
-        for name in self.batches():
-            for s in self._fs.listStatus(self._path(f"{self.path}/{name}")):
-                if (n := s.getPath().getName()).startswith("covers-"):
-                    found.add(n.removeprefix("covers-"))
-        return found
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _read(self, name: str) -> dict | None:
+        """What a file says; None if there is none, or it was cut off."""
+        at = self._path(f"{self.path}/{name}")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None
+        finally:
+            stream.close()
+
+    def _publish(self, name: str, says: dict) -> bool:
+        """Creates the file unless a complete one is there: the one step by which a batch or a fold begins to count."""
+        at = self._path(f"{self.path}/{name}")
+        taken = self._fs.exists(at)
+        if taken and self._read(name) is not None:
+            return False
+        try:
+            stream = self._fs.create(at, taken)  # overwrite only what was cut off
+        except Exception:
+            if self._read(name) is not None:  # another was faster
+                return False
+            raise
+        stream.write(json.dumps(says).encode())
+        stream.close()
+        return self._read(name) == says
+
+    def _write(self, delta: DataFrame) -> str:
+        made = uuid.uuid4().hex
+        delta.select(*[F.col(c).cast("long" if c.startswith("n_") else "string").alias(c) for c in (*KEYS, "n_docs", "n_tokens")]).write.parquet(f"{self.path}/data/{made}")
+        return made
+
+    def _drop(self, made: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/data/{made}"), True)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """False if the batch was committed before."""
-        return self._put(batch_id, signed(changes), [])
-
-    def _put(self, batch_id: str, delta: DataFrame, covers: list[str]) -> bool:
-        final = f"{self.path}/batch-{batch_id}"
-        if self._exists(final) or f"batch-{batch_id}" in self._covered():
-            return False
-        made = f"{self.path}/.new-{uuid.uuid4().hex}"
-        delta.select(*[F.col(c).cast("long" if c.startswith("n_") else "string").alias(c) for c in (*KEYS, "n_docs", "n_tokens")]).write.parquet(made)
-        for name in covers:
-            self._fs.create(self._path(f"{made}/covers-{name}")).close()
-        # a rename onto a folder that came up meanwhile would move into it, so look once more
-        if self._exists(final) or not self._fs.rename(self._path(made), self._path(final)):
-            self._fs.delete(self._path(made), True)
+        name = f"commits/{_file_name(batch_id)}"
+        if self._read(name) is not None:
             return False
-        return True
+        made = self._write(signed(changes))
+        if self._publish(name, {"id": batch_id, "data": made}):
+            return True
+        self._drop(made)
+        return False
+
+    def snapshot(self) -> tuple[int, list[str], dict[str, str]]:
+        """Number of the last fold, the folders to sum, and the batches (file name: folder) that no fold covers."""
+        covered: set[str] = set()
+        number, folders = 0, []
+        while (fold := self._read(f"folds/{number + 1:09d}")) is not None:
+            number, folders = number + 1, [fold["data"]]
+            covered |= set(fold["covers"])
+        # batches are listed after the folds: what a later fold covers is still among them
+        said = {n: self._read(f"commits/{n}") for n in self._names("commits") if not n.startswith(".") and n not in covered}
+        batches = {n: x["data"] for n, x in said.items() if x is not None}
+        return number, folders, batches
+
+    def _sum(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], DELTA)
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/data/{x}" for x in folders])
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
-        covered = self._covered()
-        paths = [f"{self.path}/{b}/part-*" for b in self.batches() if b not in covered]
-        if not paths:
-            return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*paths)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        _, folders, batches = self.snapshot()
+        return self._sum([*folders, *batches.values()]).where("n_docs <> 0 or n_tokens <> 0")
+
+    def compact(self, snapshot: tuple[int, list[str], dict[str, str]] | None = None) -> bool:
+        """Folds what a snapshot (by default of now) holds; False if there is nothing to fold or another compaction was faster."""
+        number, folders, batches = snapshot or self.snapshot()
+        if len(folders) + len(batches) < 2:
+            return False
+        made = self._write(self._sum([*folders, *batches.values()]))
+        if self._publish(f"folds/{number + 1:09d}", {"data": made, "covers": sorted(batches)}):
+            return True
+        self._drop(made)
+        return False
 
-    def compact(self) -> None:
-        """Folds all batches into one; ids of folded batches stay known."""
-        now = [b for b in self.batches() if b not in self._covered()]
-        if len(now) < 2:
-            return
-        known = sorted(set(now) | self._covered())
-        self._put(f"fold-{uuid.uuid4().hex}", self.totals(), known)
+    def clean(self) -> None:
+        """Deletes the folders that the last fold covers, when nobody reads them any more."""
+        _, folders, batches = self.snapshot()
+        live = {*folders, *batches.values()}
+        said = [self._read(f"commits/{n}") for n in self._names("commits") if not n.startswith(".")] + [self._read(f"folds/{n}") for n in self._names("folds") if not n.startswith(".")]
+        for made in {x["data"] for x in said if x is not None} - live:
+            self._drop(made)
 
 
 def rollup(totals: DataFrame) -> DataFrame:
@@ -117,30 +179,30 @@ def changes(counts: DataFrame, kind: str, version: str, n, old=None) -> DataFram
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Inserts every document under two tokenizer versions, revises the first version's counts, deletes the
-    documents without a word, and sends the revision twice."""
+    """Inserts every document under two tokenizer versions, revises the first version's counts, folds what is there,
+    deletes the documents without a word, and sends the revision twice."""
     spark = docs.sparkSession
-    counts = persisted(word_counts(docs), "counts")
+    counts = persisted(plain_counts(docs), "counts")
     book = Rollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
-    w, a = F.col("words"), F.col("alnum")
-    book.commit("1", changes(counts, "insert", "words-1", w))
-    book.commit("2", changes(counts, "insert", "alnum-1", a))
-    revision = changes(counts, "revise", "words-1", F.greatest(w, a), w)
+    w, b = F.col("words"), F.col("bytes")
+    book.commit("1", changes(counts, "insert", "words-1", b))
+    book.commit("2", changes(counts, "insert", "bytes-1", b))
+    revision = changes(counts, "revise", "words-1", w, b)
     book.commit("3", revision)
+    book.compact()
     empty = counts.where("words = 0")
-    book.commit("4", changes(empty, "delete", "words-1", F.greatest(w, a)).unionByName(changes(empty, "delete", "alnum-1", a)))
+    book.commit("4", changes(empty, "delete", "words-1", w).unionByName(changes(empty, "delete", "bytes-1", b)))
     book.commit("3", revision)
     return rollup(book.totals()).select(*KEYS, "level", "n_docs", "n_tokens")
 
 
 ORACLE_SQL = r"""
 WITH c AS (
-  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
-    len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS a
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, octet_length(encode(coalesce(text, ''))) AS b
   FROM documents
 ), v AS (
-  SELECT source, lang, 'words-1' AS version, greatest(w, a) AS n FROM c WHERE w > 0
-  UNION ALL SELECT source, lang, 'alnum-1', a FROM c WHERE w > 0
+  SELECT source, lang, 'words-1' AS version, w AS n FROM c WHERE w > 0
+  UNION ALL SELECT source, lang, 'bytes-1', b FROM c WHERE w > 0
 )
 SELECT source, lang, version, (3 - bit_count(grouping(source, lang, version)::BIGINT))::INTEGER AS level, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens
 FROM v GROUP BY ROLLUP (source, lang, version)
