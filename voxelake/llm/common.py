@@ -22,11 +22,12 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a folder of our own, on one machine only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        own = spark.sparkContext.getCheckpointDir()
-        path = own or tempfile.mkdtemp(prefix="voxelake-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="voxelake-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -219,6 +220,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     return ordered(one.where("label = 0")).unionByName(ordered(one.where("label = 1"))) if per_value else ordered(one)
 
 
+def training_texts(rows: DataFrame, most_bytes: int) -> pa.Table:
+    """doc_id, text, label for a fit on the driver, from rows (doc_id, text, label) of ids that are already a bounded sample: of
+    each id one text (that of the least hash; null and empty ones are left out), and of each label as many, in the order of a
+    hash, as most_bytes holds (a text that doesn't fit is passed over).  Texts of any length take part."""
+    known = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
+    # the least of each id is found before the shuffle already, however often an id is repeated
+    one = known.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("m")).select("doc_id", "m.*")
+    stored = persisted(one, "sample")
+    sizes = stored.select("doc_id", "h", "label", F.octet_length("text").alias("size")).toArrow().to_pylist()
+    left: dict = {}
+    chosen = []
+    for r in sorted(sizes, key=lambda r: (r["h"] ^ r["doc_id"], r["doc_id"])):
+        room = left.setdefault(r["label"], most_bytes)
+        if r["size"] <= room:
+            left[r["label"]] = room - r["size"]
+            chosen.append((r["doc_id"],))
+    names = rows.sparkSession.createDataFrame(chosen, "doc_id long")
+    return stored.join(F.broadcast(names), "doc_id").select("doc_id", "text", "label").toArrow().sort_by("doc_id")
+
+
 def held_out(doc_id="doc_id"):
     """True where crc32 of the id as text leaves remainder 0 modulo 5: never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

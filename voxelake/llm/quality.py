@@ -108,7 +108,9 @@ def _features():
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> trees.Forest | None:
     sample = labelled_sample(docs, labels, "quality", rows, 8)
     # at most `rows` ids and labels: a proven bound
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # of an id with several texts one, found before the shuffle already
+    picked = picked.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("m")).select("doc_id", "m.label", "m.text")
     fields = ", ".join(f"{f}: double" for f, _ in FEATURES)
     found = map_texts(picked, fields, _features, ["doc_id", "label"]).select("doc_id", "label", f"{RESULT}.*").toPandas().sort_values("doc_id", kind="stable")
     y = found["label"].to_numpy(float)

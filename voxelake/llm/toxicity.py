@@ -5,8 +5,8 @@ misspelling shares most of its vector with the word it comes from.  A window is
 its averaged vector goes through a linear softmax, and a text's score is its most toxic window's (every
 window of the whole text is looked at: one sentence in a long text counts).  Embeddings and softmax are
 trained jointly in numpy by Adam, first with all windows of a toxic text as positive, then with the one
-that scores highest.  The fit uses at most TRAIN_ROWS labelled texts of each label, each of at most
-TRAIN_BYTES, and never a held-out one; ids, lang and source are no inputs.
+that scores highest.  The fit uses at most TRAIN_ROWS labelled texts of each label, chosen by a hash, with at most TRAIN_BYTES
+in all for each label, long texts among them, and never a held-out one; of an id with several texts it takes one; ids, lang and source are no inputs.
 
 Edge cases: null and empty texts are one empty window (the prior of the softmax, never predicted toxic);
 null, conflicting or other labels are not learned from; without both labels every score is 0; repeated
@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RESULT, held_out, labelled_sample, map_texts, named, utf8
+from .common import RESULT, held_out, labelled_sample, map_texts, named, training_texts, utf8
 from .decontaminate import WORD_BYTES
 from .subwords import Words, features, words_of
 
 TRAIN_ROWS = 1500
-TRAIN_BYTES = 1 << 13
+TRAIN_BYTES = 5 << 19
 WINDOW = 3
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -134,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     learned = labels.where(~held_out())
     sample = labelled_sample(docs, learned, "toxic", rows, 4, per_value=True)
     # at most 2 * rows ids and labels: a proven bound
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text").between(1, TRAIN_BYTES)).join(F.broadcast(sample), "doc_id")
-    table = picked.select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    table = training_texts(picked, TRAIN_BYTES)
     data, off = utf8(table["text"])
     return fit(data, off, table["label"].to_numpy().astype(int))
 
