@@ -5,8 +5,10 @@ array and binary-searches the benchmark's window starts in it, as deep as the wi
 entries are the locations, from which matches are extended word by word.  A window is 10 consecutive words of an item (a shorter item is one window); document words inside any occurrence of a
 window are hit, and documents with a hit word are removed.
 
-The benchmark travels to the tasks only in slices of at most SLICE_BYTES; a larger benchmark is matched
-slice after slice, each adding to the hits of the rows so far.  Documents are never shuffled.
+The benchmark travels to the tasks only in slices of about SLICE_BYTES of distinct items (one longer item is a slice of its
+own).  The driver holds one slice at a time: it is broadcast, matched with all documents and freed before the next one is
+read; each slice adds to the hits of the rows so far, which a table in the shared folder keeps between slices.
+Documents are never shuffled.
 
 Edge cases: A-Z are lower-cased; null and empty texts have no words and no hit; items without words
 have no window; words of an item with a null id are hit, but it is not among the items that are listed and
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, LOWER, RESULT, byte_prefix, byte_table, map_texts, named, ranges, spans, token_spans, utf8
+from .common import _TABLE, LOWER, RESULT, byte_prefix, byte_table, map_texts, named, persisted, ranges, spans, token_spans, utf8
 
 WINDOW = 10
 DEPTH = 12
@@ -129,8 +131,12 @@ class Windows:
         self.length = np.minimum(window, n[self.item]) if len(items) else np.zeros(0, np.int64)
 
 
-def _matcher(test: Windows):
+def _matcher(shared):
+    """shared: a broadcast of Windows."""
+
     def make():
+        test = shared.value
+
         def work(data, off):
             n_texts = len(off) - 1
             hashes, text = word_hashes(data, off)
@@ -194,26 +200,33 @@ def extend(words: np.ndarray, where: np.ndarray, test: Windows, which: np.ndarra
     return size
 
 
-def benchmark_slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> list[Windows]:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+def benchmark_slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> tuple[DataFrame, int]:
+    """Distinct items (item_id, text, slice) and the number of slices."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    items = persisted(items.withColumn("h", F.xxhash64("item_id", "text")), "items")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // limit))
-    part = lambda i: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-    return [Windows([(r.item_id, r.text) for r in part(i).collect()]) for i in range(n)]
+    return items.withColumn("slice", F.pmod("h", F.lit(n))), n
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, limit: int = SLICE_BYTES, raw: bool = False) -> DataFrame:
     """The kept columns and a struct RESULT: n_words, n_hit, n_items, items_sha256, contaminated, longest
     (longest verbatim match of a whole window or more, in words; 0 without one), runs of hit words (start, end, ...), items."""
     keep = ["doc_id"] if keep is None else keep
-    slices = benchmark_slices(benchmark, limit)
-    if len(slices) == 1:
-        return map_texts(docs, FIELDS, _matcher(slices[0]), keep, SHARD_BYTES, raw)
+    items, n = benchmark_slices(benchmark, limit)
+
+    def sent(i):
+        return docs.sparkSession.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in items.where(F.col("slice") == i).select("item_id", "text").toLocalIterator()]))
+
+    if n == 1:
+        return map_texts(docs, FIELDS, _matcher(sent(0)), keep, SHARD_BYTES, raw)
     names = [f"k{i}" for i in range(len(keep))]
     now = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col("text"), F.lit(None).cast(f"struct<{_ddl()}>").alias("so_far"))
-    for test in slices:
+    for i in range(n):
+        test = sent(i)
         step = map_texts(now, FIELDS, _matcher(test), [*names, "text", "so_far"], SHARD_BYTES)
-        now = step.select(*names, "text", merged("so_far", RESULT).alias("so_far"))
+        now = persisted(step.select(*names, "text", merged("so_far", RESULT).alias("so_far")), "matched")
+        test.destroy()
     return now.select(*[F.col(n).alias(n if raw else k) for n, k in zip(names, keep)], F.col("so_far").alias(RESULT))
 
 
