@@ -11,7 +11,7 @@ import pytest
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
-from voxelake.llm import bpe, chat_format, components, decontaminate, language_id, near_dup, quality, queries, suffix_dedup, suffix_group, token_counts, toxicity, trees, url_filter
+from voxelake.llm import bpe, chat_format, common, components, decontaminate, language_id, near_dup, quality, queries, suffix_dedup, suffix_group, token_counts, toxicity, trees, url_filter
 from voxelake.llm.common import RESULT
 
 CLASH = ("k0", "result__", "size", "set", "a", "tag", "doc", "h", "score", "text__", "key", "links")
@@ -86,6 +86,50 @@ def test_token_counts_follow_any_history(spark, tmp_path):
     assert token_counts.Rollup(spark, str(tmp_path / "none")).totals().count() == 0
 
 
+def test_token_counts_count_once_whatever_meets(spark, tmp_path):
+    def batch(n):
+        return spark.createDataFrame([("insert", "s", "en", "v", n, None)], token_counts.CHANGES)
+
+    def total(book):
+        return [(r.n_docs, r.n_tokens) for r in book.totals().collect()]
+
+    path = str(tmp_path / "meet")
+    book, other = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+    book.commit("a/*{1}", batch(10))
+    book.commit("b", batch(20))
+    # a commit between the list and the fold
+    seen = book.snapshot()
+    assert other.commit("c", batch(100))
+    assert book.compact(seen) and total(book) == [(3, 130)]
+    # two compactions at once, from the same list
+    assert other.commit("d", batch(1))
+    seen = other.snapshot()
+    assert book.compact(seen) and not other.compact(seen)
+    assert total(book) == total(other) == [(4, 131)]
+    # covered ids stay known, also of the fold before
+    assert not any(book.commit(k, batch(7)) for k in ("a/*{1}", "b", "c", "d"))
+    book.clean()
+    assert total(book) == [(4, 131)] and not book.compact()
+    # a commit that was cut off while it named its folder doesn't count, and can be sent again
+    (tmp_path / "meet" / "commits" / token_counts._file_name("e")).write_text('{"id": "e", "da')
+    assert total(book) == [(4, 131)] and book.commit("e", batch(5)) and not book.commit("e", batch(5))
+    assert total(book) == [(5, 136)]
+
+
+def test_token_counts_of_the_real_tokenizer(spark, docs):
+    """The rollup of the byte-pair version holds what op3 counts, before and after a revision."""
+    counts = token_counts.bpe_counts(docs)
+    want = sum(r.n_tokens for r in bpe.report(docs).collect())
+    book = token_counts.Rollup(spark, common.shared_dir(spark) + "/real")
+    n = F.col("n_tokens")
+    book.commit("1", token_counts.changes(counts, "insert", token_counts.BPE_VERSION, n))
+    assert want > 0 and sum(r.n_tokens for r in book.totals().collect()) == want
+    book.commit("2", token_counts.changes(counts, "revise", token_counts.BPE_VERSION, n * 2, n))
+    got = {(r.source, r.lang): r.n_docs for r in book.totals().collect()}
+    assert got == Counter((x[3], x[2]) for x in corpus())
+    assert sum(r.n_tokens for r in book.totals().collect()) == 2 * want
+
+
 def test_token_counts_report(spark, docs):
     got = {(r.source, r.lang, r.version): r for r in token_counts.report(clashing(docs)).where("level = 3").collect()}
     assert sum(r.n_docs for r in got.values()) == 2 * sum(1 for x in corpus() if (x[1] or "").strip())
@@ -230,6 +274,80 @@ def test_forward_backward_sums_over_all_paths():
     assert np.allclose(got[0], marg / total)
 
 
+def test_blocks_of_words_are_one_chain():
+    r = np.random.default_rng(4)
+    size = [1, 31, 32, 33, 64, 65, 200, 5]
+    text = np.repeat(np.arange(len(size)), size)
+    score, trans, start = r.normal(size=(len(text), 3)) * 3, r.normal(size=(3, 3)) * 3, r.normal(size=3)
+    first, length = language_id.blocks_of(text, len(size))
+    at, inside = language_id.padded(np.arange(len(text)), first, length)
+    left, right = language_id.messages(score[at], length, text[first], trans, start)
+    got = language_id.forward_backward(score[at], length, trans, start, left=left, right=right)[0][inside]
+    for i, n in enumerate(size):
+        want, _ = language_id.forward_backward(score[text == i][None], np.array([n]), trans, start)
+        assert np.allclose(got[text == i], want[0])
+
+
+def test_language_scores_of_a_fixed_model(spark):
+    """The operator against a plain chain of Python floats, on a text whose language changes at word 33."""
+    r = random.Random(9)
+    vocab = {k: ["".join(r.choice(s) for _ in range(r.randint(3, 8))) for _ in range(80)] for k, s in (("aa", "abcdefgh"), ("bb", "ijklmnop"))}
+    say = lambda k, n: " ".join(r.choice(vocab[k]) for _ in range(n))
+    learn = [(say(k, 40), k) for _ in range(60) for k in ("aa", "bb")]
+    data, off = common.utf8(common.pa.array([t for t, _ in learn]))
+    m = language_id.fit(data, off, [k for _, k in learn])
+    texts = [say("aa", 32) + " " + say("bb", 45), say("bb", 100), say("aa", 1), ""]
+    found = language_id.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).orderBy("doc_id").collect()
+    assert (found[0][RESULT].run_ends, found[0][RESULT].run_langs) == ([32, 77], ["aa", "bb"])
+    for t, row in zip(texts[:3], found):
+        data, off = common.utf8(common.pa.array([t]))
+        w = language_id.words_of(data, off, language_id.LETTERS)
+        score = language_id.potentials(w, m)[w.kind]
+        n, k = score.shape
+        alpha, beta = [np.exp(m.start + score[0])], [np.ones(k)]
+        for x in score[1:]:
+            v = (alpha[-1] @ np.exp(m.transition)) * np.exp(x)
+            alpha.append(v / v.sum())
+        for x in score[:0:-1]:
+            v = np.exp(m.transition) @ (np.exp(x) * beta[-1])
+            beta.append(v / v.sum())
+        both = np.array(alpha) * np.array(beta[::-1])
+        mean = (both / both.sum(1, keepdims=True)).mean(0)
+        assert row[RESULT].lang_pred == m.langs[mean.argmax()] and abs(row[RESULT].score - mean.max()) < 1e-4
+
+
+def test_toxicity_scores_of_a_fixed_model(spark):
+    """The operator against windows taken one by one."""
+    r = random.Random(6)
+    texts = [prose(n, r) for n in (0, 1, 2, 3, 4, 50, 400)]
+    m = toxicity.Model(np.random.default_rng(2).normal(size=toxicity.BUCKETS), -0.3)
+    got = {x.doc_id: x[RESULT].score for x in toxicity.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+
+    def word(w):
+        data, off = common.utf8(common.pa.array([w]))
+        return toxicity.word_scores(toxicity.words_of(data, off, toxicity.WORD_BYTES), m)[0]
+
+    for i, t in enumerate(texts):
+        each = [word(w) for w in words7(t)]
+        windows = [each[j : j + 3] for j in range(max(1, len(each) - 2))] if each else [[0.0]]
+        z = max(sum(x) / len(x) for x in windows) + m.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_fits_are_bounded_when_an_id_is_repeated(spark):
+    """An id that holds a third of all rows gives one text; texts of any length may be learned from."""
+    hot = [(5, prose(10) + f" {i}", "en", "s", 1) for i in range(300)]
+    rows = [(i, prose(30), "en", "s", 1) for i in range(100, 700)] + [(1001, prose(4000), "en", "s", 1)]
+    docs = spark.createDataFrame(hot + rows, SCHEMA)
+    table = common.training_texts(docs.select("doc_id", "text", F.lit(1).alias("label")), 1 << 20)
+    ids = table["doc_id"].to_pylist()
+    assert len(ids) == len(set(ids)) == 602 and 1001 in ids
+    small = common.training_texts(docs.select("doc_id", "text", F.lit(1).alias("label")), 5000)
+    assert 0 < sum(len(t.encode()) for t in small["text"].to_pylist()) <= 5000
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).alias("toxic")).distinct()
+    assert language_id.report(docs).count() == toxicity.report(docs, labels).count() == quality.report(docs, labels).count() == 901
+
+
 # 5
 
 
@@ -266,6 +384,41 @@ def test_near_duplicates(spark, docs, block, monkeypatch):
     assert near_dup.report(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("k", [2, 6, 10])
+def test_forest_edges_join_what_shares_a_prefix(spark, k):
+    r = np.random.default_rng(k)
+    base = r.integers(0, 4, (60, near_dup.TREES, near_dup.DEPTH))
+    base[30:] = base[:30]
+    base[30:, :, 7:] = r.integers(0, 4, (30, near_dup.TREES, 3))
+    pack = lambda v: [int(sum(int(x) << (12 * (4 - i)) for i, x in enumerate(p))) for p in v]
+    rows = [(i, pack(b[:, :5]), pack(b[:, 5:])) for i, b in enumerate(base)]
+    sets = spark.createDataFrame(rows, "set long, high array<long>, low array<long>")
+    near = {(i, j) for i in range(60) for j in range(i) for t in range(near_dup.TREES) if (base[i, t, :k] == base[j, t, :k]).all()}
+    edges = [(e.src, e.dst) for e in near_dup.forest_edges(sets, k).collect()]
+    assert edges and all((max(e), min(e)) in near for e in edges) or k < 6
+
+    def groups(pairs):
+        up = list(range(60))
+        root = lambda x: x if up[x] == x else root(up[x])
+        for a, b in pairs:
+            up[root(a)] = root(b)
+        return {frozenset(j for j in range(60) if root(j) == root(i)) for i in range(60)}
+
+    assert groups(edges) == groups(near)
+
+
+def test_near_duplicates_recall(spark):
+    """Documents with ids divisible by 50 against all rows, exactly: none of their links is lost."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    made = {}
+    for d, t in rows:
+        w = words7(t)
+        made[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    got = {r.doc_id: r.n_links for r in near_dup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: sum(e != d and len(s & o) * 1.8 >= 0.8 * (len(s) + len(o)) - 1e-9 for e, o in made.items() if o) if s else 0 for d, s in made.items() if d % 50 == 0}
+    assert sum(want.values()) > 0 and {d: got[d] for d in want} == want
+
+
 def test_keep_one(spark, docs):
     rows = corpus()
     want = Counter()
@@ -293,8 +446,10 @@ def test_classes_that_share_an_id(spark):
 
 
 def test_forest_prefix_and_counts():
-    k = near_dup.prefix_length(0.8, 0.9999)
+    k = near_dup.prefix_length()
     assert 1 - (1 - 0.8**k) ** near_dup.TREES >= 0.9999 > 1 - (1 - 0.8 ** (k + 1)) ** near_dup.TREES
+    # what is measured shortens further, never less
+    assert near_dup.prefix_length({10: 1000}) == k and near_dup.prefix_length({10: 1000, k - 2: 5}) == k - 2 and near_dup.prefix_length({0: 9}) == 1
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 50))) for _ in range(60)]
     idx = np.arange(60)
@@ -320,12 +475,12 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 4])
-def test_suffix_dedup(spark, docs, hot):
+@pytest.mark.parametrize("group_rows", [4096, 2])
+def test_suffix_dedup(spark, docs, group_rows):
     rows = {x[0]: x[1] for x in corpus() if x[0] is not None}
     want = brute_repeats(list(rows.items()))
     table = clashing(docs.where("doc_id is not null"))
-    got = [(r.doc_id, tuple(r[RESULT])[:4]) for r in suffix_dedup.annotate(table, hot=hot).collect()]
+    got = [(r.doc_id, tuple(r[RESULT])[:4]) for r in suffix_dedup.annotate(table, group_rows=group_rows).collect()]
     assert len(got) == len(corpus()) - 1
     assert all(want[d] == tuple(v) for d, v in got)
     assert suffix_dedup.report(empty(spark)).count() == 0
@@ -333,8 +488,8 @@ def test_suffix_dedup(spark, docs, hot):
     assert nulls.n_removed == nulls.n_bytes  # sorts last, so its text stood before
 
 
-@pytest.mark.parametrize("hot", [4096, 4])
-def test_suffix_dedup_of_rows_that_share_an_id(spark, hot):
+@pytest.mark.parametrize("group_rows", [4096, 2])
+def test_suffix_dedup_of_rows_that_share_an_id(spark, group_rows):
     r = random.Random(13)
     passages = [prose(40, r) for _ in range(5)]
     # so many that 16 bits of the hashes meet; copies without an id, equal rows among them; two texts of one id
@@ -346,10 +501,24 @@ def test_suffix_dedup_of_rows_that_share_an_id(spark, hot):
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     ordered.sort(key=lambda x: (x.doc_id is None, x.doc_id or 0, x.h))
     want = Counter((ordered[i].doc_id, *v) for i, v in brute_repeats([(i, x.text) for i, x in enumerate(ordered)]).items())
-    got = suffix_dedup.annotate(docs, hot=hot).collect()
+    got = suffix_dedup.annotate(docs, group_rows=group_rows).collect()
     assert Counter((x.doc_id, *tuple(x[RESULT])[:4]) for x in got) == want
 
 
+@pytest.mark.parametrize("group_rows", [4096, 3])
+def test_suffix_dedup_of_common_passages_in_different_surroundings(spark, group_rows):
+    r = random.Random(29)
+    made = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (83, 90, 97, 99, 100, 101, 108, 150)]
+    rows = []
+    for i in range(400):  # one passage is in every text, many texts differ in a few bytes only
+        near = "".join(r.choice("xy") for _ in range(r.randrange(12)))
+        rows.append((i, near + made[i % 8] + r.choice("pq") * r.randrange(8) + made[5] + "".join(r.choice("ab") for _ in range(r.randrange(80))), "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = brute_repeats([(x[0], x[1]) for x in rows])
+    got = {x.doc_id: tuple(x[RESULT])[:4] for x in suffix_dedup.annotate(docs, group_rows=group_rows).collect()}
+    assert got == want
+
+
 def test_removed_text_keeps_characters(spark, docs):
     out = suffix_dedup.remove_repeats(clashing(docs))
     assert out.columns == clashing(docs).columns and out.count() == len(corpus())
