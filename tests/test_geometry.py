@@ -94,9 +94,30 @@ def test_bvh(at, kids):
 
 
 def test_bvh_tables(spark):
-    df = spark.range(300).select(F.col("id").alias("pid"), *[F.rand(k).alias(a) for k, a in enumerate("xyz")], (F.col("id") % 2).alias("g"))
-    nodes = bvh.build_partitioned(df, "g").cache()
+    r = np.random.default_rng(1)
+    at = r.normal(size=(120, 3))
+    df = spark.createDataFrame([(i // 60, 0, i, *map(float, p)) for i, p in enumerate(at)], "tree long, part long, pid long, x double, y double, z double")
+    nodes = bvh.build_partitioned(df).cache()
     assert bvh.violations(nodes).count() == 0
-    stats = {r.tree: r for r in bvh.statistics(nodes).collect()}
-    assert stats[0].n_points == stats[1].n_points == 150
-    assert bvh.statistics(bvh.build_partitioned(df.limit(1), "g")).first().avg_children_per_inner is None
+    # the tables hold what one tree in memory does, and the statistics what a plain count of them does
+    for tree in (0, 1):
+        want = [x[:10] for x in bvh.build(at[tree * 60 : tree * 60 + 60]).rows()]
+        rows = nodes.where(f"tree = {tree}").orderBy("node_id").collect()
+        assert [tuple(x)[2:12] for x in rows] == want
+        leaf, inner = [x for x in rows if x.is_leaf], [x for x in rows if not x.is_leaf]
+        s = bvh.statistics(nodes).where(f"tree = {tree}").first()
+        assert (s.n_nodes, s.n_leaves, s.n_points, s.max_depth) == (len(rows), len(leaf), 60, max(x.depth for x in rows))
+        assert (s.avg_points_per_leaf, s.avg_children_per_inner) == (60 // len(leaf), sum(x.n_children for x in inner) // len(inner))
+        assert (s.min_points_per_leaf, s.max_points_per_leaf) == (min(x.n_points for x in leaf), max(x.n_points for x in leaf))
+    assert bvh.statistics(bvh.build_partitioned(df.limit(1))).first().avg_children_per_inner is None
+
+
+def test_bvh_groups_are_bounded(spark):
+    """A crowded cell is split by level, and equal points, which no level splits, by parts."""
+    rows = [(i, 0.5, 0.5, 0.5) for i in range(300)] + [(300 + i, i / 100, (i * 7 % 100) / 100, (i * 3 % 100) / 100) for i in range(100)]
+    p = points.with_morton(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 3)
+    grouped = bvh.spatial_groups(p, 3, 50).cache()
+    assert grouped.count() == 400 and grouped.select("pid").distinct().count() == 400
+    sizes = grouped.groupBy("tree", "part").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 90
+    assert bvh.violations(bvh.build_partitioned(grouped)).count() == 0

@@ -1,8 +1,9 @@
 """Bounding volume hierarchy by surface-area insertion.
 
 Insertion depends on the order of the points and is sequential: `build` is the exact form for one group.
-`build_partitioned` builds one tree for each value of a key column (a Morton prefix), so groups run side by
-side; its trees differ from the single one.  Choose the key so that a group fits a task.
+`build_partitioned` builds one tree for each group of rows, so groups run side by side; its trees differ from the
+single one.  `spatial_groups` makes the groups: the shallowest cells with few enough points, found by counts of cells, so
+no task gets more than it can hold however the points are spread.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelake.functions import morton
+from voxelake.operators import hierarchy
+
 MAX_LEVEL = 24
+#: Points of one tree.
+GROUP_POINTS = 4096
 TIE = 1e-10
 NODES = "node_id long, parent_id long, depth int, ox double, oy double, oz double, ex double, ey double, ez double, is_leaf boolean, n_points long, n_children long"
 
@@ -112,25 +118,36 @@ def build(positions: np.ndarray, max_level: int = MAX_LEVEL) -> Tree:
     return tree
 
 
-def build_partitioned(points: DataFrame, key: str, max_level: int = MAX_LEVEL) -> DataFrame:
-    """Node rows of one tree for each key; points go in in the order of pid."""
+def spatial_groups(points: DataFrame, level: int, most: int = GROUP_POINTS) -> DataFrame:
+    """Points (morton of `level`, pid and others) with `tree`, the shallowest cell of at most `most` points that holds them,
+    and `part`: a cell of the deepest level with more (equal points, say) is dealt into parts by pid."""
+    counted = hierarchy.cells(points)
+    frontier = hierarchy.top_down(hierarchy.pyramid(counted, level), most, level).where(~F.col("is_inner")).select(F.col("morton").alias("tree"), F.ceil(F.col("n_points") / most).alias("parts"))
+    up = counted.select("morton", F.explode(morton.ancestors(F.col("morton"), level)).alias("tree"))
+    part = F.pmod(F.xxhash64("pid"), F.greatest("parts", F.lit(1)))
+    return points.join(up.join(frontier, "tree"), "morton").withColumn("part", part).drop("parts")
+
+
+def build_partitioned(points: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
+    """Node rows of one tree for each (tree, part); points go in in the order of pid."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["pid", "x", "y", "z"], kind="stable")
-        tree = build(rows[["x", "y", "z"]].to_numpy(float), max_level)
-        out = pd.DataFrame(list(tree.rows()), columns=[c.split()[0] for c in NODES.split(", ")])
+        grown = build(rows[["x", "y", "z"]].to_numpy(float), max_level)
+        out = pd.DataFrame(list(grown.rows()), columns=[c.split()[0] for c in NODES.split(", ")])
         out["parent_id"] = out["parent_id"].astype("Int64")
-        out.insert(0, "tree", rows[key].iloc[0])
+        out.insert(0, "tree", rows["tree"].iloc[0])
+        out.insert(1, "part", rows["part"].iloc[0])
         return out
 
-    return points.select(key, "pid", "x", "y", "z").dropna().groupBy(key).applyInPandas(grow, f"tree long, {NODES}")
+    return points.select("tree", "part", "pid", "x", "y", "z").dropna().groupBy("tree", "part").applyInPandas(grow, f"tree long, part long, {NODES}")
 
 
 def statistics(nodes: DataFrame) -> DataFrame:
     """One row for each tree; averages are whole numbers, null where they would divide by zero."""
     leaf = F.col("is_leaf")
     inner = F.count_if(~leaf)
-    return nodes.groupBy("tree").agg(
+    return nodes.groupBy("tree", "part").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.count_if(leaf).alias("n_leaves"), F.sum("n_points").alias("n_points"), F.max("depth").alias("max_depth"),
         F.floor(F.sum("n_points") / F.nullif(F.count_if(leaf), F.lit(0))).cast("long").alias("avg_points_per_leaf"),
         F.floor(F.sum("n_children") / F.nullif(inner, F.lit(0))).cast("long").alias("avg_children_per_inner"),
@@ -141,12 +158,12 @@ def statistics(nodes: DataFrame) -> DataFrame:
 def violations(nodes: DataFrame, epsilon: float = 1e-5) -> DataFrame:
     """Children that aren't smaller than their parent or stick out of it (no rows: the trees are sane)."""
     cols = [f"{k}{a}" for k in "oe" for a in "xyz"]
-    up = nodes.select("tree", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in cols])
-    both = nodes.join(up, ["tree", "parent_id"])
+    up = nodes.select("tree", "part", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in cols])
+    both = nodes.join(up, ["tree", "part", "parent_id"])
     x, y, z = (F.col(f"e{a}") for a in "xyz")
     px, py, pz = (F.col(f"p_e{a}") for a in "xyz")
     larger = x * (y + z) + y * z >= px * (py + pz) + py * pz + epsilon
     out = F.lit(False)
     for a in "xyz":
         out = out | (F.col(f"o{a}") < F.col(f"p_o{a}") - epsilon) | (F.col(f"o{a}") + F.col(f"e{a}") > F.col(f"p_o{a}") + F.col(f"p_e{a}") + epsilon)
-    return both.where(larger | out).select("tree", "node_id", "parent_id", larger.alias("not_smaller"), out.alias("sticks_out"))
+    return both.where(larger | out).select("tree", "part", "node_id", "parent_id", larger.alias("not_smaller"), out.alias("sticks_out"))

@@ -59,11 +59,11 @@ i AS (SELECT *, {index[0]} AS ix, {index[1]} AS iy, {index[2]} AS iz FROM n),
 m AS (SELECT * EXCLUDE (ix, iy, iz), {morton.sql_encode('ix', 'iy', 'iz', level)} AS morton FROM i)"""
 
 
-LINE_CELLS = f"WITH {grid_sql(LINE_SQL, LEVEL)},\nc AS (SELECT morton, count(*) AS n FROM m GROUP BY 1)"
-PYRAMID_SQL = "l AS (" + " UNION ALL ".join(f"SELECT {lv} AS level, morton >> {3 * (LEVEL - lv)} AS morton, sum(n)::BIGINT AS n_points FROM c GROUP BY 2" for lv in range(LEVEL + 1)) + ")"
+LINE_CELLS = f"WITH {grid_sql(LINE_SQL, LEVEL)},\nc AS MATERIALIZED (SELECT morton, count(*) AS n FROM m GROUP BY 1)"
+PYRAMID_SQL = "l AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {lv} AS level, morton >> {3 * (LEVEL - lv)} AS morton, sum(n)::BIGINT AS n_points FROM c GROUP BY 2" for lv in range(LEVEL + 1)) + ")"
 NODES_SQL = f"""{LINE_CELLS}, {PYRAMID_SQL},
-k AS (SELECT morton >> 3 AS up, count(*) AS n_children FROM l WHERE level BETWEEN 1 AND {LEAF} GROUP BY 1),
-nodes AS (SELECT morton, level, CASE WHEN morton <> 1 THEN morton >> 3 END AS parent_morton, level = {LEAF} AS is_leaf, n_points, coalesce(n_children, 0) AS n_children
+k AS MATERIALIZED (SELECT morton >> 3 AS up, count(*) AS n_children FROM l WHERE level BETWEEN 1 AND {LEAF} GROUP BY 1),
+nodes AS MATERIALIZED (SELECT morton, level, CASE WHEN morton <> 1 THEN morton >> 3 END AS parent_morton, level = {LEAF} AS is_leaf, n_points, coalesce(n_children, 0) AS n_children
   FROM l LEFT JOIN k ON morton = up WHERE level <= {LEAF})"""
 SIZE_SQL = [f"(SELECT s{a} * scale FROM g)" for a in "xyz"]
 
@@ -324,7 +324,7 @@ def collapse_leaves(spark, sf_dir):
     "topdown_split",
     f"""{LINE_CELLS}, {PYRAMID_SQL}
 SELECT l.level, l.morton, l.n_points, l.n_points > {SPLIT_MOST} AND l.level < {LEVEL} AS is_inner, CASE WHEN l.n_points > {SPLIT_MOST} AND l.level < {LEVEL} THEN {SPLIT_MOST} ELSE l.n_points END::BIGINT AS n_contents
-FROM l LEFT JOIN l u ON u.morton = l.morton >> 3 WHERE l.morton = 1 OR u.n_points > {SPLIT_MOST}""",
+FROM (SELECT *, morton >> 3 AS up FROM l) l LEFT JOIN (SELECT morton AS um, n_points AS up_points FROM l) u ON u.um = l.up WHERE l.morton = 1 OR u.up_points > {SPLIT_MOST}""",
 )
 def topdown_split(spark, sf_dir):
     return hierarchy.top_down(hierarchy.pyramid(line_cells(spark, sf_dir), LEVEL), SPLIT_MOST, LEVEL)
@@ -551,12 +551,30 @@ def union_files(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
-# bounding volumes (sequential by nature: no SQL)
+# bounding volumes: insertion is sequential by nature, so SQL states single trees as values, and what must hold for all
+
+
+BVH_LEVEL, BVH_POINTS = 4, 64
+#: Three points each, with the trees that insertion gives.
+_BVH_POINTS = {1: ((-1, -1, -1), (1, 1, 1), (2, 2, 2)), 2: ((-1, -1, -1), (1, 1, 1), (2, 2, 0.5)), 3: ((-1, -1, 0), (2, 2, -1), (0, 0, 1))}
+_BVH_TREES = (
+    "(1, 1, -1, -1, -1, 3, 3, 3, false, 0, 2), (1, 2, -1, -1, -1, 0, 0, 0, true, 1, 0), (1, 2, 1, 1, 1, 1, 1, 1, false, 0, 2), (1, 3, 1, 1, 1, 0, 0, 0, true, 1, 0), (1, 3, 2, 2, 2, 0, 0, 0, true, 1, 0), "
+    "(2, 1, -1, -1, -1, 3, 3, 2, false, 0, 2), (2, 2, -1, -1, -1, 0, 0, 0, true, 1, 0), (2, 2, 1, 1, 0.5, 1, 1, 0.5, false, 0, 2), (2, 3, 1, 1, 1, 0, 0, 0, true, 1, 0), (2, 3, 2, 2, 0.5, 0, 0, 0, true, 1, 0), "
+    "(3, 1, -1, -1, -1, 3, 3, 2, false, 0, 2), (3, 2, 2, 2, -1, 0, 0, 0, true, 1, 0), (3, 2, -1, -1, 0, 1, 1, 1, false, 0, 2), (3, 3, -1, -1, 0, 0, 0, 0, true, 1, 0), (3, 3, 0, 0, 1, 0, 0, 0, true, 1, 0)"
+)
+_BOX = [f"{k}{a}" for k in "oe" for a in "xyz"]
+
+
+@query("bvh_small_trees", f"SELECT tree::BIGINT AS tree, depth::INTEGER AS depth, {', '.join(f'{c}::DOUBLE AS {c}' for c in _BOX)}, is_leaf, n_points::BIGINT AS n_points, n_children::BIGINT AS n_children FROM (VALUES {_BVH_TREES}) AS t(tree, depth, {', '.join(_BOX)}, is_leaf, n_points, n_children)")
+def bvh_small_trees(spark, sf_dir):
+    rows = [(t, 0, i, *map(float, p)) for t, ps in _BVH_POINTS.items() for i, p in enumerate(ps)]
+    p = spark.createDataFrame(rows, "tree long, part long, pid long, x double, y double, z double")
+    return bvh.build_partitioned(p).select("tree", "depth", *_BOX, "is_leaf", "n_points", "n_children")
 
 
 @query("bvh_nodes")
 def bvh_nodes(spark, sf_dir):
-    return bvh.build_partitioned(points.with_morton(embedded_points(spark, sf_dir), 1), "morton")
+    return bvh.build_partitioned(bvh.spatial_groups(points.with_morton(embedded_points(spark, sf_dir), BVH_LEVEL), BVH_LEVEL, BVH_POINTS))
 
 
 @query("bvh_stats")
@@ -564,7 +582,22 @@ def bvh_stats(spark, sf_dir):
     return bvh.statistics(bvh_nodes(spark, sf_dir))
 
 
-@query("bvh_violations")
+_BVH_GROUPS_SQL = f"""WITH {grid_sql(EMBEDDED_SQL, BVH_LEVEL)},
+b AS MATERIALIZED (SELECT lv, morton >> (3 * ({BVH_LEVEL} - lv)) AS tree, count(*) AS n FROM m, (SELECT unnest(range(0, {BVH_LEVEL + 1})) AS lv) GROUP BY ALL),
+f AS (SELECT b.lv, b.tree FROM b LEFT JOIN b u ON u.tree = b.tree >> 3 WHERE (b.tree = 1 OR u.n > {BVH_POINTS}) AND (b.n <= {BVH_POINTS} OR b.lv = {BVH_LEVEL}))"""
+
+
+@query(
+    "bvh_roots",
+    f"{_BVH_GROUPS_SQL} SELECT tree, count(*) AS n_points, count(*) AS n_leaves, " + ", ".join([f"min({a}) AS o{a}" for a in "xyz"] + [f"max({a}) - min({a}) AS e{a}" for a in "xyz"]) + f" FROM m JOIN f ON m.morton >> (3 * ({BVH_LEVEL} - lv)) = tree GROUP BY 1",
+)
+def bvh_roots(spark, sf_dir):
+    n = bvh_nodes(spark, sf_dir)
+    held = n.groupBy("tree").agg(F.sum("n_points").alias("n_points"), F.count_if("is_leaf").alias("n_leaves"))
+    return n.where("depth = 1").select("tree", *_BOX).join(held, "tree")
+
+
+@query("bvh_violations", "SELECT 0::BIGINT AS tree, 0::BIGINT AS part, 0::BIGINT AS node_id, 0::BIGINT AS parent_id, false AS not_smaller, false AS sticks_out WHERE false")
 def bvh_violations(spark, sf_dir):
     return bvh.violations(bvh_nodes(spark, sf_dir))
 
