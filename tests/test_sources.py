@@ -55,9 +55,41 @@ def test_write_merge_and_group(spark, tmp_path):
     merged = keyed.merge_faces(faces, off).orderBy("file_ord")
     assert [r.vertex_indices for r in merged.collect()] == [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
     out = str(tmp_path / "m.ply")
-    ply.write(g, out, merged)
+    with pytest.raises(ply.PlyError):
+        ply.write(g, out, merged)
+    ply.write(g.withColumn("nth", F.monotonically_increasing_id()), out, merged, "nth", "file_ord")
     assert rows(ply.read(spark, out)) == sorted(ROWS * 3)
     assert [r[0] for r in ply.read(spark, out, "face").collect()] == [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
+    again = str(tmp_path / "n.ply")
+    ply.merge(str(tmp_path / "g.gp"), spark, again)
+    assert (tmp_path / "n.ply").read_bytes() == (tmp_path / "m.ply").read_bytes()
+    # triangles by ranges of rows, in the file's order
+    df = ply.read(spark, again, "face", rows_per_split=2)
+    assert df.rdd.getNumPartitions() == 2 and [r[0] for r in df.collect()] == [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
+    assert [tuple(round(float(v), 4) for v in r) for r in ply.read(spark, again).collect()] == ROWS * 3
+
+
+def test_parts_in_the_order_of_an_index(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    n = 1000
+    rows = spark.range(n).select("id", *[(F.col("id") + k).cast("float").alias(c) for k, c in enumerate(("x", "y", "z", "nx", "ny", "nz"))]).repartition(7, F.rand(1))
+    ply.write_parts(rows, str(tmp_path / "parts"), index="id")
+    assert [r.x for r in ply.read(spark, str(tmp_path / "parts")).collect()] == list(range(n))
+    assert not [p for p in (tmp_path / "parts").iterdir() if p.suffix != ".ply"]
+    quads = spark.createDataFrame([([0, 1, 2, 3],), ([3, 4, 5],), ([],)], "vertex_indices array<long>").coalesce(1)
+    ply.write_parts(quads, str(tmp_path / "faces"), "face")
+    assert sorted(r[0] for r in ply.read(spark, str(tmp_path / "faces"), "face").collect()) == [[], [0, 1, 2, 3], [3, 4, 5]]
+
+
+@pytest.mark.parametrize("step", [1, 7, 10, 64, 100000])
+def test_ascii_by_ranges_of_bytes(spark, tmp_path, step):
+    lines = [" ".join(map(str, (i, i / 2, -i, 1, 0, 0))) for i in range(120)]
+    (tmp_path / "a.ply").write_text("\n".join(["ply", "format ascii 1.0", "element vertex 120", *[f"property float {c}" for c in ("x", "y", "z", "nx", "ny", "nz")], "end_header", *lines]))
+    reader = ply.PlyReader({"path": str(tmp_path / "a.ply"), "bytes_per_split": step}, "vertex")
+    splits = reader.partitions()
+    got = [x for s in splits for b in reader.read(s) for x in b.column("x").to_pylist()]
+    assert got == list(range(120)) and (len(splits) > 1 or step > 10000)
 
 
 def test_bad_files(spark, tmp_path):
@@ -79,7 +111,7 @@ def test_octree_store(spark, tmp_path):
     d = str(tmp_path / "nodes")
     octree_store.write_breadth(nodes, d)
     seen = []
-    assert octree_store.read_progressively(spark, d, lambda lv, df: seen.append((lv, df.count()))) == 2
+    assert octree_store.read_progressively(spark, d, lambda lv, df: seen.append((lv, df.count())), 60) == 2
     assert seen == [(0, 1), (1, 2), (2, 2)]
     e = str(tmp_path / "deep")
     octree_store.write_depth(nodes, e, 2)
@@ -94,3 +126,43 @@ def test_octree_store(spark, tmp_path):
     assert octree_store.read_meta(str(tmp_path / "n.oct")).origin == (0.0, 0.0, 0.0)
     with pytest.raises(ValueError):
         octree_store.open_cloud(spark, "a.txt")
+
+
+def test_progressive_reading_waits_for_the_writer(spark, tmp_path):
+    d = str(tmp_path / "nodes")
+    levels = {0: [(1,)], 1: [(8,), (9,)], 2: [(64,), (70,), (77,)]}
+    seen = []
+
+    def put(lv):
+        octree_store.write_level(spark.createDataFrame(levels[lv], "morton long"), d, lv, lv == 2)
+
+    def each(lv, df):
+        seen.append((lv, sorted(r.morton for r in df.collect())))
+        if lv < 2:  # the next level comes only now
+            put(lv + 1)
+
+    put(0)
+    assert octree_store.read_progressively(spark, d, each, 120) == 2
+    assert seen == [(lv, [m for (m,) in v]) for lv, v in levels.items()]
+    half = str(tmp_path / "half")
+    octree_store.write_level(spark.createDataFrame([(1,)], "morton long"), half, 0, False)
+    with pytest.raises(TimeoutError):
+        octree_store.read_progressively(spark, half, lambda *a: None, 2)
+
+
+def test_sort_to_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    cloud = spark.range(500).select("id", *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(97)) / 4).alias(a) for k, a in enumerate("xyz")], *[F.lit(v).alias(c) for c, v in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))])
+    meta = octree_store.sort_to_file(cloud, 5, str(tmp_path / "s.ply"), str(tmp_path / "s.oct"), "id")
+    assert octree_store.read_meta(str(tmp_path / "s.oct")) == meta and meta.depth == 5
+    from voxelake.operators import points
+
+    want = [(r.x, r.y, r.z) for r in cloud.join(points.with_morton(cloud, 5).select("id", "morton"), "id").orderBy("morton", "id").collect()]
+    assert [(r.x, r.y, r.z) for r in ply.read(spark, str(tmp_path / "s.ply")).collect()] == want
+
+
+def test_report(spark, tmp_path):
+    stats = spark.createDataFrame([(0, 1), (1, 8)], "level int, n_nodes long")
+    octree_store.write_report(stats, str(tmp_path / "report"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "report")).select("level", "n_nodes").collect())) == [(0, 1), (1, 8)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelake.functions import geometry, morton
+from voxelake.operators import ordering
 
 
 @dataclass(frozen=True)
@@ -105,3 +106,16 @@ def complete_groups(front: DataFrame, nodes: DataFrame) -> DataFrame:
 def apply_changes(front: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
     """The front after a deferred pass: deletions first, then insertions, as sets of codes."""
     return front.select("morton").join(deleted.select("morton"), "morton", "left_anti").union(inserted.select("morton")).distinct()
+
+
+def segments(front: DataFrame, deepest: int, count: int) -> DataFrame:
+    """morton, segment (1 to count): the front in depth-first order in equal parts, one of which is tracked in a frame.
+    Nodes of a front don't hold each other, so their first descendants are as many codes in the same order."""
+    lifted = front.select("morton", morton.preorder(F.col("morton"), deepest)[0].alias("first"))
+    dealt = ordering.segments(lifted.select(F.col("first").alias("morton")), deepest, count)
+    return lifted.join(dealt.select(F.col("morton").alias("first"), "segment"), "first").select("morton", "segment")
+
+
+def contains(front: DataFrame, codes: DataFrame) -> DataFrame:
+    """The codes (column morton) that are in the front."""
+    return codes.join(front.select("morton"), "morton", "left_semi")

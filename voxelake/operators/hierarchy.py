@@ -11,6 +11,8 @@ RATIO = 0.2
 SURFEL_BYTES = 36
 #: Rows of one leaf with ids in one range of 2^ID_BITS are numbered together.
 ID_BITS = 16
+#: Levels of the pyramid that one aggregation makes.
+STEP = 8
 
 
 def cells(points: DataFrame) -> DataFrame:
@@ -23,14 +25,20 @@ def leaves(cell_counts: DataFrame) -> DataFrame:
     return cell_counts.groupBy(F.shiftrightunsigned("morton", 3).alias("morton")).agg(F.min("morton").alias("first"), F.sum("n").alias("n_points"))
 
 
-def pyramid(cell_counts: DataFrame, level: int, first: int = 0) -> DataFrame:
-    """level, morton, n_points, of every node from level `first` to `level`: one aggregation over counted cells."""
-    each = F.array(*[F.struct(F.lit(lv).alias("level"), morton.ancestor(F.col("morton"), level, lv).alias("code")) for lv in range(first, level + 1)])
-    return (
-        cell_counts.select(F.explode(each).alias("a"), "n")
-        .groupBy(F.col("a.level").alias("level"), F.col("a.code").alias("morton"))
-        .agg(F.sum("n").alias("n_points"))
-    )
+def pyramid(cell_counts: DataFrame, level: int, first: int = 0, step: int = STEP) -> DataFrame:
+    """level, morton, n_points, of every node from level `first` to `level`.  `step` levels go into one aggregation over
+    counted rows, and the next ones over the nodes of its coarsest level, so a deep pyramid shuffles a few rows for each
+    cell and not one for each level."""
+    out, now, top = None, cell_counts, level
+    while True:
+        low = max(first, top - step + 1)
+        at = top if out is None else top + 1
+        each = F.array(*[F.struct(F.lit(lv).alias("level"), morton.ancestor(F.col("morton"), at, lv).alias("code")) for lv in range(low, top + 1)])
+        part = now.select(F.explode(each).alias("a"), "n").groupBy(F.col("a.level").alias("level"), F.col("a.code").alias("morton")).agg(F.sum("n").alias("n_points"))
+        out = part if out is None else out.unionByName(part)
+        if low <= first:
+            return out
+        now, top = part.where(F.col("level") == low).select("morton", F.col("n_points").alias("n")), low - 1
 
 
 def nodes(cell_counts: DataFrame, leaf_level: int, cell_level: int) -> DataFrame:
@@ -125,6 +133,42 @@ def top_down(level_counts: DataFrame, most: int, deepest: int) -> DataFrame:
     return kept.where((F.col("morton") == 1) | (F.col("up_points") > most)).select("level", "morton", "n_points", inner.alias("is_inner"), F.when(inner, F.lit(most)).otherwise(F.col("n_points")).cast("long").alias("n_contents"))
 
 
+def kept_points(points: DataFrame, level: int, most: int, salts: int = 64) -> DataFrame:
+    """level, morton, pid: the points that each node of a top-down build keeps: all if it isn't split, else the `most` first by
+    a formula of pid that looks random.  The first of a node are among the first of its children, so each level reads only
+    what the one below kept; cells are cut down in salted parts first, whatever share of the points they hold."""
+    order = [F.pmod(F.col("pid") * F.lit(1103515245) + F.lit(12345), F.lit(2147483648)), F.col("pid")]
+
+    def first(rows, *keys):
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= most).drop("nth")
+
+    salted = first(points.select("morton", "pid").withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(salts))), "morton", "salt").select("morton", "pid")
+    now = first(salted, "morton")
+    out = now.withColumn("level", F.lit(level))
+    for lv in range(level - 1, -1, -1):
+        now = first(now.select(F.shiftrightunsigned("morton", 3).alias("morton"), "pid"), "morton")
+        out = out.unionByName(now.withColumn("level", F.lit(lv)))
+    split = top_down(pyramid(cells(points), level), most, level)
+    inner = split.where("is_inner").select("level", "morton")
+    whole = split.where(~F.col("is_inner")).select("level", F.col("morton").alias("node"))
+    # leaves hold all their points, found by the one ancestor of each cell that is a leaf
+    up = points.select("morton").distinct().select("morton", F.posexplode(morton.ancestors(F.col("morton"), level)).alias("level", "node"))
+    leaf_of = up.join(whole, ["level", "node"]).select("morton", "level", "node")
+    held = points.select("morton", "pid").join(leaf_of, "morton").select("level", F.col("node").alias("morton"), "pid")
+    return out.join(inner, ["level", "morton"], "left_semi").select("level", "morton", "pid").unionByName(held)
+
+
+def release_children(nodes: DataFrame, roots: DataFrame, deepest: int) -> DataFrame:
+    """The node table without what lies below the roots (column morton), which become leaves."""
+    up = F.filter(F.array(*[F.shiftrightunsigned("morton", 3 * k) for k in range(1, deepest + 1)]), lambda c: c > 0)
+    below = nodes.select("morton", F.explode(up).alias("above")).join(roots.select(F.col("morton").alias("above")), "above", "left_semi").select("morton").distinct()
+    turned = roots.select("morton", F.lit(True).alias("turned")).distinct()
+    rest = nodes.join(below, "morton", "left_anti").join(turned, "morton", "left")
+    is_root = F.col("turned").isNotNull()
+    values = {"is_leaf": F.col("is_leaf") | is_root, "n_children": F.when(is_root, F.lit(0)).otherwise(F.col("n_children")).cast("long")}
+    return rest.select(*[values.get(c, F.col(c)).alias(c) for c in nodes.columns])
+
+
 def append_points(parent_rows: DataFrame) -> DataFrame:
     """parent, contents (array), is_leaf -> all contents of a parent's children, in their order, with counts of
     children and leaf children (at most eight rows meet)."""

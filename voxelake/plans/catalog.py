@@ -7,11 +7,16 @@ the next three as normal and vec_id as its id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.functions import geometry, morton
 from voxelake.operators import bvh, front, hierarchy, keyed, ordering, points
+from voxelake.sources import octree_store
+from voxelake.sources.key_table import KeyTable
+from voxelake.sources.shared import work_dir
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -86,8 +91,47 @@ def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.nodes(line_cells(spark, sf_dir), LEAF, LEVEL)
 
 
+@dataclass
+class Built:
+    """An octree on disk: its metadata file, and cells beside the nodes that it names."""
+
+    oct: str
+    cells: str
+
+
+_built: dict[tuple[str, str], Built] = {}
+
+
+def built(spark: SparkSession, sf_dir: str) -> Built:
+    """LINE's octree, written once in a session: cells and nodes clustered by code.  Queries on nodes read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        folder = work_dir(spark, "octree")
+        hierarchy.cells(points.with_morton(line_points(spark, sf_dir), LEVEL)).repartitionByRange("morton").sortWithinPartitions("morton").write.parquet(f"{folder}/cells")
+        counted = spark.read.schema("morton long, n long").parquet(f"{folder}/cells")
+        octree_store.write_breadth(hierarchy.nodes(counted, LEAF, LEVEL), f"{folder}/nodes")
+        b = points.bounds(line_points(spark, sf_dir)).first()
+        octree_store.write_meta(octree_store.Meta(f"{sf_dir}/lineitem.parquet", f"{folder}/nodes", (b.sx, b.sy, b.sz), (b.ox, b.oy, b.oz), LEVEL), f"{folder}/line.oct")
+        _built[key] = Built(f"{folder}/line.oct", f"{folder}/cells")
+    return _built[key]
+
+
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema("morton long, n long").parquet(built(spark, sf_dir).cells)
+
+
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table as it lies on disk; `level` is its partition column."""
+    _, nodes, _ = octree_store.open_cloud(spark, built(spark, sf_dir).oct)
+    return nodes.select("morton", "level", "parent_morton", "is_leaf", "n_points", "n_children")
+
+
 def with_line_grid(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.with_grid(df, points.bounds(line_points(spark, sf_dir)))
+    """Rows with the grid that the octree's metadata has."""
+    meta = octree_store.read_meta(built(spark, sf_dir).oct)
+    most = max(meta.size)
+    values = dict(zip(("ox", "oy", "oz", "sx", "sy", "sz", "scale"), (*meta.origin, *meta.size, 1.0 / most if most > 0 else 1.0)))
+    return df.withColumn("grid", F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()]))
 
 
 # bounds, normalisation, codes
@@ -281,12 +325,12 @@ def sibling_prefix(spark, sf_dir):
 
 @query("left_right_sibling", f"{NODES_SQL} SELECT morton, lag(morton) OVER (PARTITION BY morton >> 3 ORDER BY morton) AS left_sibling, lead(morton) OVER (PARTITION BY morton >> 3 ORDER BY morton) AS right_sibling FROM nodes")
 def left_right_sibling(spark, sf_dir):
-    return hierarchy.siblings(line_nodes(spark, sf_dir))
+    return hierarchy.siblings(stored_nodes(spark, sf_dir))
 
 
 @query("parent_child_join", f"{NODES_SQL} SELECT a.morton AS parent, b.morton AS child, b.n_points AS child_points, a.n_points AS parent_points FROM nodes a JOIN nodes b ON b.parent_morton = a.morton")
 def parent_child_join(spark, sf_dir):
-    n = line_nodes(spark, sf_dir)
+    n = stored_nodes(spark, sf_dir)
     a = n.select(F.col("morton").alias("parent"), F.col("n_points").alias("parent_points"))
     return a.join(n.select(F.col("parent_morton").alias("parent"), F.col("morton").alias("child"), F.col("n_points").alias("child_points")), "parent")
 
@@ -327,7 +371,32 @@ SELECT l.level, l.morton, l.n_points, l.n_points > {SPLIT_MOST} AND l.level < {L
 FROM (SELECT *, morton >> 3 AS up FROM l) l LEFT JOIN (SELECT morton AS um, n_points AS up_points FROM l) u ON u.um = l.up WHERE l.morton = 1 OR u.up_points > {SPLIT_MOST}""",
 )
 def topdown_split(spark, sf_dir):
-    return hierarchy.top_down(hierarchy.pyramid(line_cells(spark, sf_dir), LEVEL), SPLIT_MOST, LEVEL)
+    return hierarchy.top_down(hierarchy.pyramid(stored_cells(spark, sf_dir), LEVEL), SPLIT_MOST, LEVEL)
+
+
+KEPT = 40
+
+
+@query(
+    "topdown_contents",
+    f"""WITH {grid_sql(EVENTS_SQL, SAMPLE_LEVEL)},
+a AS MATERIALIZED (SELECT lv AS level, morton >> (3 * ({SAMPLE_LEVEL} - lv)) AS node, pid FROM m, (SELECT unnest(range(0, {SAMPLE_LEVEL + 1}))::INTEGER AS lv)),
+k AS MATERIALIZED (SELECT node, count(*) AS n FROM a GROUP BY 1),
+w AS (SELECT a.*, k.n, row_number() OVER (PARTITION BY node ORDER BY (pid * 1103515245 + 12345) % 2147483648, pid) AS nth FROM a JOIN k USING (node) LEFT JOIN (SELECT node AS um, n AS un FROM k) u ON um = node >> 3 WHERE node = 1 OR un > {KEPT})
+SELECT level, node AS morton, pid FROM w WHERE n <= {KEPT} OR level = {SAMPLE_LEVEL} OR nth <= {KEPT}""",
+)
+def topdown_contents(spark, sf_dir):
+    return hierarchy.kept_points(points.with_morton(event_points(spark, sf_dir), SAMPLE_LEVEL), SAMPLE_LEVEL, KEPT)
+
+
+@query(
+    "release_children",
+    f"{NODES_SQL}, r AS MATERIALIZED (SELECT morton AS root FROM nodes WHERE level = 3 AND n_points < 60), b AS MATERIALIZED (SELECT DISTINCT morton FROM (SELECT morton, morton >> (3 * k) AS above FROM nodes, (SELECT unnest(range(1, {LEAF + 1})) AS k)) JOIN r ON above = root) "
+    "SELECT morton, level, is_leaf OR root IS NOT NULL AS is_leaf, CASE WHEN root IS NULL THEN n_children ELSE 0 END::BIGINT AS n_children FROM nodes LEFT JOIN r ON morton = root WHERE morton NOT IN (SELECT morton FROM b)",
+)
+def release_children(spark, sf_dir):
+    n = stored_nodes(spark, sf_dir)
+    return hierarchy.release_children(n, n.where("level = 3 and n_points < 60"), LEAF).select("morton", "level", "is_leaf", "n_children")
 
 
 @query("append_points", f"WITH {grid_sql(EVENTS_SQL, 4)} SELECT morton >> 3 AS parent, string_agg(pid, ',' ORDER BY morton, pid) AS contents, count(DISTINCT morton) AS n_children, count(DISTINCT morton) AS n_leaves FROM m GROUP BY 1")
@@ -410,7 +479,7 @@ _L, _H = [f"l{a}" for a in "xyz"], [f"h{a}" for a in "xyz"]
 
 def boxed(spark, sf_dir):
     """Nodes with the corners of their cells."""
-    n = with_line_grid(line_nodes(spark, sf_dir), spark, sf_dir)
+    n = with_line_grid(stored_nodes(spark, sf_dir), spark, sf_dir)
     low, high = geometry.cell_box(F.col("morton"), F.col("level"), points.grid_size())
     return n.withColumns({f"l{a}": v for v, a in zip(low, "xyz")} | {f"h{a}": v for v, a in zip(high, "xyz")})
 
@@ -430,7 +499,7 @@ def frustum_cull(spark, sf_dir):
 
 @query("projection_test", f"{BOXES_SQL}, {_flags_sql()} SELECT morton, round(diagonal, 9) AS diagonal, fine AS renderable FROM v")
 def projection_test(spark, sf_dir):
-    p = front.judged(with_line_grid(line_nodes(spark, sf_dir), spark, sf_dir), VIEW)
+    p = front.judged(with_line_grid(stored_nodes(spark, sf_dir), spark, sf_dir), VIEW)
     return p.select("morton", F.round("diagonal", 9).alias("diagonal"), F.col("is_fine").alias("renderable"))
 
 
@@ -447,7 +516,7 @@ CUT_SQL = f"{BOXES_SQL}, {_cut_sql()}"
 
 
 def line_cut(spark, sf_dir):
-    n = with_line_grid(line_nodes(spark, sf_dir), spark, sf_dir)
+    n = with_line_grid(stored_nodes(spark, sf_dir), spark, sf_dir)
     return front.lod_cut(n, VIEW, LEAF)
 
 
@@ -471,7 +540,17 @@ def lod_cut_quota(spark, sf_dir):
 
 @query("complete_groups", f"{CUT_SQL}, h AS (SELECT morton >> 3 AS parent, count(*) AS n_here FROM cut WHERE morton <> 1 GROUP BY cut.morton >> 3) SELECT parent, n_here, n_children, n_here = n_children AS complete FROM h JOIN nodes ON parent = morton")
 def complete_groups(spark, sf_dir):
-    return front.complete_groups(line_cut(spark, sf_dir), line_nodes(spark, sf_dir))
+    return front.complete_groups(line_cut(spark, sf_dir), stored_nodes(spark, sf_dir))
+
+
+@query("front_segments", f"{CUT_SQL} SELECT morton, ntile(5) OVER (ORDER BY morton << (3 * ({LEAF} - level)))::INTEGER AS segment FROM cut")
+def front_segments(spark, sf_dir):
+    return front.segments(line_cut(spark, sf_dir), LEAF, 5)
+
+
+@query("front_members", f"{CUT_SQL} SELECT morton FROM nodes WHERE n_points % 2 = 0 AND morton IN (SELECT morton FROM cut)")
+def front_members(spark, sf_dir):
+    return front.contains(line_cut(spark, sf_dir), stored_nodes(spark, sf_dir).where("n_points % 2 = 0").select("morton"))
 
 
 @query("front_changes", f"{CUT_SQL} SELECT morton FROM cut WHERE NOT cull UNION SELECT morton >> 3 FROM cut WHERE cull AND morton <> 1")
@@ -487,13 +566,13 @@ def front_changes(spark, sf_dir):
     "SELECT placeholder, max(ld.morton) AS substitute FROM up LEFT JOIN ld ON up.code = ld.morton GROUP BY 1",
 )
 def placeholder_substitution(spark, sf_dir):
-    n = line_nodes(spark, sf_dir)
+    n = stored_nodes(spark, sf_dir)
     return front.substitute(n.where("is_leaf"), n.where("n_points >= 40"), LEAF)
 
 
 @query("pending_level_pick", f"{NODES_SQL}, q AS (SELECT level, count(*) AS n FROM nodes WHERE n_points < 40 GROUP BY 1) SELECT level, n FROM q WHERE n > 0 ORDER BY n DESC, level DESC LIMIT 1")
 def pending_level_pick(spark, sf_dir):
-    return ordering.level_to_substitute(line_nodes(spark, sf_dir).where("n_points < 40").groupBy("level").agg(F.count(F.lit(1)).alias("n")))
+    return ordering.level_to_substitute(stored_nodes(spark, sf_dir).where("n_points < 40").groupBy("level").agg(F.count(F.lit(1)).alias("n")))
 
 
 # keys and ranges
@@ -503,7 +582,7 @@ _A, _B = morton.level_first(LEVEL) + (3 << 12), morton.level_first(LEVEL) + (90
 
 @query("range_scan", f"{LINE_CELLS} SELECT morton, n FROM c WHERE morton BETWEEN {_A} AND {_B}")
 def range_scan(spark, sf_dir):
-    return keyed.range_scan(line_cells(spark, sf_dir), _A, _B)
+    return keyed.range_scan(stored_cells(spark, sf_dir), _A, _B)
 
 
 _KEYS = (1, 8, 9, 64, 65, 512, 513, 1 << 60)
@@ -511,7 +590,7 @@ _KEYS = (1, 8, 9, 64, 65, 512, 513, 1 << 60)
 
 @query("key_lookup", f"{NODES_SQL} SELECT k AS morton, n_points, n.morton IS NOT NULL AS found FROM (SELECT unnest([{', '.join(map(str, _KEYS))}]::BIGINT[]) AS k) LEFT JOIN nodes n ON n.morton = k")
 def key_lookup(spark, sf_dir):
-    return keyed.lookup(line_nodes(spark, sf_dir).select("morton", "n_points"), _KEYS)
+    return keyed.lookup(stored_nodes(spark, sf_dir).select("morton", "n_points"), _KEYS)
 
 
 @query("upsert_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
@@ -519,14 +598,27 @@ def upsert_latest(spark, sf_dir):
     return keyed.latest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["event_id"], "event_type", "value")
 
 
+@query("key_table_changes", f"{LINE_CELLS} SELECT morton, CASE WHEN n > 2 THEN n + 1000 ELSE n END AS n FROM c WHERE NOT morton BETWEEN {_A} AND {_B} UNION ALL SELECT {_A}, 7")
+def key_table_changes(spark, sf_dir):
+    """Insert, replace, delete by range and insert again, in place, the last two as one version."""
+    cells = stored_cells(spark, sf_dir)
+    table = KeyTable.create(spark, work_dir(spark, "keys"), "morton long, n long", bucket_bits=17)
+    table.upsert(cells)
+    table.upsert(cells.where("n > 2").withColumn("n", F.col("n") + 1000))
+    with table.transaction():
+        table.delete_range(_A, _B)
+        table.upsert(spark.createDataFrame([(_A, 7)], "morton long, n long"))
+    return table.read()
+
+
 @query("range_delete", f"{LINE_CELLS} SELECT morton, n FROM c WHERE NOT morton BETWEEN {_A} AND {_B}")
 def range_delete(spark, sf_dir):
-    return keyed.delete_range(line_cells(spark, sf_dir), _A, _B)
+    return keyed.delete_range(stored_cells(spark, sf_dir), _A, _B)
 
 
 @query("interval_requests", f"{NODES_SQL} SELECT (parent_morton << 3) AS a, (parent_morton << 3) | 7 AS b, morton, n_points FROM nodes WHERE level = 5 AND parent_morton IN (SELECT parent_morton >> 3 FROM nodes WHERE level = 6 AND n_points >= 4)")
 def interval_requests(spark, sf_dir):
-    n = line_nodes(spark, sf_dir)
+    n = stored_nodes(spark, sf_dir)
     iv = morton.child_interval(F.shiftrightunsigned("parent_morton", 3))
     asked = n.where("level = 6 and n_points >= 4").select(iv["a"].alias("a"), iv["b"].alias("b"))
     return keyed.answer(asked, n.where("level = 5").select("morton", "n_points"), 5)
@@ -617,3 +709,8 @@ def stream_running_stats(spark, sf_dir):
     from voxelake.streaming import build
 
     return build.running_stats(spark, f"{sf_dir}/events.parquet")
+
+
+# further modules register their queries here
+
+from voxelake.plans import files, live  # noqa: E402, F401

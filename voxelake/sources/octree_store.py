@@ -1,8 +1,9 @@
-"""Octrees on disk: a Parquet table clustered by level, its metadata as JSON, and progressive reading."""
+"""Octrees on disk: a Parquet table clustered by level and code, its metadata as JSON, and progressive reading."""
 
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.functions import morton
+from voxelake.operators import points as point_ops
 from voxelake.sources import ply
+from voxelake.sources.shared import Folder, work_dir
 
 
 @dataclass
@@ -40,8 +43,25 @@ def read_meta(path: str) -> Meta:
 
 
 def write_breadth(nodes: DataFrame, path: str) -> None:
-    """Level by level (one folder each), sorted by code inside a level."""
+    """Level by level (one folder each), sorted by code inside a level; then a mark for each level, for progressive readers."""
     nodes.repartitionByRange("level", "morton").sortWithinPartitions("level", "morton").write.mode("overwrite").partitionBy("level").parquet(path)
+    levels = sorted(int(n.removeprefix("level=")) for n in Folder(nodes.sparkSession, path).names("") if n.startswith("level="))
+    for lv in levels:
+        _mark(nodes.sparkSession, path, lv, lv == levels[-1])
+
+
+def write_level(nodes: DataFrame, path: str, level: int, last: bool) -> None:
+    """One level more of a table that is being written, for readers that wait for it."""
+    nodes.drop("level").repartitionByRange("morton").sortWithinPartitions("morton").write.mode("overwrite").parquet(f"{path.rstrip('/')}/level={level}")
+    _mark(nodes.sparkSession, path, level, last)
+
+
+def _mark(spark: SparkSession, path: str, level: int, last: bool) -> None:
+    Folder(spark, _marks(path)).publish(f"{level:02d}.json", {"level": level, "last": last})
+
+
+def _marks(path: str) -> str:
+    return f"{path.rstrip('/')}-levels"
 
 
 def write_depth(nodes: DataFrame, path: str, deepest: int) -> None:
@@ -54,17 +74,52 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_progressively(spark: SparkSession, path: str, on_level: Callable[[int, DataFrame], None]) -> int:
-    """Publishes levels from the root on, as soon as each is there as a whole; queries are gated by
-    level <= the last one published.  Needs the level-by-level layout."""
-    nodes = spark.read.parquet(path)
-    if not any(f.endswith("level=0") for f in {x.rpartition("/")[0] for x in nodes.inputFiles()}):
+def read_progressively(spark: SparkSession, path: str, on_level: Callable[[int, DataFrame], None], seconds: float | None = None) -> int:
+    """Publishes levels from the root on, as soon as each is there as a whole: a stream of the levels' marks, which waits for
+    a writer that isn't done; queries are gated by level <= the last one published.  Returns the last level.  Needs
+    the level-by-level layout.  seconds: how long to wait for the rest (an error beyond that)."""
+    marks = Folder(spark, _marks(path))
+    if Folder(spark, path).names("") and not marks.names(""):
         raise ValueError("only a level-by-level table can be read progressively")
-    last = -1
-    for (level,) in sorted(nodes.select("level").distinct().collect()):  # at most 21
-        on_level(level, nodes.where(F.col("level") == level))
-        last = level
-    return last
+    marks._fs.mkdirs(marks.at(""))
+    kind = spark.createDataFrame([], "level int, last boolean").schema
+    here: dict[int, bool] = {}
+    state = {"next": 0}
+    done = threading.Event()
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        here.update({r["level"]: r["last"] for r in batch.collect()})  # at most 21 in all
+        while (lv := state["next"]) in here and not done.is_set():
+            on_level(lv, spark.read.parquet(f"{path.rstrip('/')}/level={lv}").withColumn("level", F.lit(lv)))
+            state["next"] = lv + 1
+            if here[lv]:
+                done.set()
+
+    stream = spark.readStream.schema(kind).json(_marks(path)).writeStream.foreachBatch(each)
+    q = stream.option("checkpointLocation", work_dir(spark, "levels")).trigger(processingTime="100 milliseconds").start()
+    left = seconds
+    try:
+        while not done.wait(0.1):
+            if not q.isActive:
+                raise q.exception() or RuntimeError("the stream of levels ended")
+            if left is not None and (left := left - 0.1) <= 0:
+                raise TimeoutError(f"level {state['next']} of {path} isn't there")
+    finally:
+        q.stop()
+    return state["next"] - 1
+
+
+def sort_to_file(cloud: DataFrame, level: int, ply_path: str, oct_path: str, *tie: str) -> Meta:
+    """A point table (x, y, z, nx, ny, nz) as one PLY file in Z-order (ties by the named columns), with its metadata beside it."""
+    grid = point_ops.bounds(cloud)
+    # the file keeps the points as they are; only their order is that of the normalised ones
+    codes = point_ops.with_morton(cloud.withColumns({f"raw_{a}": F.col(a) for a in "xyz"}), level, grid)
+    rows = codes.select("morton", *tie, *[F.col(f"raw_{a}").alias(a) for a in "xyz"], "nx", "ny", "nz")
+    ply.write(rows, ply_path, index=["morton", *tie])
+    b = grid.first()
+    meta = Meta(ply_path, "", (b.sx, b.sy, b.sz), (b.ox, b.oy, b.oz), level)
+    write_meta(meta, oct_path)
+    return meta
 
 
 def open_cloud(spark: SparkSession, path: str) -> tuple[str, DataFrame, Meta | None]:

@@ -1,15 +1,21 @@
 """PLY files as a data source: ASCII and both binary byte orders, scalar and list properties.
 
 `spark.dataSource.register(PlySource)` once, then `spark.read.format("ply").load(path)`; options: `path` (a file, a
-folder or several, separated by commas), `element` (vertex or face; default vertex), `rows_per_split`.  Vertices
-give x, y, z, nx, ny, nz (normals (1, 0, 0) where the file has none); faces give vertex_indices as integers.
-Fixed-size binary elements are split by byte ranges, so a large file is read by many tasks; ASCII files and
-elements with lists are read by one task each.  Files are opened through pyarrow's filesystems, so a path may be
+folder or several, separated by commas), `element` (vertex or face; default vertex), `rows_per_split`,
+`bytes_per_split`.  Vertices give x, y, z, nx, ny, nz (normals (1, 0, 0) where the file has none); faces give vertex_indices
+as integers.  A large file is read by many tasks: fixed-size binary elements by ranges of rows, binary faces that are
+triangles throughout (by the size of the file; each length is checked) likewise, and an ASCII element that is the only one with
+rows, one row a line, by ranges of bytes.  Other ASCII files and elements with lists are read by one task each.
+
+`df.write.format("ply").mode("append").save(folder)` is the distributed sink: one little-endian file for each partition, named
+in the order of the partitions and published by the driver after all tasks are done, so a task that runs again leaves
+nothing double.  `write` makes a single file of such parts.  Files are opened through pyarrow's filesystems, so a path may be
 local or any URI that pyarrow reaches from the executors.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from voxelake.sources.shared import work_dir
 
 # The format's type names, old and new.
 TYPES = {
@@ -118,9 +126,12 @@ def header_of(path: str) -> Header:
 
 @dataclass
 class Split(InputPartition):
+    """Rows of a file from `first` on; of an ASCII file with by_bytes, lines that begin in a range of bytes."""
+
     path: str
     first: int
     rows: int
+    by_bytes: bool = False
 
 
 def files_of(paths: str) -> list[str]:
@@ -132,7 +143,8 @@ def files_of(paths: str) -> list[str]:
         if info.type == pafs.FileType.NotFound:
             raise PlyError(f"no such file: {path}")
         if info.type == pafs.FileType.Directory:
-            out += sorted(i.path for i in fs.get_file_info(pafs.FileSelector(p)) if i.path.endswith(".ply"))
+            scheme = path[: len(path) - len(p)] if path.endswith(p) else ""
+            out += sorted(scheme + i.path for i in fs.get_file_info(pafs.FileSelector(p)) if i.path.endswith(".ply"))
         else:
             out.append(path)
     return out
@@ -155,6 +167,44 @@ def _ascii_rows(f, header: Header, wanted: Element) -> Iterator[list[str]]:
             return
 
 
+def _lines(f, split: Split) -> Iterator[list[str]]:
+    """Words of the lines that begin in the split's bytes."""
+    f.seek(split.first)
+    end = split.first + split.rows
+    at, left = split.first, b""
+    while True:
+        raw = f.read(1 << 20)
+        lines = (left + raw).split(b"\n")
+        left = lines.pop() if raw else b""
+        for line in lines:
+            if at >= end:
+                return
+            at += len(line) + 1
+            if line.strip():
+                yield line.decode("ascii").split()
+        if not raw:
+            return
+
+
+def _size_of(path: str) -> int:
+    fs, p = _filesystem(path)
+    return fs.get_file_info(p).size
+
+
+def triangles(h: Header, e: Element, path: str) -> np.dtype | None:
+    """The type of a row of a binary element whose only list has three entries in each row, by the size of the file."""
+    at = h.elements.index(e)
+    lists = [p for p in e.properties if p[2] is not None]
+    if h.format == "ascii" or len(lists) != 1 or at != len(h.elements) - 1 or not all(x.fixed for x in h.elements[:at]):
+        return None
+    kinds = []
+    for name, kind, length in e.properties:
+        kinds += [(name, h.order + kind)] if length is None else [(f"n {name}", h.order + length), (name, h.order + kind, 3)]
+    t = np.dtype(kinds)
+    before = h.size + sum(x.count * x.dtype(h.order).itemsize for x in h.elements[:at])
+    return t if _size_of(path) == before + e.count * t.itemsize else None
+
+
 def _skip(f, e: Element, order: str) -> None:
     if e.fixed:
         f.seek(f.tell() + e.count * e.dtype(order).itemsize)
@@ -180,14 +230,19 @@ class PlyReader(DataSourceReader):
         self.element = element
         self.paths = options.get("path") or ""
         self.rows = int(options.get("rows_per_split", 1 << 20))
+        self.bytes = int(options.get("bytes_per_split", 64 << 20))
 
     def partitions(self):
         out = []
         for path in files_of(self.paths):
             h = header_of(path)
             e = h.element(self.element)
-            one = h.format == "ascii" or not all(x.fixed for x in h.elements[: h.elements.index(e) + 1])
-            step = max(1, e.count if one else self.rows)
+            if h.format == "ascii" and e.fixed and all(x is e or not x.count for x in h.elements):
+                end = _size_of(path)
+                out += [Split(path, lo, min(self.bytes, end - lo), True) for lo in range(h.size, end, self.bytes)]
+                continue
+            whole = all(x.fixed for x in h.elements[: h.elements.index(e) + 1]) or triangles(h, e, path) is not None
+            step = max(1, self.rows if h.format != "ascii" and whole else e.count)
             out += [Split(path, lo, min(step, e.count - lo)) for lo in range(0, e.count, step)]
         return out or [Split("", 0, 0)]
 
@@ -213,7 +268,16 @@ class PlyReader(DataSourceReader):
     def _columns(self, f, h, e, split, names):
         if h.format == "ascii":
             rows = []
-            for row in _ascii_rows(f, h, e):
+            if split.by_bytes and split.first > h.size:  # a line that began before is the split's before
+                f.seek(split.first - 1)
+                skipped = 0
+                while (c := f.read(1 << 12)) and b"\n" not in c:
+                    skipped += len(c)
+                skipped += c.index(b"\n") if b"\n" in c else len(c)
+                split = Split(split.path, split.first + skipped, split.rows - skipped, True)
+                if split.rows <= 0:
+                    return
+            for row in _lines(f, split) if split.by_bytes else _ascii_rows(f, h, e):
                 rows.append(row)
                 if len(rows) == BATCH:
                     yield {n: np.array([r[i] for r in rows], np.float64) for i, n in enumerate(names) if e.properties[i][2] is None}, len(rows)
@@ -242,6 +306,18 @@ class PlyReader(DataSourceReader):
 
     def _faces(self, f, h: Header, e: Element, split: Split):
         at = [n for n, _, _ in e.properties].index("vertex_indices")
+        if (t := triangles(h, e, split.path)) is not None:
+            f.seek(h.size + sum(x.count * x.dtype(h.order).itemsize for x in h.elements[: h.elements.index(e)]) + split.first * t.itemsize)
+            left = split.rows
+            while left:
+                n = min(left, BATCH)
+                got = np.frombuffer(f.read(n * t.itemsize), t)
+                if len(got) < n or (got["n vertex_indices"] != 3).any():
+                    raise PlyError("the file ends early, or has faces that are no triangles")
+                flat = got["vertex_indices"].astype(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3, dtype=np.int32)), pa.array(flat))], ["vertex_indices"])
+                left -= n
+            return
         if h.format == "ascii":
             rows = ([int(w) for w in r[at]] for r in _ascii_rows(f, h, e))
         else:
@@ -259,6 +335,78 @@ class PlyReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.int64()))], ["vertex_indices"])
 
 
+def header_text(element: str, count: int) -> bytes:
+    if element == "vertex":
+        lines = [f"element vertex {count}", *[f"property float {c}" for c in ("x", "y", "z", "nx", "ny", "nz")]]
+    else:
+        lines = [f"element face {count}", "property list uchar int vertex_indices"]
+    return ("\n".join(lines) + "\n").encode()
+
+
+HEAD, END = b"ply\nformat binary_little_endian 1.0\n", b"end_header\n"
+
+
+def _body(batch: pa.RecordBatch, element: str) -> bytes:
+    if element == "vertex":
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in ("x", "y", "z", "nx", "ny", "nz")], 1).tobytes()
+    lists = batch.column("vertex_indices")
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+    if len(n) and (n == 3).all():
+        out = np.zeros(len(n), np.dtype([("n", "u1"), ("v", "<i4", 3)]))
+        out["n"], out["v"] = 3, flat.reshape(-1, 3)
+        return out.tobytes()
+    ends = np.cumsum(n)
+    return b"".join(bytes([k]) + flat[e - k : e].tobytes() for k, e in zip(n.tolist(), ends.tolist()))
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    made: str
+    name: str
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Each task streams its rows to a file of its own in a hidden folder; the driver renames those of tasks that are done."""
+
+    def __init__(self, options, element: str):
+        self.path, self.element = options.get("path").rstrip("/"), element
+        self.run = uuid.uuid4().hex
+
+    @property
+    def _hidden(self) -> str:
+        return f"{self.path}/_new-{self.run}"
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        fs, p = _filesystem(self._hidden)
+        fs.create_dir(p, recursive=True)
+        part = TaskContext.get().partitionId()
+        made = f"{p}/{uuid.uuid4().hex}"
+        count = 0
+        with fs.open_output_stream(f"{made}.body") as body:
+            for batch in iterator:
+                body.write(_body(batch, self.element))
+                count += batch.num_rows
+        with fs.open_output_stream(made) as out, fs.open_input_stream(f"{made}.body") as body:
+            out.write(HEAD + header_text(self.element, count) + END)
+            while piece := body.read(8 << 20):
+                out.write(piece)
+        return Part(made, f"part-{part:05d}-{self.run}.ply")
+
+    def commit(self, messages):
+        fs, p = _filesystem(self.path)
+        for m in filter(None, messages):
+            fs.move(m.made, f"{p}/{m.name}")
+        fs.delete_dir(f"{p}/_new-{self.run}")
+
+    def abort(self, messages):
+        fs, p = _filesystem(self._hidden)
+        if fs.get_file_info(p).type == pafs.FileType.Directory:
+            fs.delete_dir(p)
+
+
 class PlySource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -277,6 +425,11 @@ class PlySource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PlyReader(self.options, self._element)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise PlyError("a folder of PLY files is only appended to")
+        return PlyWriter(self.options, self._element)
+
 
 def read(spark: SparkSession, path: str, element: str = "vertex", rows_per_split: int = 1 << 20) -> DataFrame:
     spark.dataSource.register(PlySource)
@@ -298,19 +451,62 @@ def read_group(spark: SparkSession, group: str, element: str = "vertex") -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def write(points: DataFrame, path: str, faces: DataFrame | None = None) -> None:
-    """One little-endian file with six floats a vertex (and int lists a face), streamed through the driver row by
-    row: for exchange with other programs.  Tables of any size are kept as Parquet instead."""
-    n = points.count()
-    m = faces.count() if faces is not None else 0
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}", *[f"property float {c}" for c in ("x", "y", "z", "nx", "ny", "nz")]]
-    if faces is not None:
-        head += [f"element face {m}", "property list uchar int vertex_indices"]
+def ordered(rows: DataFrame, index: str | list[str] | None) -> DataFrame:
+    """Rows in the order of one or more columns over all partitions."""
+    by = [index] if isinstance(index, str) else index
+    return rows if by is None else rows.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def write_parts(rows: DataFrame, folder: str, element: str = "vertex", index: str | list[str] | None = None) -> None:
+    """A folder of files, one for each partition; with index, their names' order is that of the index."""
+    spark = rows.sparkSession
+    spark.dataSource.register(PlySource)
+    columns = ["vertex_indices"] if element == "face" else ["x", "y", "z", "nx", "ny", "nz"]
+    ordered(rows, index).select(*columns).write.format("ply").option("element", element).mode("append").save(folder)
+
+
+def write(points: DataFrame, path: str, faces: DataFrame | None = None, index: str | list[str] | None = None, face_index: str | list[str] | None = None) -> None:
+    """One little-endian file with six floats a vertex (and int lists a face), in the order of the index columns, for exchange
+    with other programs.  Tasks write the rows as parts in the shared folder; the driver copies the parts' bytes behind one
+    header.  Each table is evaluated once.  Faces name vertices by position, so with faces the index is a must."""
+    if faces is not None and index is None:
+        raise PlyError("faces need an order of the vertices")
+    spark = points.sparkSession
+    folder = work_dir(spark, "ply")
+    parts: list[tuple[str, list[str]]] = []
+    for element, rows, by in (("vertex", points, index), ("face", faces, face_index)):
+        if rows is not None:
+            write_parts(rows, f"{folder}/{element}", element, by)
+            parts.append((element, files_of(f"{folder}/{element}")))
+    headers = {f: header_of(f) for _, files in parts for f in files}
     fs, p = _filesystem(path)
     with fs.open_output_stream(p) as out:
-        out.write(("\n".join([*head, "end_header"]) + "\n").encode())
-        for r in points.select("x", "y", "z", "nx", "ny", "nz").toLocalIterator():
-            out.write(np.array(r, "<f4").tobytes())
-        if faces is not None:
-            for r in faces.select("vertex_indices").toLocalIterator():
-                out.write(bytes([len(r[0])]) + np.array(r[0], "<i4").tobytes())
+        out.write(HEAD)
+        for element, files in parts:
+            out.write(header_text(element, sum(headers[f].elements[0].count for f in files)))
+        out.write(END)
+        for _, files in parts:
+            for name in files:
+                part_fs, part = _filesystem(name)
+                with part_fs.open_input_file(part) as f:
+                    f.seek(headers[name].size)
+                    while piece := f.read(8 << 20):
+                        out.write(piece)
+    part_fs, part = _filesystem(folder)
+    part_fs.delete_dir(part)
+
+
+def merge(group: str, spark: SparkSession, path: str) -> None:
+    """The files that a .gp file lists as one: all vertices in the order of files and rows, face indices moved by the number of
+    vertices in the files before."""
+    from pyspark.sql import functions as F
+
+    from voxelake.operators import keyed
+
+    def placed(element):  # a file's splits are in its order, and so are the rows of each
+        return read_group(spark, group, element).withColumn("nth", F.monotonically_increasing_id())
+
+    vertices = placed("vertex")
+    offsets = keyed.file_offsets(vertices.groupBy("file_ord").agg(F.count(F.lit(1)).alias("n")))
+    faces = keyed.merge_faces(placed("face"), offsets)
+    write(vertices, path, faces, "nth", "nth")

@@ -2,66 +2,129 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.functions import morton
-from voxelake.operators import hierarchy, points
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir (unset, as in tests: a temporary one)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="voxelake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from voxelake.operators import hierarchy, keyed, points
+from voxelake.sources.shared import Folder, work_dir
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """The files of a parquet table (a file or a folder) as a stream; files_per_trigger is the back-pressure."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
+    if _is_file(spark, path):
+        folder, _, name = path.rstrip("/").rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = Folder(spark, path)
+    return at._fs.getFileStatus(at.at("")).isFile()
 
 
 class IncrementalTree:
-    """Cell counts appended by each micro-batch under its id, so a batch that runs again replaces itself; node
-    counts of all levels are sums over the batches."""
+    """Node counts of every level, kept batch by batch.  A micro-batch changes only the nodes its points lie in: their new
+    totals are written as a version under the batch's id, so a batch that runs again replaces itself, and every
+    FOLD batches the last versions of all nodes become a base.  A mark at the end of the input makes the tree complete."""
+
+    FOLD = 16
+    NODES = "level int, morton long, n_points long"
 
     def __init__(self, spark: SparkSession, path: str, level: int):
-        self.spark, self.path, self.level = spark, path, level
+        self.spark, self.level = spark, level
+        self.folder = Folder(spark, path)
+        self.path = self.folder.path
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        hierarchy.cells(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        """batch: points with morton of `level`."""
+        changed = hierarchy.pyramid(hierarchy.cells(batch), self.level)
+        before = self.nodes(batch_id).withColumnRenamed("n_points", "had")
+        new = changed.join(before, ["level", "morton"], "left").select("level", "morton", (F.col("n_points") + F.coalesce("had", F.lit(0))).alias("n_points"))
+        new.write.mode("overwrite").parquet(f"{self.path}/changed/{batch_id:09d}")
+        if batch_id % self.FOLD == self.FOLD - 1:
+            self.nodes(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/base/{batch_id:09d}")
+
+    def nodes(self, before: int | None = None) -> DataFrame:
+        """level, morton, n_points of all nodes (cells included), or as they were before a batch."""
+        known = lambda folder: [n for n in self.folder.names(folder) if before is None or int(n) < before]
+        bases, versions = known("base"), known("changed")
+        base = bases[-1] if bases else ""
+        parts = [self.spark.read.schema(self.NODES).parquet(f"{self.path}/base/{base}").withColumn("seq", F.lit(-1))] if base else []
+        parts += [self.spark.read.schema(self.NODES).parquet(f"{self.path}/changed/{v}").withColumn("seq", F.lit(int(v))) for v in versions if v > base]
+        if not parts:
+            return self.spark.createDataFrame([], self.NODES)
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows.groupBy("level", "morton").agg(F.max_by("n_points", "seq").alias("n_points"))
+
+    def touched(self, batch_id: int) -> DataFrame:
+        """The nodes that a batch changed."""
+        return self.spark.read.schema(self.NODES).parquet(f"{self.path}/changed/{batch_id:09d}").select("level", "morton")
+
+    def last_batch(self) -> int | None:
+        names = self.folder.names("changed")
+        return int(names[-1]) if names else None
 
-    def cells(self) -> DataFrame:
-        return self.spark.read.schema("morton long, n long, batch long").parquet(self.path).groupBy("morton").agg(F.sum("n").alias("n"))
+    def pyramid(self) -> DataFrame:
+        return self.nodes().where(F.col("level") < self.level)
 
-    def touched(self, batch_id: int, up_to: int = 0) -> DataFrame:
-        """The codes of all nodes that a batch changed."""
-        b = self.spark.read.schema("morton long, n long").parquet(f"{self.path}/batch={batch_id}")
-        return b.select(F.explode(morton.ancestors(F.col("morton"), self.level, up_to)).alias("morton")).distinct()
+    def finish(self) -> None:
+        """The end of the input."""
+        self.folder.publish("complete", {"last": self.last_batch()})
 
-    def pyramid(self) -> DataFrame:
-        return hierarchy.pyramid(self.cells(), self.level).where(F.col("level") < self.level)
+    def complete(self) -> bool:
+        return self.folder.read("complete") is not None
 
 
-def build_from_stream(spark: SparkSession, path: str, level: int, to_points: Callable[[DataFrame], DataFrame], whole: DataFrame) -> DataFrame:
-    """Node counts of every level, built batch by batch; `whole` gives the bounds (a first pass)."""
+def followed(spark: SparkSession, path: str, level: int, to_points: Callable[[DataFrame], DataFrame], whole: DataFrame, each: Callable[[IncrementalTree, int], None] | None = None, files_per_trigger: int = 64) -> IncrementalTree:
+    """Builds a tree from the files of a table as a stream, to its end; `whole` gives the bounds (a first pass), `each` is called
+    after every batch."""
     folder = work_dir(spark, "stream-build")
-    tree = IncrementalTree(spark, f"{folder}/cells", level)
+    tree = IncrementalTree(spark, f"{folder}/tree", level)
     grid = points.bounds(whole).first()
     fixed = spark.createDataFrame([tuple(grid)[:7]], "ox double, oy double, oz double, sx double, sy double, sz double, scale double")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def add(batch: DataFrame, batch_id: int) -> None:
         tree.add(points.with_morton(to_points(batch), level, fixed), batch_id)
+        if each is not None:
+            each(tree, batch_id)
 
-    q = file_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = file_stream(spark, path, files_per_trigger).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    tree.finish()
+    return tree
+
+
+def build_from_stream(spark: SparkSession, path: str, level: int, to_points: Callable[[DataFrame], DataFrame], whole: DataFrame) -> DataFrame:
+    """Node counts of every level, built batch by batch."""
+    return followed(spark, path, level, to_points, whole).pyramid()
+
+
+def answered(spark: SparkSession, asked: str, nodes: DataFrame, level: int) -> DataFrame:
+    """A stream of requests (files of intervals a, b, the children of a node) answered batch by batch from a node table: each
+    interval once, whichever batches it is in; a batch that runs again writes the same."""
+    folder = work_dir(spark, "requests")
+    seen = Folder(spark, f"{folder}/seen")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        new = keyed.requests(batch)
+        earlier = [n for n in seen.names("") if int(n) < batch_id]
+        if earlier:
+            new = new.join(spark.read.schema("a long, b long").parquet(*[f"{seen.path}/{n}" for n in earlier]), ["a", "b"], "left_anti")
+        new.write.mode("overwrite").parquet(f"{seen.path}/{batch_id:09d}")
+        now = spark.read.schema("a long, b long").parquet(f"{seen.path}/{batch_id:09d}")
+        keyed.answer(now, nodes, level).write.mode("overwrite").parquet(f"{folder}/out/{batch_id:09d}")
+
+    q = file_stream(spark, asked, 1).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return tree.pyramid()
+    shape = keyed.answer(spark.createDataFrame([], "a long, b long"), nodes, level).schema
+    return spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
 def running_stats(spark: SparkSession, path: str) -> DataFrame:
