@@ -9,6 +9,10 @@ Rules: a rule (host, path, verdict) fits its host and all subdomains if the url'
 rule's path; the longest rule string wins, then the longer host, then allow.  Up to INLINE_RULES rules are
 matched inside the row; more are matched by an equi-join on the host's suffixes.
 
+Targets of links are resolved against the page's url (``//host/x``, ``/x``, ``x``, ``../x``, ``?x``; dot segments go), entities of
+HTML in them are decoded, an empty path is ``/``; a fragment of the same page, and schemes without ``://`` (mailto and
+the like), are no links.
+
 Edge cases: a null url or one without ``://`` has an empty host and path and fits no rule; repeated urls
 are judged alike and all rows are returned; an empty table gives an empty result; other columns are ignored.
 """
@@ -45,9 +49,40 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What counts as the same url: host, path and query; not scheme and fragment."""
+    """What counts as the same url: host, path (empty: /) and query; not scheme and fragment."""
     tail = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.concat(host_of(url), tail))
+    return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.concat(host_of(url), F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))))
+
+
+def _decoded(text: Column) -> Column:
+    """Entities that stand in urls; the ampersand last, so that nothing is decoded twice."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#x27", "'"), ("#x2F", "/"), ("#47", "/"), ("#38", "&"), ("#x26", "&"), ("amp", "&")):
+        text = F.regexp_replace(text, f"(?i)&{name};", F.lit(char))
+    return text
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as a whole url; null if it leads nowhere else."""
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(target, F.length(path) + 1, F.length(target))
+    own = path_of(base)
+    whole = F.when(path.startswith("/"), path).when(path == "", own).otherwise(F.concat(F.regexp_extract(own, r"(?s)^(.*/)", 1), path))
+    parts = F.split(F.regexp_replace(whole, "^/", ""), "/")
+    # the last part stays as what stands behind the last slash, empty if it is a dot segment
+    last = F.element_at(parts, -1)
+    dots = last.isin(".", "..")
+    walked = F.aggregate(
+        F.concat(F.slice(parts, 1, F.size(parts) - 1), F.when(dots, F.array(last)).otherwise(F.array().cast("array<string>"))),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    clean = F.concat(F.lit("/"), F.array_join(F.concat(walked, F.array(F.when(dots, F.lit("")).otherwise(last))), "/"))
+    return (
+        F.when(target.contains("://") & target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.coalesce(F.instr(base, "://"), F.lit(0)) > 0, F.concat(F.lit("http://"), host_of(base), clean, rest))
+    )
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -56,9 +91,8 @@ def page_edges(pages: DataFrame) -> DataFrame:
     tags = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh")).select("url", tag.alias("tag"))
     link = F.when(F.col("tag").rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     hop = F.when(F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    to = tags.select("url", F.coalesce(link, hop).alias("to")).where(F.length("to") > 0)
-    whole = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), "to")).otherwise(F.col("to"))
-    return to.select(node_of(F.col("url")).alias("src"), node_of(whole).alias("dst")).dropna()
+    to = tags.select("url", _decoded(F.coalesce(link, hop)).alias("to")).where(F.length("to") > 0)
+    return to.select(node_of(F.col("url")).alias("src"), node_of(resolved(F.col("to"), F.col("url"))).alias("dst")).dropna()
 
 
 def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
