@@ -176,6 +176,53 @@ def test_url_filter(spark):
     assert (1, "com/en/") in few and (2, "example.com/en/7") in few and (9, None) in few
 
 
+def test_redirects_against_union_find(spark):
+    """Some thousands of pages whose links take every form, against plain Python; one hub is named by a third of them."""
+    from html import escape
+    from urllib.parse import urljoin, urlsplit
+
+    r = random.Random(22)
+    hosts = ["a.com", "www.example.com", "b.net", "c.org", "Shop.Example.NET"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'x'])}/{r.choice(['p', 'q/r', '7'])}/{i}.html" + r.choice(["", "", "?k=1&l=2"]) for i in range(3000)]
+    pages, links = [], []
+    for i, u in enumerate(urls):
+        kind = r.randrange(9)
+        t = urlsplit(r.choice(urls[max(0, i - 3) : i + 1]) if kind < 6 else urls[0])
+        tail = t.path + (f"?{t.query}" if t.query else "")
+        to = [t.geturl(), f"//{t.netloc}{tail}", tail, "../" + tail.rsplit("/", 1)[1], "./" + str(r.randrange(3000)) + ".html", "?k=1&l=2", urls[0], urls[0] + "#top", r.choice(["#x", "mailto:me@a.com", "javascript:void(0)", ""])][kind]
+        tag = f'<link rel="canonical" href="{escape(to)}">' if r.random() < 0.7 else f"<META http-equiv=refresh content='0; URL={escape(to)}'>"
+        linked = r.random() < 0.6
+        pages.append((i, u, f"<html><head>{tag if linked else ''}</head></html>"))
+        if linked and to and not to.startswith(("#", "mailto", "javascript")):
+            links.append((u, urljoin(u, to)))
+
+    def node(u):
+        s = urlsplit(u)
+        return s.netloc.lower() + (s.path or "/") + (f"?{s.query}" if s.query else "")
+
+    def rule(n):
+        host, path = n.split("?")[0].split("/", 1)
+        fits = [(len(h + p), v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        up[root(node(a))] = root(node(b))
+    bad = {root(n) for n in list(up) if rule(n) == "block"}
+    want = {i: rule(node(u)) or ("block" if node(u) in up and root(node(u)) in bad else "allow") for i, u, _ in pages}
+    got = {x.page_id: x.verdict for x in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+    passed_on = [i for i, u, _ in pages if want[i] == "block" and rule(node(u)) is None]
+    assert len(passed_on) > 50 and len(links) > 1000
+
+
 # 3
 
 
