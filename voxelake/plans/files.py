@@ -131,8 +131,8 @@ def stats_report(spark, sf_dir):
     return spark.read.schema("level long, n_nodes long, n_contents long").json(folder)
 
 
-@query("open_points", f"WITH {grid_sql(EVENTS_SQL.replace('user_id::DOUBLE', 'user_id::FLOAT::DOUBLE').replace('value AS y', 'value::FLOAT::DOUBLE AS y').replace('event_id::DOUBLE', 'event_id::FLOAT::DOUBLE'), 4)} SELECT morton, count(*) AS n FROM m GROUP BY 1")
-def open_points(spark, sf_dir):
+@query("points_from_ply", f"WITH {grid_sql(EVENTS_SQL.replace('user_id::DOUBLE', 'user_id::FLOAT::DOUBLE').replace('value AS y', 'value::FLOAT::DOUBLE AS y').replace('event_id::DOUBLE', 'event_id::FLOAT::DOUBLE'), 4)} SELECT morton, count(*) AS n FROM m GROUP BY 1")
+def points_from_ply(spark, sf_dir):
     """A .ply file is opened and built from."""
     folder = work_dir(spark, "open")
     Folder(spark, folder).publish("made", {})
