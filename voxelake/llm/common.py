@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +29,44 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="voxelake-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_recorded: list[list[str]] = []
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: lineage ends there."""
+    """Writes df as Parquet under the shared folder and reads it back: lineage ends there.  Inside `scratch` the table
+    goes at the end of the block."""
+    return persisted_at(df, name)[0]
+
+
+def persisted_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
+    """persisted, and the path of the table.  kept: `scratch` leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if _recorded and not kept:
+        _recorded[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are persisted inside the block are deleted at its end; what is to stay has to be written by then."""
+    _recorded.append([])
+    try:
+        yield
+    finally:
+        for path in _recorded.pop():
+            drop(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """URL filters that follow redirects: a block holds for every alias of a blocked url.
 
 Redirect and canonical-link edges join urls; connected components are found by min-label hooking with
-pointer jumping over (node, label) tables, checkpointed in the shared folder each round, so nothing of the
+pointer jumping over (node, label) tables, written to the shared folder each round, so nothing of the
 graph reaches the driver and no neighbour list is gathered.  A url under a rule gets the rule's verdict
 (an explicit allow is never overridden); any other url is blocked if its component holds a blocked url.
 
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import persisted
 from .components import components
 
 INLINE_RULES = 64
@@ -125,10 +125,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame
     edges = page_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).dropna())
-    edges = checkpointed(edges)
+    edges = persisted(edges, "redirects")
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    label = checkpointed(components(edges))
+    label = components(edges)
     # a node may be an alias that no page has: rules judge it too
     full = F.concat(F.lit("http://"), "node")
     members = match_rules(label.select("node", "component", host_of(full).alias("host"), path_of(full).alias("path")), rules)
