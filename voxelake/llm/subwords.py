@@ -9,6 +9,10 @@ import numpy as np
 from .common import LOWER, byte_prefix, mix, ranges, spans, token_spans
 
 
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 20
+
+
 def fold(data: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and of the two-byte Latin letters from U+00C0 to U+00DE."""
     out = LOWER[data]
@@ -35,6 +39,10 @@ class Words:
 
 
 def words_of(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
+    """Words are runs of bytes for which `inside` is true.  More than PIECE bytes are read in pieces of whole texts, so that the hashing
+    needs little memory besides the words."""
+    if len(data) > PIECE and len(off) > 2:
+        return _joined(data, off, inside)
     start, end, text = token_spans(data, off, inside)
     low = fold(data)
     hashes, first, kind = np.unique(spans(byte_prefix(low), start, end), return_index=True, return_inverse=True)
@@ -44,7 +52,26 @@ def words_of(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
     framed = np.full(at[-1], ord("<"), np.uint8)
     framed[ranges(at[:-1] + 1, size)] = low[ranges(s, size)]
     framed[at[1:] - 1] = ord(">")
-    return Words(kind, text, hashes, framed, at)
+    return Words(kind.ravel(), text, hashes, framed, at)
+
+
+def _joined(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
+    parts, lo = [], 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + PIECE, "right")) - 1)
+        w = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], inside)
+        parts.append(Words(w.kind.astype(np.int32), (w.text + lo).astype(np.int32), w.hashes, w.framed, w.off))
+        lo = hi
+    hashes, first, kind = np.unique(np.concatenate([w.hashes for w in parts]), return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    before = np.cumsum([0, *(len(w.hashes) for w in parts)])
+    sizes = np.concatenate([np.diff(w.off) for w in parts])[first]
+    starts = np.concatenate([w.off[:-1] + b for w, b in zip(parts, np.cumsum([0, *(len(w.framed) for w in parts)]))])[first]
+    at = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    framed = np.concatenate([w.framed for w in parts])[ranges(starts, sizes)]
+    kinds = np.concatenate([kind[b + w.kind] for w, b in zip(parts, before)])
+    return Words(kinds.astype(np.int32), np.concatenate([w.text for w in parts]), hashes, framed, at)
 
 
 def features(w: Words, grams: tuple[int, ...], buckets: int, affixes: tuple[int, ...] = (), whole: bool = True) -> tuple[np.ndarray, np.ndarray]:

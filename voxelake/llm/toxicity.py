@@ -26,7 +26,7 @@ from .decontaminate import WORD_BYTES
 from .subwords import Words, features, words_of
 
 TRAIN_ROWS = 1500
-TRAIN_BYTES = 5 << 19
+TRAIN_BYTES = 4 << 20
 WINDOW = 3
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
