@@ -11,7 +11,7 @@ import pytest
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
-from voxelake.llm import bpe, chat_format, common, components, decontaminate, language_id, near_dup, quality, queries, suffix_dedup, suffix_group, token_counts, toxicity, trees, url_filter
+from voxelake.llm import bpe, chat_format, common, components, decontaminate, language_id, near_dup, quality, queries, subwords, suffix_dedup, suffix_group, token_counts, toxicity, trees, url_filter
 from voxelake.llm.common import RESULT
 
 CLASH = ("k0", "result__", "size", "set", "a", "tag", "doc", "h", "score", "text__", "key", "links")
@@ -381,6 +381,15 @@ def test_toxicity_scores_of_a_fixed_model(spark):
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def test_words_in_pieces(monkeypatch):
+    r = random.Random(17)
+    data, off = common.utf8(common.pa.array([prose(r.randrange(40), r) for _ in range(200)] + ["x" * 3000, "", prose(500, r)]))
+    whole = subwords.words_of(data, off, toxicity.WORD_BYTES)
+    monkeypatch.setattr(subwords, "PIECE", 700)
+    parts = subwords.words_of(data, off, toxicity.WORD_BYTES)
+    assert all((getattr(whole, k) == getattr(parts, k)).all() for k in ("kind", "text", "hashes", "framed", "off"))
+
+
 def test_fits_are_bounded_when_an_id_is_repeated(spark):
     """An id that holds a third of all rows gives one text; texts of any length may be learned from."""
     hot = [(5, prose(10) + f" {i}", "en", "s", 1) for i in range(300)]
