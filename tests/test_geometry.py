@@ -50,11 +50,28 @@ def test_surfel(spark):
     assert frame((5, 0, 0), (1, 0, 0))[0] is False
 
 
-def test_multipliers():
+def test_multipliers(spark):
     assert G.multipliers("duomo", 0.1) == G.multipliers("duomo", 0.2)
-    assert G.accumulated_multiplier(5, 7, "david", 0.2) == pytest.approx((4.7 * 3.0 * 2.0, 4.7 * 2.5 * 2.0))
-    assert G.accumulated_multiplier(0, 2, "david", 0.2) == (1.0, 1.0)
-    assert G.adapt_threshold(0.5, 30, 20, 2) == pytest.approx(0.51) and G.adapt_threshold(0.5, 21, 20, 2) == 0.5
+    lv = lambda x: F.lit(x).cast("int")
+    one = lambda *c: tuple(spark.range(1).select(*c).first())
+    assert one(*G.accumulated_multiplier(lv(5), lv(7), "david", 0.2)) == pytest.approx((4.7 * 3.0 * 2.0, 4.7 * 2.5 * 2.0))
+    assert one(*G.accumulated_multiplier(lv(0), lv(2), "david", 0.2)) == one(*G.accumulated_multiplier(lv(3), lv(2), "david", 0.2)) == (1.0, 1.0)
+    step = lambda ms: one(G.adapt_threshold(F.lit(0.5), F.lit(ms), 20, 2))[0]
+    assert step(30) == pytest.approx(0.51) and step(21) == 0.5 and step(10_000) == 1.0 and step(-10_000) == 2 / 1024
+
+
+def test_window_pixels(spark):
+    """Pixels are cut towards zero; the second edge reaches behind the box."""
+    def diagonal(low, high):
+        return spark.range(1).select(G.window_diagonal([F.lit(float(v)) for v in low], [F.lit(float(v)) for v in high], P, 100, 100)).first()[0]
+
+    def pixel(p):
+        clip = [sum(P[i][k] * p[k] for k in range(3)) + P[i][3] for i in (0, 1, 3)]
+        return [int((c / clip[2] + 1) * 50) for c in clip[:2]]
+
+    low, high = (-3.0, -0.7, -5.0), (0.4, 0.9, -3.0)
+    ends = [(low, high), ((high[0], high[1], low[2]), (high[0], high[1], 2 * high[2] - low[2]))]
+    assert diagonal(low, high) == max(sum((a - b) ** 2 for a, b in zip(pixel(p), pixel(q))) for p, q in ends)
 
 
 SIMPLE = [(1, 15, 2), (3, -31, 4), (-14, 5, 6), (46, 7, 8), (9, 10, 24), (11, 12, -51), (13, -12, 9), (-5, -8, 1), (14, 11, -4), (7, 3, -12), (12, 5, 0)]

@@ -66,16 +66,36 @@ def is_renderable(low, high, view_proj: Matrix, threshold: float) -> Column:
 
 
 def to_window(point: Sequence[Column], view_proj: Matrix, width: int, height: int) -> tuple[Column, Column]:
-    """Integer pixels."""
+    """Integer pixels, cut towards zero."""
     x, y = project(point, view_proj)
-    return tuple(F.floor((v + 1) * (size / 2)).cast("long") for v, size in ((x, width), (y, height)))
+    return tuple(((v + 1) * (size / 2)).cast("long") for v, size in ((x, width), (y, height)))
 
 
-def is_renderable_window(low, high, view_proj: Matrix, threshold: float, width: int, height: int) -> Column:
-    """The same in pixels: one diagonal of the box, and the other of its near face."""
+def window_diagonal(low, high, view_proj: Matrix, width: int, height: int) -> Column:
+    """The larger squared length in pixels of the box's diagonal, and of the edge from its near upper corner to a box's depth
+    behind the far one."""
     first = _length2(to_window(low, view_proj, width, height), to_window(high, view_proj, width, height))
-    second = _length2(to_window((low[0], high[1], low[2]), view_proj, width, height), to_window((high[0], low[1], high[2]), view_proj, width, height))
-    return F.coalesce(F.greatest(first, second) < threshold, F.lit(False))
+    beyond = (high[0], high[1], high[2] + (high[2] - low[2]))
+    second = _length2(to_window((high[0], high[1], low[2]), view_proj, width, height), to_window(beyond, view_proj, width, height))
+    return F.greatest(first, second)
+
+
+def is_renderable_window(low, high, view_proj: Matrix, threshold: float, width: int, height: int) -> Column:
+    return F.coalesce(window_diagonal(low, high, view_proj, width, height) < threshold, F.lit(False))
+
+
+def add(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    return [x + y for x, y in zip(a, b)]
+
+
+def scaled(a: Sequence[Column], k: float) -> list[Column]:
+    return [x * k for x in a]
+
+
+def approx_equal(a: Sequence[Column], b: Sequence[Column], epsilon: float) -> Column:
+    """The distance is at most epsilon times the shorter of both vectors."""
+    square = lambda v: reduce(lambda s, t: s + t, [x * x for x in v])
+    return square([x - y for x, y in zip(a, b)]) <= epsilon * epsilon * F.least(square(a), square(b))
 
 
 def cell_box(code: Column, level: Column | int, size: Sequence[Column], deepest: int = morton.SHALLOW_MAX) -> tuple[list[Column], list[Column]]:
@@ -86,6 +106,10 @@ def cell_box(code: Column, level: Column | int, size: Sequence[Column], deepest:
     return low, [v + s * part for v, s in zip(low, size)]
 
 
+def center(low: Sequence[Column], high: Sequence[Column]) -> list[Column]:
+    return [a + (b - a) / 2 for a, b in zip(low, high)]
+
+
 def half_area(extent: Sequence[Column]) -> Column:
     """ex (ey + ez) + ey ez, half of the surface."""
     x, y, z = extent
@@ -130,17 +154,14 @@ def multiplier(level: Column, model: str, ratio: float) -> tuple[Column, Column]
     return pick(0), pick(1)
 
 
-def accumulated_multiplier(first: int, last: int, model: str, ratio: float) -> tuple[float, float]:
-    """The product over levels first to last."""
-    table, out = multipliers(model, ratio), (1.0, 1.0)
-    for lv in range(first, last + 1):
-        m = table.get(lv, (1.0, 1.0))
-        out = (out[0] * m[0], out[1] * m[1])
-    return out
+def accumulated_multiplier(first: Column, last: Column, model: str, ratio: float) -> tuple[Column, Column]:
+    """The product over levels first to last (1 if there are none)."""
+    levels = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    over = lambda i: F.aggregate(levels, F.lit(1.0), lambda acc, lv: acc * multiplier(lv, model, ratio)[i])
+    return over(0), over(1)
 
 
-def adapt_threshold(threshold: float, frame_ms: float, target_ms: float, tolerance_ms: float, gain: float = 1e-3, low: float = 2 / 1024, high: float = 1.0) -> float:
+def adapt_threshold(threshold: Column, frame_ms: Column, target_ms: float, tolerance_ms: float, gain: float = 1e-3, low: float = 2 / 1024, high: float = 1.0) -> Column:
     """The projection threshold of the next frame: up if frames take too long, down if there is time left."""
-    if abs(frame_ms - target_ms) > tolerance_ms:
-        threshold += gain * (frame_ms - target_ms)
-    return min(high, max(low, threshold))
+    moved = F.when(F.abs(frame_ms - target_ms) > tolerance_ms, threshold + (frame_ms - target_ms) * gain).otherwise(threshold)
+    return F.least(F.lit(high), F.greatest(F.lit(low), moved))

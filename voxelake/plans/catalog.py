@@ -713,4 +713,4 @@ def stream_running_stats(spark, sf_dir):
 
 # further modules register their queries here
 
-from voxelake.plans import files, live  # noqa: E402, F401
+from voxelake.plans import files, live, shapes  # noqa: E402, F401

@@ -139,3 +139,14 @@ def points_from_ply(spark, sf_dir):
     ply.write(_vertices(spark, sf_dir), f"{folder}/cloud.ply")
     _, cloud, _ = octree_store.open_cloud(spark, f"{folder}/cloud.ply")
     return hierarchy.cells(points.with_morton(_as_doubles(cloud), 4))
+
+
+@query("contents_round_trip", f"WITH {grid_sql(EVENTS_SQL, 4)} SELECT morton, pid, x, y, z FROM m")
+def contents_round_trip(spark, sf_dir):
+    """Cells with their points as nested arrays, written, read back and spelled out again.  Cells go in parts of ids, so no row
+    holds more than a part."""
+    p = points.with_morton(event_points(spark, sf_dir), 4)
+    folder = work_dir(spark, "contents")
+    packed = p.groupBy("morton", F.shiftright("pid", hierarchy.ID_BITS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("pid", "x", "y", "z"))).alias("contents"))
+    packed.write.parquet(folder)
+    return spark.read.parquet(folder).select("morton", F.explode("contents").alias("c")).select("morton", "c.*")
