@@ -243,11 +243,12 @@ def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[ranges(start, size)]))])
 
 
-def _cores(frame: DataFrame, needs: DataFrame) -> DataFrame:
+def _cores(source: DataFrame, needs: DataFrame) -> DataFrame:
     """CORES rows of the contexts that `needs` (doc, text_hash, pack) names: hash and start of each core, and the bytes
-    on both sides that its windows reach."""
+    on both sides that its windows reach.  `needs` has one row for each document, so a document that is repeated many
+    times can be split over tasks."""
     lists = needs.groupBy("doc", "text_hash").agg(F.collect_set("pack").alias("packs"))  # of one document
-    both = frame.join(lists.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "packs")
+    both = source.join(lists.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "packs")
 
     def run(batches):
         seen: set[tuple[int, int]] = set()  # of equal rows one is enough
@@ -390,9 +391,8 @@ def _later(batches):
         yield _batch(JUDGED[:4], doc[later], text_hash[later], a[later], b[later])
 
 
-def repeated_spans(frame: DataFrame, source: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc, text_hash, a, b: byte ranges that repeat, overlapping ones too.  frame: source (see _documents) dealt by
-    doc and text_hash."""
+def repeated_spans(source: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc, text_hash, a, b: byte ranges of `_documents` rows that repeat, overlapping ones too."""
     spark = source.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -400,7 +400,7 @@ def repeated_spans(frame: DataFrame, source: DataFrame, group_rows: int = GROUP_
     rows = _scan(source).repartition(n, "key").sortWithinPartitions("h", "c", "doc", "text_hash", "pack")
     found = persisted(rows.mapInArrow(_judge, "kind int, doc long, text_hash long, x long, y long"), "passages")
     whole = found.where(F.col("kind") == SPAN).select("doc", "text_hash", F.col("x").alias("a"), F.col("y").alias("b"))
-    cores = persisted(_cores(frame, found.where(F.col("kind") == LONE).select("doc", "text_hash", F.col("x").alias("pack"))), "cores")
+    cores = persisted(_cores(source, found.where(F.col("kind") == LONE).select("doc", "text_hash", F.col("x").alias("pack"))), "cores")
     sizes = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows)
     sizes = persisted(sizes.select("core", F.ceil(F.col("n") / group_rows).alias("salts")), "salts")
     many = sizes.count()
@@ -424,39 +424,39 @@ def annotate(docs: DataFrame, keep: list[str] | None = None, group_rows: int = G
     """The kept columns and a struct RESULT of FIELDS (spans: start, end, ... in bytes).  as_text: instead,
     column KEPT_TEXT has the text without the removed bytes, of a character all or none."""
     keep = ["doc_id"] if keep is None else keep
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frame = _documents(docs).repartition(n, "doc", "text_hash")
-    found = repeated_spans(frame, _documents(docs), group_rows)
+    kept = [f"k{i}" for i in range(len(keep))]
+    found = repeated_spans(_documents(docs), group_rows)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
-    # rows without an id: one of those with equal texts is the first, by a hash of what else is kept
-    own = F.when(F.col("doc") == _LAST, F.xxhash64(F.to_json(F.struct(F.lit(0).alias("z"), *[f"k{i}" for i in range(len(keep))]))))
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("own", own)
-    equal = rows.where(F.col("doc") == _LAST).groupBy("doc", "text_hash").agg(F.min("own").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    named = rows.where(F.col("doc") != _LAST).select("doc", "text_hash", "text", *kept, F.lit(None).cast("long").alias("own"), F.lit(1).alias("nth"))
+    # rows without an id: one of those with equal texts is the first, by a hash of what else is kept; rows equal in that too are
+    # counted and spelled out again, so that exactly one of them has nth 1 wherever it is
+    own = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("z"), *kept)))
+    lone = rows.where(F.col("doc") == _LAST).withColumn("own", own)
+    lone = lone.groupBy("doc", "text_hash", "own").agg(F.first("text").alias("text"), *[F.first(k).alias(k) for k in kept], F.count(F.lit(1)).alias("times"))
+    equal = lone.groupBy("doc", "text_hash").agg(F.min("own").alias("lead"), F.sum("times").alias("n")).where("n > 1")
+    lone = lone.select("doc", "text_hash", "text", *kept, "own", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
     none = F.lit(None).cast("long")
     found = found.select("doc", "text_hash", "a", "b", none.alias("lead")).unionByName(equal.select("doc", "text_hash", none.alias("a"), none.alias("b"), "lead"))
     lists = found.groupBy("doc", "text_hash").agg(F.collect_set(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("ranges"), F.max("lead").alias("lead"))
-    both = rows.repartition(n, "doc", "text_hash").join(lists.hint("shuffle_hash"), ["doc", "text_hash"], "left")
-    both = both.select("text", F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"), F.when(F.col("lead").isNotNull(), F.col("text_hash")).alias("equal"), (F.col("own") == F.col("lead")).alias("leads"), *[f"k{i}" for i in range(len(keep))])
+    both = named.unionByName(lone).join(lists.hint("shuffle_hash"), ["doc", "text_hash"], "left")
+    whole = F.col("lead").isNotNull() & ~((F.col("own") == F.col("lead")) & (F.col("nth") == 1))
+    both = both.select("text", F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"), F.coalesce(whole, F.lit(False)).alias("whole"), *kept)
     kinds = ", ".join(f"k{i} {both.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     made = f"{RESULT} string" if as_text else f"{RESULT} struct<{FIELDS}>"
 
     def run(batches):
-        begun: set[int] = set()  # all rows of a text are in one task; only rows equal in all columns tie
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, a_all, b_all = batch.column(0), batch.column(1), batch.column(2)
-            equal, leads = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts, a_all, b_all, whole = batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_pylist()
             out = []
             for lo, hi, data, off in chunks(texts):
                 for i in range(lo, hi):
                     raw = data[off[i - lo] : off[i - lo + 1]]
                     a, b = _values(a_all, i), _values(b_all, i)
-                    if equal[i] is not None:
-                        if leads[i] and equal[i] not in begun:
-                            begun.add(equal[i])
-                        elif len(raw) >= LENGTH:
-                            a, b = np.array([0]), np.array([len(raw)])
+                    if whole[i] and len(raw) >= LENGTH:
+                        a, b = np.array([0]), np.array([len(raw)])
                     if len(a):
                         a, b = union(a, b)
                     if as_text:
@@ -473,7 +473,7 @@ def annotate(docs: DataFrame, keep: list[str] | None = None, group_rows: int = G
             else:
                 n_bytes, n_removed, n_spans, digest, where = zip(*out)
                 column = pa.StructArray.from_arrays([pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(where, pa.list_(pa.int32()))], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-            yield pa.RecordBatch.from_arrays([*[batch.column(5 + i) for i in range(len(keep))], column], [*(f"k{i}" for i in range(len(keep))), RESULT])
+            yield pa.RecordBatch.from_arrays([*[batch.column(4 + i) for i in range(len(keep))], column], [*(f"k{i}" for i in range(len(keep))), RESULT])
 
     out = both.mapInArrow(run, f"{kinds}, {made}")
     return out if raw else out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], RESULT)
