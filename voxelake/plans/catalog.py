@@ -299,12 +299,12 @@ SAMPLED_SQL = _sampled_sql()
 
 
 def line_sampled(spark, sf_dir):
-    return hierarchy.sampled_pyramid(line_cells(spark, sf_dir), LEVEL)
+    return hierarchy.sampled_pyramid(stored_cells(spark, sf_dir), LEVEL)
 
 
 @query("sampled_nodes", f"{LINE_CELLS}, {SAMPLED_SQL} SELECT * FROM sn")
 def sampled_nodes(spark, sf_dir):
-    return line_sampled(spark, sf_dir)
+    return hierarchy.sampled_pyramid(line_cells(spark, sf_dir), LEVEL)
 
 
 @query("node_stats", f"{LINE_CELLS}, {SAMPLED_SQL} SELECT level, count(*) AS n_nodes, sum(n_contents)::BIGINT AS n_contents, (36 * sum(n_contents))::BIGINT AS n_bytes FROM sn GROUP BY 1")
