@@ -94,3 +94,6 @@ def test_deep_pyramid_in_steps(spark):
     want = sorted(map(tuple, hierarchy.pyramid(cells, 12, step=13).collect()))
     assert len(want) > 400 and sorted(map(tuple, hierarchy.pyramid(cells, 12, step=3).collect())) == want
     assert sorted(map(tuple, hierarchy.pyramid(cells, 12, first=4, step=5).collect())) == [r for r in want if r[0] >= 4]
+    codes = {r[1] for r in want}
+    for r in hierarchy.nodes(cells, 11, 12).collect():
+        assert r.n_children == (0 if r.is_leaf else sum(r.morton << 3 | k in codes for k in range(8)))

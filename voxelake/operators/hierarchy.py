@@ -25,28 +25,30 @@ def leaves(cell_counts: DataFrame) -> DataFrame:
     return cell_counts.groupBy(F.shiftrightunsigned("morton", 3).alias("morton")).agg(F.min("morton").alias("first"), F.sum("n").alias("n_points"))
 
 
-def pyramid(cell_counts: DataFrame, level: int, first: int = 0, step: int = STEP) -> DataFrame:
-    """level, morton, n_points, of every node from level `first` to `level`.  `step` levels go into one aggregation over
-    counted rows, and the next ones over the nodes of its coarsest level, so a deep pyramid shuffles a few rows for each
-    cell and not one for each level."""
-    out, now, top = None, cell_counts, level
+def pyramid(cell_counts: DataFrame, level: int, first: int = 0, step: int = STEP, last: int | None = None, children: bool = False) -> DataFrame:
+    """level, morton, n_points, of every node from level `first` to `last` (default: `level`, that of the cells).  `step` levels go
+    into one aggregation over counted rows, and the next ones over the nodes of its coarsest level, so a deep pyramid
+    shuffles a few rows for each cell and not one for each level.  children: n_children as well, by a bit for each child
+    that is seen, so that no second pass counts them (0 at the level of the cells)."""
+    out, now, at, top = None, cell_counts, level, level if last is None else last
     while True:
         low = max(first, top - step + 1)
-        at = top if out is None else top + 1
-        each = F.array(*[F.struct(F.lit(lv).alias("level"), morton.ancestor(F.col("morton"), at, lv).alias("code")) for lv in range(low, top + 1)])
-        part = now.select(F.explode(each).alias("a"), "n").groupBy(F.col("a.level").alias("level"), F.col("a.code").alias("morton")).agg(F.sum("n").alias("n_points"))
+        code = F.col("morton")
+        bit = lambda lv: F.call_function("shiftleft", F.lit(1), morton.ancestor(code, at, lv + 1).bitwiseAND(7).cast("int")) if lv < at else F.lit(0)  # noqa: B023, E731
+        each = F.array(*[F.struct(F.lit(lv).alias("level"), morton.ancestor(code, at, lv).alias("code"), *[bit(lv).alias("bit")][: int(children)]) for lv in range(low, top + 1)])
+        seen = [F.bit_count(F.bit_or("a.bit")).cast("long").alias("n_children")][: int(children)]
+        part = now.select(F.explode(each).alias("a"), "n").groupBy(F.col("a.level").alias("level"), F.col("a.code").alias("morton")).agg(F.sum("n").alias("n_points"), *seen)
         out = part if out is None else out.unionByName(part)
         if low <= first:
             return out
-        now, top = part.where(F.col("level") == low).select("morton", F.col("n_points").alias("n")), low - 1
+        now, at, top = part.where(F.col("level") == low).select("morton", F.col("n_points").alias("n")), low, low - 1
 
 
 def nodes(cell_counts: DataFrame, leaf_level: int, cell_level: int) -> DataFrame:
-    """The node table: morton, level, parent_morton, is_leaf, n_points, n_children (leaves: 0)."""
-    p = pyramid(cell_counts, cell_level).where(F.col("level") <= leaf_level)
-    kids = p.where("level > 0").groupBy(F.shiftrightunsigned("morton", 3).alias("up")).agg(F.count(F.lit(1)).alias("n_children"))
-    out = p.join(kids, p.morton == kids.up, "left")
-    return out.select("morton", "level", morton.parent(F.col("morton")).alias("parent_morton"), (F.col("level") == leaf_level).alias("is_leaf"), "n_points", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))
+    """The node table: morton, level, parent_morton, is_leaf, n_points, n_children (leaves: 0).  One shuffle for eight levels."""
+    p = pyramid(cell_counts, cell_level, last=leaf_level, children=True)
+    is_leaf = F.col("level") == leaf_level
+    return p.select("morton", "level", morton.parent(F.col("morton")).alias("parent_morton"), is_leaf.alias("is_leaf"), "n_points", F.when(is_leaf, F.lit(0)).otherwise(F.col("n_children")).cast("long").alias("n_children"))
 
 
 def sample_size(n: Column, ratio: float = RATIO) -> Column:

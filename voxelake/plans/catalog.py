@@ -32,18 +32,29 @@ _CAMERA = ((1.0, 0.0, 0.0, -0.25), (0.0, 1.0, 0.0, -0.25), (0.0, 0.0, 1.0, -1.75
 VIEW = front.View(tuple(map(tuple, geometry.product(_PROJECTION, _CAMERA))), 0.02, 5)
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables; its footer is read once in a session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(key[1])
+    return _tables[key]
+
+
 def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    t = table(spark, sf_dir, "lineitem")
     return t.select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("z"))
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = table(spark, sf_dir, "events")
     return t.select(F.col("event_id").alias("pid"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"), F.col("event_id").cast("double").alias("z"))
 
 
 def embedded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    t = table(spark, sf_dir, "embeddings")
     return t.select(F.col("vec_id").alias("pid"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("x", "y", "z", "nx", "ny", "nz"))])
 
 
@@ -240,13 +251,13 @@ def new_levels(spark, sf_dir):
 
 @query("prefix_scan", "SELECT event_id, coalesce(sum(value::DECIMAL(18, 2)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS prefix FROM events")
 def prefix_scan(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("value").cast("decimal(18,2)").alias("v"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("decimal(18,2)").alias("v"))
     return ordering.prefix_scan(e, "event_id", F.col("v")).select("event_id", F.col("prefix").cast("double").alias("prefix"))
 
 
 @query("compaction", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events WHERE event_type = 'click'")
 def compaction(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
     return ordering.compact(e, "event_id", F.col("event_type") == "click").select("event_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -261,7 +272,7 @@ _CENTS = "CAST(round(value * 100) AS BIGINT)"
 )
 def running_avg_stats(spark, sf_dir):
     """Averages so far, of all values and of those over 10, cut (not rounded) after six digits."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(F.col("value") * 100).cast("long").alias("v"), (F.col("value") > 10).alias("over"))
+    e = table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 100).cast("long").alias("v"), (F.col("value") > 10).alias("over"))
     zero = F.lit(0).cast("long")
     out = e
     for name, value in (("s", F.col("v")), ("n", F.lit(1).cast("long")), ("so", F.when(F.col("over"), F.col("v")).otherwise(zero)), ("no", F.col("over").cast("long"))):
@@ -595,7 +606,7 @@ def key_lookup(spark, sf_dir):
 
 @query("upsert_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def upsert_latest(spark, sf_dir):
-    return keyed.latest(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["event_id"], "event_type", "value")
+    return keyed.latest(table(spark, sf_dir, "events"), "user_id", ["event_id"], "event_type", "value")
 
 
 @query("key_table_changes", f"{LINE_CELLS} SELECT morton, CASE WHEN n > 2 THEN n + 1000 ELSE n END AS n FROM c WHERE NOT morton BETWEEN {_A} AND {_B} UNION ALL SELECT {_A}, 7")
@@ -630,7 +641,7 @@ def interval_requests(spark, sf_dir):
     "SELECT event_id AS face_id, file_ord, event_id % n + o AS v0, (event_id + 1) % n + o AS v1, (event_id + 2) % n + o AS v2 FROM events JOIN o ON event_type = file_ord",
 )
 def merge_offsets(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("face_id"), F.col("event_type").alias("file_ord"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("face_id"), F.col("event_type").alias("file_ord"))
     off = keyed.file_offsets(e.groupBy("file_ord").agg(F.count(F.lit(1)).alias("n")))
     faces = e.join(off.select("file_ord", "n"), "file_ord").select("face_id", "file_ord", F.array(*[(F.col("face_id") + k) % F.col("n") for k in range(3)]).alias("vertex_indices"))
     v = F.col("vertex_indices")

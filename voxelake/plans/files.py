@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelake.operators import hierarchy, points
-from voxelake.plans.catalog import EVENTS_SQL, LEAF, LEVEL, LINE_CELLS, LINE_SQL, NODES_SQL, SAMPLED_SQL, event_points, grid_sql, line_points, line_sampled, query, stored_nodes
+from voxelake.plans.catalog import EVENTS_SQL, LEAF, LEVEL, LINE_CELLS, LINE_SQL, NODES_SQL, SAMPLED_SQL, event_points, grid_sql, line_points, line_sampled, query, stored_nodes, table
 from voxelake.sources import octree_store, ply
 from voxelake.sources.shared import Folder, work_dir
 
@@ -20,7 +20,7 @@ def _vertices(spark, sf_dir):
 
 def _faces(spark, sf_dir):
     """A triangle for each event, over neighbours in the order of event_id."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("pid"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pid"))
     first = F.greatest(F.col("pid") - 2, F.lit(0))
     return e.select("pid", F.array(F.col("pid"), first, F.col("pid") % 7).alias("vertex_indices"))
 

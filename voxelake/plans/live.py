@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import morton
 from voxelake.operators import ordering
-from voxelake.plans.catalog import LEAF, LEVEL, NODES_SQL, ORACLE, line_points, query, stored_nodes
+from voxelake.plans.catalog import LEAF, LEVEL, NODES_SQL, ORACLE, line_points, query, stored_nodes, table
 from voxelake.sources.shared import work_dir
 from voxelake.streaming import build
 from voxelake.streaming import front as live_front
@@ -18,10 +18,10 @@ def _to_points(d):
 
 def _tree(spark, sf_dir):
     """LINE's tree with its placeholders, from a table of several files, two a batch."""
-    table = work_dir(spark, "line")
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount").repartition(6).write.parquet(table)
+    files = work_dir(spark, "line")
+    table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount").repartition(6).write.parquet(files)
     places = live_front.Placeholders(spark, work_dir(spark, "placeholders"), LEAF)
-    return build.followed(spark, table, LEVEL, _to_points, line_points(spark, sf_dir), places.note, 2), places
+    return build.followed(spark, files, LEVEL, _to_points, line_points(spark, sf_dir), places.note, 2), places
 
 
 @query("stream_placeholders", ORACLE["placeholder_substitution"])
@@ -63,7 +63,7 @@ def stream_requests(spark, sf_dir):
 @query("completion_steps", "SELECT step, min(event_id) AS event_id FROM (SELECT event_id, ((row_number() OVER (ORDER BY event_id)) * 10 // count(*) OVER () * 10)::INTEGER AS step FROM events) GROUP BY 1")
 def completion_steps(spark, sf_dir):
     """The first event at which each tenth of all events is complete."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    e = table(spark, sf_dir, "events").select("event_id")
     placed = ordering.compact(e, "event_id", F.lit(True)).withColumn("n", e.agg(F.count(F.lit(1)).alias("n")).scalar())
     step = (F.floor((F.col("pos") + 1) * 10 / F.col("n")) * 10).cast("int")
     return placed.groupBy(step.alias("step")).agg(F.min("event_id").alias("event_id"))

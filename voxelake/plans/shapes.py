@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelake.functions import geometry
-from voxelake.plans.catalog import BOXES_SQL, EMBEDDED_SQL, VIEW, _H, _L, boxed, embedded_points, query
+from voxelake.plans.catalog import BOXES_SQL, EMBEDDED_SQL, VIEW, _H, _L, boxed, embedded_points, query, table
 
 _WIDTH, _HEIGHT = 1024, 512
 
@@ -85,5 +85,5 @@ def accumulated_multipliers(spark, sf_dir):
 @query("adaptive_threshold", "SELECT event_id, least(1.0::DOUBLE, greatest((2.0 / 1024)::DOUBLE, CASE WHEN abs(value - 40) > 15 THEN t + (value - 40) * 0.001::DOUBLE ELSE t END)) AS threshold FROM (SELECT event_id, value, (event_id % 100)::DOUBLE / 100 AS t FROM events)")
 def adaptive_threshold(spark, sf_dir):
     """One step of the control for each event as a frame of `value` milliseconds."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", geometry.adapt_threshold((F.col("event_id") % 100).cast("double") / 100, F.col("value"), 40.0, 15.0).alias("threshold"))
