@@ -1,9 +1,7 @@
-"""What the operators share: checkpoint folder, bounded text chunks and vectorised byte hashing."""
+"""What the operators share: tables in the shared folder, bounded text chunks and vectorised byte hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelake.sources.shared import Folder, work_dir
+
 #: Bytes of text that a Python worker handles at once (a longer single text is handled alone).
 CHUNK_BYTES = 1 << 20
 
@@ -20,19 +20,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset, a folder of our own, on one machine only."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="voxelake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
+#: Tables of the open `scratch` blocks.
 _recorded: list[list[str]] = []
 
 
@@ -45,7 +33,7 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 def persisted_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
     """persisted, and the path of the table.  kept: `scratch` leaves it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = work_dir(spark, name)
     df.write.parquet(path)
     if _recorded and not kept:
         _recorded[-1].append(path)
@@ -54,8 +42,7 @@ def persisted_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFram
 
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    Folder(spark, path).drop()
 
 
 @contextmanager

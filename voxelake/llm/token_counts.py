@@ -23,14 +23,15 @@ named by their hash); a commit that was cut off while it named its folder doesn'
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelake.sources.shared import Folder, work_dir
+
 from . import bpe
-from .common import RESULT, persisted, shared_dir
+from .common import RESULT, persisted
 
 KEYS = ("source", "lang", "version")
 CHANGES = "kind string, source string, lang string, version string, n_tokens long, old_tokens long"
@@ -70,43 +71,8 @@ class Rollup:
     """A folder of committed batches: commits/ (a file for each id), folds/ (numbered), data/."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        at = self._path(f"{self.path}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
-
-    def _read(self, name: str) -> dict | None:
-        """What a file says; None if there is none, or it was cut off."""
-        at = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except json.JSONDecodeError:
-            return None
-        finally:
-            stream.close()
-
-    def _publish(self, name: str, says: dict) -> bool:
-        """Creates the file unless a complete one is there: the one step by which a batch or a fold begins to count."""
-        at = self._path(f"{self.path}/{name}")
-        taken = self._fs.exists(at)
-        if taken and self._read(name) is not None:
-            return False
-        try:
-            stream = self._fs.create(at, taken)  # overwrite only what was cut off
-        except Exception:
-            if self._read(name) is not None:  # another was faster
-                return False
-            raise
-        stream.write(json.dumps(says).encode())
-        stream.close()
-        return self._read(name) == says
+        self.spark, self.folder = spark, Folder(spark, path)
+        self.path = self.folder.path
 
     def _write(self, delta: DataFrame) -> str:
         made = uuid.uuid4().hex
@@ -114,15 +80,15 @@ class Rollup:
         return made
 
     def _drop(self, made: str) -> None:
-        self._fs.delete(self._path(f"{self.path}/data/{made}"), True)
+        self.folder.drop(f"data/{made}")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """False if the batch was committed before."""
         name = f"commits/{_file_name(batch_id)}"
-        if self._read(name) is not None:
+        if self.folder.read(name) is not None:
             return False
         made = self._write(signed(changes))
-        if self._publish(name, {"id": batch_id, "data": made}):
+        if self.folder.publish(name, {"id": batch_id, "data": made}):
             return True
         self._drop(made)
         return False
@@ -131,11 +97,11 @@ class Rollup:
         """Number of the last fold, the folders to sum, and the batches (file name: folder) that no fold covers."""
         covered: set[str] = set()
         number, folders = 0, []
-        while (fold := self._read(f"folds/{number + 1:09d}")) is not None:
+        while (fold := self.folder.read(f"folds/{number + 1:09d}")) is not None:
             number, folders = number + 1, [fold["data"]]
             covered |= set(fold["covers"])
         # batches are listed after the folds: what a later fold covers is still among them
-        said = {n: self._read(f"commits/{n}") for n in self._names("commits") if not n.startswith(".") and n not in covered}
+        said = {n: self.folder.read(f"commits/{n}") for n in self.folder.names("commits") if n not in covered}
         batches = {n: x["data"] for n, x in said.items() if x is not None}
         return number, folders, batches
 
@@ -155,7 +121,7 @@ class Rollup:
         if len(folders) + len(batches) < 2:
             return False
         made = self._write(self._sum([*folders, *batches.values()]))
-        if self._publish(f"folds/{number + 1:09d}", {"data": made, "covers": sorted(batches)}):
+        if self.folder.publish(f"folds/{number + 1:09d}", {"data": made, "covers": sorted(batches)}):
             return True
         self._drop(made)
         return False
@@ -164,7 +130,7 @@ class Rollup:
         """Deletes the folders that the last fold covers, when nobody reads them any more."""
         _, folders, batches = self.snapshot()
         live = {*folders, *batches.values()}
-        said = [self._read(f"commits/{n}") for n in self._names("commits") if not n.startswith(".")] + [self._read(f"folds/{n}") for n in self._names("folds") if not n.startswith(".")]
+        said = [self.folder.read(f"commits/{n}") for n in self.folder.names("commits")] + [self.folder.read(f"folds/{n}") for n in self.folder.names("folds")]
         for made in {x["data"] for x in said if x is not None} - live:
             self._drop(made)
 
@@ -183,7 +149,7 @@ def report(docs: DataFrame) -> DataFrame:
     deletes the documents without a word, and sends the revision twice."""
     spark = docs.sparkSession
     counts = persisted(plain_counts(docs), "counts")
-    book = Rollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    book = Rollup(spark, work_dir(spark, "rollup"))
     w, b = F.col("words"), F.col("bytes")
     book.commit("1", changes(counts, "insert", "words-1", b))
     book.commit("2", changes(counts, "insert", "bytes-1", b))
