@@ -120,7 +120,7 @@ def test_token_counts_of_the_real_tokenizer(spark, docs):
     """The rollup of the byte-pair version holds what op3 counts, before and after a revision."""
     counts = token_counts.bpe_counts(docs)
     want = sum(r.n_tokens for r in bpe.report(docs).collect())
-    book = token_counts.Rollup(spark, common.shared_dir(spark) + "/real")
+    book = token_counts.Rollup(spark, common.work_dir(spark, "real"))
     n = F.col("n_tokens")
     book.commit("1", token_counts.changes(counts, "insert", token_counts.BPE_VERSION, n))
     assert want > 0 and sum(r.n_tokens for r in book.totals().collect()) == want
