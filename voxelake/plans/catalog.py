@@ -118,7 +118,8 @@ def built(spark: SparkSession, sf_dir: str) -> Built:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         folder = work_dir(spark, "octree")
-        hierarchy.cells(points.with_morton(line_points(spark, sf_dir), LEVEL)).repartitionByRange("morton").sortWithinPartitions("morton").write.parquet(f"{folder}/cells")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordering.zorder_layout(hierarchy.cells(points.with_morton(line_points(spark, sf_dir), LEVEL)), parts).write.parquet(f"{folder}/cells")
         counted = spark.read.schema("morton long, n long").parquet(f"{folder}/cells")
         octree_store.write_breadth(hierarchy.nodes(counted, LEAF, LEVEL), f"{folder}/nodes")
         b = points.bounds(line_points(spark, sf_dir)).first()
