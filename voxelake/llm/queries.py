@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, near_dup, quality, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, language_id, merkle, near_dup, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .common import documents
 
 
@@ -54,6 +54,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.read_back(formatted))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filters": url_filter.ORACLE_SQL,
         "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_chat_formatting": chat_format.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
     }
