@@ -24,17 +24,17 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 _recorded: list[list[str]] = []
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: lineage ends there.  Inside `scratch` the table
-    goes at the end of the block."""
-    return persisted_at(df, name)[0]
+def persisted(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df as Parquet (with the writer's options) under the shared folder and reads it back: lineage ends there.  Inside
+    `scratch` the table goes at the end of the block."""
+    return persisted_at(df, name, **options)[0]
 
 
-def persisted_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
+def persisted_at(df: DataFrame, name: str, kept: bool = False, **options) -> tuple[DataFrame, str]:
     """persisted, and the path of the table.  kept: `scratch` leaves it."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _recorded and not kept:
         _recorded[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, merkle, near_dup, quality, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, chat_format, collocations, decontaminate, language_id, merkle, near_dup, nearest, quality, suffix_dedup, token_counts, toxicity, url_filter
 from .common import documents
 
 
@@ -58,6 +58,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(documents(spark, sf_dir))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(documents(spark, sf_dir))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -71,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
@@ -81,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_chat_formatting": chat_format.ORACLE_SQL,
         "op11_merkle_manifest": merkle.ORACLE_SQL,
+        "op12_phrase_collocations": collocations.ORACLE_SQL,
     }
