@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_prefix, byte_table, mix, persisted, small_batches, spans, token_spans, utf8
 from .fm_index import DEPTH, Index
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Texts that wait in a task for their shards to fill, over all languages.
 WAITING_BYTES = 4 * SHARD_BYTES
 #: Up to so many words or pairs go to every task.
@@ -41,7 +41,7 @@ _INSIDE = ~(_BREAK | byte_table((32, 32), (9, 9)))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHARD = "lang string, shard string, words array<string>, counts array<bigint>, tokens binary"
 #: Shards are rows of megabytes: the writer has to look at its memory often.
-_WRITE = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.block.size": 32 << 20}
+_WRITE = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.block.size": 16 << 20}
 
 
 def tokens(col) -> tuple[pa.Array, np.ndarray]:
@@ -155,6 +155,8 @@ def _each(rows: DataFrame, schema: str, sent_words, make) -> DataFrame:
                 words, index = _index(lang.as_py(), batch.column(2)[i].values, seq, frequent)
                 if index is not None:
                     yield from make(lang.as_py(), shard.as_py(), words, index, pairs.values)
+                del index
+                pa.default_memory_pool().release_unused()
 
     return rows.select("lang", "shard", "words", "tokens", "frequent", "pairs").mapInArrow(run, schema)
 

@@ -34,16 +34,22 @@ class Phrases:
 
 def _order(seq: np.ndarray) -> np.ndarray:
     """Positions by their first four symbols, round the end."""
-    pair = seq * (seq.max() + 1) + np.roll(seq, -1)
-    rank = np.unique(pair, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    key = seq * (seq.max() + 1) + np.roll(seq, -1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    key[1:] = np.cumsum(key[1:] != key[:-1])
+    key[0] = 0
+    rank = np.empty(len(seq), np.int64)
+    rank[order] = key
+    del order, key
     return np.argsort(rank * (rank.max() + 1) + np.roll(rank, -2), kind="stable")
 
 
 class _Side:
     def __init__(self, seq: np.ndarray):
-        self.bwt = seq[_order(seq) - 1]
-        self.lf = np.empty(len(seq), np.int64)
-        self.lf[np.argsort(self.bwt, kind="stable")] = np.arange(len(seq))
+        self.bwt = seq[_order(seq) - 1].astype(np.int32)
+        self.lf = np.empty(len(seq), np.int32)
+        self.lf[np.argsort(self.bwt, kind="stable")] = np.arange(len(seq), dtype=np.int32)
 
 
 class Index:
@@ -65,13 +71,14 @@ class Index:
         at = ranges(low, size)
         owner = np.repeat(np.arange(len(low)), size)
         key = owner * self.sigma + side.bwt[at]
+        del owner
         order = np.argsort(key, kind="stable")
         key = key[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(key)))
         own, symbol = np.divmod(key[edge], self.sigma)
         smaller = edge - (np.cumsum(size) - size)[own]
-        new = side.lf[at[order[edge]]]
+        new = side.lf[at[order[edge]]].astype(np.int64)
         kept = symbol > 0
         return own[kept], symbol[kept], new[kept], (other[own] + smaller)[kept], count[kept]
 
