@@ -41,7 +41,7 @@ _INSIDE = ~(_BREAK | byte_table((32, 32), (9, 9)))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHARD = "lang string, shard string, words array<string>, counts array<bigint>, tokens binary"
 #: Shards are rows of megabytes: the writer has to look at its memory often.
-_WRITE = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.block.size": 16 << 20}
+_WRITE = {"compression": "zstd", "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.block.size": 16 << 20}
 
 
 def tokens(col) -> tuple[pa.Array, np.ndarray]:
