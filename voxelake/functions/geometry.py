@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from . import morton
 
-Matrix = Sequence[Sequence[float]]
+#: Rows of numbers, or of Columns where each row of a table has a matrix of its own.
+Matrix = Sequence[Sequence[float]] | Sequence[Sequence[Column]]
 AXES = ("x", "y", "z")
 EPSILON_Z = 1e-6
 EPSILON_NORMAL = 1e-10
 
 
-def product(a: Matrix, b: Matrix) -> list[list[float]]:
-    return [[sum(a[i][k] * b[k][j] for k in range(4)) for j in range(4)] for i in range(4)]
+def _number(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
+def product(a: Matrix, b: Matrix) -> tuple[tuple[float, ...], ...]:
+    return tuple(tuple(sum(a[i][k] * b[k][j] for k in range(4)) for j in range(4)) for i in range(4))
 
 
 def planes(view_proj: Matrix) -> list[tuple[float, ...]]:
@@ -30,14 +35,14 @@ def is_cullable(low: Sequence[Column], high: Sequence[Column], view_proj: Matrix
     """The box lies wholly outside one plane: its corner farthest along the plane's normal is outside."""
     outside = []
     for a, b, c, d in planes(view_proj):
-        reach = [F.lit(float(n)) * (high[i] if n > 0 else low[i]) for i, n in enumerate((a, b, c))]
-        outside.append(reach[0] + reach[1] + reach[2] + F.lit(float(d)) < 0)
+        reach = [F.greatest(n * low[i], n * high[i]) if isinstance(n, Column) else F.lit(float(n)) * (high[i] if n > 0 else low[i]) for i, n in enumerate((a, b, c))]
+        outside.append(reach[0] + reach[1] + reach[2] + _number(d) < 0)
     return reduce(lambda x, y: x | y, outside)
 
 
 def project(point: Sequence[Column], view_proj: Matrix) -> tuple[Column, Column]:
     """Normalised device x and y (null where w is 0)."""
-    row = lambda i: reduce(lambda s, t: s + t, [F.lit(float(view_proj[i][k])) * point[k] for k in range(3)]) + F.lit(float(view_proj[i][3]))
+    row = lambda i: reduce(lambda s, t: s + t, [_number(view_proj[i][k]) * point[k] for k in range(3)]) + _number(view_proj[i][3])
     w = F.nullif(row(3), F.lit(0.0))
     return row(0) / w, row(1) / w
 

@@ -1,8 +1,8 @@
 """Morton codes as BIGINT columns.
 
 A code of level L is a 1 above 3 * L interleaved bits (x lowest), so the root is 1 and codes of different
-levels never collide.  Indices wider than the level are masked.  Level 21 uses the sign bit; tables that
-hold several levels should stay at or below level 20 (CROSS_LEVEL_MAX), where signed order is code order.
+levels never collide.  Indices wider than the level are masked.  Level 21 uses the sign bit: its codes are equal, shift and
+join as others do, and `sort_key` puts codes of any levels in their unsigned order (up to CROSS_LEVEL_MAX signed order is code order).
 All functions take and give Columns and stay inside code generation, apart from those that make arrays.
 """
 
@@ -145,6 +145,11 @@ def is_descendant_of(code: Column, other: Column) -> Column:
     return (down >= 0) & (F.call_function("shiftrightunsigned", code, F.greatest(down, F.lit(0)) * 3) == other)
 
 
+def sort_key(code: Column) -> Column:
+    """A BIGINT whose signed order is the unsigned order of codes, level 21 included; its own inverse."""
+    return code.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+
+
 def previous(code: Column) -> Column:
     return code - 1
 
@@ -184,6 +189,12 @@ def sql_encode(x: str, y: str, z: str, level: int) -> str:
     return "(" + " | ".join([f"({1 << 3 * level})::BIGINT", *(f"({b})" for b in bits)]) + ")"
 
 
+def sql_encode_deep(x: str, y: str, z: str) -> str:
+    """DuckDB text of level 21, as HUGEINT in the unsigned order."""
+    bits = [f"(((({v}) >> {b}) & 1)::HUGEINT * {1 << 3 * b + k}::HUGEINT)" for b in range(21) for k, v in enumerate((x, y, z))]
+    return f"({1 << 63}::HUGEINT + " + " + ".join(bits) + ")"
+
+
 def sql_decode(code: str, axis: int, level: int) -> str:
     return "(" + " | ".join(f"(((({code}) >> {3 * b + axis}) & 1) << {b})" for b in range(level)) + ")"
 

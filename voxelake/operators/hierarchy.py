@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelake.functions import morton
+from voxelake.operators import ordering
+from voxelake.sources.shared import stored
 
 RATIO = 0.2
 SURFEL_BYTES = 36
@@ -95,15 +97,29 @@ def ordered_contents(points: DataFrame) -> DataFrame:
     return inside.join(base, ["morton", "part"]).select(F.shiftrightunsigned("morton", 3).alias("node"), (F.col("nth") + F.col("base")).cast("long").alias("ord"), "pid")
 
 
-def draw(node: Column, i: Column, n: Column) -> Column:
-    """The position that draw i of a node picks of n: integers only, so that any engine repeats it."""
-    return F.pmod(F.pmod(F.pmod(node, F.lit(2147483648)) * F.lit(1103515245) + i * F.lit(12345), F.lit(2147483648)), n)
+def _stirred(rows: DataFrame, name: str, v: Column) -> DataFrame:
+    """Adds 31 bits of v, mixed by two rounds of xor-shift and multiply; no product passes 62 bits.  A column for each step, since
+    each is used twice by the next."""
+    for shift, factor in ((15, 739982445), (12, 695872825), (15, 1)):
+        rows = rows.withColumn(name, F.pmod(v, F.lit(1 << 31)))
+        rows = rows.withColumn(name, F.col(name).bitwiseXOR(F.shiftright(name, shift)) * F.lit(factor))
+        v = F.col(name)
+    return rows
+
+
+def drawn(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """Rows (node, ord, n) with the position that draw `ord` of the node picks of n, from 62 mixed bits: integers only, so that any
+    engine repeats it."""
+    low = lambda c: F.pmod(F.col(c), F.lit(1 << 31))
+    first = _stirred(rows, "high__", low("node") * F.lit(1103515245) + low("ord") * F.lit(1540483477))
+    second = _stirred(first, "low__", low("ord") * F.lit(1181783497) + F.col("high__"))
+    return second.withColumn(name, F.pmod(F.col("high__") * F.lit(1 << 31) + F.col("low__"), F.col("n"))).drop("high__", "low__")
 
 
 def sample_levels(contents: DataFrame, leaf_level: int, ratio: float = RATIO) -> DataFrame:
     """level, node, ord, pid of all nodes: leaves as they are, each parent's draws (with replacement) from its
-    children's contents in order."""
-    now = contents
+    children's contents in order.  Each level is a table that the one above reads three times."""
+    now = stored(contents, "level")
     out = now.withColumn("level", F.lit(leaf_level))
     for lv in range(leaf_level - 1, -1, -1):
         per = now.groupBy("node").agg(F.count(F.lit(1)).alias("n_contents")).withColumnRenamed("node", "morton")
@@ -111,7 +127,7 @@ def sample_levels(contents: DataFrame, leaf_level: int, ratio: float = RATIO) ->
         placed = now.join(base, "node").select(F.shiftrightunsigned("node", 3).alias("node"), (F.col("ord") + F.col("offset")).alias("pos"), "pid")
         totals = per.groupBy(F.shiftrightunsigned("morton", 3).alias("node")).agg(F.sum("n_contents").alias("n"))
         draws = totals.select("node", "n", F.explode(F.sequence(F.lit(0).cast("long"), sample_size(F.col("n"), ratio) - 1)).alias("ord"))
-        now = draws.withColumn("pos", draw(F.col("node"), F.col("ord"), F.col("n"))).join(placed, ["node", "pos"]).select("node", "ord", "pid")
+        now = stored(drawn(draws).join(placed, ["node", "pos"]).select("node", "ord", "pid"), "level")
         out = out.unionByName(now.withColumn("level", F.lit(lv)))
     return out.select("level", "node", "ord", "pid")
 
@@ -171,11 +187,31 @@ def release_children(nodes: DataFrame, roots: DataFrame, deepest: int) -> DataFr
     return rest.select(*[values.get(c, F.col(c)).alias(c) for c in nodes.columns])
 
 
-def append_points(parent_rows: DataFrame) -> DataFrame:
-    """parent, contents (array), is_leaf -> all contents of a parent's children, in their order, with counts of
-    children and leaf children (at most eight rows meet)."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("morton", "contents"))), lambda c: c["contents"])
-    return parent_rows.groupBy("parent").agg(F.flatten(ordered).alias("contents"), F.count(F.lit(1)).alias("n_children"), F.count_if("is_leaf").alias("n_leaves"))
+def within_budget(nodes: DataFrame, budget: int | Column, bytes_per_point: int = SURFEL_BYTES) -> DataFrame:
+    """Nodes (level, morton, n_contents) with `released`: what has to go so that the rest fits a budget of bytes.  Levels go from
+    the deepest on; in the one where it ends, whole groups of siblings from the end of the Z-order on.  Level totals first,
+    then running sums over the groups of that one level, in blocks of codes."""
+    used = F.col("n_contents") * bytes_per_point
+    limit = budget if isinstance(budget, Column) else F.lit(budget)
+    totals = nodes.groupBy("level").agg(F.sum(used).alias("used"))
+    above = F.coalesce(F.sum("used").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = totals.withColumn("above", above).select("level", "used", "above")
+    rows = nodes.join(F.broadcast(levels), "level")  # a row for each level
+    edge = rows.where((F.col("above") + F.col("used") > limit) & (F.col("above") < limit))
+    groups = edge.groupBy(F.shiftrightunsigned("morton", 3).alias("group"), "above").agg(F.sum(used).alias("bytes"))
+    kept = ordering.prefix_scan(groups, "group", F.col("bytes"), "upto", inclusive=True).where(F.col("above") + F.col("upto") <= limit).select("group", F.lit(True).alias("fits"))
+    flagged = rows.withColumn("group", F.when((F.col("above") + F.col("used") > limit) & (F.col("above") < limit), F.shiftrightunsigned("morton", 3))).join(kept, "group", "left")
+    whole = F.col("above") + F.col("used") <= limit
+    return flagged.withColumn("released", ~(whole | F.coalesce("fits", F.lit(False)))).drop("group", "fits", "used", "above")
+
+
+def append_points(parts: DataFrame) -> DataFrame:
+    """Contents of children (morton, part, contents, parent, is_leaf) as those of their parents: parent, nth, contents, n_children,
+    n_leaves.  Children keep their contents in parts of bounded size, and a parent has its children's parts in the
+    order of (morton, part), numbered from 0; points are never gathered into one row."""
+    w = Window.partitionBy("parent")
+    kids = parts.groupBy("parent", "morton").agg(F.max("is_leaf").alias("is_leaf")).groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"), F.count_if("is_leaf").alias("n_leaves"))
+    return parts.withColumn("nth", (F.row_number().over(w.orderBy("morton", "part")) - 1).cast("long")).join(kids, "parent").select("parent", "nth", "contents", "n_children", "n_leaves")
 
 
 def new_levels(level_nodes: DataFrame, deepest: int) -> DataFrame:

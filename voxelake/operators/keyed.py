@@ -14,9 +14,11 @@ def range_scan(table: DataFrame, a: int, b: int, key: str = "morton") -> DataFra
 
 
 def lookup(table: DataFrame, keys: Sequence[int], key: str = "morton") -> DataFrame:
-    """One row per asked key, found or not."""
-    asked = table.sparkSession.createDataFrame([(int(k),) for k in keys], f"{key} long")
-    return asked.join(table.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """One row per asked key, found or not.  The keys are a filter of the scan, so a clustered table is read only where they can
+    be, and what is joined are the rows found."""
+    keys = [int(k) for k in keys]
+    asked = table.sparkSession.createDataFrame([(k,) for k in keys], f"{key} long")
+    return asked.join(table.where(F.col(key).isin(keys)).withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def delete_range(table: DataFrame, a: int, b: int, key: str = "morton") -> DataFrame:

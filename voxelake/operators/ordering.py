@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, and blocks of a group of blocks, of the scans.
@@ -81,6 +81,41 @@ def segments(points: DataFrame, level: int, count: int = 10, super_level: int =
     return parts.select("morton", (F.col("s") + 1).cast("int").alias("segment"), taken.cast("long").alias("n"))
 
 
+def ranked(points: DataFrame, level: int, super_level: int = 3, bits: int = 16) -> DataFrame:
+    """Adds `rank`, the place of each row (morton, pid and others) in the order of (morton, pid): rows of one cell and 2^bits ids
+    are numbered together, so a cell with a third of all rows is shared out, and the rest are sums of counts."""
+    rows = points.withColumn("part__", F.shiftright("pid", bits))
+    counts = rows.groupBy("morton", "part__").agg(F.count(F.lit(1)).alias("n"))
+    inner = _running(counts, ["morton", "part__"], "n").withColumnRenamed("before", "inside__")
+    ahead = cell_ranks(counts.groupBy("morton").agg(F.sum("n").alias("n")), level, super_level).select("morton", "before")
+    base = inner.join(ahead, "morton").select("morton", "part__", (F.col("before") + F.col("inside__")).alias("base__"))
+    nth = F.row_number().over(Window.partitionBy("morton", "part__").orderBy("pid")) - 1
+    return rows.withColumn("nth__", nth).join(base, ["morton", "part__"]).withColumn("rank", (F.col("nth__") + F.col("base__")).cast("long")).drop("part__", "nth__", "base__")
+
+
+def chunks(points: DataFrame, level: int, quota: int, super_level: int = 3) -> DataFrame:
+    """Points with `chunk`, of `quota` rows each in the order of (morton, pid) whatever the skew, every chunk sorted and in a
+    partition of its own: rows are placed there directly, without sampling for borders."""
+    placed = ranked(points, level, super_level).withColumn("chunk", F.floor(F.col("rank") / quota).cast("int"))
+    n = points.count()
+    return placed.repartitionById(max(1, -(-n // quota)), "chunk").sortWithinPartitions("rank")
+
+
+def write_run(cells: DataFrame, table: str, buckets: int) -> None:
+    """A presorted run: counted cells (morton, n) as a table of the session's catalog in buckets of codes, one sorted file each."""
+    cells.repartition(buckets, "morton").write.mode("overwrite").bucketBy(buckets, "morton").sortBy("morton").saveAsTable(table)
+
+
+def merge_runs(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """morton, n over runs of the same number of buckets: each bucket is merged by itself, without an exchange.  To append a run is
+    to write its table."""
+    out = spark.table(tables[0]).select("morton", "n")
+    for name in tables[1:]:
+        other = spark.table(name).select("morton", F.col("n").alias("more"))
+        out = out.join(other, "morton", "full_outer").select("morton", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+    return out
+
+
 def level_to_substitute(pending: DataFrame) -> DataFrame:
     """level, n -> the level with most pending insertions, of equals the deepest; no row if all are empty."""
     return pending.where("n > 0").orderBy(F.desc("n"), F.desc("level")).limit(1)

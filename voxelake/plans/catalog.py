@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.functions import geometry, morton
 from voxelake.operators import bvh, front, hierarchy, keyed, ordering, points
 from voxelake.sources import octree_store
 from voxelake.sources.key_table import KeyTable
-from voxelake.sources.shared import work_dir
+from voxelake.sources.shared import Folder, work_dir
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -32,15 +32,9 @@ _CAMERA = ((1.0, 0.0, 0.0, -0.25), (0.0, 1.0, 0.0, -0.25), (0.0, 0.0, 1.0, -1.75
 VIEW = front.View(tuple(map(tuple, geometry.product(_PROJECTION, _CAMERA))), 0.02, 5)
 
 
-_tables: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; its footer is read once in a session."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
-    if key not in _tables:
-        _tables[key] = spark.read.parquet(key[1])
-    return _tables[key]
+    """One of the driver's tables, as it is now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +75,8 @@ NODES_SQL = f"""{LINE_CELLS}, {PYRAMID_SQL},
 k AS MATERIALIZED (SELECT morton >> 3 AS up, count(*) AS n_children FROM l WHERE level BETWEEN 1 AND {LEAF} GROUP BY 1),
 nodes AS MATERIALIZED (SELECT morton, level, CASE WHEN morton <> 1 THEN morton >> 3 END AS parent_morton, level = {LEAF} AS is_leaf, n_points, coalesce(n_children, 0) AS n_children
   FROM l LEFT JOIN k ON morton = up WHERE level <= {LEAF})"""
+#: The same levels with the children of each node, one aggregate for each level and no join.
+LEVELS_SQL = f"{LINE_CELLS}, lv AS (" + " UNION ALL ".join(f"SELECT {lv} AS level, morton >> {3 * (LEVEL - lv)} AS morton, sum(n)::BIGINT AS n_points, {f'count(DISTINCT morton >> {3 * (LEVEL - lv - 1)})' if lv < LEVEL else '0'} AS n_children FROM c GROUP BY 2" for lv in range(LEVEL + 1)) + ")"
 SIZE_SQL = [f"(SELECT s{a} * scale FROM g)" for a in "xyz"]
 
 
@@ -110,12 +106,13 @@ class Built:
     cells: str
 
 
-_built: dict[tuple[str, str], Built] = {}
+_built: dict[tuple, Built] = {}
 
 
 def built(spark: SparkSession, sf_dir: str) -> Built:
-    """LINE's octree, written once in a session: cells and nodes clustered by code.  Queries on nodes read it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """LINE's octree, written once for the files that the table has now: cells and nodes clustered by code.  Queries on nodes
+    read it; after the table is written anew the next one builds another."""
+    key = (spark.sparkContext.applicationId, Folder(spark, f"{sf_dir}/lineitem.parquet").identity())
     if key not in _built:
         folder = work_dir(spark, "octree")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -138,12 +135,20 @@ def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("morton", "level", "parent_morton", "is_leaf", "n_points", "n_children")
 
 
-def with_line_grid(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with the grid that the octree's metadata has."""
+def line_grid(spark: SparkSession, sf_dir: str) -> Column:
+    """The grid that the octree's metadata has."""
     meta = octree_store.read_meta(built(spark, sf_dir).oct)
     most = max(meta.size)
     values = dict(zip(("ox", "oy", "oz", "sx", "sy", "sz", "scale"), (*meta.origin, *meta.size, 1.0 / most if most > 0 else 1.0)))
-    return df.withColumn("grid", F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()]))
+    return F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()])
+
+
+def with_line_grid(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return df.withColumn("grid", line_grid(spark, sf_dir))
+
+
+def stored_tree(spark: SparkSession, sf_dir: str) -> octree_store.Stored:
+    return octree_store.Stored(spark, octree_store.read_meta(built(spark, sf_dir).oct).nodes)
 
 
 # bounds, normalisation, codes
@@ -340,13 +345,20 @@ def left_right_sibling(spark, sf_dir):
     return hierarchy.siblings(stored_nodes(spark, sf_dir))
 
 
-@query("parent_child_join", f"{NODES_SQL} SELECT a.morton AS parent, b.morton AS child, b.n_points AS child_points, a.n_points AS parent_points FROM nodes a JOIN nodes b ON b.parent_morton = a.morton")
+@query("parent_child_join", f"{LEVELS_SQL} SELECT morton >> 3 AS parent, morton AS child, n_points AS child_points, (sum(n_points) OVER (PARTITION BY level, morton >> 3))::BIGINT AS parent_points FROM lv WHERE level BETWEEN 1 AND {LEAF}")
 def parent_child_join(spark, sf_dir):
     n = stored_nodes(spark, sf_dir)
     a = n.select(F.col("morton").alias("parent"), F.col("n_points").alias("parent_points"))
     return a.join(n.select(F.col("parent_morton").alias("parent"), F.col("morton").alias("child"), F.col("n_points").alias("child_points")), "parent")
 
 
+def _stirred_sql(v: str) -> str:
+    for shift, factor in ((15, 739982445), (12, 695872825), (15, 1)):
+        v = f"({v}) % 2147483648"
+        v = f"xor({v}, (({v}) >> {shift})) * {factor}"
+    return f"({v})"
+
+
 def _draws_sql() -> str:
     leaf = SAMPLE_LEVEL - 1
     parts = [f"c{leaf} AS (SELECT morton >> 3 AS node, row_number() OVER (PARTITION BY morton >> 3 ORDER BY morton, pid) - 1 AS ord, pid FROM m)"]
@@ -354,7 +366,9 @@ def _draws_sql() -> str:
         below = f"c{lv + 1}"
         parts.append(f"q{lv} AS (SELECT node >> 3 AS node, row_number() OVER (PARTITION BY node >> 3 ORDER BY node, ord) - 1 AS pos, pid FROM {below})")
         parts.append(f"t{lv} AS (SELECT node, count(*) AS n FROM q{lv} GROUP BY 1)")
-        parts.append(f"d{lv} AS (SELECT node, i AS ord, (((node % 2147483648) * 1103515245 + i * 12345) % 2147483648) % n AS pos FROM (SELECT node, n, unnest(range(0, floor(greatest(1.0, n::DOUBLE * 0.2::DOUBLE))::BIGINT)) AS i FROM t{lv}))")
+        parts.append(f"i{lv} AS (SELECT node, n, unnest(range(0, floor(greatest(1.0, n::DOUBLE * 0.2::DOUBLE))::BIGINT)) AS i FROM t{lv})")
+        parts.append(f"h{lv} AS (SELECT *, {_stirred_sql('(node % 2147483648) * 1103515245 + (i % 2147483648) * 1540483477')} AS h FROM i{lv})")
+        parts.append(f"d{lv} AS (SELECT node, i AS ord, (h * 2147483648 + {_stirred_sql('(i % 2147483648) * 1181783497 + h')}) % n AS pos FROM h{lv})")
         parts.append(f"c{lv} AS (SELECT node, ord, pid FROM d{lv} JOIN q{lv} USING (node, pos))")
     return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {lv} AS level, node, ord, pid FROM c{lv}" for lv in range(leaf + 1))
 
@@ -378,9 +392,8 @@ def collapse_leaves(spark, sf_dir):
 
 @query(
     "topdown_split",
-    f"""{LINE_CELLS}, {PYRAMID_SQL}
-SELECT l.level, l.morton, l.n_points, l.n_points > {SPLIT_MOST} AND l.level < {LEVEL} AS is_inner, CASE WHEN l.n_points > {SPLIT_MOST} AND l.level < {LEVEL} THEN {SPLIT_MOST} ELSE l.n_points END::BIGINT AS n_contents
-FROM (SELECT *, morton >> 3 AS up FROM l) l LEFT JOIN (SELECT morton AS um, n_points AS up_points FROM l) u ON u.um = l.up WHERE l.morton = 1 OR u.up_points > {SPLIT_MOST}""",
+    f"""{LEVELS_SQL} SELECT level, morton, n_points, n_points > {SPLIT_MOST} AND level < {LEVEL} AS is_inner, CASE WHEN n_points > {SPLIT_MOST} AND level < {LEVEL} THEN {SPLIT_MOST} ELSE n_points END::BIGINT AS n_contents
+FROM (SELECT *, sum(n_points) OVER (PARTITION BY level, morton >> 3) AS up_points FROM lv) WHERE level = 0 OR up_points > {SPLIT_MOST}""",
 )
 def topdown_split(spark, sf_dir):
     return hierarchy.top_down(hierarchy.pyramid(stored_cells(spark, sf_dir), LEVEL), SPLIT_MOST, LEVEL)
@@ -403,19 +416,24 @@ def topdown_contents(spark, sf_dir):
 
 @query(
     "release_children",
-    f"{NODES_SQL}, r AS MATERIALIZED (SELECT morton AS root FROM nodes WHERE level = 3 AND n_points < 60), b AS MATERIALIZED (SELECT DISTINCT morton FROM (SELECT morton, morton >> (3 * k) AS above FROM nodes, (SELECT unnest(range(1, {LEAF + 1})) AS k)) JOIN r ON above = root) "
-    "SELECT morton, level, is_leaf OR root IS NOT NULL AS is_leaf, CASE WHEN root IS NULL THEN n_children ELSE 0 END::BIGINT AS n_children FROM nodes LEFT JOIN r ON morton = root WHERE morton NOT IN (SELECT morton FROM b)",
+    f"""{LEVELS_SQL}, a AS (SELECT *, CASE WHEN level >= 3 THEN sum(n_points) OVER (PARTITION BY level, morton >> (3 * greatest(level - 3, 0))) END AS third FROM lv WHERE level <= {LEAF})
+SELECT morton, level, level = {LEAF} OR (level = 3 AND n_points < 60) AS is_leaf, CASE WHEN level = {LEAF} OR (level = 3 AND n_points < 60) THEN 0 ELSE n_children END::BIGINT AS n_children FROM a WHERE level <= 3 OR third >= 60""",
 )
 def release_children(spark, sf_dir):
     n = stored_nodes(spark, sf_dir)
     return hierarchy.release_children(n, n.where("level = 3 and n_points < 60"), LEAF).select("morton", "level", "is_leaf", "n_children")
 
 
-@query("append_points", f"WITH {grid_sql(EVENTS_SQL, 4)} SELECT morton >> 3 AS parent, string_agg(pid, ',' ORDER BY morton, pid) AS contents, count(DISTINCT morton) AS n_children, count(DISTINCT morton) AS n_leaves FROM m GROUP BY 1")
+@query(
+    "append_points",
+    f"""WITH {grid_sql(EVENTS_SQL, 4)}, k AS (SELECT morton >> 3 AS parent, morton, pid >> {hierarchy.ID_BITS} AS part, string_agg(pid, ',' ORDER BY pid) AS contents FROM m GROUP BY ALL)
+SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY morton, part) - 1 AS nth, contents, n_children, n_children AS n_leaves FROM k JOIN (SELECT morton >> 3 AS parent, count(DISTINCT morton) AS n_children FROM m GROUP BY 1) USING (parent)""",
+)
 def append_points(spark, sf_dir):
-    p = points.with_morton(event_points(spark, sf_dir), 4)
-    kids = p.groupBy("morton").agg(F.sort_array(F.collect_list("pid")).alias("contents")).select("morton", "contents", F.shiftrightunsigned("morton", 3).alias("parent"), F.lit(True).alias("is_leaf"))
-    return hierarchy.append_points(kids).select("parent", F.array_join("contents", ",").alias("contents"), "n_children", "n_leaves")
+    """Contents are kept in parts of ids, which a parent takes over as they are."""
+    p = points.with_morton(event_points(spark, sf_dir), 4).withColumn("part", F.shiftright("pid", hierarchy.ID_BITS))
+    kids = p.groupBy("morton", "part").agg(F.sort_array(F.collect_list("pid")).alias("contents")).select("morton", "part", "contents", F.shiftrightunsigned("morton", 3).alias("parent"), F.lit(True).alias("is_leaf"))
+    return hierarchy.append_points(kids).select("parent", "nth", F.array_join("contents", ",").alias("contents"), "n_children", "n_leaves")
 
 
 # surfels, boxes, views
@@ -528,8 +546,7 @@ CUT_SQL = f"{BOXES_SQL}, {_cut_sql()}"
 
 
 def line_cut(spark, sf_dir):
-    n = with_line_grid(stored_nodes(spark, sf_dir), spark, sf_dir)
-    return front.lod_cut(n, VIEW, LEAF)
+    return front.descend(stored_tree(spark, sf_dir), line_grid(spark, sf_dir), VIEW)
 
 
 @query("lod_cut", f"{CUT_SQL} SELECT morton, level, n_points, cull AS is_culled, NOT cull AS is_emitted FROM cut")
@@ -725,4 +742,4 @@ def stream_running_stats(spark, sf_dir):
 
 # further modules register their queries here
 
-from voxelake.plans import files, live, shapes  # noqa: E402, F401
+from voxelake.plans import files, layouts, live, shapes, tracking  # noqa: E402, F401

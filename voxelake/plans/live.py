@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelake.functions import morton
-from voxelake.operators import ordering
-from voxelake.plans.catalog import LEAF, LEVEL, NODES_SQL, ORACLE, line_points, query, stored_nodes, table
+from voxelake.operators import ordering, points
+from voxelake.plans.catalog import LEAF, LEVEL, NODES_SQL, ORACLE, built, line_points, query, stored_nodes, table
+from voxelake.sources import octree_store
 from voxelake.sources.shared import work_dir
 from voxelake.streaming import build
 from voxelake.streaming import front as live_front
@@ -16,19 +17,28 @@ def _to_points(d):
     return d.select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("z"))
 
 
-def _tree(spark, sf_dir):
-    """LINE's tree with its placeholders, from a table of several files, two a batch."""
+def _files(spark, sf_dir) -> str:
+    """LINE as a table of several files."""
     files = work_dir(spark, "line")
     table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount").repartition(6).write.parquet(files)
+    return files
+
+
+def _places(spark, sf_dir, files: str) -> live_front.Placeholders:
+    """The placeholders of LINE's leaves, two files a batch."""
     places = live_front.Placeholders(spark, work_dir(spark, "placeholders"), LEAF)
-    return build.followed(spark, files, LEVEL, _to_points, line_points(spark, sf_dir), places.note, 2), places
+    meta = octree_store.read_meta(built(spark, sf_dir).oct)
+    most = max(meta.size)
+    grid = spark.createDataFrame([(*meta.origin, *meta.size, 1.0 / most if most > 0 else 1.0)], "ox double, oy double, oz double, sx double, sy double, sz double, scale double")
+    places.follow(points.with_morton(_to_points(build.file_stream(spark, files, 2)), LEVEL, grid), LEVEL)
+    return places
 
 
 @query("stream_placeholders", ORACLE["placeholder_substitution"])
 def stream_placeholders(spark, sf_dir):
     """Placeholders that batches left behind, with what stands for them at the end."""
-    tree, places = _tree(spark, sf_dir)
-    return places.substituted(tree.pyramid().where("n_points >= 40"))
+    places = _places(spark, sf_dir, _files(spark, sf_dir))
+    return places.substituted(stored_nodes(spark, sf_dir).where("n_points >= 40"))
 
 
 @query(
@@ -38,15 +48,16 @@ def stream_placeholders(spark, sf_dir):
 )
 def stream_pending(spark, sf_dir):
     """Pending insertions by the level that stands for them."""
-    tree, places = _tree(spark, sf_dir)
-    return places.pending(tree.pyramid().where("n_points >= 40"))
+    places = _places(spark, sf_dir, _files(spark, sf_dir))
+    return places.pending(stored_nodes(spark, sf_dir).where("n_points >= 40"))
 
 
 @query("stream_prunable", f"{NODES_SQL} SELECT parent_morton AS parent, count(*) AS n_here, count(*) AS n_children, true AS complete, true AS prunable FROM nodes WHERE is_leaf GROUP BY 1")
 def stream_prunable(spark, sf_dir):
     """After the end mark every complete group of leaves may be pruned."""
-    tree, places = _tree(spark, sf_dir)
-    return live_front.prunable(places.all(), stored_nodes(spark, sf_dir), tree)
+    files = _files(spark, sf_dir)
+    tree = build.followed(spark, files, LEVEL, _to_points, line_points(spark, sf_dir), files_per_trigger=2)
+    return live_front.prunable(_places(spark, sf_dir, files).all(), stored_nodes(spark, sf_dir), tree)
 
 
 @query("stream_requests", ORACLE["interval_requests"])

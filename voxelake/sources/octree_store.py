@@ -7,6 +7,8 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,12 @@ def read_meta(path: str) -> Meta:
     return Meta(d.get("points", ""), d.get("nodes", ""), axes("size"), axes("origin"), int(d["depth"]), d.get("database", ""))
 
 
-def write_breadth(nodes: DataFrame, path: str) -> None:
-    """Level by level (one folder each), sorted by code inside a level; then a mark for each level, for progressive readers."""
-    nodes.repartitionByRange("level", "morton").sortWithinPartitions("level", "morton").write.mode("overwrite").partitionBy("level").parquet(path)
+def write_breadth(nodes: DataFrame, path: str, files: int | None = None) -> None:
+    """Level by level (one folder each), sorted by code inside a level, with the zones of its files; then a mark for each level,
+    for progressive readers.  files: how many to spread the nodes over (default: as many as a shuffle has partitions)."""
+    dealt = nodes.repartitionByRange("level", "morton") if files is None else nodes.repartitionByRange(files, "level", "morton")
+    dealt.sortWithinPartitions("level", "morton").write.mode("overwrite").partitionBy("level").parquet(path)
+    zones(nodes.sparkSession.read.parquet(path)).coalesce(1).write.mode("overwrite").parquet(_zones(path))
     levels = sorted(int(n.removeprefix("level=")) for n in Folder(nodes.sparkSession, path).names("") if n.startswith("level="))
     for lv in levels:
         _mark(nodes.sparkSession, path, lv, lv == levels[-1])
@@ -60,6 +65,71 @@ def _mark(spark: SparkSession, path: str, level: int, last: bool) -> None:
     Folder(spark, _marks(path)).publish(f"{level:02d}.json", {"level": level, "last": last})
 
 
+def zones(nodes: DataFrame) -> DataFrame:
+    """file, level, first, last, n: the codes that each file of a level-by-level table begins and ends with; reads codes only."""
+    return nodes.groupBy(F.col("_metadata.file_name").alias("file"), F.col("level").cast("int").alias("level")).agg(F.min("morton").alias("first"), F.max("morton").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def _zones(path: str) -> str:
+    return f"{path.rstrip('/')}-zones"
+
+
+class Stored:
+    """A level-by-level table with its zones (a row for each file, on the driver like the list of files itself): gives scans of
+    the files that can hold codes of given intervals, and of no others."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        here = Folder(spark, self.path)
+        known = spark.read.parquet(_zones(path)) if here.names("") and here._fs.exists(here._path(_zones(path))) else zones(spark.read.parquet(path))
+        rows = sorted(known.collect(), key=lambda r: (r["level"], r["first"], r["last"]))
+        self.files = {lv: [r for r in rows if r["level"] == lv] for lv in {r["level"] for r in rows}}
+        self.deepest = max(self.files, default=-1)
+        self.schema = spark.read.parquet(self.path).schema
+
+    def read(self, levels, under: DataFrame | None = None) -> DataFrame | None:
+        """Rows of some levels, of the files that hold something below the codes of `under` (morton, level); None if there is none."""
+        if under is None:
+            return self._scan([(lv, i) for lv in levels for i in range(len(self.files.get(lv, ())))])
+        down = [F.struct(F.lit(lv).alias("level"), (F.lit(lv) - F.col("level")).alias("down")) for lv in levels]
+        rows = under.select("morton", F.explode(F.array(*down)).alias("d")).where("d.down > 0")
+        first = lambda c: F.call_function("shiftleft", c, F.col("d.down") * 3)
+        return self.within(rows.select("d.level", first(F.col("morton")).alias("a"), (first(F.col("morton") + 1) - 1).alias("b")))
+
+    def children(self, of: DataFrame) -> DataFrame | None:
+        """Rows of the files that hold children of nodes (morton, level)."""
+        iv = morton.child_interval(F.col("morton"))
+        return self.within(of.select((F.col("level") + 1).alias("level"), iv["a"].alias("a"), iv["b"].alias("b")))
+
+    def within(self, intervals: DataFrame) -> DataFrame | None:
+        """Rows of the files that meet closed intervals (level, a, b) of codes.  Intervals stay distributed; what comes back is
+        the distinct files."""
+        firsts = {lv: np.array([f["first"] for f in fs]) for lv, fs in self.files.items()}
+        lasts = {lv: np.maximum.accumulate([f["last"] for f in fs]) for lv, fs in self.files.items()}
+
+        def met(batches):
+            for batch in batches:
+                level, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                for lv in np.unique(level):
+                    if lv in firsts:
+                        lo = np.searchsorted(lasts[lv], a[level == lv], "left")
+                        hi = np.searchsorted(firsts[lv], b[level == lv], "right")
+                        edge = np.zeros(len(firsts[lv]) + 1, np.int64)
+                        np.add.at(edge, lo[hi > lo], 1)
+                        np.add.at(edge, hi[hi > lo], -1)
+                        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lv, np.int32)), pa.array(at.astype(np.int32))], ["level", "file"])
+
+        found = intervals.select(F.col("level").cast("int"), "a", "b").mapInArrow(met, "level int, file int").distinct().collect()
+        return self._scan([(r["level"], r["file"]) for r in found])
+
+    def _scan(self, found: list[tuple[int, int]]) -> DataFrame | None:
+        if not found:
+            return None
+        names = [f"{self.path}/level={lv}/{self.files[lv][i]['file']}" for lv, i in sorted(found)]
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*names)
+
+
 def _marks(path: str) -> str:
     return f"{path.rstrip('/')}-levels"
 

@@ -52,32 +52,58 @@ class Folder:
         return sorted(n for s in self._fs.listStatus(self.at(folder)) if not (n := s.getPath().getName()).startswith((".", "_")))
 
     def read(self, name: str) -> dict | None:
-        """What a file says; None if there is none, or it was cut off."""
+        """What a file says; None if there is none."""
         if not self._fs.exists(self.at(name)):
             return None
         stream = self._fs.open(self.at(name))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except json.JSONDecodeError:
-            return None
         finally:
             stream.close()
 
     def publish(self, name: str, says: dict) -> bool:
-        """Creates the file unless a complete one is there, in the one step by which what it names begins to count; False
-        if another was faster.  As exclusive as the file system's create-without-overwrite."""
-        taken = self._fs.exists(self.at(name))
-        if taken and self.read(name) is not None:
+        """Puts the file there, whole, in the one step by which what it names begins to count; False if one is there.  It is
+        written under a hidden name of its own first, and never replaces another: on a local disk the step is a hard link, elsewhere
+        a rename that fails where the target exists, and as exclusive as the file system makes it."""
+        if self._fs.exists(self.at(name)):
             return False
+        folder, _, last = name.rpartition("/")
+        hidden = self.at(f"{folder}/.{last}.{uuid.uuid4().hex}".lstrip("/"))
+        stream = self._fs.create(hidden, False)
+        try:
+            stream.write(json.dumps(says).encode())
+            stream.close()
+            return self._place(hidden, self.at(name))
+        finally:
+            self._fs.delete(hidden, False)
+
+    def _linked(self) -> bool:
+        return self._fs.getUri().getScheme() == "file"
+
+    def _place(self, hidden, target) -> bool:
         try:
-            stream = self._fs.create(self.at(name), taken)  # overwrite only what was cut off
+            if self._linked():
+                at = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                self._jvm.java.nio.file.Files.createLink(at(target), at(hidden))
+            else:
+                kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+                never = self.spark.sparkContext._gateway.new_array(kinds, 1)
+                never[0] = kinds.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(hidden, target, never)
         except Exception:
-            if self.read(name) is not None:
+            if self._fs.exists(target):
                 return False
             raise
-        stream.write(json.dumps(says).encode())
-        stream.close()
-        return self.read(name) == says
+        return True
+
+    def identity(self) -> tuple:
+        """Names, lengths and times of the files at the path: another tuple as soon as a table is written anew."""
+        files = self._fs.listFiles(self.at(""), True) if self._fs.exists(self.at("")) else None
+        found = []
+        while files is not None and files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(found))
 
     def drop(self, name: str = "") -> None:
         self._fs.delete(self.at(name), True)

@@ -12,10 +12,12 @@ from voxelake.operators import hierarchy, keyed, points
 from voxelake.sources.shared import Folder, work_dir
 
 
-def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """The files of a parquet table (a file or a folder) as a stream; files_per_trigger is the back-pressure."""
+def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 64, bytes_per_trigger: int | None = None) -> DataFrame:
+    """The files of a parquet table (a file or a folder) as a stream; a batch is admitted by number of files, or by bytes where
+    these are given."""
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    admitted = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    reader = spark.readStream.schema(schema).option(*admitted)
     if _is_file(spark, path):
         folder, _, name = path.rstrip("/").rpartition("/")
         return reader.option("pathGlobFilter", name).parquet(folder)
@@ -28,11 +30,12 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 class IncrementalTree:
-    """Node counts of every level, kept batch by batch.  A micro-batch changes only the nodes its points lie in: their new
-    totals are written as a version under the batch's id, so a batch that runs again replaces itself, and every
-    FOLD batches the last versions of all nodes become a base.  A mark at the end of the input makes the tree complete."""
+    """Node counts of every level, as signed changes batch by batch.  A micro-batch writes the counts of its own points (those taken
+    away are negative) as a run and reads nothing.  FOLD runs of one size are summed into one of the next (`fold`), so a
+    change is written anew a logarithmic number of times, and totals sum a logarithmic number of runs.  A run is named by its size
+    and its batches, so a batch or a fold that runs again replaces itself.  A mark at the end of the input makes the tree complete."""
 
-    FOLD = 16
+    FOLD = 4
     NODES = "level int, morton long, n_points long"
 
     def __init__(self, spark: SparkSession, path: str, level: int):
@@ -40,36 +43,65 @@ class IncrementalTree:
         self.folder = Folder(spark, path)
         self.path = self.folder.path
 
-    def add(self, batch: DataFrame, batch_id: int) -> None:
-        """batch: points with morton of `level`."""
-        changed = hierarchy.pyramid(hierarchy.cells(batch), self.level)
-        before = self.nodes(batch_id).withColumnRenamed("n_points", "had")
-        new = changed.join(before, ["level", "morton"], "left").select("level", "morton", (F.col("n_points") + F.coalesce("had", F.lit(0))).alias("n_points"))
-        new.write.mode("overwrite").parquet(f"{self.path}/changed/{batch_id:09d}")
-        if batch_id % self.FOLD == self.FOLD - 1:
-            self.nodes(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/base/{batch_id:09d}")
+    def _name(self, size: int, first: int, last: int) -> str:
+        return f"{size:02d}-{first:09d}-{last:09d}"
+
+    def _read(self, *names: str) -> DataFrame:
+        return self.spark.read.schema(self.NODES).parquet(*[f"{self.path}/runs/{n}" for n in names])
+
+    def _sum(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], self.NODES)
+        return self._read(*names).groupBy("level", "morton").agg(F.sum("n_points").alias("n_points")).where("n_points <> 0")
+
+    def add(self, batch: DataFrame, batch_id: int, taken: DataFrame | None = None) -> None:
+        """batch: points with morton of `level` that come; taken: such that go."""
+        cells = hierarchy.cells(batch)
+        if taken is not None:
+            cells = cells.unionByName(hierarchy.cells(taken).withColumn("n", -F.col("n")))
+        hierarchy.pyramid(cells, self.level).write.mode("overwrite").parquet(f"{self.path}/runs/{self._name(0, batch_id, batch_id)}")
+
+    def fold(self, batch_id: int) -> None:
+        """What is due after a batch: FOLD runs of each size that it completes become one of the next size."""
+        size, width = 1, self.FOLD
+        while (batch_id + 1) % width == 0:
+            first = batch_id + 1 - width
+            step = width // self.FOLD
+            parts = [self._name(size - 1, first + i * step, first + (i + 1) * step - 1) for i in range(self.FOLD)]
+            self._sum(parts).write.mode("overwrite").parquet(f"{self.path}/runs/{self._name(size, first, batch_id)}")
+            size, width = size + 1, width * self.FOLD
+
+    def cover(self, before: int | None = None) -> list[str]:
+        """The fewest runs that hold all batches, or those before one."""
+        known: dict[int, tuple[int, str]] = {}
+        for name in self.folder.names("runs"):
+            _, first, last = map(int, name.split("-"))
+            if (before is None or last < before) and last >= known.get(first, (-1, ""))[0]:
+                known[first] = (last, name)
+        out, at = [], 0
+        while at in known:
+            at, name = known[at][0] + 1, known[at][1]
+            out.append(name)
+        return out
 
     def nodes(self, before: int | None = None) -> DataFrame:
         """level, morton, n_points of all nodes (cells included), or as they were before a batch."""
-        known = lambda folder: [n for n in self.folder.names(folder) if before is None or int(n) < before]
-        bases, versions = known("base"), known("changed")
-        base = bases[-1] if bases else ""
-        parts = [self.spark.read.schema(self.NODES).parquet(f"{self.path}/base/{base}").withColumn("seq", F.lit(-1))] if base else []
-        parts += [self.spark.read.schema(self.NODES).parquet(f"{self.path}/changed/{v}").withColumn("seq", F.lit(int(v))) for v in versions if v > base]
-        if not parts:
-            return self.spark.createDataFrame([], self.NODES)
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows.groupBy("level", "morton").agg(F.max_by("n_points", "seq").alias("n_points"))
+        return self._sum(self.cover(before))
 
     def touched(self, batch_id: int) -> DataFrame:
         """The nodes that a batch changed."""
-        return self.spark.read.schema(self.NODES).parquet(f"{self.path}/changed/{batch_id:09d}").select("level", "morton")
+        return self._read(self._name(0, batch_id, batch_id)).select("level", "morton")
 
     def last_batch(self) -> int | None:
-        names = self.folder.names("changed")
-        return int(names[-1]) if names else None
+        names = [n for n in self.folder.names("runs") if n.startswith("00-")]
+        return int(names[-1][-9:]) if names else None
+
+    def clean(self) -> None:
+        """Deletes runs that a larger one holds, when nobody reads them any more; the last batch's own stays."""
+        kept = {*self.cover(), self._name(0, self.last_batch() or 0, self.last_batch() or 0)}
+        for name in self.folder.names("runs"):
+            if name not in kept:
+                self.folder.drop(f"runs/{name}")
 
     def pyramid(self) -> DataFrame:
         return self.nodes().where(F.col("level") < self.level)
@@ -82,7 +114,7 @@ class IncrementalTree:
         return self.folder.read("complete") is not None
 
 
-def followed(spark: SparkSession, path: str, level: int, to_points: Callable[[DataFrame], DataFrame], whole: DataFrame, each: Callable[[IncrementalTree, int], None] | None = None, files_per_trigger: int = 64) -> IncrementalTree:
+def followed(spark: SparkSession, path: str, level: int, to_points: Callable[[DataFrame], DataFrame], whole: DataFrame, each: Callable[[IncrementalTree, int], None] | None = None, files_per_trigger: int = 64, bytes_per_trigger: int | None = None) -> IncrementalTree:
     """Builds a tree from the files of a table as a stream, to its end; `whole` gives the bounds (a first pass), `each` is called
     after every batch."""
     folder = work_dir(spark, "stream-build")
@@ -92,10 +124,11 @@ def followed(spark: SparkSession, path: str, level: int, to_points: Callable[[Da
 
     def add(batch: DataFrame, batch_id: int) -> None:
         tree.add(points.with_morton(to_points(batch), level, fixed), batch_id)
+        tree.fold(batch_id)
         if each is not None:
             each(tree, batch_id)
 
-    q = file_stream(spark, path, files_per_trigger).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = file_stream(spark, path, files_per_trigger, bytes_per_trigger).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     tree.finish()
     return tree
