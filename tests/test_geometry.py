@@ -139,3 +139,38 @@ def test_bvh_groups_are_bounded(spark):
     sizes = grouped.groupBy("tree", "part").count()
     assert sizes.agg({"count": "max"}).first()[0] <= 90
     assert bvh.violations(bvh.build_partitioned(grouped)).count() == 0
+
+
+@pytest.mark.parametrize("equal", [0, 150])
+def test_one_tree_over_all_groups(spark, equal):
+    """One root; each node's box holds those below; groups join in the order of the least surface; parts of a cell of equal points too."""
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, p)) for i, p in enumerate(rng.random((300, 3)))] + [(1000 + i, 0.5, 0.5, 0.5) for i in range(equal)]
+    cells = points.with_morton(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 3)
+    parts = bvh.build_partitioned(bvh.spatial_groups(cells, 3, 12)).cache()
+    nodes, by_cell = bvh.one_tree(parts, 3)
+    got = {(r.tree, r.part, r.node_id): r for r in nodes.collect()}
+    assert len(got) == nodes.count()
+    roots = {(r.tree, r.part, r.node_id) for r in parts.where("depth = 1").collect()}
+    top = [k for k, r in got.items() if r.up_tree is None]
+    assert len(top) == 1 and got[top[0]].n_points == len(rows)
+    assert {k for k in got if k[1] >= 0} == roots and len(got) == 2 * len(roots) - 1
+    below = {}
+    for k, r in got.items():
+        if r.up_tree is not None:
+            below.setdefault((r.up_tree, r.up_part, r.up_node), []).append(r)
+    assert set(below) == {k for k in got if k[1] < 0}
+    for k, kids in below.items():
+        r = got[k]
+        assert len(kids) == 2 and r.n_points == sum(c.n_points for c in kids)
+        assert all(r[f"l{a}"] == min(c[f"l{a}"] for c in kids) and r[f"h{a}"] == max(c[f"h{a}"] for c in kids) for a in "xyz")
+    if equal:
+        assert max(r.part for r in parts.collect()) >= 8
+    held = {r.cell: r.n_points for r in by_cell.collect()}
+    assert held[1] == len(rows) and all(held[m >> 3] >= n for m, n in held.items() if m > 1)
+
+
+def test_pairs_of_least_surface():
+    boxes = np.array([[0, 0, 0, 1, 1, 1], [10, 0, 0, 11, 1, 1], [0, 0, 2, 1, 1, 3], [10, 5, 0, 11, 6, 1]], float)
+    assert bvh._pair_up(boxes) == [(0, 2), (1, 3), (4, 5)]
+    assert bvh._pair_up(boxes[:1]) == []

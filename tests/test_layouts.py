@@ -65,18 +65,20 @@ def test_runs_merge_without_an_exchange(spark):
     cells = [spark.range(i, 3000, 2 + i).select((F.col("id") * 7 + 4096).alias("morton"), (F.col("id") % 5 + 1).alias("n")) for i in range(3)]
     for i, c in enumerate(cells):
         ordering.write_run(c, f"test_run_{i}", 4)
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        merged = ordering.merge_runs(spark, [f"test_run_{i}" for i in range(3)])
-        plan = merged._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
-        want = cells[0].union(cells[1]).union(cells[2]).groupBy("morton").agg(F.sum("n").alias("n"))
-        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect()))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-        for i in range(3):
-            spark.sql(f"DROP TABLE test_run_{i}")
+    for other in (1, 2):
+        plan = ordering.merged(spark, "test_run_0", f"test_run_{other}")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and plan.count("Bucketed: true") == 2
+    merged = ordering.merge_runs(spark, [f"test_run_{i}" for i in range(3)], "test_run_all", 4)
+    want = cells[0].union(cells[1]).union(cells[2]).groupBy("morton").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect()))
+    # the result is a run again: a file for each bucket, each sorted, and it merges without an exchange too
+    plan = ordering.merged(spark, "test_run_all", "test_run_1")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and len(merged.inputFiles()) == 4
+    for f in merged.inputFiles():
+        codes = [r.morton for r in spark.read.parquet(f).collect()]
+        assert codes == sorted(codes)
+    for i in (0, 1, 2, "all"):
+        spark.sql(f"DROP TABLE test_run_{i}")
 
 
 @pytest.mark.parametrize("share", [0, 3])

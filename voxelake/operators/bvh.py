@@ -3,12 +3,14 @@
 Insertion depends on the order of the points and is sequential: `build` is the exact form for one group.
 `build_partitioned` builds one tree for each group of rows, so groups run side by side; its trees differ from the
 single one.  `spatial_groups` makes the groups: the shallowest cells with few enough points, found by counts of cells, so
-no task gets more than it can hold however the points are spread.
+no task gets more than it can hold however the points are spread.  `one_tree` joins the groups' roots to a single root: eight at
+most meet at a time, those of one cell, and the two whose common box has the least surface become a node, until one is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import morton
 from voxelake.operators import hierarchy
+from voxelake.sources.shared import stored
 
 MAX_LEVEL = 24
 #: Points of one tree.
@@ -143,6 +146,79 @@ def build_partitioned(points: DataFrame, max_level: int = MAX_LEVEL) -> DataFram
     return points.select("tree", "part", "pid", "x", "y", "z").dropna().groupBy("tree", "part").applyInPandas(grow, f"tree long, part long, {NODES}")
 
 
+_CORNERS = [f"{k}{a}" for k in "lh" for a in "xyz"]
+_ID = ("tree", "part", "node_id")
+_JOINED = f"cell long, deal long, tree long, part long, node_id long, up_tree long, up_part long, up_node long, n_points long, {', '.join(f'{c} double' for c in _CORNERS)}"
+_FANOUT = 8
+
+
+def _pair_up(boxes: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs in the order in which they are joined, numbered after the boxes given; of equal surfaces the first pair."""
+    boxes, alive, made = list(boxes), list(range(len(boxes))), []
+    while len(alive) > 1:
+        pairs = [(i, j) for k, i in enumerate(alive) for j in alive[k + 1 :]]
+        grown = [np.concatenate([np.minimum(boxes[i][:3], boxes[j][:3]), np.maximum(boxes[i][3:], boxes[j][3:])]) for i, j in pairs]
+        best = min(range(len(pairs)), key=lambda p: _area(grown[p][:3], grown[p][3:]))
+        alive = [k for k in alive if k not in pairs[best]] + [len(boxes)]
+        boxes.append(grown[best])
+        made.append(pairs[best])
+    return made
+
+
+def _joined(rows: DataFrame, mark: int) -> DataFrame:
+    """Roots grouped by (cell, deal): all of a group with the nodes that join them, `up_*` set but for the one that is left.  New
+    nodes are named by the cell, a part below 0 from mark and deal, and their number in the group."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(list(_ID), ignore_index=True)
+        cell, deal = rows["cell"].iloc[0], rows["deal"].iloc[0]
+        for i, j in _pair_up(rows[_CORNERS].to_numpy(float)):
+            name = (cell, -(mark << 40) - deal - 1, len(rows) - len(pdf))
+            for k in (i, j):
+                rows.loc[k, ["up_tree", "up_part", "up_node"]] = name
+            both = rows.loc[[i, j]]
+            new = {"cell": cell, "deal": deal, **dict(zip(_ID, name)), "n_points": both["n_points"].sum()}
+            new |= {c: both[c].min() if c[0] == "l" else both[c].max() for c in _CORNERS}
+            rows = pd.concat([rows, pd.DataFrame([new])], ignore_index=True)
+        for c in ("up_tree", "up_part", "up_node"):
+            rows[c] = rows[c].astype("Int64")
+        return rows[[c.split()[0] for c in _JOINED.split(", ")]]
+
+    columns = [c.split()[0] for c in _JOINED.split(", ")]
+    empty = [F.lit(None).cast("long").alias(c) for c in ("up_tree", "up_part", "up_node")]
+    return rows.select(*columns[:5], *empty, *columns[8:]).groupBy("cell", "deal").applyInPandas(join, _JOINED)
+
+
+def one_tree(nodes: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """From the trees of `build_partitioned` over cells down to level `deepest`: (nodes, cells).  nodes: the groups' roots and the
+    nodes above, with the name of the node above each (null: the one root), points below and corners.  cells: cell, points
+    and corners of the node that stands for each cell.  A cell's parts are joined eight by eight, then cells level by level."""
+    held = nodes.groupBy("tree", "part").agg(F.sum("n_points").alias("n_points"))
+    low, high = [F.col(f"o{a}").alias(f"l{a}") for a in "xyz"], [(F.col(f"o{a}") + F.col(f"e{a}")).alias(f"h{a}") for a in "xyz"]
+    roots = nodes.where("depth = 1").select("tree", "part", "node_id", *low, *high).join(held, ["tree", "part"])
+    now = stored(roots.select(F.col("tree").alias("cell"), F.col("part").alias("deal"), *_ID, "n_points", *_CORNERS), "roots")
+    done, cells, mark = [], [], 1
+    most = now.agg(F.max("deal")).first()[0] or 0
+    while most > 0:  # parts of one cell
+        step = stored(_joined(now.withColumn("deal", F.floor(F.col("deal") / _FANOUT)), mark), "joined")
+        done.append(step.where("up_tree is not null"))
+        now, most, mark = step.where("up_tree is null"), most // _FANOUT, mark + 1
+    now = now.withColumn("deal", F.lit(0).cast("long"))
+    for lv in range(deepest, -1, -1):
+        here = now.where(morton.level_of(F.col("cell")) == lv)
+        cells.append(here.select("cell", "n_points", *_CORNERS))
+        if lv == 0:
+            done.append(here.withColumns({c: F.lit(None).cast("long") for c in ("up_tree", "up_part", "up_node")}))
+            break
+        step = stored(_joined(here.withColumn("cell", F.shiftrightunsigned("cell", 3)), mark), "joined")
+        done.append(step.where("up_tree is not null"))
+        columns = ["cell", "deal", *_ID, "n_points", *_CORNERS]
+        now = now.where(morton.level_of(F.col("cell")) < lv).select(columns).unionByName(step.where("up_tree is null").select(columns))
+        mark += 1
+    names = [*_ID, "up_tree", "up_part", "up_node", "n_points", *_CORNERS]
+    return reduce(DataFrame.unionByName, [d.select(names) for d in done]), reduce(DataFrame.unionByName, cells)
+
+
 def statistics(nodes: DataFrame) -> DataFrame:
     """One row for each tree; averages are whole numbers, null where they would divide by zero."""
     leaf = F.col("is_leaf")

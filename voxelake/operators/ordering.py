@@ -103,17 +103,31 @@ def chunks(points: DataFrame, level: int, quota: int, super_level: int = 3) -> D
 
 def write_run(cells: DataFrame, table: str, buckets: int) -> None:
     """A presorted run: counted cells (morton, n) as a table of the session's catalog in buckets of codes, one sorted file each."""
-    cells.repartition(buckets, "morton").write.mode("overwrite").bucketBy(buckets, "morton").sortBy("morton").saveAsTable(table)
+    _bucketed(cells.repartition(buckets, "morton"), table, buckets)
 
 
-def merge_runs(spark: SparkSession, tables: list[str]) -> DataFrame:
-    """morton, n over runs of the same number of buckets: each bucket is merged by itself, without an exchange.  To append a run is
-    to write its table."""
-    out = spark.table(tables[0]).select("morton", "n")
-    for name in tables[1:]:
-        other = spark.table(name).select("morton", F.col("n").alias("more"))
-        out = out.join(other, "morton", "full_outer").select("morton", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
-    return out
+def _bucketed(cells: DataFrame, table: str, buckets: int) -> None:
+    cells.write.mode("overwrite").bucketBy(buckets, "morton").sortBy("morton").saveAsTable(table)
+
+
+def merged(spark: SparkSession, run: str, other: str) -> DataFrame:
+    """morton, n of two runs of the same number of buckets: each bucket is merged by itself, without an exchange."""
+    more = spark.table(other).select("morton", F.col("n").alias("more"))
+    return spark.table(run).select("morton", "n").hint("merge").join(more, "morton", "full_outer").select("morton", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+
+
+def merge_runs(spark: SparkSession, tables: list[str], into: str, buckets: int) -> DataFrame:
+    """Runs put together one after another, each result a run again (rows are in their buckets already, so writing exchanges
+    nothing either); to append a run is one more such step.  (A union of bucketed tables claims to keep their buckets in Spark
+    4.1.2, but sums over it come out by table, so it isn't used here.)"""
+    now = tables[0]
+    for i, name in enumerate(tables[1:]):
+        made = into if i == len(tables) - 2 else f"{into}_{i}"
+        _bucketed(merged(spark, now, name), made, buckets)
+        if i:
+            spark.sql(f"DROP TABLE {now}")
+        now = made
+    return spark.table(now)
 
 
 def level_to_substitute(pending: DataFrame) -> DataFrame:

@@ -742,4 +742,4 @@ def stream_running_stats(spark, sf_dir):
 
 # further modules register their queries here
 
-from voxelake.plans import files, layouts, live, shapes, tracking  # noqa: E402, F401
+from voxelake.plans import files, layouts, live, shapes, tracking, volumes  # noqa: E402, F401

@@ -50,6 +50,18 @@ def ply_faces(spark, sf_dir):
     return ply.read(spark, f"{folder}/mesh.ply", "face", rows_per_split=1 << 12).select(*[F.get(v, F.lit(k)).alias(f"v{k}") for k in range(3)])
 
 
+@query("ply_polygons", "SELECT event_id AS v0, event_id % 5 + 3 AS n, (event_id % 5 + 3) * event_id + 3 * (event_id % 5 + 3) * (event_id % 5 + 2) // 2 AS total FROM events")
+def ply_polygons(spark, sf_dir):
+    """Faces of three to seven corners, in files that several tasks read."""
+    folder = work_dir(spark, "polygons")
+    pid = F.col("event_id")
+    corners = F.transform(F.sequence(F.lit(0), (pid % 5 + 2).cast("int")), lambda k: pid + k * 3)
+    ply.write_parts(table(spark, sf_dir, "events").select(corners.alias("vertex_indices")), folder, "face")
+    v = F.col("vertex_indices")
+    read = ply.read(spark, folder, "face", bytes_per_split=1 << 13)
+    return read.select(F.get(v, F.lit(0)).alias("v0"), F.size(v).cast("long").alias("n"), F.aggregate(v, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
 def _group(spark, sf_dir):
     """A group of two meshes: EVENTS, and its first hundred."""
     folder = work_dir(spark, "group")

@@ -59,7 +59,10 @@ def merged_runs(spark, sf_dir):
     tables = [f"{name}_{i}" for i in range(3)]
     for i, made in enumerate(tables):
         ordering.write_run(cells.where(F.col("run") == i).select("morton", "n"), made, RUNS)
-    return ordering.merge_runs(spark, tables)
+    out = ordering.merge_runs(spark, tables, f"{name}_all", RUNS)
+    for made in tables:
+        spark.sql(f"DROP TABLE {made}")
+    return out
 
 
 CHUNK = 150

@@ -5,7 +5,10 @@ folder or several, separated by commas), `element` (vertex or face; default vert
 `bytes_per_split`.  Vertices give x, y, z, nx, ny, nz (normals (1, 0, 0) where the file has none); faces give vertex_indices
 as integers.  A large file is read by many tasks: fixed-size binary elements by ranges of rows, binary faces that are
 triangles throughout (by the size of the file; each length is checked) likewise, and an ASCII element that is the only one with
-rows, one row a line, by ranges of bytes.  Other ASCII files and elements with lists are read by one task each.
+rows, one row a line, by ranges of bytes.  Binary faces with lists of any length are cut by `polygon_ranges`, which `read`
+runs before: where a row begins depends on all rows before it, so tasks scan ranges of bytes for every place in which a row may
+begin there, and what they find is put together from the first range on.  Other ASCII files and elements with lists are
+read by one task each.
 
 `df.write.format("ply").mode("append").save(folder)` is the distributed sink: one little-endian file for each partition, named
 in the order of the partitions and published by the driver after all tasks are done, so a task that runs again leaves
@@ -15,6 +18,7 @@ local or any URI that pyarrow reaches from the executors.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -205,6 +209,93 @@ def triangles(h: Header, e: Element, path: str) -> np.dtype | None:
     return t if _size_of(path) == before + e.count * t.itemsize else None
 
 
+@dataclass
+class _Rows:
+    """How long the rows of a binary element are whose only list has a length of one byte: bytes before that, of an entry, after."""
+
+    begin: int
+    before: int
+    entry: int
+    after: int
+
+    @property
+    def most(self) -> int:
+        return self.before + 1 + 255 * self.entry + self.after
+
+
+def _list_rows(h: Header, e: Element) -> _Rows | None:
+    """None where the element can't be cut: it isn't binary, not the last one, or has more lists, longer lengths or lists before it."""
+    at = h.elements.index(e)
+    lists = [i for i, p in enumerate(e.properties) if p[2] is not None]
+    if h.format == "ascii" or len(lists) != 1 or any(x.count for x in h.elements[at + 1 :]) or not all(x.fixed for x in h.elements[:at]) or e.properties[lists[0]][2] != "u1":
+        return None
+    size = lambda ps: sum(int(kind[1]) for _, kind, _ in ps)
+    begin = h.size + sum(x.count * x.dtype(h.order).itemsize for x in h.elements[:at])
+    return _Rows(begin, size(e.properties[: lists[0]]), int(e.properties[lists[0]][1][1]), size(e.properties[lists[0] + 1 :]))
+
+
+def _leaps(raw: np.ndarray, size: int, rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first places of a block of `size` bytes, were a row to begin there: where the first row behind the block
+    begins (from the block's end on), and how many rows begin in the block.  All places leap to the next row at once, then twice
+    as far each time, until they are behind the block."""
+    to = np.arange(size) + rows.before + 1 + rows.after + raw[rows.before : rows.before + size].astype(np.int64) * rows.entry
+    count = np.ones(size, np.int64)
+    while (inside := np.flatnonzero(to < size)).size:
+        mid = to[inside]
+        count[inside] += count[mid]
+        to[inside] = to[mid]
+    n = min(size, rows.most)
+    return to[:n] - size, count[:n]
+
+
+def _scan(f, lo: int, hi: int, rows: _Rows, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the bytes lo to hi of a file, block by block; places beyond a short block wait for the next one."""
+    to, count = np.arange(rows.most), np.zeros(rows.most, np.int64)
+    for at in range(lo, hi, block):
+        size = min(block, hi - at)
+        f.seek(at)
+        raw = np.frombuffer(f.read(size + rows.before), np.uint8)
+        raw = np.concatenate([raw, np.zeros(size + rows.before - len(raw), np.uint8)])
+        step, more = _leaps(raw, size, rows)
+        here = to < len(step)
+        count[here] += more[to[here]]
+        to = np.where(here, step[np.minimum(to, len(step) - 1)], to - size)
+    return to, count
+
+
+def polygon_ranges(spark: SparkSession, path: str, bytes_per_split: int) -> list[tuple[int, int]]:
+    """(first byte, rows) of ranges of a file's faces, found by a task for each range; none where the file can't be cut so."""
+    h = header_of(path)
+    e = h.element("face")
+    rows = _list_rows(h, e)
+    end = _size_of(path)
+    if rows is None or triangles(h, e, path) is not None or end - rows.begin <= bytes_per_split:
+        return []
+    starts = list(range(rows.begin, end, bytes_per_split))
+
+    def scan(batches):
+        fs, p = _filesystem(path)
+        with fs.open_input_file(p) as f:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    to, count = _scan(f, starts[i], min(starts[i] + bytes_per_split, end), rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([to.astype("<i4").tobytes()]), pa.array([count.astype("<i8").tobytes()])], ["id", "to", "count"])
+
+    # some KB for each range
+    found = {r["id"]: (np.frombuffer(r["to"], "<i4"), np.frombuffer(r["count"], "<i8")) for r in spark.range(0, len(starts), 1, len(starts)).mapInArrow(scan, "id long, to binary, count binary").collect()}
+    out, place, left = [], 0, e.count
+    for i, start in enumerate(starts):
+        to, count = found[i]
+        n = min(int(count[place]), left) if place < len(to) else 0
+        if n:
+            out.append((start + place, n))
+        left -= n
+        place = int(to[place]) if place < len(to) else place - bytes_per_split
+    if left:
+        raise PlyError("the file ends early")
+    return out
+
+
 def _skip(f, e: Element, order: str) -> None:
     if e.fixed:
         f.seek(f.tell() + e.count * e.dtype(order).itemsize)
@@ -231,12 +322,17 @@ class PlyReader(DataSourceReader):
         self.paths = options.get("path") or ""
         self.rows = int(options.get("rows_per_split", 1 << 20))
         self.bytes = int(options.get("bytes_per_split", 64 << 20))
+        #: For each file (first byte, rows) of its ranges, as `polygon_ranges` gives them.
+        self.ranges = json.loads(options.get("ranges", "{}"))
 
     def partitions(self):
         out = []
         for path in files_of(self.paths):
             h = header_of(path)
             e = h.element(self.element)
+            if self.ranges.get(path):
+                out += [Split(path, at, n, True) for at, n in self.ranges[path]]
+                continue
             if h.format == "ascii" and e.fixed and all(x is e or not x.count for x in h.elements):
                 end = _size_of(path)
                 out += [Split(path, lo, min(self.bytes, end - lo), True) for lo in range(h.size, end, self.bytes)]
@@ -318,6 +414,9 @@ class PlyReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3, dtype=np.int32)), pa.array(flat))], ["vertex_indices"])
                 left -= n
             return
+        if split.by_bytes:
+            yield from self._polygons(f, h, e, split, at)
+            return
         if h.format == "ascii":
             rows = ([int(w) for w in r[at]] for r in _ascii_rows(f, h, e))
         else:
@@ -334,6 +433,37 @@ class PlyReader(DataSourceReader):
         if part:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.int64()))], ["vertex_indices"])
 
+    def _polygons(self, f, h: Header, e: Element, split: Split, at: int):
+        rows = _list_rows(h, e)
+        kind = np.dtype(h.order + e.properties[at][1])
+        place, left = split.first, split.rows
+        while left:
+            f.seek(place)
+            raw = np.frombuffer(f.read(max(1 << 20, rows.most)), np.uint8)
+            *starts, after = _polygon_starts(raw, rows, left)
+            if not starts:
+                raise PlyError("the file ends early")
+            starts = np.array(starts)
+            n = raw[starts + rows.before].astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            first = np.repeat(starts + rows.before + 1 - ends[:-1] * kind.itemsize, n) + np.arange(ends[-1]) * kind.itemsize
+            flat = raw[first[:, None] + np.arange(kind.itemsize)].copy().view(kind).ravel().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["vertex_indices"])
+            left -= len(starts)
+            place += after
+
+
+def _polygon_starts(raw: np.ndarray, rows: _Rows, most: int) -> list[int]:
+    """Where rows begin that are whole in the bytes given, `most` of them at most; then where the next one begins."""
+    out, at, length, fixed = [], 0, raw.tobytes(), rows.before + 1 + rows.after
+    while len(out) < most and at + rows.before < len(length):
+        to = at + fixed + length[at + rows.before] * rows.entry
+        if to > len(length):
+            break
+        out.append(at)
+        at = to
+    return [*out, at]
+
 
 def header_text(element: str, count: int) -> bytes:
     if element == "vertex":
@@ -431,9 +561,12 @@ class PlySource(DataSource):
         return PlyWriter(self.options, self._element)
 
 
-def read(spark: SparkSession, path: str, element: str = "vertex", rows_per_split: int = 1 << 20) -> DataFrame:
+def read(spark: SparkSession, path: str, element: str = "vertex", rows_per_split: int = 1 << 20, bytes_per_split: int = 64 << 20) -> DataFrame:
     spark.dataSource.register(PlySource)
-    return spark.read.format("ply").option("element", element).option("rows_per_split", rows_per_split).load(path)
+    reader = spark.read.format("ply").option("element", element).option("rows_per_split", rows_per_split).option("bytes_per_split", bytes_per_split)
+    if element == "face":
+        reader = reader.option("ranges", json.dumps({f: found for f in files_of(path) if (found := polygon_ranges(spark, f, bytes_per_split))}))
+    return reader.load(path)
 
 
 def read_group(spark: SparkSession, group: str, element: str = "vertex") -> DataFrame:
