@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
@@ -110,10 +111,38 @@ def test_token_counts_count_once_whatever_meets(spark, tmp_path):
     assert not any(book.commit(k, batch(7)) for k in ("a/*{1}", "b", "c", "d"))
     book.clean()
     assert total(book) == [(4, 131)] and not book.compact()
-    # a commit that was cut off while it named its folder doesn't count, and can be sent again
-    (tmp_path / "meet" / "commits" / token_counts._file_name("e")).write_text('{"id": "e", "da')
+    # a commit that was cut off before its file was there doesn't count, and can be sent again
+    made = book._write(token_counts.signed(batch(50)))
+    name = token_counts._file_name("e")
+    book.folder.publish(f"pending/{name}.{made}", {})
+    (tmp_path / "meet" / "commits" / f".{name}.0").write_text('{"id": "e", "da')
     assert total(book) == [(4, 131)] and book.commit("e", batch(5)) and not book.commit("e", batch(5))
     assert total(book) == [(5, 136)]
+    # the mark of an attempt that lost, left after its batch was folded
+    assert book.compact() and total(book) == [(5, 136)]
+    book.folder.publish(f"pending/{token_counts._file_name('a/*{1}')}.{made}", {})
+    assert total(book) == [(5, 136)] and not book.compact()
+    # a fold whose marks were not cleared: they don't count beside it, nor with the next one
+    assert other.commit("f", batch(1))
+    drop, book.folder.drop = book.folder.drop, lambda name="": None
+    assert book.compact() and total(other) == [(6, 137)]
+    book.folder.drop = drop
+    assert other.commit("g", batch(1)) and other.compact() and total(book) == [(7, 138)]
+    book.clean()
+    assert total(book) == [(7, 138)] and len(book.folder.names("data")) == 1
+
+
+def test_token_counts_read_what_came_since_the_last_fold(spark, tmp_path):
+    """However many batches and folds there were."""
+    book = token_counts.Rollup(spark, str(tmp_path / "long"))
+    for i in range(7):
+        book.commit(str(i), spark.createDataFrame([("insert", "s", "en", "v", 1, None)], token_counts.CHANGES))
+        if i % 2:
+            book.compact()
+    read, seen = type(book.folder).read, []
+    book.folder.read = lambda name: seen.append(name) or read(book.folder, name)
+    assert [(r.n_docs, r.n_tokens) for r in book.totals().collect()] == [(7, 7)]
+    assert seen == ["folds/000000003", f"commits/{token_counts._file_name('6')}"]
 
 
 def test_token_counts_of_the_real_tokenizer(spark, docs):
@@ -131,8 +160,20 @@ def test_token_counts_of_the_real_tokenizer(spark, docs):
 
 
 def test_token_counts_report(spark, docs):
-    got = {(r.source, r.lang, r.version): r for r in token_counts.report(clashing(docs)).where("level = 3").collect()}
-    assert sum(r.n_docs for r in got.values()) == 2 * sum(1 for x in corpus() if (x[1] or "").strip())
+    """Against the library's tokens, words and bytes of each text."""
+    encoder = tokenizers.Tokenizer.from_file(bpe.default_path())
+    encoder.no_truncation()
+    encoder.no_padding()
+    want = defaultdict(lambda: [0, 0])
+    for _, text, lang, source, *_ in corpus():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        if words:
+            for version, n in ((token_counts.BPE_VERSION, len(encoder.encode(text, add_special_tokens=False).ids)), ("words-1", words), ("bytes-1", len(text.encode()))):
+                for k in ((3, source, lang, version), (2, source, lang, None), (1, source, None, None), (0, None, None, None)):
+                    want[k][0] += 1
+                    want[k][1] += n
+    got = sorted(((r.level, r.source, r.lang, r.version, r.n_docs, r.n_tokens) for r in token_counts.report(clashing(docs)).collect()), key=str)
+    assert got == sorted(((*k, *v) for k, v in want.items()), key=str)
     assert token_counts.report(empty(spark)).where("n_docs > 0").count() == 0
 
 
@@ -727,6 +768,8 @@ def test_registered(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     if name in queries.oracle_sql():
         same_rows(df, duck, queries.oracle_sql()[name])
+    elif name == "op1_token_counts":
+        assert df.where("level = 3").select("version").distinct().count() == 3
     elif name == "op13_nearest_neighbours":
         assert df.count() == 5 * duck.execute("SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0").fetchone()[0]
     else:

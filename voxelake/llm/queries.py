@@ -86,7 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_token_counts": token_counts.ORACLE_SQL,
         "op2_url_filters": url_filter.ORACLE_SQL,
         "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op10_chat_formatting": chat_format.ORACLE_SQL,
