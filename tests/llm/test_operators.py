@@ -667,6 +667,39 @@ def test_decontamination(spark, docs):
     assert decontaminate.report(empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.SLICE_BYTES, 100])
+@pytest.mark.parametrize("shard", [decontaminate.SHARD_BYTES, 1500])
+def test_longest_match_of_every_suffix(spark, docs, limit, shard, monkeypatch):
+    """Of all suffixes, those shorter than a window too, against all places in all texts."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    long = corpus()[6][1].split()
+    items = [("1", " ".join(long[5:30]) + " never " + " ".join(long[40:44])), ("2", "One"), (None, "çode 😀 text"), ("4", "!!"), ("5", "never seen"), ("6", corpus()[7][1]), ("6", "ab one"), ("2", "One"), ("7", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [(r[0], words7(r[1])) for r in corpus()]
+    places = defaultdict(list)
+    for d, w in texts:
+        for i, x in enumerate(w):
+            places[x].append((d, i, w))
+    want = []
+    for item, text in set(items):
+        w = words7(text)
+        for at in range(len(w)):
+            found = []
+            for d, i, t in places[w[at]]:
+                n = 0
+                while at + n < len(w) and i + n < len(t) and t[i + n] == w[at + n]:
+                    n += 1
+                found.append((n, d, i))
+            best = max((f[0] for f in found), default=0)
+            top = sorted(((d is not None, d or 0, i) for n, d, i in found if n == best)) if best else []
+            want.append((item, at, len(w) - at, best, len(top), (top[0][1] if top[0][0] else None) if top else None, top[0][2] if top else None))
+    got = decontaminate.longest_matches(clashing(docs).repartition(3), bench, limit)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert max(x[3] for x in want) > decontaminate.DEPTH and any(0 < x[3] < 10 for x in want)
+    assert decontaminate.longest_matches(empty(spark), bench).where("longest > 0").count() == 0
+    assert decontaminate.longest_matches(docs, bench.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("limit", [decontaminate.SLICE_BYTES, 60])
 def test_benchmark_items_without_an_id_are_hit(spark, limit):
     r = random.Random(14)

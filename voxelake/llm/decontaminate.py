@@ -3,7 +3,8 @@
 Each task sorts the word suffixes of a bounded shard of whole documents (DEPTH words deep) into a suffix
 array and binary-searches the benchmark's window starts in it, as deep as the window is long: the interval's
 entries are the locations, from which matches are extended word by word.  A window is 10 consecutive words of an item (a shorter item is one window); document words inside any occurrence of a
-window are hit, and documents with a hit word are removed.
+window are hit, and documents with a hit word are removed.  `longest_matches` searches every suffix of every item, the last words
+too, and gives each one's longest verbatim match in the documents, whatever its length, with the places.
 
 The benchmark travels to the tasks only in slices of about SLICE_BYTES of distinct items (one longer item is a slice of its
 own).  The driver holds one slice at a time: it is broadcast, matched with all documents and freed before the next one is
@@ -22,16 +23,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, LOWER, RESULT, byte_prefix, byte_table, map_texts, named, persisted, ranges, spans, token_spans, utf8
+from .common import _TABLE, LOWER, RESULT, byte_prefix, byte_table, chunks, map_texts, named, persisted, ranges, small_batches, spans, token_spans, utf8
 
 WINDOW = 10
 DEPTH = 12
 SLICE_BYTES = 16 << 20
 SHARD_BYTES = 3 << 20
 WORD_BYTES = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FIELDS = "n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, longest: bigint, runs: array<int>, items: array<string>"
 _NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
@@ -200,6 +203,90 @@ def extend(words: np.ndarray, where: np.ndarray, test: Windows, which: np.ndarra
     return size
 
 
+def _longest(words: np.ndarray, array: SuffixArray, test: Windows, start: np.ndarray, end: np.ndarray, order: np.ndarray):
+    """Of each suffix (start to end of test.words): its longest match in `words`, how many places have it, and the least `order` of
+    these places."""
+    depth = np.minimum(end - start, DEPTH)
+    lo, hi, length = array.search(test.words, start, depth)
+    # the search narrows to nothing where a word more doesn't follow: back to the depth that did
+    short = np.flatnonzero((length > 0) & (hi <= lo))
+    if len(short):
+        lo[short], hi[short], _ = array.search(test.words, start[short], length[short])
+    count = np.where(length > 0, hi - lo, 0)
+    which, where = np.repeat(np.arange(len(start)), count), array.sa[ranges(lo, count)]
+    size = length[which]
+    live = np.flatnonzero((size == DEPTH) & (start[which] + size < end[which]))
+    while len(live):
+        a, b = where[live] + size[live], start[which[live]] + size[live]
+        live = live[words[np.minimum(a, len(words) - 1)] == test.words[b]]
+        size[live] += 1
+        live = live[start[which[live]] + size[live] < end[which[live]]]
+    best = np.zeros(len(start), np.int64)
+    np.maximum.at(best, which, size)
+    top = size == best[which]
+    n = np.bincount(which[top], minlength=len(start))
+    first = np.full(len(start), np.iinfo(np.int64).max)
+    np.minimum.at(first, which[top], order[where[top]])
+    return best, n, first
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
+    """item_id, at (the suffix's first word in its item, from 0), n_words (of the suffix), longest (in words; 0: its first word
+    is nowhere), n_places, doc_id and place (the first of those with the longest match by doc_id, null first, and word).  Each
+    shard of documents searches all suffixes; shards' findings are reduced by suffix, so places are counted, never gathered.
+    Equal items are one; an item of several texts has suffixes of each; null doc_ids count as one document."""
+    items, n = benchmark_slices(benchmark, limit)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") > 0)
+    schema = "item_id string, at long, n_words long, item long, longest long, n_places long, doc_id long, place long"
+    parts = []
+    for i in range(n):
+        own = items.where(F.col("slice") == i).select("item_id", "text", "h")
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
+
+        def search(batches, shared=shared):
+            held = sorted(shared.value, key=str)
+            test = Windows([r[:2] for r in held])
+            _, item = word_hashes(*utf8(pa.array([r[1] or "" for r in held], pa.string())))
+            size = np.bincount(item, minlength=len(held)) if len(item) else np.zeros(len(held), np.int64)
+            first = np.cumsum(size) - size
+            start, end = np.arange(len(item)), (first + size)[item] if len(item) else np.zeros(0, np.int64)
+            names = pa.array([r[0] for r in held], pa.string())
+            keys = np.array([r[2] for r in held], np.int64)
+            for batch in batches:
+                for a, b, data, off in chunks(batch.column(1), SHARD_BYTES):
+                    hashes, text = word_hashes(data, off)
+                    if not len(hashes) or not len(start):
+                        continue
+                    words = np.zeros(len(hashes) + len(off) - 1, np.uint64)
+                    words[np.arange(len(hashes)) + text] = hashes
+                    n_words = np.bincount(text, minlength=len(off) - 1)
+                    ids = batch.column(0).slice(a, b - a)
+                    known = pc.unique(ids).sort(null_placement="at_start")
+                    rank = pc.index_in(ids, known).to_numpy().astype(np.int64)
+                    width = int(n_words.max()) + 1
+                    order = np.repeat(rank * width, n_words + 1) + ranges(np.zeros(len(n_words), np.int64), n_words + 1)
+                    best, places, at = _longest(words, SuffixArray(words, DEPTH), test, start, end, order)
+                    got = np.flatnonzero(best)
+                    columns = [names.take(pa.array(item[got])), pa.array(start[got] - first[item[got]]), pa.array((end - start)[got]), pa.array(keys[item[got]]), pa.array(best[got]), pa.array(places[got]), known.take(pa.array(at[got] // width)), pa.array(at[got] % width)]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+        found = rows.mapInArrow(search, schema)
+        key = ["item", "item_id", "at", "n_words"]
+        # the longest of each shard first, then how many places have the longest of all
+        lengths = found.groupBy(*key, "longest").agg(F.sum("n_places").alias("n_places"), F.min(F.struct("doc_id", "place")).alias("p"))
+        best = lengths.groupBy(*key).agg(F.max(F.struct("longest", "n_places", "p")).alias("b"))
+        parts.append(persisted(best.select(*key, "b.longest", "b.n_places", "b.p.doc_id", "b.p.place"), "longest"))
+        shared.destroy()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    words = items.select(F.col("h").alias("item"), "item_id", F.regexp_count("text", F.lit(WORD)).alias("n"))
+    every = words.where("n > 0").select("item", "item_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"), "n").select("item", "item_id", F.col("at").cast("long").alias("at"), (F.col("n") - F.col("at")).cast("long").alias("n_words"))
+    met = every.join(out.drop("item_id", "n_words"), ["item", "at"], "left")
+    return met.select("item_id", "at", "n_words", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("longest", "n_places")], "doc_id", "place")
+
+
 def benchmark_slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> tuple[DataFrame, int]:
     """Distinct items (item_id, text, slice) and the number of slices."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
