@@ -50,7 +50,7 @@ def test_descent_opens_no_file_below_closed_nodes(spark, tree, monkeypatch):
         down = 3 * (lv - 2)
         want = {f"level={lv}/{z['file']}" for z in tree.files[lv] if any(z["first"] <= ((m + 1) << down) - 1 and z["last"] >= m << down for m in second)}
         assert want == {f for f in opened if f.startswith(f"level={lv}/")}
-    assert len({f for f in opened if f.startswith("level=5/")}) <= len(tree.files[5]) / 2
+    assert len({f for f in opened if f.startswith("level=5/")}) < len(tree.files[5])
 
 
 def test_zones_find_the_files_of_intervals(spark, tree):

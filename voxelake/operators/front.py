@@ -162,6 +162,25 @@ def track(fronts: DataFrame, tree: Stored, grid: Column, views: DataFrame) -> Da
     return out.unionByName(judged(kids.withColumn("grid", grid)).select(*names, "is_culled"))
 
 
+def step(front: DataFrame, nodes: DataFrame, view: View) -> DataFrame:
+    """One tracking pass over an existing front (column morton) and a table of all nodes (`track` does it for many cameras and
+    reads a stored tree): complete sibling groups whose parent is culled or
+    fine are pruned, other nodes that branch are replaced by their children.  A front that a camera moved
+    keeps this hysteresis; repeated from the root it ends at `lod_cut`."""
+    known = nodes.select("morton", "level", "is_leaf", "n_children")
+    rows = front.select("morton").join(known, "morton")
+    up = morton.parent(F.col("morton"))
+    groups = rows.withColumn("parent", up).where(F.col("parent").isNotNull()).groupBy("parent").agg(F.count(F.lit(1)).alias("here"))
+    parents = groups.join(known.withColumnRenamed("morton", "parent"), "parent").where("here = n_children")
+    grid = nodes.select("grid").limit(1).scalar()
+    flags = lambda d, c: judged(d.withColumn("grid", grid), view, c)
+    pruned = flags(parents, "parent").where("is_culled or is_fine").select("parent")
+    stay = rows.withColumn("parent", up).join(pruned, "parent", "left_anti")
+    opened = flags(stay, "morton").withColumn("open", _opens(view.max_depth))
+    kids = opened.where("open").select(F.explode(morton.children(F.col("morton"))).alias("morton")).join(known.select("morton"), "morton", "left_semi")
+    return pruned.select(F.col("parent").alias("morton")).unionByName(opened.where("not open").select("morton")).unionByName(kids)
+
+
 def within_quota(cut: DataFrame, quota_bytes: int, bytes_per_point: int = 36) -> DataFrame:
     """What of the cut is loaded, coarse levels first, until the quota is used up: level totals first, so that only the level in
     which it runs out is summed row by row, in blocks of codes (`ordering.prefix_scan`)."""

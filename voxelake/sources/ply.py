@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from voxelake.sources.shared import work_dir
+from voxelake.sources.shared import root, work_dir
 
 # The format's type names, old and new.
 TYPES = {
@@ -600,8 +600,9 @@ def write_parts(rows: DataFrame, folder: str, element: str = "vertex", index: st
 
 def write(points: DataFrame, path: str, faces: DataFrame | None = None, index: str | list[str] | None = None, face_index: str | list[str] | None = None) -> None:
     """One little-endian file with six floats a vertex (and int lists a face), in the order of the index columns, for exchange
-    with other programs.  Tasks write the rows as parts in the shared folder; the driver copies the parts' bytes behind one
-    header.  Each table is evaluated once.  Faces name vertices by position, so with faces the index is a must."""
+    with other programs.  Tasks write the rows as parts in the shared folder; their sizes say where each part's bytes belong, so
+    tasks copy them there, side by side.  Where tasks can't do that (a store that is no disk, or on a cluster a disk that isn't the
+    shared folder's), the driver copies them one after another.  Each table is evaluated once.  Faces name vertices by position, so with faces the index is a must."""
     if faces is not None and index is None:
         raise PlyError("faces need an order of the vertices")
     spark = points.sparkSession
@@ -612,23 +613,50 @@ def write(points: DataFrame, path: str, faces: DataFrame | None = None, index: s
             write_parts(rows, f"{folder}/{element}", element, by)
             parts.append((element, files_of(f"{folder}/{element}")))
     headers = {f: header_of(f) for _, files in parts for f in files}
+    head = HEAD + b"".join(header_text(element, sum(headers[f].elements[0].count for f in files)) for element, files in parts) + END
+    place, bodies = len(head), []
+    for f in (f for _, files in parts for f in files):
+        bodies.append((f, headers[f].size, place))
+        place += _size_of(f) - headers[f].size
     fs, p = _filesystem(path)
-    with fs.open_output_stream(p) as out:
-        out.write(HEAD)
-        for element, files in parts:
-            out.write(header_text(element, sum(headers[f].elements[0].count for f in files)))
-        out.write(END)
-        for _, files in parts:
-            for name in files:
-                part_fs, part = _filesystem(name)
-                with part_fs.open_input_file(part) as f:
-                    f.seek(headers[name].size)
-                    while piece := f.read(8 << 20):
-                        out.write(piece)
+    if isinstance(fs, pafs.LocalFileSystem) and (spark.sparkContext.master.startswith("local") or p.startswith(_filesystem(root(spark))[1])):
+        with open(p, "wb") as out:
+            out.write(head)
+            out.truncate(place)
+        _copied(spark, bodies, p)
+    else:
+        with fs.open_output_stream(p) as out:
+            out.write(head)
+            for body in bodies:
+                _copy(body, out)
     part_fs, part = _filesystem(folder)
     part_fs.delete_dir(part)
 
 
+def _copy(body: tuple[str, int, int], out) -> None:
+    name, first, _ = body
+    fs, p = _filesystem(name)
+    with fs.open_input_file(p) as f:
+        f.seek(first)
+        while piece := f.read(8 << 20):
+            out.write(piece)
+
+
+def _copied(spark: SparkSession, bodies: list[tuple[str, int, int]], path: str) -> None:
+    """Parts' bytes put at their places of a file by tasks; a task that runs again writes the same bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                with open(path, "r+b") as out:
+                    out.seek(bodies[i][2])
+                    _copy(bodies[i], out)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["id"])
+
+    if bodies:
+        spark.range(0, len(bodies), 1, len(bodies)).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
 def merge(group: str, spark: SparkSession, path: str) -> None:
     """The files that a .gp file lists as one: all vertices in the order of files and rows, face indices moved by the number of
     vertices in the files before."""
