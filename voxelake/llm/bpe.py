@@ -112,6 +112,12 @@ class Codec:
             return out
         return list(chain.from_iterable([memory[p] for p in self.find(text)]))
 
+    def count(self, text: str) -> int:
+        """The number of ids."""
+        if self.split is not None and any(t in text for t in self.v.added):
+            return len(self.encode(text))
+        return sum(map(len, map(self.memory.__getitem__, self.find(text))))
+
     def decode(self, ids: list[int]) -> bytes:
         """The decoded text in UTF-8."""
         raw = b"".join(map(self.v.bytes.__getitem__, ids))
@@ -149,6 +155,22 @@ def annotate(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids
     return map_texts(docs, FIELDS, make, keep)
 
 
+def numbers(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """The kept columns and a struct RESULT with n_tokens alone: texts are encoded, but no list of ids is made."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
+    def make():
+        codec = Codec(shared.value)
+
+        def work(data, off):
+            raw = data.tobytes()
+            return [pa.array([codec.count(raw[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.int64())]
+
+        return work
+
+    return map_texts(docs, "n_tokens: bigint", make, keep)
+
+
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds `decoded`, the text of each row's array of ids (null: null)."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))

@@ -53,7 +53,7 @@ def plain_counts(docs: DataFrame, *more: Column) -> DataFrame:
 def bpe_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """source, lang, and each text's tokens by the byte-pair encoding of `bpe` (BPE_VERSION)."""
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
-    return bpe.annotate(rows, path or bpe.default_path(), ["source", "lang"], with_ids=False).select("source", "lang", f"{RESULT}.n_tokens")
+    return bpe.numbers(rows, path or bpe.default_path(), ["source", "lang"]).select("source", "lang", f"{RESULT}.n_tokens")
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -160,9 +160,9 @@ def changes(counts: DataFrame, kind: str, version: str, n, old=None) -> DataFram
 
 def counted(docs: DataFrame) -> DataFrame:
     """source, lang, and each text's tokens in three versions: the byte-pair encoding, words, and UTF-8 bytes."""
-    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
-    tokens = bpe.annotate(rows, bpe.default_path(), ["source", "lang", "text"], with_ids=False)
-    return plain_counts(tokens, F.col(f"{RESULT}.n_tokens").alias("tokens"))
+    keep = ["source", "lang", "words", "bytes"]
+    tokens = bpe.numbers(plain_counts(docs, F.col("text")), bpe.default_path(), keep)
+    return tokens.select(*keep, F.col(f"{RESULT}.n_tokens").alias("tokens"))
 
 
 def report(docs: DataFrame) -> DataFrame:
