@@ -53,7 +53,9 @@ def test_descent_opens_no_file_below_closed_nodes(spark, tree, monkeypatch):
     assert len({f for f in opened if f.startswith("level=5/")}) < len(tree.files[5])
 
 
-def test_zones_find_the_files_of_intervals(spark, tree):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_zones_find_the_files_of_intervals(spark, tree, few, monkeypatch):
+    monkeypatch.setattr(octree_store.Stored, "FEW", few)
     zones = tree.files[5]
     one = zones[len(zones) // 2]
     asked = spark.createDataFrame([(5, one["first"], one["first"]), (5, one["last"], one["last"]), (9, 1, 2)], "level int, a long, b long")

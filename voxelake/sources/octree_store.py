@@ -78,6 +78,8 @@ class Stored:
     """A level-by-level table with its zones (a row for each file, on the driver like the list of files itself): gives scans of
     the files that can hold codes of given intervals, and of no others."""
 
+    FEW = 10_000
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         here = Folder(spark, self.path)
@@ -102,25 +104,32 @@ class Stored:
         return self.within(of.select((F.col("level") + 1).alias("level"), iv["a"].alias("a"), iv["b"].alias("b")))
 
     def within(self, intervals: DataFrame) -> DataFrame | None:
-        """Rows of the files that meet closed intervals (level, a, b) of codes.  Intervals stay distributed; what comes back is
-        the distinct files."""
+        """Rows of the files that meet closed intervals (level, a, b) of codes.  Up to FEW intervals are looked up by the driver; more
+        stay distributed, and what comes back is the distinct files."""
         firsts = {lv: np.array([f["first"] for f in fs]) for lv, fs in self.files.items()}
         lasts = {lv: np.maximum.accumulate([f["last"] for f in fs]) for lv, fs in self.files.items()}
 
+        def files(level, a, b):
+            for lv in np.unique(level):
+                if lv in firsts:
+                    lo = np.searchsorted(lasts[lv], a[level == lv], "left")
+                    hi = np.searchsorted(firsts[lv], b[level == lv], "right")
+                    edge = np.zeros(len(firsts[lv]) + 1, np.int64)
+                    np.add.at(edge, lo[hi > lo], 1)
+                    np.add.at(edge, hi[hi > lo], -1)
+                    yield int(lv), np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
         def met(batches):
             for batch in batches:
-                level, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                for lv in np.unique(level):
-                    if lv in firsts:
-                        lo = np.searchsorted(lasts[lv], a[level == lv], "left")
-                        hi = np.searchsorted(firsts[lv], b[level == lv], "right")
-                        edge = np.zeros(len(firsts[lv]) + 1, np.int64)
-                        np.add.at(edge, lo[hi > lo], 1)
-                        np.add.at(edge, hi[hi > lo], -1)
-                        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lv, np.int32)), pa.array(at.astype(np.int32))], ["level", "file"])
-
-        found = intervals.select(F.col("level").cast("int"), "a", "b").mapInArrow(met, "level int, file int").distinct().collect()
+                for lv, at in files(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lv, np.int32)), pa.array(at.astype(np.int32))], ["level", "file"])
+
+        asked = intervals.select(F.col("level").cast("int"), "a", "b")
+        few = asked.limit(self.FEW + 1).collect()
+        if len(few) <= self.FEW:
+            columns = [np.array([r[k] for r in few], np.int64) for k in ("level", "a", "b")]
+            return self._scan([(lv, int(i)) for lv, at in files(*columns) for i in at])
+        found = asked.mapInArrow(met, "level int, file int").distinct().collect()
         return self._scan([(r["level"], r["file"]) for r in found])
 
     def _scan(self, found: list[tuple[int, int]]) -> DataFrame | None:
