@@ -170,6 +170,18 @@ def test_one_tree_over_all_groups(spark, equal):
     assert held[1] == len(rows) and all(held[m >> 3] >= n for m, n in held.items() if m > 1)
 
 
+def test_trees_are_dealt_to_tasks_and_keep_exact_corners(spark):
+    """Few bytes, much work: not all groups in one task; a box's high corner is the points' own, to the last bit."""
+    at = np.random.default_rng(2).normal(size=(400, 3))
+    df = spark.createDataFrame([(i // 20, 0, i, *map(float, p)) for i, p in enumerate(at)], "tree long, part long, pid long, x double, y double, z double")
+    nodes = bvh.build_partitioned(df)
+    assert nodes.select(F.spark_partition_id()).distinct().count() > 1
+    tops = nodes.where("depth = 1").collect()
+    assert any(r.ox + r.ex != r.hx for r in tops)
+    for r in tops:
+        assert (r.hx, r.hy, r.hz) == tuple(at[r.tree * 20 : r.tree * 20 + 20].max(0))
+
+
 def test_pairs_of_least_surface():
     boxes = np.array([[0, 0, 0, 1, 1, 1], [10, 0, 0, 11, 1, 1], [0, 0, 2, 1, 1, 3], [10, 5, 0, 11, 6, 1]], float)
     assert bvh._pair_up(boxes) == [(0, 2), (1, 3), (4, 5)]

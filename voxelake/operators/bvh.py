@@ -9,11 +9,11 @@ most meet at a time, those of one cell, and the two whose common box has the lea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,34 +25,38 @@ MAX_LEVEL = 24
 #: Points of one tree.
 GROUP_POINTS = 4096
 TIE = 1e-10
-NODES = "node_id long, parent_id long, depth int, ox double, oy double, oz double, ex double, ey double, ez double, is_leaf boolean, n_points long, n_children long"
+NODES = "node_id long, parent_id long, depth int, ox double, oy double, oz double, ex double, ey double, ez double, is_leaf boolean, n_points long, n_children long, hx double, hy double, hz double"
 
 
-def _area(low, high) -> float:
-    x, y, z = high - low
-    return float(x * (y + z) + y * z)
+def _area(lx: float, ly: float, lz: float, hx: float, hy: float, hz: float) -> float:
+    x, y, z = hx - lx, hy - ly, hz - lz
+    return x * (y + z) + y * z
+
+
+def _both(a: tuple, b: tuple) -> tuple:
+    """The box around two boxes."""
+    return (min(a[0], b[0]), min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), max(a[5], b[5]))
 
 
 class Tree:
-    """Nodes in lists; a node has a box, children (None for leaves) and point numbers (leaves)."""
+    """Nodes in lists; a node has a box (low corner, high corner), children (None for leaves) and point numbers (leaves).  Plain
+    floats: on three numbers numpy takes ten times as long."""
 
     def __init__(self, max_level: int = MAX_LEVEL):
         self.max_level = max_level
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
+        self.box: list[tuple[float, ...]] = []
         self.kids: list[list[int] | None] = []
         self.held: list[list[int]] = []
         self.root = -1
 
-    def _add(self, low, high, kids, held) -> int:
-        self.low.append(low)
-        self.high.append(high)
+    def _add(self, box, kids, held) -> int:
+        self.box.append(box)
         self.kids.append(kids)
         self.held.append(held)
         return len(self.kids) - 1
 
     def _pair(self, leaf: int, new: int) -> int:
-        return self._add(np.minimum(self.low[leaf], self.low[new]), np.maximum(self.high[leaf], self.high[new]), [leaf, new], [])
+        return self._add(_both(self.box[leaf], self.box[new]), [leaf, new], [])
 
     def _choose(self, options: list[tuple[float, float, int]]) -> tuple[float, int]:
         """The cheapest (cost, squared distance, node); nearer centres win ties."""
@@ -62,9 +66,10 @@ class Tree:
                 best = o
         return best[0], best[2]
 
-    def insert(self, number: int, at: np.ndarray) -> None:
-        at = np.asarray(at, float)
-        new = self._add(at.copy(), at.copy(), None, [number])
+    def insert(self, number: int, at) -> None:
+        x, y, z = map(float, at)
+        here = (x, y, z, x, y, z)
+        new = self._add(here, None, [number])
         if self.root < 0:
             self.root = new
             return
@@ -76,23 +81,26 @@ class Tree:
             kids = self.kids[node]
             pairs, inner = [], []
             for k in kids:
-                low, high = np.minimum(self.low[k], at), np.maximum(self.high[k], at)
-                if self.kids[k] is None:
-                    pairs.append((2 * _area(low, high), float((((low + high) / 2 - at) ** 2).sum()), k))
+                own, below = self.box[k], self.kids[k]
+                box = _both(own, here)
+                of = box if below is None else own
+                cx, cy, cz = (of[0] + of[3]) / 2 - x, (of[1] + of[4]) / 2 - y, (of[2] + of[5]) / 2 - z
+                away = cx * cx + cy * cy + cz * cz
+                if below is None:
+                    pairs.append((2 * _area(*box), away, k))
                 else:
-                    grown = _area(low, high) - _area(self.low[k], self.high[k])
-                    inner.append((len(self.kids[k]) * grown, float((((self.low[k] + self.high[k]) / 2 - at) ** 2).sum()), k))
-            low, high = np.minimum(self.low[node], at), np.maximum(self.high[node], at)
-            area = _area(low, high)
-            spread = len(kids) * (area - _area(self.low[node], self.high[node]))
-            pair_cost, leaf = self._choose(pairs) if pairs else (np.inf, -1)
-            costs = (pair_cost, spread + area, spread if inner else np.inf)
+                    inner.append((len(below) * (_area(*box) - _area(*own)), away, k))
+            box = _both(self.box[node], here)
+            area = _area(*box)
+            spread = len(kids) * (area - _area(*self.box[node]))
+            pair_cost, leaf = self._choose(pairs) if pairs else (math.inf, -1)
+            costs = (pair_cost, spread + area, spread if inner else math.inf)
             least = min(costs)
-            self.low[node], self.high[node] = low, high
+            self.box[node] = box
             if abs(least - costs[0]) < TIE:
                 if level == self.max_level - 1:
                     self.held[leaf].append(number)
-                    self.low[leaf], self.high[leaf] = np.minimum(self.low[leaf], at), np.maximum(self.high[leaf], at)
+                    self.box[leaf] = _both(self.box[leaf], here)
                 else:
                     kids[kids.index(leaf)] = self._pair(leaf, new)
                 return
@@ -102,19 +110,20 @@ class Tree:
             node, level = self._choose(inner)[1], level + 1
 
     def rows(self) -> Iterable[tuple]:
+        """As NODES has them; origin plus size may miss the high corner by a bit, so that comes as well."""
         if self.root < 0:
             return
         todo, number = [(self.root, None, 1)], 0
         while todo:
             node, up, depth = todo.pop()
             kids = self.kids[node]
-            size = self.high[node] - self.low[node]
-            yield (number, up, depth, *map(float, self.low[node]), *map(float, size), kids is None, len(self.held[node]), len(kids or ()))
+            low, high = self.box[node][:3], self.box[node][3:]
+            yield (number, up, depth, *low, *(h - a for a, h in zip(low, high)), kids is None, len(self.held[node]), len(kids or ()), *high)
             todo += [(k, number, depth + 1) for k in reversed(kids or ())]
             number += 1
 
 
-def build(positions: np.ndarray, max_level: int = MAX_LEVEL) -> Tree:
+def build(positions, max_level: int = MAX_LEVEL) -> Tree:
     tree = Tree(max_level)
     for i, p in enumerate(positions):
         tree.insert(i, p)
@@ -131,19 +140,33 @@ def spatial_groups(points: DataFrame, level: int, most: int = GROUP_POINTS) -> D
     return points.join(up.join(frontier, "tree"), "morton").withColumn("part", part).drop("parts")
 
 
+def _arrow(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.table([pa.array(v, kinds[kind]) for v, (_, kind) in zip(zip(*rows), fields)], names=[name for name, _ in fields])
+
+
 def build_partitioned(points: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
-    """Node rows of one tree for each (tree, part); points go in in the order of pid."""
+    """Node rows of one tree for each (tree, part); points go in in the order of pid.  Groups are few bytes and much work, so they
+    are dealt to a number of tasks that isn't made smaller by their size."""
+    schema = f"tree long, part long, {NODES}"
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["pid", "x", "y", "z"], kind="stable")
-        grown = build(rows[["x", "y", "z"]].to_numpy(float), max_level)
-        out = pd.DataFrame(list(grown.rows()), columns=[c.split()[0] for c in NODES.split(", ")])
-        out["parent_id"] = out["parent_id"].astype("Int64")
-        out.insert(0, "tree", rows["tree"].iloc[0])
-        out.insert(1, "part", rows["part"].iloc[0])
-        return out
+    def grow(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("pid", "x", "y", "z"))))
+        key = t.column("tree")[0].as_py(), t.column("part")[0].as_py()
+        return _arrow([(*key, *r) for r in build([r[1:] for r in rows], max_level).rows()], schema)
 
-    return points.select("tree", "part", "pid", "x", "y", "z").dropna().groupBy("tree", "part").applyInPandas(grow, f"tree long, part long, {NODES}")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.select("tree", "part", "pid", "x", "y", "z").dropna().repartition(tasks, "tree", "part")
+    return dealt.groupBy("tree", "part").applyInArrow(grow, schema)
+
+
+def roots(nodes: DataFrame, *keys: str) -> DataFrame:
+    """For each group of keys n_points, n_leaves and the corners of what all its trees hold, in one pass over the nodes: by tree, a
+    cell that was dealt into parts is one group."""
+    top = F.col("depth") == 1
+    low, high = [F.min(F.when(top, F.col(f"o{a}"))).alias(f"l{a}") for a in "xyz"], [F.max(F.when(top, F.col(f"h{a}"))).alias(f"h{a}") for a in "xyz"]
+    return nodes.groupBy(*keys).agg(F.sum("n_points").alias("n_points"), F.count_if("is_leaf").alias("n_leaves"), F.min(F.when(top, F.col("node_id"))).alias("node_id"), *low, *high)
 
 
 _CORNERS = [f"{k}{a}" for k in "lh" for a in "xyz"]
@@ -152,51 +175,45 @@ _JOINED = f"cell long, deal long, tree long, part long, node_id long, up_tree lo
 _FANOUT = 8
 
 
-def _pair_up(boxes: np.ndarray) -> list[tuple[int, int]]:
+def _pair_up(boxes) -> list[tuple[int, int]]:
     """Pairs in the order in which they are joined, numbered after the boxes given; of equal surfaces the first pair."""
-    boxes, alive, made = list(boxes), list(range(len(boxes))), []
+    boxes = [tuple(map(float, b)) for b in boxes]
+    alive, made = list(range(len(boxes))), []
     while len(alive) > 1:
-        pairs = [(i, j) for k, i in enumerate(alive) for j in alive[k + 1 :]]
-        grown = [np.concatenate([np.minimum(boxes[i][:3], boxes[j][:3]), np.maximum(boxes[i][3:], boxes[j][3:])]) for i, j in pairs]
-        best = min(range(len(pairs)), key=lambda p: _area(grown[p][:3], grown[p][3:]))
-        alive = [k for k in alive if k not in pairs[best]] + [len(boxes)]
-        boxes.append(grown[best])
-        made.append(pairs[best])
+        i, j = min(((i, j) for k, i in enumerate(alive) for j in alive[k + 1 :]), key=lambda p: _area(*_both(boxes[p[0]], boxes[p[1]])))
+        alive = [k for k in alive if k not in (i, j)] + [len(boxes)]
+        boxes.append(_both(boxes[i], boxes[j]))
+        made.append((i, j))
     return made
 
 
 def _joined(rows: DataFrame, mark: int) -> DataFrame:
     """Roots grouped by (cell, deal): all of a group with the nodes that join them, `up_*` set but for the one that is left.  New
     nodes are named by the cell, a part below 0 from mark and deal, and their number in the group."""
+    columns = [c.split()[0] for c in _JOINED.split(", ")]
+    given = columns[:5] + columns[8:]
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(list(_ID), ignore_index=True)
-        cell, deal = rows["cell"].iloc[0], rows["deal"].iloc[0]
-        for i, j in _pair_up(rows[_CORNERS].to_numpy(float)):
-            name = (cell, -(mark << 40) - deal - 1, len(rows) - len(pdf))
-            for k in (i, j):
-                rows.loc[k, ["up_tree", "up_part", "up_node"]] = name
-            both = rows.loc[[i, j]]
-            new = {"cell": cell, "deal": deal, **dict(zip(_ID, name)), "n_points": both["n_points"].sum()}
-            new |= {c: both[c].min() if c[0] == "l" else both[c].max() for c in _CORNERS}
-            rows = pd.concat([rows, pd.DataFrame([new])], ignore_index=True)
-        for c in ("up_tree", "up_part", "up_node"):
-            rows[c] = rows[c].astype("Int64")
-        return rows[[c.split()[0] for c in _JOINED.split(", ")]]
+    def join(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in given)), key=lambda r: r[2:5])
+        cell, deal = rows[0][:2]
+        held, boxes, names, up = [r[5] for r in rows], [r[6:] for r in rows], [r[2:5] for r in rows], [(None, None, None)] * len(rows)
+        for i, j in _pair_up(boxes):
+            up[i] = up[j] = (cell, -(mark << 40) - deal - 1, len(names) - len(rows))
+            names.append(up[i])
+            held.append(held[i] + held[j])
+            boxes.append(_both(boxes[i], boxes[j]))
+            up.append((None, None, None))
+        return _arrow([(cell, deal, *n, *u, k, *b) for n, u, k, b in zip(names, up, held, boxes)], _JOINED)
 
-    columns = [c.split()[0] for c in _JOINED.split(", ")]
-    empty = [F.lit(None).cast("long").alias(c) for c in ("up_tree", "up_part", "up_node")]
-    return rows.select(*columns[:5], *empty, *columns[8:]).groupBy("cell", "deal").applyInPandas(join, _JOINED)
+    return rows.select(*given).groupBy("cell", "deal").applyInArrow(join, _JOINED)
 
 
 def one_tree(nodes: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
     """From the trees of `build_partitioned` over cells down to level `deepest`: (nodes, cells).  nodes: the groups' roots and the
-    nodes above, with the name of the node above each (null: the one root), points below and corners.  cells: cell, points
-    and corners of the node that stands for each cell.  A cell's parts are joined eight by eight, then cells level by level."""
-    held = nodes.groupBy("tree", "part").agg(F.sum("n_points").alias("n_points"))
-    low, high = [F.col(f"o{a}").alias(f"l{a}") for a in "xyz"], [(F.col(f"o{a}") + F.col(f"e{a}")).alias(f"h{a}") for a in "xyz"]
-    roots = nodes.where("depth = 1").select("tree", "part", "node_id", *low, *high).join(held, ["tree", "part"])
-    now = stored(roots.select(F.col("tree").alias("cell"), F.col("part").alias("deal"), *_ID, "n_points", *_CORNERS), "roots")
+    nodes above, with the name of the node above each (null: the one root), points below and corners; a node of
+    a cell of level `deepest` joins parts of that cell, one of a cell above joins cells.  cells: cell, points and corners of the node that stands for each cell.  A cell's parts are joined eight by eight, then cells level by level."""
+    tops = roots(nodes, "tree", "part")
+    now = stored(tops.select(F.col("tree").alias("cell"), F.col("part").alias("deal"), *_ID, "n_points", *_CORNERS), "roots")
     done, cells, mark = [], [], 1
     most = now.agg(F.max("deal")).first()[0] or 0
     while most > 0:  # parts of one cell
