@@ -3,7 +3,7 @@ from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
 from voxelake.functions import morton
-from voxelake.operators import front, hierarchy, keyed, ordering
+from voxelake.operators import front, hierarchy, keyed, ordering, points
 from voxelake.plans import catalog
 
 
@@ -19,6 +19,20 @@ def test_query(spark, duck, name):
         assert points == n
 
 
+def test_parents_have_whole_contents(spark, tmp_path):
+    """One row for each parent, whatever ranges of ids its children's points are in."""
+    ids = [i * 40_000 + i % 3 for i in range(60)]
+    e = spark.createDataFrame([(i, i % 7, float(i % 11)) for i in ids], "event_id long, user_id long, value double")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    placed = points.with_morton(catalog.event_points(spark, str(tmp_path)), 4).collect()
+    want = {}
+    for r in sorted(placed, key=lambda r: (r.morton, r.pid)):
+        want.setdefault(r.morton >> 3, []).append(r)
+    got = catalog.append_points(spark, str(tmp_path)).collect()
+    kids = {k: len({r.morton for r in v}) for k, v in want.items()}
+    assert sorted(map(tuple, got)) == sorted((k, ",".join(str(r.pid) for r in v), kids[k], kids[k]) for k, v in want.items())
+
+
 def test_scan_closed_form(spark):
     rows = spark.range(3000)
     out = ordering.prefix_scan(rows, "id", rows.id, "p").orderBy("id").collect()
