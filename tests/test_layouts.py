@@ -96,6 +96,20 @@ def test_chunks_hold_the_quota_whatever_the_skew(spark, share):
     assert sorted(len(rows) for rows in by.values()) == [2000 % 90] + [90] * (2000 // 90)
 
 
+def test_many_small_chunks_share_partitions(spark):
+    """Tasks don't grow with the number of chunks; each chunk is whole, sorted and of the quota."""
+    p = spark.range(9000).select((F.pmod(F.xxhash64("id"), F.lit(1 << 12)) + (1 << 12)).alias("morton"), F.col("id").alias("pid"))
+    made = ordering.chunks(p, 4, 10)
+    assert made.rdd.getNumPartitions() <= ordering.OWN_PARTITIONS < 900
+    placed = made.withColumn("at", F.spark_partition_id()).collect()
+    assert sorted((r.morton, r.pid) for r in placed) == [(r.morton, r.pid) for r in sorted(placed, key=lambda r: r["rank"])]
+    by = {}
+    for r in placed:
+        by.setdefault(r.chunk, []).append(r)
+    assert sorted(by) == list(range(900)) and all(len({r["at"] for r in rows}) == 1 and len(rows) == 10 for rows in by.values())
+    assert all([r["rank"] for r in rows] == list(range(10 * k, 10 * k + 10)) for k, rows in by.items())
+
+
 @pytest.mark.parametrize("budget", [0, 36, 500, 20_000, 10**9])
 def test_budgets(spark, budget):
     rows = [(0, 1, 3), (1, 8, 2), (1, 9, 2)] + [(2, 64 + i, 1 + i % 4) for i in range(16)] + [(3, 512 + i, 2) for i in range(0, 128, 3)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Up to so many chunks have a partition each; more are put side by side into partitions of so many rows.
+OWN_PARTITIONS, PARTITION_ROWS = 256, 1 << 16
 #: Rows of a block, and blocks of a group of blocks, of the scans.
 BLOCK_BITS, GROUP_BITS = 14, 14
 
@@ -94,11 +96,15 @@ def ranked(points: DataFrame, level: int, super_level: int = 3, bits: int = 16)
 
 
 def chunks(points: DataFrame, level: int, quota: int, super_level: int = 3) -> DataFrame:
-    """Points with `chunk`, of `quota` rows each in the order of (morton, pid) whatever the skew, every chunk sorted and in a
-    partition of its own: rows are placed there directly, without sampling for borders."""
+    """Points with `chunk`, of `quota` rows each in the order of (morton, pid) whatever the skew, every chunk whole and sorted in one
+    partition: rows are placed there directly, without sampling for borders.  A chunk has a partition of its own while there are
+    few; many small ones lie one after another in partitions of some PARTITION_ROWS rows, as a task for each would cost more than its
+    rows, and its report to the driver as well."""
     placed = ranked(points, level, super_level).withColumn("chunk", F.floor(F.col("rank") / quota).cast("int"))
     n = points.count()
-    return placed.repartitionById(max(1, -(-n // quota)), "chunk").sortWithinPartitions("rank")
+    made = max(1, -(-n // quota))
+    side = max(1, min(-(-made // OWN_PARTITIONS), PARTITION_ROWS // quota))
+    return placed.repartitionById(-(-made // side), F.floor(F.col("chunk") / side).cast("int")).sortWithinPartitions("rank")
 
 
 def write_run(cells: DataFrame, table: str, buckets: int) -> None:

@@ -74,7 +74,7 @@ CHUNK = 150
     f"SELECT (rank // {CHUNK})::INTEGER AS chunk, count(*) AS n, min(morton) AS first_morton, max(morton) AS last_morton, arg_min(pid, rank) AS first_pid, arg_max(pid, rank) AS last_pid, 1::BIGINT AS n_partitions FROM r GROUP BY 1",
 )
 def equal_chunks(spark, sf_dir):
-    """Chunks of as many points each, and that each has a partition of its own."""
+    """Chunks of as many points each, and that each is whole in one partition."""
     placed = ordering.chunks(points.with_morton(event_points(spark, sf_dir), 6).select("morton", "pid"), 6, CHUNK)
     here = placed.withColumn("at", F.spark_partition_id())
     return here.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("morton").alias("first_morton"), F.max("morton").alias("last_morton"), F.min_by("pid", "rank").alias("first_pid"), F.max_by("pid", "rank").alias("last_pid"), F.count_distinct("at").alias("n_partitions"))
