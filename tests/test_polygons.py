@@ -71,3 +71,43 @@ def test_what_cannot_be_cut_is_one_split(spark, tmp_path):
     (tmp_path / "a.ply").write_text(text)
     assert ply.polygon_ranges(spark, str(tmp_path / "a.ply"), 4) == []
     assert [r.vertex_indices for r in ply.read(spark, str(tmp_path / "a.ply"), "face", bytes_per_split=4).collect()] == [[0, 1, 2], [0, 1, 2, 3], []]
+
+
+def test_tasks_do_not_grow_with_small_splits(spark, tmp_path):
+    """More splits than MOST_SPLITS grow, over all files together, and one job cuts them all."""
+    faces = [faces_of(2500, k) for k in (7, 8)]
+    for k in (0, 1):
+        mesh(tmp_path / f"{k}.ply", "<", "i4", 0, 0, faces[k])
+    got = ply.read(spark, str(tmp_path), "face", bytes_per_split=20)
+    assert 100 < got.rdd.getNumPartitions() <= ply.MOST_SPLITS + 2
+    assert [r.vertex_indices for r in got.collect()] == faces[0] + faces[1]
+    rows = ply.PlyReader({"path": str(tmp_path), "rows_per_split": "1"}, "vertex")
+    assert len(rows.partitions()) == 6  # below that number they are as asked for
+
+
+def test_small_splits_read_their_own_bytes(tmp_path):
+    mesh(tmp_path / "m.ply", "<", "i4", 0, 0, faces_of(20_000, 9))
+    path = str(tmp_path / "m.ply")
+    h = ply.header_of(path)
+    seen = []
+
+    class Seen:
+        def __init__(self, f):
+            self.seek, self._f = f.seek, f
+
+        def read(self, n):
+            seen.append(n)
+            return self._f.read(n)
+
+    with open(path, "rb") as f:
+        rows = ply._list_rows(h, h.element("face"))
+        batches = list(ply.PlyReader({"path": path}, "face")._polygons(Seen(f), h, h.element("face"), ply.Split(path, rows.begin, 100, True), 0))
+    assert sum(b.num_rows for b in batches) == 100 and sum(seen) < 10_000
+
+
+def test_bodies_of_polygons(tmp_path):
+    faces = faces_of(300, 10) + [list(range(255)), []]
+    batch = ply.pa.RecordBatch.from_arrays([ply.pa.array(faces, ply.pa.list_(ply.pa.int64()))], ["vertex_indices"])
+    assert ply._body(batch, "face") == b"".join(bytes([len(f)]) + np.array(f, "<i4").tobytes() for f in faces)
+    with pytest.raises(ply.PlyError, match="255"):
+        ply._body(ply.pa.RecordBatch.from_arrays([ply.pa.array([list(range(256))], ply.pa.list_(ply.pa.int64()))], ["vertex_indices"]), "face")

@@ -7,7 +7,8 @@ as integers.  A large file is read by many tasks: fixed-size binary elements by
 triangles throughout (by the size of the file; each length is checked) likewise, and an ASCII element that is the only one with
 rows, one row a line, by ranges of bytes.  Binary faces with lists of any length are cut by `polygon_ranges`, which `read`
 runs before: where a row begins depends on all rows before it, so tasks scan ranges of bytes for every place in which a row may
-begin there, and what they find is put together from the first range on.  Other ASCII files and elements with lists are
+begin there, and what they find is put together from the first range on.  Splits asked for that come to more than
+MOST_SPLITS grow, up to the default size.  Other ASCII files and elements with lists are
 read by one task each.
 
 `df.write.format("ply").mode("append").save(folder)` is the distributed sink: one little-endian file for each partition, named
@@ -39,6 +40,9 @@ TYPES = {
 VERTEX = "x float, y float, z float, nx float, ny float, nz float"
 FACE = "vertex_indices array<long>"
 BATCH = 1 << 16
+#: Splits of the default size, and how many splits smaller ones may come to: beyond, they grow up to that size, as a task costs
+#: more than a few KB.
+SPLIT_ROWS, SPLIT_BYTES, MOST_SPLITS = 1 << 20, 64 << 20, 512
 
 
 class PlyError(ValueError):
@@ -263,36 +267,58 @@ def _scan(f, lo: int, hi: int, rows: _Rows, block: int = 1 << 16) -> tuple[np.nd
     return to, count
 
 
+def _step(asked: int, usual: int, total: int) -> int:
+    """The size of a split of files of `total` rows or bytes."""
+    return max(asked, min(usual, -(-total // MOST_SPLITS)))
+
+
 def polygon_ranges(spark: SparkSession, path: str, bytes_per_split: int) -> list[tuple[int, int]]:
     """(first byte, rows) of ranges of a file's faces, found by a task for each range; none where the file can't be cut so."""
-    h = header_of(path)
-    e = h.element("face")
-    rows = _list_rows(h, e)
-    end = _size_of(path)
-    if rows is None or triangles(h, e, path) is not None or end - rows.begin <= bytes_per_split:
-        return []
-    starts = list(range(rows.begin, end, bytes_per_split))
+    return _ranges(spark, [path], bytes_per_split).get(path, [])
+
+
+def _ranges(spark: SparkSession, paths: list[str], bytes_per_split: int) -> dict[str, list[tuple[int, int]]]:
+    """The same for each of several files that can be cut, by one job."""
+    cut, total = [], 0
+    for path in paths:
+        h = header_of(path)
+        e = h.element("face")
+        rows = _list_rows(h, e)
+        if rows is not None and triangles(h, e, path) is None:
+            end = _size_of(path)
+            cut.append((path, rows, e.count, end))
+            total += end - rows.begin
+    step = _step(bytes_per_split, SPLIT_BYTES, total)
+    cut = [c for c in cut if c[3] - c[1].begin > step]
+    todo = [(path, lo, min(lo + step, end), rows) for path, rows, _, end in cut for lo in range(rows.begin, end, step)]
+    if not todo:
+        return {}
 
     def scan(batches):
-        fs, p = _filesystem(path)
-        with fs.open_input_file(p) as f:
-            for batch in batches:
-                for i in batch.column(0).to_pylist():
-                    to, count = _scan(f, starts[i], min(starts[i] + bytes_per_split, end), rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([to.astype("<i4").tobytes()]), pa.array([count.astype("<i8").tobytes()])], ["id", "to", "count"])
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                path, lo, hi, rows = todo[i]
+                fs, p = _filesystem(path)
+                with fs.open_input_file(p) as f:
+                    to, count = _scan(f, lo, hi, rows)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([to.astype("<i4").tobytes()]), pa.array([count.astype("<i8").tobytes()])], ["id", "to", "count"])
 
     # some KB for each range
-    found = {r["id"]: (np.frombuffer(r["to"], "<i4"), np.frombuffer(r["count"], "<i8")) for r in spark.range(0, len(starts), 1, len(starts)).mapInArrow(scan, "id long, to binary, count binary").collect()}
-    out, place, left = [], 0, e.count
-    for i, start in enumerate(starts):
-        to, count = found[i]
-        n = min(int(count[place]), left) if place < len(to) else 0
-        if n:
-            out.append((start + place, n))
-        left -= n
-        place = int(to[place]) if place < len(to) else place - bytes_per_split
-    if left:
-        raise PlyError("the file ends early")
+    found = {r["id"]: (np.frombuffer(r["to"], "<i4"), np.frombuffer(r["count"], "<i8")) for r in spark.range(0, len(todo), 1, len(todo)).mapInArrow(scan, "id long, to binary, count binary").collect()}
+    out, at = {}, 0
+    for path, rows, left, end in cut:
+        made, place = [], 0
+        for start in range(rows.begin, end, step):
+            to, count = found[at]
+            n = min(int(count[place]), left) if place < len(to) else 0
+            if n:
+                made.append((start + place, n))
+            left -= n
+            place = int(to[place]) if place < len(to) else place - step
+            at += 1
+        if left:
+            raise PlyError("the file ends early")
+        out[path] = made
     return out
 
 
@@ -320,25 +346,26 @@ class PlyReader(DataSourceReader):
     def __init__(self, options, element: str):
         self.element = element
         self.paths = options.get("path") or ""
-        self.rows = int(options.get("rows_per_split", 1 << 20))
-        self.bytes = int(options.get("bytes_per_split", 64 << 20))
+        self.rows = int(options.get("rows_per_split", SPLIT_ROWS))
+        self.bytes = int(options.get("bytes_per_split", SPLIT_BYTES))
         #: For each file (first byte, rows) of its ranges, as `polygon_ranges` gives them.
         self.ranges = json.loads(options.get("ranges", "{}"))
 
     def partitions(self):
         out = []
-        for path in files_of(self.paths):
-            h = header_of(path)
-            e = h.element(self.element)
+        files = [(path, h := header_of(path), h.element(self.element)) for path in files_of(self.paths)]
+        rows = _step(self.rows, SPLIT_ROWS, sum(e.count for _, _, e in files))
+        size = _step(self.bytes, SPLIT_BYTES, sum(_size_of(path) for path, h, _ in files if h.format == "ascii"))
+        for path, h, e in files:
             if self.ranges.get(path):
                 out += [Split(path, at, n, True) for at, n in self.ranges[path]]
                 continue
             if h.format == "ascii" and e.fixed and all(x is e or not x.count for x in h.elements):
                 end = _size_of(path)
-                out += [Split(path, lo, min(self.bytes, end - lo), True) for lo in range(h.size, end, self.bytes)]
+                out += [Split(path, lo, min(size, end - lo), True) for lo in range(h.size, end, size)]
                 continue
             whole = all(x.fixed for x in h.elements[: h.elements.index(e) + 1]) or triangles(h, e, path) is not None
-            step = max(1, self.rows if h.format != "ascii" and whole else e.count)
+            step = max(1, rows if h.format != "ascii" and whole else e.count)
             out += [Split(path, lo, min(step, e.count - lo)) for lo in range(0, e.count, step)]
         return out or [Split("", 0, 0)]
 
@@ -414,8 +441,8 @@ class PlyReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3, dtype=np.int32)), pa.array(flat))], ["vertex_indices"])
                 left -= n
             return
-        if split.by_bytes:
-            yield from self._polygons(f, h, e, split, at)
+        if (rows := _list_rows(h, e)) is not None:
+            yield from self._polygons(f, h, e, split if split.by_bytes else Split(split.path, rows.begin, e.count, True), at)
             return
         if h.format == "ascii":
             rows = ([int(w) for w in r[at]] for r in _ascii_rows(f, h, e))
@@ -439,7 +466,8 @@ class PlyReader(DataSourceReader):
         place, left = split.first, split.rows
         while left:
             f.seek(place)
-            raw = np.frombuffer(f.read(max(1 << 20, rows.most)), np.uint8)
+            likely = left * (rows.before + 1 + 8 * rows.entry + rows.after)  # of eight corners; what is short is read by the next turn
+            raw = np.frombuffer(f.read(max(min(1 << 20, likely), rows.most)), np.uint8)
             *starts, after = _polygon_starts(raw, rows, left)
             if not starts:
                 raise PlyError("the file ends early")
@@ -486,8 +514,14 @@ def _body(batch: pa.RecordBatch, element: str) -> bytes:
         out = np.zeros(len(n), np.dtype([("n", "u1"), ("v", "<i4", 3)]))
         out["n"], out["v"] = 3, flat.reshape(-1, 3)
         return out.tobytes()
-    ends = np.cumsum(n)
-    return b"".join(bytes([k]) + flat[e - k : e].tobytes() for k, e in zip(n.tolist(), ends.tolist()))
+    if len(n) and n.max() > 255:
+        raise PlyError("a face of more than 255 corners")
+    out = np.empty(len(n) + flat.nbytes, np.uint8)
+    counts = np.arange(len(n)) + 4 * (np.cumsum(n) - n)
+    entries = np.ones(len(out), bool)
+    out[counts], entries[counts] = n, False
+    out[entries] = flat.view(np.uint8)
+    return out.tobytes()
 
 
 @dataclass
@@ -561,11 +595,11 @@ class PlySource(DataSource):
         return PlyWriter(self.options, self._element)
 
 
-def read(spark: SparkSession, path: str, element: str = "vertex", rows_per_split: int = 1 << 20, bytes_per_split: int = 64 << 20) -> DataFrame:
+def read(spark: SparkSession, path: str, element: str = "vertex", rows_per_split: int = SPLIT_ROWS, bytes_per_split: int = SPLIT_BYTES) -> DataFrame:
     spark.dataSource.register(PlySource)
     reader = spark.read.format("ply").option("element", element).option("rows_per_split", rows_per_split).option("bytes_per_split", bytes_per_split)
     if element == "face":
-        reader = reader.option("ranges", json.dumps({f: found for f in files_of(path) if (found := polygon_ranges(spark, f, bytes_per_split))}))
+        reader = reader.option("ranges", json.dumps(_ranges(spark, files_of(path), bytes_per_split)))
     return reader.load(path)
 
 
