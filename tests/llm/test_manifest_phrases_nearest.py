@@ -152,6 +152,31 @@ def test_phrases(spark, monkeypatch, held, shard):
     assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 6, 15)
 
 
+def test_held_keys(spark, monkeypatch):
+    """Every key is found again and hardly another, and the table has its bound, however many keys there are."""
+    rng = np.random.default_rng(8)
+    keys = rng.integers(-(1 << 63), 1 << 63, 40000)
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3)
+    held = collocations.Held(table)
+    assert held.has(keys).all() and held.has(rng.integers(-(1 << 63), 1 << 63, 40000)).mean() < 0.02
+    monkeypatch.setattr(collocations, "HELD_ROWS", 1 << 12)
+    held = collocations.Held(table)
+    assert held.has(keys).all() and held.sent.value.nbytes == (1 << 12) * collocations.KEY_BITS // 8
+    assert not collocations.Held(table.limit(0)).has(keys).any()
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_shards_meet_no_lists(spark, monkeypatch, held):
+    """However many words and pairs are frequent, none are gathered for a shard in the executors' memory: shards go to tasks as they are stored."""
+    monkeypatch.setattr(collocations, "HELD_ROWS", held)
+    plans = []
+    each = collocations._each
+    monkeypatch.setattr(collocations, "_each", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().toString()), each(rows, *rest))[1])
+    words, phrases = collocations.counted(spark.createDataFrame([(i, "a b c a b", "en", "s", 1, "", 0, 0) for i in range(40)], DOCS))
+    assert {(r.phrase, r.a) for r in phrases.collect()} == {("a b", 80), ("b c", 40), ("c a", 40), ("a b c", 40), ("b c a", 40), ("c a b", 40), ("a b c a", 40), ("b c a b", 40)}
+    assert len(plans) == 2 and not any("Join" in p or "collect_set" in p for p in plans)
+
+
 def test_phrases_of_nothing(spark):
     assert collocations.report(spark.createDataFrame([], DOCS)).count() == 0
     assert collocations.report(spark.createDataFrame([(1, "a b", "en", "s", 1, "", 0, 0)], DOCS)).count() == 0

@@ -6,8 +6,9 @@ extended by words on the left and on the right down to four words.  Counts are s
 
 A phrase can only be frequent where its words and its pairs of neighbours are.  So words are summed first and rare ones
 become gaps between pieces; pairs are summed under 64-bit hashes, and longer phrases are extended only through frequent pairs.
-A collision of hashes keeps a pair that could have gone and loses none; what is counted in the end are phrases by their text.
-Frequent words and pairs go to all tasks where they are few (HELD_ROWS, HELD_BYTES); else each shard gets its own by a join.
+Frequent words and pairs go to all tasks as a table of bits, two for each hash, which is never longer than HELD_ROWS * KEY_BITS
+bits, however many they are.  Bits of others, or equal hashes, keep a word or pair that could have gone and lose none; what is
+counted in the end are phrases by their text.
 
 score: the cut after k words with the least floor(SCALE * a / (l + r)), l and r being the counts of both parts, in decimals of
 38 digits.  A phrase goes if one with one word more on the left or right, itself frequent, is there COVERED percent as often;
@@ -23,7 +24,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +33,26 @@ from .fm_index import DEPTH, Index
 SHARD_BYTES = 2 << 20
 #: Texts that wait in a task for their shards to fill, over all languages.
 WAITING_BYTES = 4 * SHARD_BYTES
-#: Up to so many words or pairs go to every task.
-HELD_ROWS, HELD_BYTES = 1 << 20, 16 << 20
+#: The table of frequent words or pairs that goes to every task has so many bits for each, up to so many of them (16 MB); with
+#: more it stays as long, and more that are rare go on to be counted (one in ten at 25 million).
+KEY_BITS, HELD_ROWS = 32, 1 << 22
+#: Rows that go back to Spark at once.
+OUT_ROWS = 1 << 14
 LEAST, COVERED, SCALE, TOP = 30, 80, 2_000_000, 2000
 _BREAK = byte_table((10, 13), *[(ord(c), ord(c)) for c in ".,;:!?"])
 _INSIDE = ~(_BREAK | byte_table((32, 32), (9, 9)))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SHARD = "lang string, shard string, words array<string>, counts array<bigint>, tokens binary"
+_PART = 4096  # bytes of a bitmap that Spark makes
+_SHARD = "lang string, words array<string>, counts array<bigint>, tokens binary"
 #: Shards are rows of megabytes: the writer has to look at its memory often.
 _WRITE = {"compression": "zstd", "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.block.size": 16 << 20}
 
 
+def _id_type(words: int) -> type:
+    """Of the places in a shard's vocabulary, as they are stored."""
+    return np.uint16 if words < 1 << 16 else np.int32
+
+
 def tokens(col) -> tuple[pa.Array, np.ndarray]:
     """The words of texts as a dictionary, and their places in it from 1 on, with 0 at both ends and between pieces."""
     data, off = utf8(col)
@@ -51,7 +60,7 @@ def tokens(col) -> tuple[pa.Array, np.ndarray]:
     start, end, text = token_spans(low, off, _INSIDE)
     if not len(start):
         return pa.array([], pa.string()), np.zeros(1, np.int32)
-    breaks = np.cumsum(_BREAK[low], dtype=np.int64)[start]
+    breaks = np.cumsum(_BREAK[low], dtype=np.int32)[start]
     new = np.ones(len(start), bool)
     new[1:] = (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])
     ends = np.zeros(len(start) + 1, np.int64)
@@ -63,22 +72,21 @@ def tokens(col) -> tuple[pa.Array, np.ndarray]:
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """lang, shard, words, counts (of each word), tokens: texts of one language, put together in the task that reads them."""
+    """lang, words, counts (of each word), tokens: texts of one language, put together in the task that reads them."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text")).where(F.octet_length("text") > 0)
 
-    def made(lang, number, parts):
+    def made(lang, parts):
         vocabulary, seq = tokens(pa.chunked_array(parts))
         if not len(vocabulary):
             return
         counts = np.bincount(seq, minlength=len(vocabulary) + 1)[1:]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), v) for v in (vocabulary, pa.array(counts.astype(np.int64)))]
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([f"{TaskContext.get().partitionId()}-{number}"]), *lists, pa.array([seq.tobytes()], pa.binary())], ["lang", "shard", "words", "counts", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), *lists, pa.array([seq.astype(_id_type(len(vocabulary))).tobytes()], pa.binary())], ["lang", "words", "counts", "tokens"])
 
     def run(batches):
         waiting: dict[str, list] = {}
         size: dict[str, int] = {}
-        number = 0
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
                 texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
@@ -86,12 +94,10 @@ def shards(docs: DataFrame) -> DataFrame:
                 size[lang] = size.get(lang, 0) + int(pc.sum(pc.binary_length(texts)).as_py())
             while size and (max(size.values()) >= SHARD_BYTES or sum(size.values()) >= WAITING_BYTES):
                 lang = max(size, key=size.get)
-                yield from made(lang, number, waiting.pop(lang))
+                yield from made(lang, waiting.pop(lang))
                 size.pop(lang)
-                number += 1
         for lang, parts in waiting.items():
-            yield from made(lang, number, parts)
-            number += 1
+            yield from made(lang, parts)
 
     return persisted(rows.mapInArrow(run, _SHARD), "shards", **_WRITE)
 
@@ -101,39 +107,52 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return spans(byte_prefix(data), off[:-1], off[1:])
 
 
+def _word_keys(lang: str, hashed: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word of a language."""
+    return mix(hashed * _ODD + _hashes(pa.array([lang]))[0]).view(np.int64)
+
+
 def _pair_keys(lang: str, hashed: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """A 64-bit key of each pair of words in a language."""
     return mix((hashed[pairs[:, 0]] * _ODD + hashed[pairs[:, 1]]) * _ODD + _hashes(pa.array([lang]))[0]).view(np.int64)
 
 
 class Held:
-    """The frequent words (of each language) or pairs: sent to every task if they are few, else joined to the shards."""
-
-    def __init__(self, table: DataFrame, column: str, size):
-        rows, held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-        self.table, self.column, self.sent = table, column, None
-        if rows <= HELD_ROWS and held <= HELD_BYTES:
-            got = table.toArrow().combine_chunks()
-            if "lang" in table.columns:
-                value = {k: got.filter(pc.equal(got["lang"], k))[column].combine_chunks() for k in pc.unique(got["lang"]).to_pylist()}
-            else:
-                value = np.sort(got[column].to_numpy())
-            self.sent = table.sparkSession.sparkContext.broadcast(value)
-
-    def beside(self, pieces: DataFrame, present: DataFrame, name: str) -> DataFrame:
-        """Shards with the column `name`: null if everything was sent, else the values of `present` (shard, column, lang) that
-        are held."""
-        kind = f"array<{dict(self.table.dtypes)[self.column]}>"
-        if self.sent is not None:
-            return pieces.withColumn(name, F.lit(None).cast(kind))
-        keys = [c for c in ("lang", self.column) if c in self.table.columns]
-        own = present.join(self.table, keys, "left_semi").groupBy("shard").agg(F.collect_set(self.column).alias(name))
-        return pieces.join(own, "shard", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
-
-
-def _index(lang: str, vocabulary: pa.Array, seq: np.ndarray, frequent: pa.Array) -> tuple[pa.Array, Index | None]:
-    """The frequent words of a shard and the index of its text, where others are gaps."""
-    keep = pc.is_in(vocabulary, value_set=frequent.cast(pa.string())).to_numpy(zero_copy_only=False)
+    """A table of bits for the keys of a frame, sent to every task."""
+
+    def __init__(self, keys: DataFrame):
+        self.bits = KEY_BITS * (1 << (max(1, min(keys.count(), HELD_ROWS)) - 1).bit_length())
+        places = keys.select(F.explode(F.array(*[F.expr(f"({k} & {self.bits - 1}L) + 1") for k in ("key", "shiftrightunsigned(key, 32)")])).alias("place"))
+        # dealt before they are put together, as a part of each task's own would be nearly as long as the whole
+        dealt = places.select(F.bitmap_bucket_number("place").alias("part"), F.bitmap_bit_position("place").alias("bit")).repartition("part")
+        table = np.zeros(max(self.bits // 8, _PART), np.uint8)
+        for part, made in dealt.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+            table[(part - 1) * _PART : part * _PART] = np.frombuffer(made, np.uint8)
+        self.sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key of the frame, and for few others."""
+        table, keys, found = self.sent.value, keys.view(np.uint64), True
+        for place in (keys, keys >> np.uint64(32)):
+            place = (place & np.uint64(self.bits - 1)).astype(np.int64)
+            found = found & (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def _keys_of_words(words: DataFrame) -> DataFrame:
+    """key of each (lang, word)."""
+
+    def run(batches):
+        for batch in batches:
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                own = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                yield pa.RecordBatch.from_arrays([pa.array(_word_keys(lang, _hashes(own)))], ["key"])
+
+    return words.select("lang", "word").mapInArrow(run, "key long")
+
+
+def _index(vocabulary: pa.Array, seq: np.ndarray, keep: np.ndarray) -> tuple[pa.Array, Index | None]:
+    """The kept words of a shard and the index of its text, where others are gaps."""
     new = np.zeros(len(vocabulary) + 1, np.int32)
     new[1:][keep] = np.arange(1, int(keep.sum()) + 1)
     seq = new[seq]
@@ -143,53 +162,48 @@ def _index(lang: str, vocabulary: pa.Array, seq: np.ndarray, frequent: pa.Array)
     return vocabulary.filter(pa.array(keep)), Index(seq) if keep.any() else None
 
 
-def _each(rows: DataFrame, schema: str, sent_words, make) -> DataFrame:
-    """make(lang, shard, words, index, row's pairs) -> record batches, of every shard."""
+def _each(pieces: DataFrame, schema: str, words: Held, make) -> DataFrame:
+    """make(lang, words, their hashes from 1 on, index) -> record batches, of every shard."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, shard, own, pairs = (batch.column(k)[i] for k in (0, 1, 4, 5))
-                frequent = own.values if sent_words is None else sent_words.value.get(lang.as_py(), pa.array([], pa.string()))
-                seq = np.frombuffer(batch.column(3)[i].as_buffer(), np.int32)
-                words, index = _index(lang.as_py(), batch.column(2)[i].values, seq, frequent)
+                lang, own = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                hashed = _hashes(own)
+                keep = words.has(_word_keys(lang, hashed))
+                seq = np.frombuffer(batch.column(2)[i].as_buffer(), _id_type(len(own)))
+                vocabulary, index = _index(own, seq, keep)
                 if index is not None:
-                    yield from make(lang.as_py(), shard.as_py(), words, index, pairs.values)
+                    for made in make(lang, vocabulary, np.concatenate([np.zeros(1, np.uint64), hashed[keep]]), index):
+                        for lo in range(0, made.num_rows, OUT_ROWS):
+                            yield made.slice(lo, OUT_ROWS)
                 del index
                 pa.default_memory_pool().release_unused()
 
-    return rows.select("lang", "shard", "words", "tokens", "frequent", "pairs").mapInArrow(run, schema)
+    return pieces.select("lang", "words", "tokens").mapInArrow(run, schema)
 
 
-def _pairs(rows: DataFrame, words: Held, with_shard: bool) -> DataFrame:
-    """key, n of the pairs of neighbours in each shard (and the shard)."""
+def _pairs(pieces: DataFrame, words: Held) -> DataFrame:
+    """key, n of the pairs of neighbours in each shard."""
 
-    def make(lang, shard, vocabulary, index, _):
+    def make(lang, vocabulary, hashed, index):
         p = index.left(index.single())
-        hashed = np.concatenate([np.zeros(1, np.uint64), _hashes(vocabulary)])
-        out = [pa.array(_pair_keys(lang, hashed, p.words)), pa.array(p.size)]
-        if with_shard:
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(p.size), pa.string()), *out], ["shard", "key", "n"])
-        else:
-            yield pa.RecordBatch.from_arrays(out, ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_keys(lang, hashed, p.words)), pa.array(p.size)], ["key", "n"])
 
-    return _each(rows, ("shard string, " if with_shard else "") + "key long, n long", words.sent, make)
+    return _each(pieces, "key long, n long", words, make)
 
 
-def _longer(rows: DataFrame, words: Held, pairs: Held) -> DataFrame:
-    """lang, phrase, n of phrases of two words and more whose pairs are all frequent, in each shard."""
-    sent = pairs.sent
+def _longer(pieces: DataFrame, words: Held, pairs: Held) -> DataFrame:
+    """lang, phrase, n of phrases of two words and more whose pairs are all held, in each shard."""
 
     def known(code, table):
         if not len(table):
             return np.zeros(len(code), bool)
         return table[np.minimum(np.searchsorted(table, code), len(table) - 1)] == code
 
-    def make(lang, shard, vocabulary, index, own):
-        frequent = sent.value if sent is not None else np.sort(own.to_numpy(zero_copy_only=False).astype(np.int64))
-        hashed = np.concatenate([np.zeros(1, np.uint64), _hashes(vocabulary)])
+    def make(lang, vocabulary, hashed, index):
         now = index.left(index.single())
-        now = now.where(known(_pair_keys(lang, hashed, now.words), frequent))
+        now = now.where(pairs.has(_pair_keys(lang, hashed, now.words)))
         good = np.sort(now.words[:, 0] * index.sigma + now.words[:, 1])
         while len(now.size):
             texts = pc.binary_join_element_wise(*[vocabulary.take(pa.array(now.words[:, k] - 1)) for k in range(now.words.shape[1])], " ")
@@ -202,21 +216,17 @@ def _longer(rows: DataFrame, words: Held, pairs: Held) -> DataFrame:
             met = now.words[:, -2:] if n % 2 == 0 else now.words[:, :2]
             now = now.where(known(met[:, 0] * index.sigma + met[:, 1], good))
 
-    return _each(rows, "lang string, phrase string, n long", words.sent, make)
+    return _each(pieces, "lang string, phrase string, n long", words, make)
 
 
 def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, word, n) of all words, and (lang, phrase, a) of the phrases of two words and more that occur `least` times."""
     pieces = shards(docs)
-    own_words = pieces.select("shard", "lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w")).select("shard", "lang", "w.word", "w.n")
+    own_words = pieces.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w")).select("lang", "w.word", "w.n")
     words = persisted(own_words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    frequent = Held(words.where(F.col("n") >= least).select("lang", "word"), "word", F.octet_length("word") + 16)
-    rows = frequent.beside(pieces, own_words, "frequent").withColumn("pairs", F.lit(None).cast("array<bigint>"))
-    keys = persisted(_pairs(rows, frequent, False).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "pairs")
-    pairs = Held(keys, "key", F.lit(8))
-    own_pairs = _pairs(rows, frequent, True).select("shard", "key") if pairs.sent is None else None
-    rows = pairs.beside(rows.drop("pairs"), own_pairs, "pairs")
-    phrases = _longer(rows, frequent, pairs).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    frequent = Held(_keys_of_words(words.where(F.col("n") >= least)))
+    pairs = Held(persisted(_pairs(pieces, frequent).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "pairs"))
+    phrases = _longer(pieces, frequent, pairs).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return words, persisted(phrases, "phrases")
 
 
